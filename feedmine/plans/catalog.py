@@ -62,3 +62,90 @@ def b9_compact_notes(spark, d):
     active = cu.curate(fx.notes(spark, d))
     return active.select("github_comment_id", *cu.compact_notes(active).columns) \
         .withColumn("implementation_example", F.coalesce("implementation_example", F.lit("")))
+
+
+# ---- vectors --------------------------------------------------------------------------
+from feedmine.operators import vectors as vx  # noqa: E402
+
+
+def _index_out(df: DataFrame) -> DataFrame:
+    return df.select("id", "repo", "github_comment_id", "category", "content",
+                     F.date_format("merged_at", "yyyy-MM-dd").alias("merged_at"))
+
+
+def _empty_index(spark):
+    from feedmine.schemas import VECTOR
+    return spark.createDataFrame([], VECTOR)
+
+
+@query("k1_save_vectors")
+def k1_save_vectors(spark, d):
+    existing = fx.vector_notes(spark, d).where(F.col("pr_number") % 2 == 0)
+    index = vx.save_vectors(_empty_index(spark), existing)
+    return _index_out(vx.save_vectors(index, fx.incoming_vector_notes(spark, d)))
+
+
+@query("k2_delete_vectors")
+def k2_delete_vectors(spark, d):
+    notes = fx.vector_notes(spark, d)
+    index = vx.save_vectors(_empty_index(spark), notes)
+    gone = notes.where(F.col("pr_number") % 5 == 0)
+    missing = gone.withColumn("github_comment_id", F.col("github_comment_id") + 1_000_000)
+    return _index_out(vx.delete_vectors(index, gone.unionByName(missing)))
+
+
+@query("k3_replace_vectors")
+def k3_replace_vectors(spark, d):
+    notes = fx.vector_notes(spark, d)
+    index = vx.save_vectors(_empty_index(spark), notes.where(F.col("pr_number") % 2 == 0))
+    new = notes.where(F.col("pr_number") % 3 == 0)
+    return _index_out(vx.replace_vectors(index, new, ["org/r1", "org/r2"]))
+
+
+@query("k4_search")
+def k4_search(spark, d):
+    notes = fx.vector_notes(spark, d)
+    index = vx.save_vectors(_empty_index(spark), notes)
+    q = fx.vector_queries(spark, d).where(F.col("query_id") == 0).first()  # one query row
+    res = vx.search(index, q["query_vector"], q["repo"], limit=5, reviewers=["u0", "u1"],
+                    query_text=q["query_text"])
+    return res.select("id", "repo", "pr_number", "category", "severity", "rank")
+
+
+@query("k5_search_many")
+def k5_search_many(spark, d):
+    index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+    res = vx.search_many(index, fx.vector_queries(spark, d), k=8, query_row_bound=100_000)
+    return res.select("query_id", "id", "github_comment_id", "rank")
+
+
+@query("k5_search_many_salted")
+def k5_search_many_salted(spark, d):
+    index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+    res = vx.search_many(index, fx.vector_queries(spark, d), k=8, salt_buckets=16)
+    return res.select("query_id", "id", "github_comment_id", "rank")
+
+
+@query("k6_search_approx")
+def k6_search_approx(spark, d):
+    index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+    return vx.search_approx(index, fx.vector_queries(spark, d), k=8, cells=10, probe=8)
+
+
+@query("c4_align_embeddings")
+def c4_align_embeddings(spark, d):
+    notes = fx.vector_notes(spark, d)
+    inputs = notes.select((F.col("pr_number") / 16).cast("long").alias("request_id"),
+                          (F.col("pr_number") % 16).alias("pos"), "github_comment_id",
+                          note_content().alias("text"))
+    e = fx.read(spark, d, "embeddings")
+    response = e.where(~(((F.col("vec_id") / 16).cast("long") % 11 == 5) & (F.col("vec_id") % 16 == 0))) \
+        .select((F.col("vec_id") / 16).cast("long").alias("request_id"),
+                (F.col("vec_id") % 16).alias("index"), "embedding", F.col("vec_id").alias("src_vec_id"))
+    aligned, rejects = vx.align_embeddings(inputs, response)
+    a = aligned.select("request_id", "pos", "github_comment_id", "src_vec_id",
+                       F.lit(None).cast("string").alias("reason"))
+    r = rejects.select("request_id", F.lit(None).cast("long").alias("pos"),
+                       F.lit(None).cast("long").alias("github_comment_id"),
+                       F.lit(None).cast("long").alias("src_vec_id"), "reason")
+    return a.unionByName(r)

@@ -34,3 +34,55 @@ ORACLE["b9_compact_notes"] = _with(*CURATED) + """
 SELECT github_comment_id, category, severity, original_issue, requested_change, rationale,
        coalesce(implementation_example, '') AS implementation_example
 FROM active_fx"""
+
+# ---- vectors --------------------------------------------------------------------------
+VX = (ofx.VNOTES, ofx.VINDEX)
+_IDX_OUT = "id, repo, github_comment_id, category, content, nullif(merged_at, '') AS merged_at"
+
+ORACLE["k1_save_vectors"] = _with(*VX) + f"""
+SELECT {_IDX_OUT} FROM vindex_fx WHERE pr_number % 2 = 0 AND pr_number % 3 <> 0
+UNION ALL SELECT {_IDX_OUT} FROM vindex_fx WHERE pr_number % 3 = 0"""
+
+ORACLE["k2_delete_vectors"] = _with(*VX) + f"""
+SELECT {_IDX_OUT} FROM vindex_fx WHERE pr_number % 5 <> 0"""
+
+ORACLE["k3_replace_vectors"] = _with(*VX) + f"""
+SELECT {_IDX_OUT} FROM vindex_fx
+WHERE (pr_number % 2 = 0 AND pr_number % 3 <> 0 AND repo NOT IN ('org/r1', 'org/r2'))
+   OR pr_number % 3 = 0"""
+
+ORACLE["k4_search"] = _with(*VX) + """,
+q AS (SELECT 'org/r' || CAST(label AS VARCHAR) AS qrepo, CAST(embedding AS DOUBLE[]) AS qv
+      FROM embeddings WHERE vec_id = 0),
+s AS (SELECT v.*, list_cosine_similarity(v.embedding, q.qv) AS score FROM vindex_fx v, q
+      WHERE v.repo = q.qrepo AND v.reviewer IN ('u0', 'u1'))
+SELECT id, repo, pr_number, category, severity,
+       row_number() OVER (ORDER BY score DESC, id) AS rank
+FROM s QUALIFY rank <= 5"""
+
+_K5 = _with(*VX) + """,
+q AS (SELECT vec_id AS query_id, 'org/r' || CAST(label AS VARCHAR) AS qrepo,
+             CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
+s AS (SELECT q.query_id, v.id, v.github_comment_id,
+             list_cosine_similarity(v.embedding, q.qv) AS score
+      FROM vindex_fx v JOIN q ON v.repo = q.qrepo)
+SELECT query_id, id, github_comment_id,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+FROM s QUALIFY rank <= 8"""
+ORACLE["k5_search_many"] = _K5
+ORACLE["k5_search_many_salted"] = _K5
+
+ORACLE["c4_align_embeddings"] = _with(*VX) + """,
+inp AS (SELECT vec_id // 16 AS request_id, vec_id % 16 AS pos, vec_id AS github_comment_id FROM embeddings),
+resp AS (SELECT vec_id // 16 AS request_id, vec_id % 16 AS idx, vec_id AS src_vec_id FROM embeddings
+         WHERE NOT ((vec_id // 16) % 11 = 5 AND vec_id % 16 = 0)),
+cnt AS (SELECT i.request_id, count(*) AS n_in,
+               (SELECT count(*) FROM resp r WHERE r.request_id = i.request_id) AS n_out
+        FROM inp i GROUP BY i.request_id)
+SELECT i.request_id, i.pos, i.github_comment_id, r.src_vec_id, CAST(NULL AS VARCHAR) AS reason
+FROM inp i JOIN cnt c ON c.request_id = i.request_id AND c.n_in = c.n_out
+LEFT JOIN resp r ON r.request_id = i.request_id AND r.idx = i.pos
+UNION ALL
+SELECT request_id, NULL, NULL, NULL,
+       'expected ' || CAST(n_in AS VARCHAR) || ' vectors, got ' || CAST(n_out AS VARCHAR)
+FROM cnt WHERE n_in <> n_out"""

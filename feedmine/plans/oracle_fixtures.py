@@ -143,3 +143,29 @@ issue_comments_fx AS (
 
 TRUSTED = """
 trusted_fx AS (SELECT * FROM (VALUES ('u0'), ('u1'), ('u2')) t(login_lc))"""
+
+VNOTES = f"""
+vnotes_fx AS (
+  SELECT 'org/r' || CAST(label AS VARCHAR) AS repo, vec_id AS pr_number, vec_id AS github_comment_id,
+         'https://example.test/org/r' || CAST(label AS VARCHAR) || '/pull/' || CAST(vec_id AS VARCHAR) AS pr_url,
+         'review_comment' AS comment_type,
+         CASE WHEN vec_id % 4 = 0 THEN NULL ELSE 'lib/m' || CAST(vec_id % 7 AS VARCHAR) || '.py' END AS file_path,
+         'body ' || CAST(vec_id AS VARCHAR) AS original_body,
+         ({CATS})[vec_id % 13 + 1] AS category,
+         ({SEVS})[vec_id % 3 + 1] AS severity,
+         'issue ' || CAST(vec_id AS VARCHAR) AS original_issue,
+         'change ' || CAST(vec_id AS VARCHAR) AS requested_change,
+         'why' AS rationale,
+         CASE WHEN vec_id % 6 = 0 THEN '' ELSE 'example' END AS implementation_example,
+         'u' || CAST(vec_id % 3 AS VARCHAR) AS reviewer,
+         CASE WHEN vec_id % 10 = 0 THEN ''
+              ELSE strftime(DATE '2024-01-01' + CAST(vec_id % 300 AS INTEGER), '%Y-%m-%d') END AS merged_at,
+         CAST(embedding AS DOUBLE[]) AS embedding,
+         vec_id AS ordinal
+  FROM embeddings
+)"""
+
+VINDEX = f"""
+vindex_fx AS (
+  SELECT {NOTE_ID} AS id, {NOTE_CONTENT} AS content, * FROM vnotes_fx
+)"""

@@ -36,6 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             SparkSession.builder.appName(app_name)
             .master(master or os.environ.get("FEEDMINE_MASTER", "local[8]"))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "16g")
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         )
