@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmine.functions.notes import note_content, note_id
+from feedmine.functions.text import is_blank
 from feedmine.operators.joins import BROADCAST_ROW_LIMIT
 
 INDEX_COLUMNS = ["id", "content", "content_vector", "reviewer", "repo", "pr_number",
@@ -164,7 +165,7 @@ def align_embeddings(inputs: DataFrame, response: DataFrame) -> tuple[DataFrame,
     """
     n_in = inputs.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("_n_in"),
-        F.sum(F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1).otherwise(0)).alias("_blank"))
+        F.sum(F.when(is_blank(F.col("text")), 1).otherwise(0)).alias("_blank"))
     n_out = response.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n_out"))
     checks = n_in.join(n_out, "request_id", "left").select(
         "request_id",

@@ -149,3 +149,123 @@ def c4_align_embeddings(spark, d):
                        F.lit(None).cast("long").alias("github_comment_id"),
                        F.lit(None).cast("long").alias("src_vec_id"), "reason")
     return a.unionByName(r)
+
+
+# ---- feedback -------------------------------------------------------------------------
+from feedmine.operators import feedback as fb  # noqa: E402
+from feedmine.operators.ordering import assign_batches  # noqa: E402
+
+
+def _reviewers(spark):
+    return fb.normalize_reviewers(fx.TRUSTED_REVIEWERS, spark)[0]
+
+
+def feedback_table(spark, d, with_replies=True, diffs=None):
+    return fb.normalize_feedback(fx.threads(spark, d), fx.reviews(spark, d),
+                                 fx.issue_comments(spark, d), fx.prs(spark, d),
+                                 _reviewers(spark), diffs=diffs, with_replies=with_replies)
+
+
+def repo_ord() -> "F.Column":
+    """Fixture convention: the configured repo order is the number after 'org/r'."""
+    return F.substring("repo", 6, 10).cast("int")
+
+
+def ordered_feedback(spark, d, with_replies=True, diffs=None):
+    f = feedback_table(spark, d, with_replies, diffs).withColumn("repo_ord", repo_ord())
+    return with_ordinal(f, fb.feedback_order())
+
+
+@query("b1_merged_prs")
+def b1_merged_prs(spark, d):
+    return fb.merged_prs(fx.prs(spark, d), updated_after="1995-06-01").select(
+        "repo", "pr_number", "merged_at", "updated_at")
+
+
+@query("b2_normalize_reviewers")
+def b2_normalize_reviewers(spark, d):
+    t = fx.threads(spark, d)
+    spelled = (F.when(F.col("pr_number") % 3 == 0, F.upper("login"))
+               .when(F.col("pr_number") % 3 == 1, F.concat(F.lit("  "), F.col("login"), F.lit(" ")))
+               .otherwise(F.col("login")))
+    names = t.select(spelled.alias("name"), F.col("id").alias("ordinal"))
+    out, _ = fb.normalize_reviewers(names)
+    return out
+
+
+@query("b3_trusted_only")
+def b3_trusted_only(spark, d):
+    return fb.trusted_only(fx.threads(spark, d), _reviewers(spark)).select("id", "login")
+
+
+@query("b4_eligible_reviews")
+def b4_eligible_reviews(spark, d):
+    r = fb.trusted_only(fb.eligible_reviews(fx.reviews(spark, d)), _reviewers(spark))
+    return r.select("id", "state", "login")
+
+
+@query("b5_normalize_feedback")
+def b5_normalize_feedback(spark, d):
+    f = feedback_table(spark, d)
+    return f.select("repo", "pr_number", "github_comment_id", "comment_type", "pr_title", "pr_url",
+                    "pr_state", "file_path", "diff_hunk", "review_state", "created_at", "html_url",
+                    "reviewer", "body", "merged_at", F.size("replies").cast("long").alias("n_replies"))
+
+
+@query("b6_pr_state")
+def b6_pr_state(spark, d):
+    p = fx.prs(spark, d)
+    return p.select("repo", "pr_number", fb.pr_state(p).alias("pr_state"))
+
+
+@query("b7_guard_diffs")
+def b7_guard_diffs(spark, d):
+    return fb.guard_diffs(fx.diffs(spark, d), fx.DIFF_CAP).select("repo", "pr_number", "reason")
+
+
+@query("c1_pr_attributes")
+def c1_pr_attributes(spark, d):
+    f = feedback_table(spark, d, with_replies=False, diffs=fx.pr_diffs(spark, d))
+    return f.select("comment_type", "github_comment_id", "pr_title", "pr_url", "pr_state",
+                    "merged_at", "final_diff")
+
+
+@query("c2_attach_replies")
+def c2_attach_replies(spark, d):
+    t = fx.threads(spark, d)
+    roots = fb.trusted_only(t.where(F.col("in_reply_to_id").isNull()), _reviewers(spark))
+    rep = fb.attach_replies(t, roots.select("repo", "pr_number", "id"))
+    return rep.select("root_id", F.posexplode("replies").alias("reply_pos", "r")).select(
+        "root_id", F.col("reply_pos").cast("long").alias("reply_pos"),
+        F.col("r.github_comment_id").alias("reply_id"), F.col("r.author").alias("author"))
+
+
+@query("g1_feedback_union")
+def g1_feedback_union(spark, d):
+    f = feedback_table(spark, d, with_replies=False)
+    return f.groupBy("repo", "pr_number", "comment_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e1_with_ordinal")
+def e1_with_ordinal(spark, d):
+    return ordered_feedback(spark, d, with_replies=False).select(
+        "comment_type", "github_comment_id", "ordinal")
+
+
+@query("e2_assign_batches")
+def e2_assign_batches(spark, d):
+    b = assign_batches(ordered_feedback(spark, d, with_replies=False), 8)
+    return b.select("comment_type", "github_comment_id", "batch_id", "pos")
+
+
+@query("d2_check_feedback_cap")
+def d2_check_feedback_cap(spark, d):
+    return fb.check_feedback_cap(feedback_table(spark, d, with_replies=False), fx.REVIEW_FEEDBACK_CAP)
+
+
+@query("a3_merged_evidence")
+def a3_merged_evidence(spark, d):
+    from feedmine.sources.tables import merged_evidence
+    ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    return ev.select("repo", "pr_number", "title", "merged_at",
+                     F.length("final_diff").cast("long").alias("diff_chars"))

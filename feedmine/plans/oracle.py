@@ -86,3 +86,74 @@ UNION ALL
 SELECT request_id, NULL, NULL, NULL,
        'expected ' || CAST(n_in AS VARCHAR) || ' vectors, got ' || CAST(n_out AS VARCHAR)
 FROM cnt WHERE n_in <> n_out"""
+
+# ---- feedback -------------------------------------------------------------------------
+FBX = (ofx.PRS, ofx.THREADS, ofx.REVIEWS, ofx.ISSUE_COMMENTS, ofx.FEEDBACK)
+
+ORACLE["b1_merged_prs"] = _with(ofx.PRS) + """
+SELECT repo, pr_number, merged_at, updated_at FROM prs_fx
+WHERE coalesce(merged_at, '') <> '' AND updated_at >= '1995-06-01'"""
+
+ORACLE["b2_normalize_reviewers"] = _with(ofx.THREADS) + """,
+n AS (SELECT regexp_replace(CASE WHEN pr_number % 3 = 0 THEN upper(login)
+                       WHEN pr_number % 3 = 1 THEN '  ' || login || ' ' ELSE login END, '^\s+|\s+$', '', 'g') AS name,
+             id AS ordinal FROM threads_fx)
+SELECT arg_min(name, ordinal) AS name, min(ordinal) AS ordinal FROM n
+WHERE coalesce(name, '') <> '' GROUP BY lower(name)"""
+
+ORACLE["b3_trusted_only"] = _with(ofx.THREADS) + f"""
+SELECT id, login FROM threads_fx WHERE lower(coalesce(login, '')) IN {ofx.TRUSTED_IN}"""
+
+ORACLE["b4_eligible_reviews"] = _with(ofx.REVIEWS) + f"""
+SELECT id, state, login FROM reviews_fx
+WHERE state IS DISTINCT FROM 'DISMISSED' AND coalesce(body, '') <> '' AND lower(login) IN {ofx.TRUSTED_IN}"""
+
+ORACLE["b5_normalize_feedback"] = "WITH RECURSIVE " + ",".join(FBX + (ofx.WALK,)) + """
+SELECT f.repo, f.pr_number, f.github_comment_id, f.comment_type, f.pr_title, f.pr_url, f.pr_state,
+       f.file_path, f.diff_hunk, f.review_state, f.created_at, f.html_url, f.reviewer, f.body, f.merged_at,
+       CASE WHEN f.comment_type = 'review_comment'
+            THEN (SELECT count(*) FROM walk w WHERE w.root_id = f.github_comment_id) ELSE 0 END AS n_replies
+FROM feedback_fx f"""
+
+ORACLE["b6_pr_state"] = _with(ofx.PRS) + """
+SELECT repo, pr_number,
+       CASE WHEN coalesce(merged_at, '') <> '' THEN 'merged' ELSE coalesce(state, 'open') END AS pr_state
+FROM prs_fx"""
+
+ORACLE["b7_guard_diffs"] = """
+SELECT 'org/r' || CAST(doc_id % 8 AS VARCHAR) AS repo, doc_id AS pr_number,
+       CASE WHEN doc_id % 50 = 7 THEN 'empty final diff'
+            WHEN length(text) > 5000
+            THEN 'final diff is ' || CAST(length(text) AS VARCHAR) || ' characters; maximum supported is 5000'
+       END AS reason
+FROM documents"""
+
+ORACLE["c1_pr_attributes"] = _with(*FBX, ofx.PR_DIFFS) + """
+SELECT f.comment_type, f.github_comment_id, f.pr_title, f.pr_url, f.pr_state, f.merged_at,
+       CASE WHEN f.pr_state = 'merged' THEN coalesce(d.final_diff, '') ELSE '' END AS final_diff
+FROM feedback_fx f LEFT JOIN pr_diffs_fx d ON d.repo = f.repo AND d.pr_number = f.pr_number"""
+
+ORACLE["c2_attach_replies"] = "WITH RECURSIVE " + ",".join((ofx.THREADS, """
+roots_fx AS (SELECT * FROM threads_fx
+             WHERE in_reply_to_id IS NULL AND lower(coalesce(login, '')) IN ('u0', 'u1', 'u2'))""",
+                                                          ofx.WALK)) + """
+SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY depth, path) - 1 AS reply_pos,
+       node AS reply_id, author
+FROM walk"""
+
+ORACLE["g1_feedback_union"] = _with(*FBX) + """
+SELECT repo, pr_number, comment_type, count(*) AS n FROM feedback_fx GROUP BY ALL"""
+
+ORACLE["e1_with_ordinal"] = _with(*FBX) + """
+SELECT comment_type, github_comment_id, ordinal FROM ordered_fx"""
+
+ORACLE["e2_assign_batches"] = _with(*FBX) + """
+SELECT comment_type, github_comment_id, ordinal // 8 AS batch_id, ordinal % 8 AS pos FROM ordered_fx"""
+
+ORACLE["d2_check_feedback_cap"] = _with(*FBX) + """
+SELECT repo, pr_number, count(*) AS n FROM feedback_fx GROUP BY ALL HAVING count(*) > 8"""
+
+ORACLE["a3_merged_evidence"] = _with(ofx.PRS, ofx.PR_DIFFS) + """
+SELECT p.repo, p.pr_number, p.title, p.merged_at, CAST(length(d.final_diff) AS BIGINT) AS diff_chars
+FROM prs_fx p JOIN pr_diffs_fx d ON d.repo = p.repo AND d.pr_number = p.pr_number
+WHERE coalesce(p.merged_at, '') <> ''"""

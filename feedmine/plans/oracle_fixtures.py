@@ -169,3 +169,46 @@ VINDEX = f"""
 vindex_fx AS (
   SELECT {NOTE_ID} AS id, {NOTE_CONTENT} AS content, * FROM vnotes_fx
 )"""
+
+TRUSTED_IN = "('u0', 'u1', 'u2')"
+
+FEEDBACK = f"""
+roots_fx AS (
+  SELECT * FROM threads_fx
+  WHERE in_reply_to_id IS NULL AND lower(coalesce(login, '')) IN {TRUSTED_IN}
+),
+fb_fx AS (
+  SELECT repo, pr_number, id AS github_comment_id, 'review_comment' AS comment_type,
+         path AS file_path, diff_hunk, coalesce(body, '') AS body, CAST(NULL AS VARCHAR) AS review_state,
+         created_at, html_url, login AS reviewer, 0 AS kind_ord, item_ord
+  FROM roots_fx
+  UNION ALL
+  SELECT repo, pr_number, id, 'review_summary', NULL, NULL, body, state, submitted_at, html_url, login, 1, item_ord
+  FROM reviews_fx
+  WHERE state IS DISTINCT FROM 'DISMISSED' AND coalesce(body, '') <> ''
+    AND lower(login) IN {TRUSTED_IN}
+  UNION ALL
+  SELECT repo, pr_number, id, 'issue_comment', NULL, NULL, coalesce(body, ''), NULL, created_at, html_url,
+         login, 2, item_ord
+  FROM issue_comments_fx WHERE lower(login) IN {TRUSTED_IN}
+),
+feedback_fx AS (
+  SELECT f.*, coalesce(p.title, '') AS pr_title, p.html_url AS pr_url,
+         CASE WHEN coalesce(p.merged_at, '') <> '' THEN 'merged' ELSE coalesce(p.state, 'open') END AS pr_state,
+         coalesce(p.merged_at, '') AS merged_at, p.updated_at AS pr_updated_at
+  FROM fb_fx f JOIN prs_fx p ON p.repo = f.repo AND p.pr_number = f.pr_number
+),
+ordered_fx AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(substr(repo, 6) AS INTEGER), pr_updated_at DESC, pr_number,
+                                        kind_ord, item_ord, github_comment_id) - 1 AS ordinal
+  FROM feedback_fx
+)"""
+
+WALK = f"""
+walk(repo, pr_number, root_id, node, depth, path, author) AS (
+  SELECT t.repo, t.pr_number, r.id, t.id, 1, [t.item_ord], t.login
+  FROM threads_fx t JOIN roots_fx r ON t.repo = r.repo AND t.pr_number = r.pr_number AND t.in_reply_to_id = r.id
+  UNION ALL
+  SELECT t.repo, t.pr_number, w.root_id, t.id, w.depth + 1, list_append(w.path, t.item_ord), t.login
+  FROM walk w JOIN threads_fx t ON t.repo = w.repo AND t.pr_number = w.pr_number AND t.in_reply_to_id = w.node
+)"""
