@@ -269,3 +269,116 @@ def a3_merged_evidence(spark, d):
     ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
     return ev.select("repo", "pr_number", "title", "merged_at",
                      F.length("final_diff").cast("long").alias("diff_chars"))
+
+
+# ---- annotation -------------------------------------------------------------------------
+from feedmine.operators import batching as bt  # noqa: E402
+from feedmine.operators import model as md  # noqa: E402
+from feedmine.operators import validate as va  # noqa: E402
+from feedmine.plans import analysis as an  # noqa: E402
+from feedmine.sources import replay_fixture as rf  # noqa: E402
+
+
+def _replay_state(spark, d):
+    batched = rf.batched_roots(spark, d)
+    recorded = rf.recorded_responses(spark, d, batched)
+    prompts = an.prompts_for(batched, fx.pr_diffs(spark, d))
+    responses = md.replay(prompts.select("batch_id", "n_items", "prompt_id"),
+                          recorded.select("prompt_id", "attempt", "raw"))
+    return batched, prompts, responses
+
+
+@query("h3_thread_prompt")
+def h3_thread_prompt(spark, d):
+    b = rf.batched_roots(spark, d)
+    return b.select("github_comment_id", "batch_id", "pos", bt.thread_prompt("pos").alias("text"))
+
+
+@query("d1_distinct_pr_diffs")
+def d1_distinct_pr_diffs(spark, d):
+    b = rf.batched_roots(spark, d)
+    return bt.distinct_pr_diffs(b, fx.pr_diffs(spark, d)).select(
+        "batch_id", "repo", "pr_number", "first_pos",
+        F.length("final_diff").cast("long").alias("diff_chars"))
+
+
+@query("h4_batch_prompts")
+def h4_batch_prompts(spark, d):
+    p = an.prompts_for(rf.batched_roots(spark, d), fx.pr_diffs(spark, d))
+    return p.select("batch_id", "n_items", F.col("prompt_id").alias("prompt_sha"),
+                    F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+@query("h5_architecture_prompts")
+def h5_architecture_prompts(spark, d):
+    from feedmine.sources.tables import merged_evidence
+    ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    p = bt.architecture_prompts(ev)
+    return p.select("repo", "pr_number", bt.prompt_id(F.col("prompt")).alias("prompt_sha"))
+
+
+@query("j2_replay")
+def j2_replay(spark, d):
+    _, _, responses = _replay_state(spark, d)
+    return responses.select("batch_id", "attempt")
+
+
+@query("h12_response_object")
+def h12_response_object(spark, d):
+    _, _, responses = _replay_state(spark, d)
+    obj, err = md.response_object(F.col("raw"))
+    return responses.select("batch_id", "attempt", obj.isNotNull().alias("is_object"), err.alias("error"))
+
+
+@query("c3_pair_items")
+def c3_pair_items(spark, d):
+    _, prompts, responses = _replay_state(spark, d)
+    items, rejects = va.pair_items(prompts, an.parsed(responses))
+    paired = items.groupBy("batch_id", "attempt").agg(F.count(F.lit(1)).alias("n_paired")) \
+        .withColumn("reason", F.lit(None).cast("string"))
+    return paired.unionByName(rejects.withColumn("n_paired", F.lit(0).cast("long")))
+
+
+@query("h10_validate_items")
+def h10_validate_items(spark, d):
+    _, prompts, responses = _replay_state(spark, d)
+    items, _ = va.pair_items(prompts, an.parsed(responses))
+    return items.select("batch_id", "attempt", "pos",
+                        F.array_join(va.item_errors(F.col("item")), "; ").alias("errors"))
+
+
+@query("e4_accept_attempts")
+def e4_accept_attempts(spark, d):
+    _, prompts, responses = _replay_state(spark, d)
+    items, rejects = va.pair_items(prompts, an.parsed(responses))
+    accepted, failed = va.accept_attempts(va.attempt_status(items, rejects), 3)
+    return accepted.select("batch_id", F.col("attempt").cast("int").alias("attempt")).unionByName(
+        failed.select("batch_id", F.lit(None).cast("int").alias("attempt")))
+
+
+@query("j2_replay_notes")
+def j2_replay_notes(spark, d):
+    batched = rf.batched_roots(spark, d)
+    notes, _, _ = an.analyze_recorded(batched, fx.pr_diffs(spark, d),
+                                      rf.recorded_responses(spark, d, batched), strict=False)
+    return va.note_columns(notes).drop("ordinal")
+
+
+@query("h11_architecture_notes")
+def h11_architecture_notes(spark, d):
+    from feedmine.sources.tables import merged_evidence
+    ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    resp = rf.architecture_responses(spark, d)
+    obj, err = md.response_object(F.col("raw"))
+    from feedmine.session import materialize
+    notes, rejects = va.architecture_notes(
+        ev, materialize(resp.select("repo", "pr_number", obj.alias("obj"), err.alias("error"))))
+    return notes.select("pr_number", "github_comment_id", "original_body", "original_issue",
+                        "rationale", "supersedes_prior_architecture", "merged_at") \
+        .withColumn("reason", F.lit(None).cast("string")).unionByName(
+        rejects.select("pr_number", F.lit(None).cast("long").alias("github_comment_id"),
+                       F.lit(None).cast("string").alias("original_body"),
+                       F.lit(None).cast("string").alias("original_issue"),
+                       F.lit(None).cast("string").alias("rationale"),
+                       F.lit(None).cast("boolean").alias("supersedes_prior_architecture"),
+                       F.lit(None).cast("string").alias("merged_at"), "reason"))

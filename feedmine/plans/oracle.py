@@ -157,3 +157,88 @@ ORACLE["a3_merged_evidence"] = _with(ofx.PRS, ofx.PR_DIFFS) + """
 SELECT p.repo, p.pr_number, p.title, p.merged_at, CAST(length(d.final_diff) AS BIGINT) AS diff_chars
 FROM prs_fx p JOIN pr_diffs_fx d ON d.repo = p.repo AND d.pr_number = p.pr_number
 WHERE coalesce(p.merged_at, '') <> ''"""
+
+# ---- annotation -------------------------------------------------------------------------
+ANX = "WITH RECURSIVE " + ",".join(FBX + (ofx.PR_DIFFS, ofx.WALK_BODY, ofx.ROOT_BATCHES)) + "\n"
+
+ORACLE["h3_thread_prompt"] = ANX + "SELECT github_comment_id, batch_id, pos, text FROM rtext_fx"
+
+ORACLE["d1_distinct_pr_diffs"] = ANX + """
+SELECT batch_id, repo, pr_number, first_pos, CAST(length(final_diff) AS BIGINT) AS diff_chars FROM d1_fx"""
+
+ORACLE["h4_batch_prompts"] = ANX + """
+SELECT batch_id, n_items, sha256(prompt) AS prompt_sha, CAST(length(prompt) AS BIGINT) AS prompt_chars
+FROM prompt_fx"""
+
+ORACLE["h5_architecture_prompts"] = _with(ofx.PRS, ofx.PR_DIFFS) + """
+SELECT p.repo, p.pr_number,
+       sha256('Repository: ' || p.repo || chr(10) || 'PR #' || CAST(p.pr_number AS VARCHAR) || ': ' || p.title
+              || chr(10) || 'Description:' || chr(10) || coalesce(p.body, '') || chr(10) || chr(10)
+              || 'Final merged diff:' || chr(10) || d.final_diff) AS prompt_sha
+FROM prs_fx p JOIN pr_diffs_fx d ON d.repo = p.repo AND d.pr_number = p.pr_number
+WHERE coalesce(p.merged_at, '') <> ''"""
+
+ORACLE["h12_response_object"] = ANX + """
+SELECT batch_id, attempt, kind <> 'blank' AS is_object,
+       CASE WHEN kind = 'blank' THEN 'model returned no output text' END AS error
+FROM attempts_fx"""
+
+ORACLE["j2_replay"] = ANX + """
+SELECT batch_id, attempt FROM attempts_fx"""
+
+ORACLE["c3_pair_items"] = ANX + """
+SELECT batch_id, attempt,
+       CASE WHEN kind IN ('ok', 'critical') THEN n_items ELSE 0 END AS n_paired,
+       CASE WHEN kind = 'short' THEN 'analysis response returned ' || CAST(n_items - 1 AS VARCHAR) || ' items for '
+                                     || CAST(n_items AS VARCHAR) || ' comments'
+            WHEN kind = 'blank' THEN 'model returned no output text' END AS reason
+FROM attempts_fx"""
+
+ORACLE["h10_validate_items"] = ANX + """
+SELECT a.batch_id, a.attempt, b.pos,
+       CASE WHEN a.kind = 'critical' AND b.pos = 0 THEN 'invalid severity: ''critical''' ELSE '' END AS errors
+FROM attempts_fx a JOIN rb_fx b ON b.batch_id = a.batch_id
+WHERE a.kind IN ('ok', 'critical')"""
+
+ORACLE["e4_accept_attempts"] = ANX + """
+SELECT batch_id, CAST(min(CASE WHEN kind = 'ok' THEN attempt END) AS INTEGER) AS attempt
+FROM attempts_fx GROUP BY batch_id"""
+
+ORACLE["j2_replay_notes"] = ANX + f"""
+SELECT b.repo, b.pr_number, b.github_comment_id, b.pr_title, b.pr_url, b.comment_type, b.file_path,
+       b.body AS original_body,
+       ({ofx.CATS})[b.ordinal % 13 + 1] AS category,
+       'issue ' || CAST(b.github_comment_id AS VARCHAR) AS original_issue,
+       'change ' || CAST(b.github_comment_id AS VARCHAR) AS requested_change,
+       'rationale ' || CAST(b.github_comment_id AS VARCHAR) AS rationale,
+       ({ofx.SEVS})[b.ordinal % 3 + 1] AS severity,
+       b.reviewer,
+       b.ordinal % 4 <> 0 AS implemented,
+       b.ordinal % 4 <> 0 AND b.ordinal % 5 <> 0 AS include_in_vector_store,
+       'selection ' || CAST(b.github_comment_id AS VARCHAR) AS selection_rationale,
+       CASE WHEN b.ordinal % 4 <> 0 AND b.ordinal % 5 <> 0 THEN 'example ' || CAST(b.github_comment_id AS VARCHAR)
+            ELSE '' END AS implementation_example,
+       b.ordinal % 13 = 1 AS architecture_change,
+       b.ordinal % 13 = 1 AND b.ordinal % 2 = 0 AS supersedes_prior_architecture,
+       b.merged_at
+FROM rb_fx b WHERE b.batch_id % 8 <> 6"""
+
+ORACLE["h11_architecture_notes"] = _with(ofx.PRS) + """,
+m AS (SELECT *, pr_number % 3 = 0 AS chg, pr_number % 4 <> 1 AS imp,
+             CASE WHEN pr_number % 11 = 3 THEN true
+                  ELSE pr_number % 3 = 0 AND pr_number % 4 <> 1 AND pr_number % 5 <> 0 END AS inc
+      FROM prs_fx WHERE coalesce(merged_at, '') <> ''),
+v AS (SELECT *, concat_ws('; ',
+          CASE WHEN pr_number % 13 = 4 THEN 'architecture assessment field ''rationale'' must be non-empty' END,
+          CASE WHEN inc AND NOT (chg AND imp)
+               THEN 'architecture assessment cannot include an unimplemented decision' END) AS reason
+      FROM m)
+SELECT pr_number, -pr_number AS github_comment_id,
+       coalesce(nullif(body, ''), 'summary ' || CAST(pr_number AS VARCHAR)) AS original_body,
+       'summary ' || CAST(pr_number AS VARCHAR) AS original_issue,
+       'arch rationale ' || CAST(pr_number AS VARCHAR) AS rationale,
+       chg AND pr_number % 7 = 0 AS supersedes_prior_architecture,
+       merged_at, CAST(NULL AS VARCHAR) AS reason
+FROM v WHERE reason = '' AND inc
+UNION ALL
+SELECT pr_number, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM v WHERE reason <> ''"""

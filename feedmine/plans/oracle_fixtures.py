@@ -212,3 +212,65 @@ walk(repo, pr_number, root_id, node, depth, path, author) AS (
   SELECT t.repo, t.pr_number, w.root_id, t.id, w.depth + 1, list_append(w.path, t.item_ord), t.login
   FROM walk w JOIN threads_fx t ON t.repo = w.repo AND t.pr_number = w.pr_number AND t.in_reply_to_id = w.node
 )"""
+
+WALK_BODY = """
+walkb(repo, pr_number, root_id, node, depth, path, author, body) AS (
+  SELECT t.repo, t.pr_number, r.id, t.id, 1, [t.item_ord], t.login, t.body
+  FROM threads_fx t JOIN roots_fx r ON t.repo = r.repo AND t.pr_number = r.pr_number AND t.in_reply_to_id = r.id
+  UNION ALL
+  SELECT t.repo, t.pr_number, w.root_id, t.id, w.depth + 1, list_append(w.path, t.item_ord), t.login, t.body
+  FROM walkb w JOIN threads_fx t ON t.repo = w.repo AND t.pr_number = w.pr_number AND t.in_reply_to_id = w.node
+)"""
+
+# Thread roots only, in E1 order, batched by 8, with their thread text (H3).
+ROOT_BATCHES = """
+rord_fx AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(substr(repo, 6) AS INTEGER), pr_updated_at DESC, pr_number,
+                                        kind_ord, item_ord, github_comment_id) - 1 AS ordinal
+  FROM feedback_fx WHERE comment_type = 'review_comment'
+),
+rb_fx AS (SELECT *, ordinal // 8 AS batch_id, ordinal % 8 AS pos FROM rord_fx),
+rep_fx AS (
+  SELECT root_id, string_agg('Reply by ' || coalesce(author, '') || ': ' || coalesce(body, ''), chr(10)
+                             ORDER BY depth, path) AS lines
+  FROM walkb GROUP BY root_id
+),
+rtext_fx AS (
+  SELECT b.*, concat_ws(chr(10),
+      '--- Comment ' || CAST(b.pos AS VARCHAR) || ' ---',
+      'Repo: ' || b.repo || '  PR #' || CAST(b.pr_number AS VARCHAR) || ': ' || b.pr_title,
+      'Type: ' || b.comment_type || CASE WHEN coalesce(b.review_state, '') <> ''
+                                         THEN '  (review_state: ' || b.review_state || ')' ELSE '' END,
+      CASE WHEN coalesce(b.file_path, '') <> '' THEN 'File: ' || b.file_path END,
+      CASE WHEN coalesce(b.diff_hunk, '') <> '' THEN 'Diff hunk:' || chr(10) || b.diff_hunk END,
+      'Trusted reviewer: ' || coalesce(b.reviewer, ''),
+      'Root comment: ' || b.body,
+      r.lines) AS text
+  FROM rb_fx b LEFT JOIN rep_fx r ON r.root_id = b.github_comment_id
+),
+d1_fx AS (
+  SELECT f.batch_id, f.repo, f.pr_number, f.first_pos, coalesce(d.final_diff, '') AS final_diff
+  FROM (SELECT batch_id, repo, pr_number, min(pos) AS first_pos FROM rb_fx GROUP BY ALL) f
+  LEFT JOIN pr_diffs_fx d ON d.repo = f.repo AND d.pr_number = f.pr_number
+),
+prompt_fx AS (
+  SELECT t.batch_id, t.n_items,
+         t.texts || chr(10) || chr(10) || s.secs || chr(10) || chr(10) || 'There are ' || CAST(t.n_items AS VARCHAR)
+           || ' comments above. Return exactly ' || CAST(t.n_items AS VARCHAR) || ' items in order.' AS prompt
+  FROM (SELECT batch_id, count(*) AS n_items, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS texts
+        FROM rtext_fx GROUP BY batch_id) t
+  JOIN (SELECT batch_id, string_agg('--- Final merged diff for ' || repo || ' PR #' || CAST(pr_number AS VARCHAR)
+                                    || ' ---' || chr(10) || final_diff, chr(10) || chr(10) ORDER BY first_pos) AS secs
+        FROM d1_fx GROUP BY batch_id) s ON s.batch_id = t.batch_id
+),
+attempts_fx AS (
+  SELECT b.batch_id, b.n_items, a.attempt,
+         CASE WHEN b.batch_id % 8 = 6 THEN (CASE a.attempt WHEN 1 THEN 'short' WHEN 2 THEN 'critical' ELSE 'blank' END)
+              WHEN b.batch_id % 5 = 0 AND a.attempt = 1 THEN 'short'
+              WHEN b.batch_id % 5 = 2 AND a.attempt = 1 THEN 'critical'
+              ELSE 'ok' END AS kind
+  FROM (SELECT batch_id, count(*) AS n_items FROM rb_fx GROUP BY batch_id) b,
+       range(1, 4) a(attempt)
+  WHERE a.attempt <= CASE WHEN b.batch_id % 8 = 6 THEN 3
+                          WHEN b.batch_id % 5 IN (0, 2) THEN 2 ELSE 1 END
+)"""

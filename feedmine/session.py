@@ -72,3 +72,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and read it back (eager).
+
+    Used where a value must be computed exactly once: model output (costly, not
+    reproducible) and parsed responses (the optimizer would otherwise substitute
+    the parse into every validation check that a filter pushes below it).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
