@@ -382,3 +382,67 @@ def h11_architecture_notes(spark, d):
                        F.lit(None).cast("string").alias("rationale"),
                        F.lit(None).cast("boolean").alias("supersedes_prior_architecture"),
                        F.lit(None).cast("string").alias("merged_at"), "reason"))
+
+
+# ---- events ----------------------------------------------------------------------------
+from feedmine.operators import events as ev  # noqa: E402
+
+
+def _routed(spark, d):
+    return ev.route_deliveries(fx.deliveries(spark, d), fx.WEBHOOK_SECRET)
+
+
+@query("h8_decode_envelope")
+def h8_decode_envelope(spark, d):
+    dec = ev.decode_envelope(fx.deliveries(spark, d))
+    return dec.select("event_id", "copy", F.col("h")["x-github-delivery"].alias("delivery_id"),
+                      F.col("h")["x-github-event"].alias("event"),
+                      F.octet_length("body_bytes").cast("long").alias("body_bytes"))
+
+
+@query("h7_verify_hmac")
+def h7_verify_hmac(spark, d):
+    from feedmine.functions.hmac import verify_signature
+    dec = ev.decode_envelope(fx.deliveries(spark, d))
+    return dec.select("event_id", "copy", verify_signature(
+        fx.WEBHOOK_SECRET, F.col("body_bytes"), F.col("h")["x-hub-signature-256"]).alias("valid"))
+
+
+@query("h9_extract_job")
+def h9_extract_job(spark, d):
+    return _routed(spark, d).select("event_id", "copy", "status", "work_type", "repo", "pr_number")
+
+
+@query("c5_route_deliveries")
+def c5_route_deliveries(spark, d):
+    return ev.jobs_of(_routed(spark, d))
+
+
+@query("c6_pending_jobs")
+def c6_pending_jobs(spark, d):
+    return ev.pending_jobs(ev.jobs_of(_routed(spark, d)), fx.receipts(spark, d)).select(
+        "delivery_id", "work_type", "pr_number")
+
+
+@query("b12_valid_jobs")
+def b12_valid_jobs(spark, d):
+    r = _routed(spark, d)
+    jobs = ev.jobs_of(r.withColumn("version", F.when(F.col("k") == 99, F.lit(2)).otherwise(F.col("version"))))
+    return ev.valid_jobs(jobs, fx.FIXTURE_REPO, ["mining"], fx.receipts(spark, d)).select(
+        "delivery_id", "work_type", "repo", "decision", "reason")
+
+
+@query("a10_write_jobs")
+def a10_write_jobs(spark, d):
+    import uuid
+    from feedmine.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/queues-{uuid.uuid4().hex}"
+    ev.write_jobs(ev.jobs_of(_routed(spark, d)), root)
+    back = spark.read.parquet(root)
+    return back.groupBy("work_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b13_classify_failures")
+def b13_classify_failures(spark, d):
+    log = fx.failure_log(spark, d)
+    return log.select("event_id", "error", ev.is_transient(F.col("error")).alias("retryable"))

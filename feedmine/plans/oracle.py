@@ -242,3 +242,60 @@ SELECT pr_number, -pr_number AS github_comment_id,
 FROM v WHERE reason = '' AND inc
 UNION ALL
 SELECT pr_number, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM v WHERE reason <> ''"""
+
+# ---- events ----------------------------------------------------------------------------
+ORACLE["h8_decode_envelope"] = _with(ofx.DELIVERIES) + """
+SELECT event_id, copy, CASE WHEN k = 96 THEN '' ELSE CAST(event_id AS VARCHAR) END AS delivery_id, event,
+       CAST(octet_length(encode(
+         CASE WHEN event = 'pull_request' THEN '{"action":"' || action || '","number":' || CAST(user_id AS VARCHAR)
+                || ',"pull_request":{"number":' || CAST(user_id AS VARCHAR) || CASE WHEN k = 98 THEN '.0' ELSE '' END
+                || '},"repository":{"full_name":"' || repo || '"}}'
+              WHEN event = 'pull_request_review_comment' THEN '{"action":"created","pull_request":{"number":'
+                || CAST(user_id AS VARCHAR) || CASE WHEN k = 98 THEN '.0' ELSE '' END
+                || '},"repository":{"full_name":"' || repo || '"}}'
+              ELSE '{"action":"created","issue":{"number":' || CAST(user_id AS VARCHAR)
+                || CASE WHEN k = 98 THEN '.0' ELSE '' END
+                || CASE WHEN k % 2 = 0 THEN ',"pull_request":{"url":"https://example.test/' || repo || '/pull/'
+                                            || CAST(user_id AS VARCHAR) || '"}' ELSE '' END
+                || '},"repository":{"full_name":"' || repo || '"}}' END)) - CASE WHEN k = 97 THEN 1 ELSE 0 END
+         AS BIGINT) AS body_bytes
+FROM out_fx"""
+
+ORACLE["h7_verify_hmac"] = _with(ofx.DELIVERIES) + """
+SELECT event_id, copy, k % 25 NOT IN (7, 8) AS valid FROM out_fx"""
+
+ORACLE["h9_extract_job"] = _with(ofx.DELIVERIES) + """
+SELECT event_id, copy, status,
+       CASE WHEN status = 202 AND routed THEN CASE WHEN event_type = 'signup' THEN 'review' ELSE 'mining' END END AS work_type,
+       CASE WHEN status = 202 AND routed THEN repo END AS repo,
+       CASE WHEN status = 202 AND routed THEN user_id END AS pr_number
+FROM out_fx"""
+
+ORACLE["c5_route_deliveries"] = _with(ofx.DELIVERIES) + """
+SELECT version, delivery_id, work_type, event, action, repo, pr_number FROM jobs_fx"""
+
+ORACLE["c6_pending_jobs"] = _with(ofx.DELIVERIES) + """
+SELECT delivery_id, work_type, pr_number FROM jobs_fx WHERE CAST(delivery_id AS BIGINT) % 7 <> 0"""
+
+ORACLE["b12_valid_jobs"] = _with(ofx.DELIVERIES) + """
+SELECT delivery_id, work_type, repo,
+       CASE WHEN k = 99 OR repo <> 'org/r0' THEN 'fail'
+            WHEN CAST(delivery_id AS BIGINT) % 7 = 0 THEN 'skip'
+            WHEN work_type <> 'mining' THEN 'fail' ELSE 'dispatch' END AS decision,
+       CASE WHEN k = 99 THEN 'unsupported webhook job version'
+            WHEN repo <> 'org/r0' THEN 'webhook repository is not configured for this deployment'
+            WHEN CAST(delivery_id AS BIGINT) % 7 = 0 THEN NULL
+            WHEN work_type <> 'mining' THEN 'work type ''' || work_type || ''' is not allowed in this worker'
+       END AS reason
+FROM jobs_fx"""
+
+ORACLE["a10_write_jobs"] = _with(ofx.DELIVERIES) + """
+SELECT work_type, count(*) AS n FROM jobs_fx GROUP BY work_type"""
+
+ORACLE["b13_classify_failures"] = """
+SELECT event_id,
+       (['unexpected EOF while reading response', 'Connection reset by peer', 'HTTP 404: Not Found',
+         'read TIMEOUT after 60s', 'gh: status 503 Service Unavailable', 'Validation Failed',
+         'GEOFENCE rejected', 'authentication required'])[CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 + 1] AS error,
+       CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 IN (0, 1, 3, 4, 6) AS retryable
+FROM events WHERE event_type = 'error'"""

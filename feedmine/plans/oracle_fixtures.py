@@ -274,3 +274,34 @@ attempts_fx AS (
   WHERE a.attempt <= CASE WHEN b.batch_id % 8 = 6 THEN 3
                           WHEN b.batch_id % 5 IN (0, 2) THEN 2 ELSE 1 END
 )"""
+
+# deliveries: one envelope per event, event_id mod 10 = 0 twice; expected outcome per rule.
+DELIVERIES = """
+ev_fx AS (
+  SELECT event_id, user_id, event_type, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+),
+dl_fx AS (
+  SELECT *, 0 AS copy FROM ev_fx UNION ALL SELECT *, 1 AS copy FROM ev_fx WHERE event_id % 10 = 0
+),
+out_fx AS (
+  SELECT *,
+    CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'pull_request'
+         WHEN event_type = 'click' THEN 'pull_request_review_comment' ELSE 'issue_comment' END AS event,
+    CASE event_type WHEN 'signup' THEN 'opened' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'labeled'
+         ELSE 'created' END AS action,
+    'org/r' || CAST(user_id % 8 AS VARCHAR) AS repo,
+    CASE WHEN k % 25 IN (7, 8) THEN 401
+         WHEN k IN (96, 97) THEN 400
+         WHEN NOT (event_type IN ('signup', 'purchase', 'click') OR (event_type = 'view' AND k % 2 = 0)) THEN 202
+         WHEN k = 98 AND NOT (event_type IN ('signup', 'purchase') AND user_id = 0) THEN 400
+         WHEN user_id = 0 AND event_type IN ('click', 'view') THEN 400
+         ELSE 202 END AS status,
+    event_type IN ('signup', 'purchase', 'click') OR (event_type = 'view' AND k % 2 = 0) AS routed
+  FROM dl_fx
+),
+jobs_fx AS (
+  SELECT 1 AS version, CAST(event_id AS VARCHAR) AS delivery_id,
+         CASE WHEN event_type = 'signup' THEN 'review' ELSE 'mining' END AS work_type,
+         event, action, repo, user_id AS pr_number, k, copy
+  FROM out_fx WHERE status = 202 AND routed
+)"""

@@ -350,7 +350,7 @@ def _envelopes(e, event, action, repo, num, pr_num, repo_json):
     vals = F.when(F.col("k") % 10 == 3, F.concat(vals, F.array(F.col("event")))).otherwise(vals)
     is_b64 = F.col("k") % 4 == 1
     env = staged.select(
-        "event_id", "user_id", "event_type", "k", "event", "action", "repo", "payload",
+        "event_id", "user_id", "event_type", "k",
         F.when(is_b64, F.base64(bytes_)).otherwise(F.col("payload")).alias("body"),
         is_b64.alias("isBase64Encoded"),
         F.map_from_arrays(keys, vals).alias("headers"),
@@ -377,3 +377,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s2 = p.where(F.col("merged_at").isNotNull() & (F.col("pr_number") % 10 == 0)).select(
         "repo", "pr_number", F.lit(2).alias("seq"), "state", "merged_at")
     return s0.unionByName(s1).unionByName(s2)
+
+
+# ---- failure log: events ---------------------------------------------------------------
+FAILURE_MESSAGES = [
+    "unexpected EOF while reading response", "Connection reset by peer", "HTTP 404: Not Found",
+    "read TIMEOUT after 60s", "gh: status 503 Service Unavailable", "Validation Failed",
+    "GEOFENCE rejected", "authentication required",
+]
+
+
+def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events as failed calls: (event_id, error) with a message by k mod 8."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type") == "error").withColumn("k", _k())
+    return e.select("event_id", _pick(FAILURE_MESSAGES, F.col("k") % 8).alias("error"))
