@@ -95,28 +95,26 @@ def replace_slice(table: DataFrame, new: DataFrame, keys: DataFrame,
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def update_pending(pending: DataFrame, events: DataFrame) -> DataFrame:
-    """Fold PR observations into the pending set.
-
-    ``events`` has (repo, pr_number, seq, state, merged_at). The latest
-    observation per PR decides: open → member, closed or merged → not a member.
-    Returns (repo, pr_number, last_seq, to_mine): ``to_mine`` marks merged PRs.
-    Deviation from the reference (kept as a named quirk): the set has no list
-    order; the last-seen sequence stands in for it.
+def update_pending(pending: DataFrame, observations: DataFrame) -> DataFrame:
+    """Fold PR observations (repo, pr_number, seq, state, merged_at) into the
+    pending set (repo, pr_number, last_seq).
+
+    The latest observation per PR decides: merged → leaves the set and is mined;
+    closed unmerged → leaves the set; open → stays or joins. Returns (repo,
+    pr_number, last_seq, status) with status 'pending' or 'mine'. Deviation from the
+    reference (a named quirk there): the set has no list order, so "changed" is
+    decided by membership, not by position.
     """
-    latest = events.groupBy("repo", "pr_number").agg(
+    latest = observations.groupBy("repo", "pr_number").agg(
         F.max_by(F.struct("state", "merged_at"), "seq").alias("s"), F.max("seq").alias("last_seq"))
-    merged = _known_col(F.col("s.merged_at"))
-    still_open = latest.where(~merged & (F.col("s.state") != "closed")).select(
-        "repo", "pr_number", "last_seq", F.lit(False).alias("to_mine"))
-    to_mine = latest.where(merged).select("repo", "pr_number", "last_seq", F.lit(True).alias("to_mine"))
-    untouched = pending.join(latest.select("repo", "pr_number"), ["repo", "pr_number"], "left_anti")
-    untouched = untouched.select("repo", "pr_number",
-                                 F.coalesce(F.col("last_seq"), F.lit(-1)).cast("long").alias("last_seq")
-                                 if "last_seq" in pending.columns else F.lit(-1).cast("long").alias("last_seq"),
-                                 F.lit(False).alias("to_mine"))
-    return untouched.unionByName(still_open.withColumn("last_seq", F.col("last_seq").cast("long"))) \
-        .unionByName(to_mine.withColumn("last_seq", F.col("last_seq").cast("long")))
+    status = (F.when(_known_col(F.col("s.merged_at")), F.lit("mine"))
+              .when(F.coalesce(F.col("s.state"), F.lit("open")) == "closed", F.lit(None))
+              .otherwise(F.lit("pending")))
+    decided = latest.select("repo", "pr_number", F.col("last_seq").cast("long").alias("last_seq"),
+                            status.alias("status")).where(F.col("status").isNotNull())
+    kept = pending.join(latest.select("repo", "pr_number"), ["repo", "pr_number"], "left_anti").select(
+        "repo", "pr_number", F.col("last_seq").cast("long").alias("last_seq"), F.lit("pending").alias("status"))
+    return kept.unionByName(decided)
 
 
 def _known_col(c: Column) -> Column:

@@ -446,3 +446,61 @@ def a10_write_jobs(spark, d):
 def b13_classify_failures(spark, d):
     log = fx.failure_log(spark, d)
     return log.select("event_id", "error", ev.is_transient(F.col("error")).alias("retryable"))
+
+
+# ---- incremental ------------------------------------------------------------------------
+from feedmine.plans import mining as mn  # noqa: E402
+
+
+def _wave1(spark, d):
+    return mn.mine(fx.wave_state(spark, d), fx.wave_incoming(spark, d, 1), fx.wave_keys(spark, d))
+
+
+@query("g2_replace_slice")
+def g2_replace_slice(spark, d):
+    out = cu.replace_slice(fx.wave_state(spark, d), fx.wave_incoming(spark, d, 1), fx.wave_keys(spark, d))
+    return out.select("repo", "pr_number", "github_comment_id")
+
+
+@query("c7_removed_notes")
+def c7_removed_notes(spark, d):
+    return _wave1(spark, d).removed.select("repo", "pr_number", "github_comment_id", "category")
+
+
+@query("i5_mine")
+def i5_mine(spark, d):
+    return _wave1(spark, d).active.select("repo", "pr_number", "github_comment_id")
+
+
+@query("i5_mine_current")
+def i5_mine_current(spark, d):
+    return _wave1(spark, d).current.select("repo", "pr_number", "github_comment_id")
+
+
+@query("i5_mine_withdrawal")
+def i5_mine_withdrawal(spark, d):
+    first = _wave1(spark, d).active
+    second = mn.mine(first, fx.wave_incoming(spark, d, 2), fx.wave_keys(spark, d))
+    return second.active.select("repo", "pr_number", "github_comment_id")
+
+
+@query("g3_update_pending")
+def g3_update_pending(spark, d):
+    empty = spark.createDataFrame([], "repo string, pr_number long, last_seq long")
+    return cu.update_pending(empty, fx.snapshots(spark, d)).select("repo", "pr_number", "status")
+
+
+@query("g4_all_notes")
+def g4_all_notes(spark, d):
+    batched = rf.batched_roots(spark, d)
+    comment_notes, _, _ = an.analyze_recorded(batched, fx.pr_diffs(spark, d),
+                                              rf.recorded_responses(spark, d, batched), strict=False)
+    from feedmine.sources.tables import merged_evidence
+    from feedmine.session import materialize
+    ev_ = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    resp = rf.architecture_responses(spark, d)
+    obj, err = md.response_object(F.col("raw"))
+    arch, _ = va.architecture_notes(ev_, materialize(resp.select("repo", "pr_number", obj.alias("obj"),
+                                                                  err.alias("error"))))
+    allx = cu.all_notes(comment_notes.drop("ordinal"), arch)
+    return allx.groupBy("_kind", "comment_type").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_kind", "kind")

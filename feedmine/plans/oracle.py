@@ -299,3 +299,41 @@ SELECT event_id,
          'GEOFENCE rejected', 'authentication required'])[CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 + 1] AS error,
        CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 IN (0, 1, 3, 4, 6) AS retryable
 FROM events WHERE event_type = 'error'"""
+
+# ---- incremental ------------------------------------------------------------------------
+WV = _with(ofx.NOTES, ofx.WAVES)
+
+ORACLE["g2_replace_slice"] = WV + """
+SELECT repo, pr_number, github_comment_id FROM state_fx
+WHERE (repo, pr_number) NOT IN (SELECT (repo, pr_number) FROM keys_fx)
+UNION ALL SELECT repo, pr_number, github_comment_id FROM inc1_fx"""
+
+ORACLE["c7_removed_notes"] = WV + """
+SELECT DISTINCT repo, pr_number, github_comment_id, category FROM state_fx s
+WHERE ((repo, pr_number) IN (SELECT (repo, pr_number) FROM keys_fx)
+       OR (category = 'architecture' AND repo IN (SELECT repo FROM keys_fx)))
+  AND (repo, github_comment_id) NOT IN (SELECT (repo, github_comment_id) FROM act1_fx)"""
+
+ORACLE["i5_mine"] = WV + "SELECT repo, pr_number, github_comment_id FROM act1_fx"
+
+ORACLE["i5_mine_current"] = WV + """
+SELECT repo, pr_number, github_comment_id FROM inc1_fx
+WHERE (repo, github_comment_id) IN (SELECT (repo, github_comment_id) FROM act1_fx)"""
+
+ORACLE["i5_mine_withdrawal"] = WV + "SELECT repo, pr_number, github_comment_id FROM act2_fx"
+
+ORACLE["g3_update_pending"] = _with(ofx.PRS) + """
+SELECT repo, pr_number, CASE WHEN merged_at IS NOT NULL THEN 'mine' ELSE 'pending' END AS status
+FROM prs_fx WHERE merged_at IS NOT NULL OR state = 'open'"""
+
+_ARCH_V = """
+m AS (SELECT *, pr_number % 3 = 0 AS chg, pr_number % 4 <> 1 AS imp,
+             CASE WHEN pr_number % 11 = 3 THEN true
+                  ELSE pr_number % 3 = 0 AND pr_number % 4 <> 1 AND pr_number % 5 <> 0 END AS inc
+      FROM prs_fx WHERE coalesce(merged_at, '') <> ''),
+v AS (SELECT *, pr_number % 13 <> 4 AND NOT (inc AND NOT (chg AND imp)) AS ok FROM m)"""
+
+ORACLE["g4_all_notes"] = ANX.rstrip("\n") + "," + _ARCH_V + """
+SELECT 0 AS kind, 'review_comment' AS comment_type, count(*) AS n FROM rb_fx WHERE batch_id % 8 <> 6
+UNION ALL
+SELECT 1, 'pull_request_architecture', count(*) FROM v WHERE ok AND inc"""

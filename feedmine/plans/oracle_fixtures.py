@@ -305,3 +305,39 @@ jobs_fx AS (
          event, action, repo, user_id AS pr_number, k, copy
   FROM out_fx WHERE status = 202 AND routed
 )"""
+
+
+def curated(src: str, name: str) -> str:
+    """B8 + C8 over CTE ``src`` as CTE ``name``."""
+    return f"""
+{name}_sel AS (SELECT * FROM {src} WHERE coalesce(implemented, true) AND coalesce(include_in_vector_store, true)),
+{name}_cut AS (SELECT repo, max(merged_at) AS cutoff FROM {name}_sel
+               WHERE supersedes_prior_architecture AND coalesce(merged_at, '') <> '' GROUP BY repo),
+{name} AS (SELECT s.* FROM {name}_sel s LEFT JOIN {name}_cut c ON c.repo = s.repo
+           WHERE NOT (s.category = 'architecture' AND coalesce(s.merged_at, '') <> ''
+                      AND c.cutoff IS NOT NULL AND s.merged_at < c.cutoff))"""
+
+
+WAVES = f"""
+state_src AS (SELECT * FROM notes_fx WHERE github_comment_id % 3 <> 0),
+{curated('state_src', 'state_fx')},
+keys_fx AS (SELECT DISTINCT repo, pr_number FROM notes_fx WHERE pr_number % 4 = 1),
+inc1_fx AS (
+  SELECT * REPLACE (CASE WHEN supersedes_prior_architecture AND merged_at <> ''
+                         THEN strftime(CAST(merged_at AS DATE) + 700, '%Y-%m-%d') ELSE merged_at END AS merged_at)
+  FROM notes_fx WHERE pr_number % 4 = 1 AND github_comment_id % 7 <> 2
+),
+comb1_fx AS (
+  SELECT * FROM state_fx WHERE (repo, pr_number) NOT IN (SELECT (repo, pr_number) FROM keys_fx)
+  UNION ALL SELECT * FROM inc1_fx
+),
+{curated('comb1_fx', 'act1_fx')},
+inc2_fx AS (
+  SELECT * REPLACE (CASE WHEN supersedes_prior_architecture THEN false ELSE include_in_vector_store END
+                    AS include_in_vector_store) FROM inc1_fx
+),
+comb2_fx AS (
+  SELECT * FROM act1_fx WHERE (repo, pr_number) NOT IN (SELECT (repo, pr_number) FROM keys_fx)
+  UNION ALL SELECT * FROM inc2_fx
+),
+{curated('comb2_fx', 'act2_fx')}"""

@@ -391,3 +391,30 @@ def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as failed calls: (event_id, error) with a message by k mod 8."""
     e = read(spark, sf_dir, "events").where(F.col("event_type") == "error").withColumn("k", _k())
     return e.select("event_id", _pick(FAILURE_MESSAGES, F.col("k") % 8).alias("error"))
+
+
+# ---- waves: incremental mining over the notes ------------------------------------------
+def wave_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing state: notes with doc_id mod 3 <> 0, curated."""
+    from feedmine.operators.curate import curate
+    return curate(notes(spark, sf_dir).where(F.col("github_comment_id") % 3 != 0))
+
+
+def wave_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined slices: (repo, pr_number) with pr_number mod 4 = 1."""
+    return notes(spark, sf_dir).where(F.col("pr_number") % 4 == 1).select("repo", "pr_number").distinct()
+
+
+def wave_incoming(spark: SparkSession, sf_dir: str, wave: int) -> DataFrame:
+    """Wave 1 re-mines the slices without doc_id mod 7 = 2 (deleted feedback) and moves
+    the merge time of superseding notes 700 days later; wave 2 is the same with the
+    superseding notes unselected (a withdrawal)."""
+    n = notes(spark, sf_dir).where((F.col("pr_number") % 4 == 1) & (F.col("github_comment_id") % 7 != 2))
+    sup = F.col("supersedes_prior_architecture") & (F.col("merged_at") != "")
+    n = n.withColumn("merged_at", F.when(sup, F.date_format(
+        F.date_add(F.to_date("merged_at"), 700), "yyyy-MM-dd")).otherwise(F.col("merged_at")))
+    n = n.withColumn("ordinal", F.col("ordinal") + 1_000_000 * wave)
+    if wave == 2:
+        n = n.withColumn("include_in_vector_store", F.when(
+            F.col("supersedes_prior_architecture"), F.lit(False)).otherwise(F.col("include_in_vector_store")))
+    return n
