@@ -504,3 +504,70 @@ def g4_all_notes(spark, d):
                                                                   err.alias("error"))))
     allx = cu.all_notes(comment_notes.drop("ordinal"), arch)
     return allx.groupBy("_kind", "comment_type").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_kind", "kind")
+
+
+# ---- streaming --------------------------------------------------------------------------
+from feedmine.streaming import pipeline as sp  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    from feedmine.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _land_deliveries(spark, d, where=None):
+    env = fx.deliveries(spark, d).select("body", "isBase64Encoded", "headers", "event_id", "copy", "k")
+    return env if where is None else env.where(where)
+
+
+@query("i1_delivery_stream")
+def i1_delivery_stream(spark, d):
+    root = _scratch(spark, "i1")
+    _land_deliveries(spark, d).write.json(f"{root}/landing")
+    stream = sp.delivery_stream(spark, f"{root}/landing", fx.WEBHOOK_SECRET)
+    sp.run_available(stream.select("event_id", "copy", "status", "work_type", "repo", "pr_number"),
+                     f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")
+
+
+def _handler(jobs):
+    """A stand-in worker: fails for k mod 9 = 4 (delivery ids carry the event id)."""
+    return jobs.select("delivery_id", "work_type", "repo", "pr_number",
+                       (F.col("delivery_id").try_cast("long") % 9 != 4).alias("ok"))
+
+
+@query("i2_dispatch")
+def i2_dispatch(spark, d):
+    root = _scratch(spark, "i2")
+    fx.receipts(spark, d).withColumn("batch_id", F.lit(-1)).write.partitionBy("batch_id") \
+        .parquet(f"{root}/receipts")
+    for copy in (0, 1):  # the repeated deliveries arrive later, in a second run
+        _land_deliveries(spark, d, F.col("copy") == copy).write.mode("append").json(f"{root}/landing")
+        stream = sp.delivery_stream(spark, f"{root}/landing", fx.WEBHOOK_SECRET)
+        sp.dispatch(stream, _handler, f"{root}/receipts", f"{root}/results", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/results").select("delivery_id", "ok", "batch_id")
+
+
+@query("i3_split_failures")
+def i3_split_failures(spark, d):
+    jobs = ev.jobs_of(_routed(spark, d)).dropDuplicates(["delivery_id"])
+    k = F.col("delivery_id").try_cast("long") % 9
+    n = F.when(k == 4, 5).when(k == 5, 3).otherwise(1)
+    log = jobs.select("delivery_id", F.explode(F.sequence(F.lit(1), n)).alias("receive"), k.alias("_k"))
+    log = log.select("delivery_id", "receive",
+                     (~((F.col("_k") == 4) | ((F.col("_k") == 5) & (F.col("receive") < 3)))).alias("ok"),
+                     F.lit("2024-06-01 00:00:00").cast("timestamp").alias("at"))
+    return sp.split_failures(log).select("delivery_id", "receives", "status")
+
+
+@query("i4_pending_until_merged")
+def i4_pending_until_merged(spark, d):
+    root = _scratch(spark, "i4")
+    snaps = fx.snapshots(spark, d)
+    schema = snaps.schema
+    for seq in (0, 1, 2):  # one landing and one run per snapshot
+        snaps.where(F.col("seq") == seq).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/landing")
+        sp.run_available(sp.pending_until_merged(stream), f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")

@@ -337,3 +337,26 @@ ORACLE["g4_all_notes"] = ANX.rstrip("\n") + "," + _ARCH_V + """
 SELECT 0 AS kind, 'review_comment' AS comment_type, count(*) AS n FROM rb_fx WHERE batch_id % 8 <> 6
 UNION ALL
 SELECT 1, 'pull_request_architecture', count(*) FROM v WHERE ok AND inc"""
+
+# ---- streaming --------------------------------------------------------------------------
+ORACLE["i1_delivery_stream"] = ORACLE["h9_extract_job"]
+
+ORACLE["i2_dispatch"] = _with(ofx.DELIVERIES) + """
+SELECT delivery_id, CAST(delivery_id AS BIGINT) % 9 <> 4 AS ok, CAST(copy AS BIGINT) AS batch_id
+FROM (SELECT DISTINCT delivery_id, copy FROM jobs_fx) j
+WHERE CAST(delivery_id AS BIGINT) % 7 <> 0
+  AND (copy = 0 OR CAST(delivery_id AS BIGINT) % 9 = 4)"""
+
+ORACLE["i3_split_failures"] = _with(ofx.DELIVERIES) + """
+SELECT delivery_id,
+       CAST(CASE CAST(delivery_id AS BIGINT) % 9 WHEN 4 THEN 5 WHEN 5 THEN 3 ELSE 1 END AS BIGINT) AS receives,
+       CASE WHEN CAST(delivery_id AS BIGINT) % 9 = 4 THEN 'dead' ELSE 'done' END AS status
+FROM (SELECT DISTINCT delivery_id FROM jobs_fx)"""
+
+ORACLE["i4_pending_until_merged"] = _with(ofx.PRS) + """
+SELECT repo, pr_number, CAST(0 AS BIGINT) AS seq, 'pending' AS action FROM prs_fx
+UNION ALL
+SELECT repo, pr_number, 1, CASE WHEN merged_at IS NOT NULL THEN 'mine' ELSE 'forget' END
+FROM prs_fx WHERE merged_at IS NOT NULL OR state = 'closed'
+UNION ALL
+SELECT repo, pr_number, 2, 'mine' FROM prs_fx WHERE merged_at IS NOT NULL AND pr_number % 10 = 0"""
