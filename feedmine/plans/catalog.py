@@ -571,3 +571,79 @@ def i4_pending_until_merged(spark, d):
         stream = spark.readStream.schema(schema).parquet(f"{root}/landing")
         sp.run_available(sp.pending_until_merged(stream), f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
+
+
+# ---- review context ---------------------------------------------------------------------
+from feedmine.operators import review as rv  # noqa: E402
+
+
+def _manifest(spark, d):
+    blobs, _ = rv.tree_blobs(fx.tree(spark, d))
+    return rv.selectable(blobs, max_file=fx.TREE_FILE_CAP, max_manifest=fx.TREE_TOTAL_CAP)
+
+
+@query("b10_tree_blobs")
+def b10_tree_blobs(spark, d):
+    blobs, rejects = rv.tree_blobs(fx.tree(spark, d))
+    return blobs.select("repo", "path", "size", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("repo", F.lit(None).cast("string").alias("path"),
+                       F.lit(None).cast("long").alias("size"), "reason"))
+
+
+@query("b11_selectable")
+def b11_selectable(spark, d):
+    manifest, rejects = _manifest(spark, d)
+    return manifest.select("repo", "path", "size", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("repo", F.lit(None).cast("string").alias("path"),
+                       F.lit(None).cast("long").alias("size"), "reason"))
+
+
+@query("h13_validate_selection")
+def h13_validate_selection(spark, d):
+    manifest, _ = _manifest(spark, d)
+    _, checks = rv.validate_selection(fx.selections(spark, d), manifest)
+    return checks.select("repo", "reason")
+
+
+@query("h14_decode_blobs")
+def h14_decode_blobs(spark, d):
+    out = rv.decode_blobs(fx.blobs(spark, d), max_bytes=fx.TREE_FILE_CAP)
+    return out.select("sha", "status", F.length("text").cast("long").alias("text_chars"))
+
+
+def _context(spark, d):
+    manifest, _ = _manifest(spark, d)
+    selected, _ = rv.validate_selection(fx.selections(spark, d), manifest)
+    decoded = rv.decode_blobs(fx.blobs(spark, d), max_bytes=fx.TREE_FILE_CAP).where(F.col("status") == "ok")
+    heads = fx.review_heads(spark, d).select("repo", "head_sha", "pr_number")
+    parts = (selected.join(heads, ["repo", "head_sha"])
+             .join(decoded.select("sha", "text").dropDuplicates(["sha"]), "sha"))
+    return rv.within_budget(parts.select("repo", "pr_number", "pos", "path", "text"), fx.CONTEXT_BUDGET)
+
+
+@query("e3_within_budget")
+def e3_within_budget(spark, d):
+    ctx, rejects = _context(spark, d)
+    return ctx.select("repo", "pr_number", "context_chars", F.lit(None).cast("string").alias("reason")) \
+        .unionByName(rejects.select("repo", "pr_number", F.lit(None).cast("long").alias("context_chars"), "reason"))
+
+
+@query("h15_review_query")
+def h15_review_query(spark, d):
+    q = rv.review_query(fx.prs(spark, d), fx.changed_files(spark, d))
+    return q.select("repo", "pr_number", F.sha2("query_text", 256).alias("query_sha"),
+                    F.length("query_text").cast("long").alias("query_chars"))
+
+
+@query("h17_with_marker")
+def h17_with_marker(spark, d):
+    p = fx.prs(spark, d)
+    return p.select("pr_number", F.sha2(rv.with_marker(F.coalesce("body", F.lit("")), F.col("head_sha")), 256)
+                    .alias("published_sha"))
+
+
+@query("c9_plan_review_posts")
+def c9_plan_review_posts(spark, d):
+    drafts, current = fx.review_drafts(spark, d)
+    plan = rv.plan_review_posts(fx.posted_reviews(spark, d), drafts, current)
+    return plan.select("repo", "pr_number", "action", "review_id", "url")

@@ -360,3 +360,62 @@ SELECT repo, pr_number, 1, CASE WHEN merged_at IS NOT NULL THEN 'mine' ELSE 'for
 FROM prs_fx WHERE merged_at IS NOT NULL OR state = 'closed'
 UNION ALL
 SELECT repo, pr_number, 2, 'mine' FROM prs_fx WHERE merged_at IS NOT NULL AND pr_number % 10 = 0"""
+
+# ---- review context ---------------------------------------------------------------------
+ORACLE["b10_tree_blobs"] = _with(ofx.TREE) + """
+SELECT repo, path, size, CAST(NULL AS VARCHAR) AS reason FROM blobs_fx
+UNION ALL SELECT repo, NULL, NULL, 'repository tree was truncated' FROM bad_heads"""
+
+ORACLE["b11_selectable"] = _with(ofx.TREE) + """
+SELECT repo, path, size, CAST(NULL AS VARCHAR) AS reason FROM manifest_fx
+UNION ALL
+SELECT repo, NULL, NULL,
+       CASE WHEN n > 20000 THEN 'repository tree has ' || CAST(n AS VARCHAR) || ' files; maximum supported is 20000'
+            ELSE 'repository tree is ' || CAST(chars AS VARCHAR) || ' characters; maximum supported is 7000' END
+FROM head_stats WHERE n > 20000 OR chars > 7000"""
+
+ORACLE["h13_validate_selection"] = _with(ofx.TREE) + "SELECT repo, reason FROM checks_fx"
+
+ORACLE["h15_review_query"] = _with(ofx.PRS) + """,
+names AS (SELECT 'org/r' || CAST(l_orderkey % 8 AS VARCHAR) AS repo, l_orderkey AS pr_number,
+                 string_agg('src/p' || CAST(l_partkey AS VARCHAR) || '.py', ' '
+                            ORDER BY l_linenumber * 1000000 + l_partkey) AS names
+          FROM lineitem GROUP BY ALL),
+q AS (SELECT p.repo, p.pr_number,
+             coalesce(p.title, '') || chr(10) || coalesce(p.body, '') || chr(10) || coalesce(n.names, '') AS t
+      FROM prs_fx p LEFT JOIN names n ON n.repo = p.repo AND n.pr_number = p.pr_number)
+SELECT repo, pr_number, sha256(t) AS query_sha, CAST(length(t) AS BIGINT) AS query_chars FROM q"""
+
+ORACLE["h17_with_marker"] = _with(ofx.PRS) + """
+SELECT pr_number, sha256(coalesce(body, '') || chr(10) || chr(10) || '<!-- feedmine:' || head_sha || ' -->')
+       AS published_sha FROM prs_fx"""
+
+ORACLE["c9_plan_review_posts"] = _with(ofx.PRS, ofx.REVIEWS) + """,
+pr_ids AS (SELECT DISTINCT repo, pr_number FROM reviews_fx),
+drafts AS (SELECT p.repo, p.pr_number, p.head_sha,
+                  CASE WHEN p.pr_number % 7 = 3 THEN sha256(p.head_sha) ELSE p.head_sha END AS cur
+           FROM prs_fx p JOIN pr_ids USING (repo, pr_number)),
+marked AS (SELECT r.repo, r.pr_number, r.id, r.html_url, r.item_ord,
+                  CASE WHEN r.id % 26 = 0 THEN 'PENDING' ELSE r.state END AS state
+           FROM reviews_fx r WHERE r.id % 13 = 0),
+fp AS (SELECT repo, pr_number, arg_min(html_url, item_ord) AS url, min(item_ord) AS ord
+       FROM marked WHERE coalesce(state, '') <> 'PENDING' GROUP BY ALL)
+SELECT m.repo, m.pr_number, 'delete' AS action, m.id AS review_id, CAST(NULL AS VARCHAR) AS url
+FROM marked m LEFT JOIN fp ON fp.repo = m.repo AND fp.pr_number = m.pr_number
+WHERE m.state = 'PENDING' AND (fp.ord IS NULL OR m.item_ord < fp.ord)
+UNION ALL
+SELECT d.repo, d.pr_number, 'skip', NULL, fp.url FROM drafts d JOIN fp USING (repo, pr_number)
+UNION ALL
+SELECT d.repo, d.pr_number, 'create', NULL, NULL FROM drafts d
+WHERE (d.repo, d.pr_number) NOT IN (SELECT (repo, pr_number) FROM fp)
+UNION ALL
+SELECT d.repo, d.pr_number, CASE WHEN d.cur = d.head_sha THEN 'submit' ELSE 'delete_created_and_fail' END, NULL, NULL
+FROM drafts d WHERE (d.repo, d.pr_number) NOT IN (SELECT (repo, pr_number) FROM fp)"""
+
+ORACLE["h14_decode_blobs"] = _with(ofx.BLOBS) + """
+SELECT sha, status, CASE WHEN status = 'ok' THEN CAST(length(html) AS BIGINT) END AS text_chars FROM blobdec_fx"""
+
+ORACLE["e3_within_budget"] = _with(ofx.PRS, ofx.TREE, ofx.BLOBS, ofx.CONTEXT) + """
+SELECT repo, pr_number, CASE WHEN mx <= 5000 THEN CAST(chars AS BIGINT) END AS context_chars,
+       CASE WHEN mx > 5000 THEN 'selected repository context exceeds the total limit' END AS reason
+FROM budget_fx"""

@@ -341,3 +341,87 @@ comb2_fx AS (
   UNION ALL SELECT * FROM inc2_fx
 ),
 {curated('comb2_fx', 'act2_fx')}"""
+
+TREE = """
+tree_fx AS (
+  SELECT 'org/r' || CAST(page_id % 8 AS VARCHAR) AS repo,
+         sha256('org/r' || CAST(page_id % 8 AS VARCHAR)) AS head_sha,
+         url || '~' || CAST(page_id AS VARCHAR) AS path,
+         CASE WHEN page_id % 13 = 12 THEN 'tree' ELSE 'blob' END AS type,
+         sha256(html) AS sha, CAST(octet_length(encode(html)) AS BIGINT) AS size,
+         page_id = 7 AS truncated, page_id AS item_ord, html
+  FROM pages
+),
+bad_heads AS (SELECT DISTINCT repo FROM tree_fx WHERE truncated),
+blobs_fx AS (SELECT * FROM tree_fx WHERE type = 'blob' AND repo NOT IN (SELECT repo FROM bad_heads)),
+elen AS (
+  SELECT *, length(path)
+            + (length(path) - length(regexp_replace(path, '["\\\\\\n\\r\\t\\x08\\x0C]', '', 'g')))
+            + 5 * (length(path) - length(regexp_replace(path, '[\\x00-\\x07\\x0B\\x0E-\\x1F\\x7F]', '', 'g')))
+            + 5 * (length(path) - length(regexp_replace(path, '[\\x{80}-\\x{FFFF}]', '', 'g')))
+            + 11 * (length(path) - length(regexp_replace(path, '[\\x{10000}-\\x{10FFFF}]', '', 'g')))
+            + 2 + length(CAST(size AS VARCHAR)) + 17 AS entry_len
+  FROM blobs_fx
+),
+head_stats AS (
+  SELECT repo, count(*) AS n, count(*) FILTER (WHERE size <= 5000) AS m,
+         coalesce(sum(entry_len) FILTER (WHERE size <= 5000), 0) + greatest(count(*) FILTER (WHERE size <= 5000) - 1, 0) + 2 AS chars
+  FROM elen GROUP BY repo
+),
+manifest_fx AS (
+  SELECT b.* FROM blobs_fx b JOIN head_stats h ON h.repo = b.repo
+  WHERE b.size <= 5000 AND h.n <= 20000 AND h.chars <= 7000
+),
+sel_fx AS (
+  SELECT repo, list(path ORDER BY item_ord) AS paths FROM (
+    SELECT repo, path, item_ord, row_number() OVER (PARTITION BY repo ORDER BY item_ord) AS rk
+    FROM tree_fx WHERE type = 'blob' AND size <= 5000) WHERE rk <= 3 GROUP BY repo
+),
+sel2_fx AS (
+  SELECT repo, CASE WHEN repo = 'org/r1' THEN list_append(paths, 'missing/file.py')
+                    WHEN repo = 'org/r2' THEN list_append(paths, paths[1]) ELSE paths END AS paths
+  FROM sel_fx
+),
+checks_fx AS (
+  SELECT s.repo,
+    CASE WHEN len(s.paths) > 8 THEN 'context selection requested more than 8 files'
+         WHEN len(list_distinct(s.paths)) <> len(s.paths) THEN 'context selection paths must be unique'
+         WHEN (SELECT count(*) FROM unnest(s.paths) u(p) WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo)) > 0
+           THEN 'context selection requested unknown path: ' ||
+                (SELECT p FROM unnest(s.paths) WITH ORDINALITY u(p, o)
+                 WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo) ORDER BY o LIMIT 1)
+         WHEN (SELECT coalesce(sum(m.size), 0) FROM unnest(s.paths) u(p) JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p) > 120000
+           THEN 'selected repository context exceeds the total limit'
+    END AS reason
+  FROM sel2_fx s
+)"""
+
+BLOBS = """
+blobdec_fx AS (
+  SELECT sha256(html) AS sha,
+         CASE WHEN page_id % 29 = 3 THEN 'error: unsupported repository blob'
+              WHEN page_id % 31 = 4 THEN 'error: invalid base64 blob content'
+              WHEN octet_length(encode(html)) > 5000 THEN 'skipped: too large'
+              ELSE 'ok' END AS status,
+         html
+  FROM pages
+)"""
+
+CONTEXT = """
+heads_fx AS (
+  SELECT repo, min(pr_number) AS pr_number FROM prs_fx WHERE state = 'open' GROUP BY repo
+),
+parts_fx AS (
+  SELECT s.repo, h.pr_number, u.o AS pos,
+         'File: ' || u.p || chr(10) || b.html AS part
+  FROM sel2_fx s JOIN checks_fx c ON c.repo = s.repo AND c.reason IS NULL
+  JOIN heads_fx h ON h.repo = s.repo
+  CROSS JOIN unnest(s.paths) WITH ORDINALITY u(p, o)
+  JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p
+  JOIN (SELECT DISTINCT sha, html FROM blobdec_fx WHERE status = 'ok') b ON b.sha = m.sha
+),
+budget_fx AS (
+  SELECT repo, pr_number, max(run) AS mx, sum(length(part)) + 2 * (count(*) - 1) AS chars FROM (
+    SELECT *, sum(length(part)) OVER (PARTITION BY repo, pr_number ORDER BY pos) AS run FROM parts_fx)
+  GROUP BY ALL
+)"""

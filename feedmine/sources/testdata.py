@@ -259,7 +259,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pid % 13 == 12, F.lit("tree")).otherwise(F.lit("blob")).alias("type"),
         F.sha2(F.col("html"), 256).alias("sha"),
         F.octet_length("html").cast("long").alias("size"),
-        F.lit(False).alias("truncated"),
+        (pid == 7).alias("truncated"),
         pid.alias("item_ord"),
     )
 
@@ -279,7 +279,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repo: the first 3 blob paths by page_id; r1 adds an unknown path, r2 repeats one."""
-    t = tree(spark, sf_dir).where(F.col("type") == "blob")
+    t = tree(spark, sf_dir).where((F.col("type") == "blob") & (F.col("size") <= TREE_FILE_CAP))
     # Ranks within one repo: bounded by the repo's tree, which B11 caps at 20,000.
     from pyspark.sql import Window as W
     w = W.partitionBy("repo", "head_sha").orderBy("item_ord")
@@ -418,3 +418,47 @@ def wave_incoming(spark: SparkSession, sf_dir: str, wave: int) -> DataFrame:
         n = n.withColumn("include_in_vector_store", F.when(
             F.col("supersedes_prior_architecture"), F.lit(False)).otherwise(F.col("include_in_vector_store")))
     return n
+
+
+# ---- review context fixtures -----------------------------------------------------------
+CONTEXT_BUDGET = 5_000        # lowered context budget for the tree fixture
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files per PR from lineitem: (repo, pr_number, pos, filename)."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(repo_of(F.col("l_orderkey")).alias("repo"), F.col("l_orderkey").alias("pr_number"),
+                     (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"),
+                     F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("filename"))
+
+
+def review_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One open PR per tree repo (the smallest open number), reviewed at the repo's head."""
+    p = prs(spark, sf_dir).where(F.col("state") == "open")
+    first = p.groupBy("repo").agg(F.min("pr_number").alias("pr_number"))
+    t = tree(spark, sf_dir).select("repo", "head_sha").distinct()
+    return first.join(p, ["repo", "pr_number"]).drop("head_sha").join(t, "repo")
+
+
+def posted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing reviews on the PRs of the reviews fixture; doc_id mod 13 = 0 carries the
+    marker of the PR's head (PENDING when doc_id mod 26 = 0)."""
+    from feedmine.operators.review import marker
+    r = reviews(spark, sf_dir)
+    heads = prs(spark, sf_dir).select("repo", "pr_number", "head_sha")
+    j = r.join(heads, ["repo", "pr_number"])
+    did = F.col("id")
+    body = F.when(did % 13 == 0, F.concat(F.coalesce("body", F.lit("")), F.lit("\n\n"), marker(F.col("head_sha")))) \
+        .otherwise(F.col("body"))
+    state = F.when(did % 26 == 0, F.lit("PENDING")).otherwise(F.col("state"))
+    return j.select("repo", "pr_number", "id", body.alias("body"), state.alias("state"), "html_url", "item_ord")
+
+
+def review_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft for every PR that has reviews, at its head; the head moved when pr mod 7 = 3."""
+    ids = reviews(spark, sf_dir).select("repo", "pr_number").distinct()
+    p = prs(spark, sf_dir).join(ids, ["repo", "pr_number"], "left_semi")
+    drafts = p.select("repo", "pr_number", "head_sha")
+    current = p.select("repo", "pr_number", F.when(F.col("pr_number") % 7 == 3, F.sha2(F.col("head_sha"), 256))
+                       .otherwise(F.col("head_sha")).alias("head_sha"))
+    return drafts, current
