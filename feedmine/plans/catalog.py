@@ -647,3 +647,37 @@ def c9_plan_review_posts(spark, d):
     drafts, current = fx.review_drafts(spark, d)
     plan = rv.plan_review_posts(fx.posted_reviews(spark, d), drafts, current)
     return plan.select("repo", "pr_number", "action", "review_id", "url")
+
+
+from feedmine.plans import review as rplan  # noqa: E402
+
+
+def _vector_index(spark, d):
+    return vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+
+
+@query("i6_review_evidence")
+def i6_review_evidence(spark, d):
+    ev_ = rplan.review_evidence(fx.review_heads(spark, d), fx.review_query_vectors(spark, d),
+                                _vector_index(spark, d), fx.TRUSTED_REVIEWERS, query_row_bound=10_000)
+    return ev_.select("query_id", "github_comment_id", "rank")
+
+
+@query("i6_review_context")
+def i6_review_context(spark, d):
+    heads = fx.review_heads(spark, d)
+    out = rplan.review_context(
+        heads, fx.changed_files(spark, d), fx.open_diffs(spark, d), fx.review_query_vectors(spark, d),
+        _vector_index(spark, d), fx.tree(spark, d), fx.selections(spark, d), fx.blobs(spark, d),
+        fx.TRUSTED_REVIEWERS, file_cap=fx.TREE_FILE_CAP, manifest_cap=fx.TREE_TOTAL_CAP,
+        budget=fx.CONTEXT_BUDGET, query_row_bound=10_000)
+    return out.select("repo", "pr_number", "n_evidence", "context_chars", "prompt_chars", "reason")
+
+
+@query("h6_json_prompts")
+def h6_json_prompts(spark, d):
+    p = fx.prs(spark, d)
+    out = rv.json_prompts(p, F.struct(F.col("repo").alias("repository"), F.col("pr_number").alias("pull_request"),
+                                      F.coalesce("title", F.lit("")).alias("title"),
+                                      F.coalesce("body", F.lit("")).alias("description")), cap=120)
+    return out.select("pr_number", F.length("prompt").cast("long").alias("prompt_chars"), "reason")

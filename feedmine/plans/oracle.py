@@ -419,3 +419,22 @@ ORACLE["e3_within_budget"] = _with(ofx.PRS, ofx.TREE, ofx.BLOBS, ofx.CONTEXT) +
 SELECT repo, pr_number, CASE WHEN mx <= 5000 THEN CAST(chars AS BIGINT) END AS context_chars,
        CASE WHEN mx > 5000 THEN 'selected repository context exceeds the total limit' END AS reason
 FROM budget_fx"""
+
+ORACLE["i6_review_evidence"] = _with(ofx.PRS, *VX) + """,
+heads AS (SELECT repo, min(pr_number) AS pr_number FROM prs_fx WHERE state = 'open' GROUP BY repo),
+q AS (SELECT h.repo || '#' || CAST(h.pr_number AS VARCHAR) AS query_id, h.repo AS qrepo,
+             CAST(e.embedding AS DOUBLE[]) AS qv
+      FROM heads h JOIN embeddings e ON e.vec_id = CAST(substr(h.repo, 6) AS BIGINT)),
+s AS (SELECT q.query_id, v.id, v.github_comment_id, list_cosine_similarity(v.embedding, q.qv) AS score
+      FROM vindex_fx v JOIN q ON v.repo = q.qrepo
+      WHERE v.reviewer IN ('U0', 'u1', 'u2', '__merged_pr__'))
+SELECT query_id, github_comment_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+FROM s QUALIFY rank <= 8"""
+
+ORACLE["h6_json_prompts"] = _with(ofx.PRS) + """,
+j AS (SELECT pr_number, '{"repository":"' || repo || '","pull_request":' || CAST(pr_number AS VARCHAR)
+             || ',"title":"' || title || '","description":"' || coalesce(body, '') || '"}' AS t FROM prs_fx)
+SELECT pr_number, CAST(length(t) AS BIGINT) AS prompt_chars,
+       CASE WHEN length(t) > 120 THEN 'review model input is ' || CAST(length(t) AS VARCHAR)
+            || ' characters; maximum supported is 120' END AS reason
+FROM j"""

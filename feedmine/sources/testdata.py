@@ -462,3 +462,18 @@ def review_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = p.select("repo", "pr_number", F.when(F.col("pr_number") % 7 == 3, F.sha2(F.col("head_sha"), 256))
                        .otherwise(F.col("head_sha")).alias("head_sha"))
     return drafts, current
+
+
+def review_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding of each review head's query: the embedding whose vec_id is the repo number."""
+    heads = review_heads(spark, sf_dir).select("repo", "pr_number")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("query_vector"))
+    return heads.join(e, F.substring("repo", 6, 10).cast("long") == F.col("vec_id")).drop("vec_id")
+
+
+def open_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current diff of an open PR: its changed files as a patch header list."""
+    f = changed_files(spark, sf_dir)
+    return f.groupBy("repo", "pr_number").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "filename"))),
+        lambda x: F.concat(F.lit("+++ b/"), x["filename"])), "\n").alias("final_diff"))
