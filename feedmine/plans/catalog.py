@@ -681,3 +681,133 @@ def h6_json_prompts(spark, d):
                                       F.coalesce("title", F.lit("")).alias("title"),
                                       F.coalesce("body", F.lit("")).alias("description")), cap=120)
     return out.select("pr_number", F.length("prompt").cast("long").alias("prompt_chars"), "reason")
+
+
+# ---- roll-ups and sources -----------------------------------------------------------------
+from feedmine.operators import rollup as ru  # noqa: E402
+from feedmine.sources import snapshot as snap  # noqa: E402
+
+
+def _active_ordered(spark, d):
+    return cu.curate(fx.notes(spark, d))
+
+
+@query("a5_notes_report")
+def a5_notes_report(spark, d):
+    b = ru.report_blocks(_active_ordered(spark, d))
+    return b.select("repo", "pr_number", F.sha2("block", 256).alias("block_sha"),
+                    F.length("block").cast("long").alias("block_chars"), "repo_ord", "pr_ord")
+
+
+@query("d3_skill_bands")
+def d3_skill_bands(spark, d):
+    return ru.skill_bands(_active_ordered(spark, d)).select(
+        "category", F.sha2("item", 256).alias("item_sha"), "instruction", "support", "blocking")
+
+
+def _doc_items(spark, d):
+    return fx.read(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("lang").alias("category"),
+                                                  "text")
+
+
+@query("d4_exact_duplicates")
+def d4_exact_duplicates(spark, d):
+    return ru.exact_groups(_doc_items(spark, d)).withColumnRenamed("ordinal", "doc_id")
+
+
+@query("d4_merge_similar")
+def d4_merge_similar(spark, d):
+    return ru.merge_similar(_doc_items(spark, d), threshold=0.7, tables=4).withColumnRenamed("ordinal", "doc_id")
+
+
+@query("d5_run_summary")
+def d5_run_summary(spark, d):
+    notes = fx.notes(spark, d)
+    return ru.run_summary(feedback=feedback_table(spark, d, with_replies=False), notes_all=notes,
+                          selected=cu.selected_notes(notes), active=cu.curate(notes),
+                          indexed=fx.vector_notes(spark, d))
+
+
+@query("h16_synthesis_prompts")
+def h16_synthesis_prompts(spark, d):
+    act = with_ordinal(_active_ordered(spark, d).drop("ordinal").withColumn("_o", F.col("github_comment_id")),
+                       [F.coalesce("merged_at", F.lit("")), F.col("_o")])
+    p = ru.synthesis_prompts(act, fx.TRUSTED_REVIEWERS, chunk=400)
+    return p.select("chunk_id", "n_notes", F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+def fake_model(system: str, prompt: str) -> str:
+    """A stand-in model for J1/J3 runs: a deterministic text derived from the prompt."""
+    import hashlib
+    return "summary " + hashlib.sha256((system + prompt).encode()).hexdigest()[:16]
+
+
+@query("j3_synthesize")
+def j3_synthesize(spark, d):
+    act = with_ordinal(_active_ordered(spark, d).drop("ordinal").withColumn("_o", F.col("github_comment_id")),
+                       [F.coalesce("merged_at", F.lit("")), F.col("_o")])
+    text, calls = ru.synthesize(act, fake_model, "system", fx.TRUSTED_REVIEWERS, chunk=400)
+    return text.select(F.lit(calls).cast("long").alias("calls"), F.length("text").cast("long").alias("text_chars"))
+
+
+@query("a1_read_pages")
+def a1_read_pages(spark, d):
+    from pyspark.sql import types as T
+    from feedmine.sources.pages import read_pages
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("path", T.StringType()),
+                           T.StructField("size", T.LongType())])
+    items, _ = read_pages(fx.landed_pages(spark, d), schema)
+    return items
+
+
+@query("a2_feedback_roundtrip")
+def a2_feedback_roundtrip(spark, d):
+    from feedmine.sources.tables import read_feedback, write_feedback
+    path = _scratch(spark, "a2")
+    write_feedback(ordered_feedback(spark, d, diffs=fx.pr_diffs(spark, d)), path)
+    back = read_feedback(spark, path)
+    return back.select("repo", "pr_number", "github_comment_id", "comment_type", "reviewer", "final_diff",
+                       F.size("replies").cast("long").alias("n_replies"), "ordinal")
+
+
+@query("a4_notes_tables")
+def a4_notes_tables(spark, d):
+    from feedmine.sources.tables import read_notes, write_notes
+    root = _scratch(spark, "a4")
+    notes = fx.notes(spark, d)
+    write_notes(notes, f"{root}/notes_all")
+    write_notes(cu.curate(notes), f"{root}/notes_active")
+    a = read_notes(spark, f"{root}/notes_all").select(F.lit("notes_all").alias("table"), "github_comment_id")
+    b = read_notes(spark, f"{root}/notes_active").select(F.lit("notes_active").alias("table"), "github_comment_id")
+    return a.unionByName(b)
+
+
+@query("a8_publish_snapshot")
+def a8_publish_snapshot(spark, d):
+    root = _scratch(spark, "a8")
+    state = fx.wave_state(spark, d)
+    snap.publish_snapshot(spark, root, {"notes": state.select("repo", "pr_number", "github_comment_id"),
+                                        "pending_prs": spark.createDataFrame([], "repo string, pr_number long")})
+    w1 = _wave1(spark, d).active
+    try:  # a run that fails after writing the notes must stay invisible
+        snap.publish_snapshot(spark, root, {"notes": w1.select("repo", "pr_number", "github_comment_id"),
+                                            "pending_prs": spark.createDataFrame([], "repo string, pr_number long")},
+                              fail_after="notes")
+    except RuntimeError:
+        pass
+    return snap.read_snapshot(spark, root, "notes")
+
+
+@query("a9_run_stage")
+def a9_run_stage(spark, d):
+    root = _scratch(spark, "a9")
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return {"notes": fx.wave_state(spark, d).select("repo", "pr_number", "github_comment_id")}
+    first = compute()
+    snap.publish_snapshot(spark, root, first)
+    again = snap.run_stage(spark, root, ["notes"], compute, resume=True)
+    assert len(calls) == 1, "a committed stage must be reused"
+    return again["notes"]

@@ -438,3 +438,58 @@ SELECT pr_number, CAST(length(t) AS BIGINT) AS prompt_chars,
        CASE WHEN length(t) > 120 THEN 'review model input is ' || CAST(length(t) AS VARCHAR)
             || ' characters; maximum supported is 120' END AS reason
 FROM j"""
+
+# ---- roll-ups and sources -----------------------------------------------------------------
+ORACLE["a5_notes_report"] = _with(*CURATED) + """,
+lines AS (SELECT *, '- **[' || category || ' / ' || severity || ']** ' || coalesce(nullif(file_path, ''), '(general)')
+                    || chr(10) || '  - Original: ' || original_issue || chr(10) || '  - Requested: ' || requested_change
+                    || chr(10) || '  - Why: ' || rationale || chr(10) AS line FROM active_fx),
+blocks AS (SELECT repo, pr_number, min(ordinal) AS pr_ord,
+                  '### PR #' || CAST(pr_number AS VARCHAR) || ': ' || arg_min(pr_title, ordinal) || chr(10) || chr(10)
+                  || string_agg(line, chr(10) ORDER BY ordinal) || chr(10) AS block
+           FROM lines GROUP BY repo, pr_number),
+ro AS (SELECT repo, min(ordinal) AS repo_ord FROM active_fx GROUP BY repo)
+SELECT b.repo, b.pr_number, sha256(b.block) AS block_sha, CAST(length(b.block) AS BIGINT) AS block_chars,
+       ro.repo_ord, b.pr_ord
+FROM blocks b JOIN ro USING (repo)"""
+
+ORACLE["d3_skill_bands"] = _with(*CURATED) + """
+SELECT category, sha256(trim(regexp_replace(lower(requested_change), '\\s+', ' ', 'g'))) AS item_sha,
+       arg_min(requested_change, ordinal) AS instruction, count(*) AS support,
+       bool_or(severity = 'blocking') AS blocking
+FROM active_fx GROUP BY category, trim(regexp_replace(lower(requested_change), '\\s+', ' ', 'g'))"""
+
+ORACLE["d4_exact_duplicates"] = """
+WITH n AS (SELECT doc_id, lang, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, h) AS rep FROM n"""
+
+ORACLE["d5_run_summary"] = _with(*FBX, *CURATED) + """
+SELECT 'feedback' AS name, count(*) AS value FROM feedback_fx
+UNION ALL SELECT 'notes_all', count(*) FROM notes_fx
+UNION ALL SELECT 'selected', count(*) FROM selected_fx
+UNION ALL SELECT 'active', count(*) FROM active_fx
+UNION ALL SELECT 'indexed', count(*) FROM embeddings"""
+
+ORACLE["a1_read_pages"] = """
+SELECT 'org/r' || CAST(page_id % 8 AS VARCHAR) AS request_id, (page_id // 8) // 25 + 1 AS page_no,
+       row_number() OVER (PARTITION BY page_id % 8, (page_id // 8) // 25 ORDER BY page_id) - 1 AS item_pos,
+       page_id, url || '~' || CAST(page_id AS VARCHAR) AS path, CAST(octet_length(encode(html)) AS BIGINT) AS size
+FROM pages"""
+
+ORACLE["a2_feedback_roundtrip"] = "WITH RECURSIVE " + ",".join(FBX + (ofx.PR_DIFFS, ofx.WALK)) + """
+SELECT f.repo, f.pr_number, f.github_comment_id, f.comment_type, f.reviewer,
+       CASE WHEN f.pr_state = 'merged' THEN coalesce(d.final_diff, '') ELSE '' END AS final_diff,
+       CASE WHEN f.comment_type = 'review_comment'
+            THEN (SELECT count(*) FROM walk w WHERE w.root_id = f.github_comment_id) ELSE 0 END AS n_replies,
+       o.ordinal
+FROM feedback_fx f JOIN ordered_fx o ON o.comment_type = f.comment_type AND o.github_comment_id = f.github_comment_id
+LEFT JOIN pr_diffs_fx d ON d.repo = f.repo AND d.pr_number = f.pr_number"""
+
+ORACLE["a4_notes_tables"] = _with(*CURATED) + """
+SELECT 'notes_all' AS "table", github_comment_id FROM notes_fx
+UNION ALL SELECT 'notes_active', github_comment_id FROM active_fx"""
+
+ORACLE["a8_publish_snapshot"] = _with(ofx.NOTES, ofx.WAVES) + """
+SELECT repo, pr_number, github_comment_id FROM state_fx"""
+
+ORACLE["a9_run_stage"] = ORACLE["a8_publish_snapshot"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedmine.schemas import FEEDBACK, NOTE
 
@@ -21,7 +22,7 @@ def write_feedback(feedback: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    schema = FEEDBACK.add("ordinal", "long")
+    schema = T.StructType(list(FEEDBACK.fields) + [T.StructField("ordinal", T.LongType())])
     return spark.read.schema(schema).parquet(path)
 
 
@@ -36,4 +37,5 @@ def write_notes(notes: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NOTE.add("ordinal", "long")).parquet(path)
+    schema = T.StructType(list(NOTE.fields) + [T.StructField("ordinal", T.LongType())])
+    return spark.read.schema(schema).parquet(path)

@@ -477,3 +477,15 @@ def open_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("repo", "pr_number").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "filename"))),
         lambda x: F.concat(F.lit("+++ b/"), x["filename"])), "\n").alias("final_diff"))
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree listings landed as pages of 25 items: (request_id, page_no, page JSON text)."""
+    p = read(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    item = F.struct(pid.alias("page_id"), F.concat(F.col("url"), F.lit("~"), pid.cast("string")).alias("path"),
+                    F.octet_length("html").cast("long").alias("size"))
+    rows = p.select(repo_of(pid).alias("request_id"), (F.expr("(page_id div 8) div 25") + 1).alias("page_no"),
+                    item.alias("item"))
+    return rows.groupBy("request_id", "page_no").agg(
+        F.to_json(F.array_sort(F.collect_list("item"))).alias("page"))
