@@ -42,9 +42,12 @@ def vget(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value; a missing value is false."""
-    t = F.schema_of_variant(v)
+def truthy(v: Column, t: Column | None = None) -> Column:
+    """Python truthiness of a JSON value; a missing value is false.
+
+    ``t`` is the value's ``schema_of_variant`` when already computed as a column.
+    """
+    t = t if t is not None else F.schema_of_variant(v)
     numeric = t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
     return F.coalesce(
         F.when(v.isNull() | (t == "VOID"), F.lit(False))
@@ -96,30 +99,44 @@ def extract_job(decoded: DataFrame, secret: str | None, rules: DataFrame | None
     staged = staged.withColumn("action", F.try_variant_get("_p", "$.action", "string"))
     j = staged.join(rules.withColumnRenamed("event", "_re").withColumnRenamed("action", "_ra"),
                     (F.col("event") == F.col("_re")) & (F.col("action") == F.col("_ra")), "left")
+    # Staged projections: each variant lookup is computed once per row (the optimizer
+    # does not merge projections whose expensive columns are referenced twice).
     p = F.col("_p")
-    link_ok = ~F.coalesce(F.col("needs_pr_link"), F.lit(False)) | truthy(vget(p, "$.issue.pull_request"))
-    routed = F.col("work_type").isNotNull() & link_ok
-    repo = F.try_variant_get(p, "$.repository.full_name", "string")
-    num = first_truthy(vget(p, "$.pull_request.number"), vget(p, "$.issue.number"), vget(p, "$.number"))
-    is_int = F.coalesce(F.schema_of_variant(num) == "BIGINT", F.lit(False))
-    is_obj = F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False))
+    base = [c for c in j.columns if c not in ("_re", "_ra")]
+    j = j.select(*base,
+                 vget(p, "$.pull_request.number").alias("_n1"), vget(p, "$.issue.number").alias("_n2"),
+                 vget(p, "$.number").alias("_n3"), vget(p, "$.issue.pull_request").alias("_link"),
+                 F.try_variant_get(p, "$.repository.full_name", "string").alias("_repo"),
+                 F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)).alias("_is_obj"))
+    j = j.select("*", *[F.schema_of_variant(F.col(c)).alias(f"_s{c}") for c in ("_n1", "_n2", "_n3", "_link")])
+    t1, t2 = truthy(F.col("_n1"), F.col("_s_n1")), truthy(F.col("_n2"), F.col("_s_n2"))
+    j = j.select("*", t1.alias("_t1"), t2.alias("_t2"),
+                 truthy(F.col("_link"), F.col("_s_link")).alias("_tl"))
+    num_t = F.when(F.col("_t1"), F.col("_s_n1")).when(F.col("_t2"), F.col("_s_n2")).otherwise(F.col("_s_n3"))
+    num = F.when(F.col("_t1"), F.col("_n1")).when(F.col("_t2"), F.col("_n2")).otherwise(F.col("_n3"))
+    link_ok = ~F.coalesce(F.col("needs_pr_link"), F.lit(False)) | F.col("_tl")
+    j = j.select("*", (F.col("work_type").isNotNull() & link_ok).alias("_routed"),
+                 F.coalesce(num_t == "BIGINT", F.lit(False)).alias("_is_int"),
+                 F.try_variant_get(num, "$", "bigint").alias("_num"))
     error = (F.when(~F.col("_sig"), F.lit("invalid webhook signature"))
              .when(F.col("body_bytes").isNull(), F.lit("invalid base64 body"))
              .when(F.col("delivery_id") == "", F.lit("GitHub delivery ID is required"))
-             .when(p.isNull() | ~is_obj, F.lit("invalid JSON payload"))
-             .when(~routed, F.lit(None))
-             .when(is_blank(repo) | ~is_int,
+             .when(p.isNull() | ~F.col("_is_obj"), F.lit("invalid JSON payload"))
+             .when(~F.col("_routed"), F.lit(None))
+             .when(is_blank(F.col("_repo")) | ~F.col("_is_int"),
                    F.lit("webhook repository and pull request number are required")))
-    status = (F.when(~F.col("_sig"), F.lit(401)).when(error.isNotNull(), F.lit(400)).otherwise(F.lit(202)))
-    job_ok = (status == 202) & routed
+    j = j.select("*", error.alias("_error"))
+    status = F.when(~F.col("_sig"), F.lit(401)).when(F.col("_error").isNotNull(), F.lit(400)).otherwise(F.lit(202))
+    j = j.select("*", status.alias("_status"))
+    job_ok = (F.col("_status") == 202) & F.col("_routed")
     return j.select(
         *[c for c in decoded.columns if c not in ("h", "body_bytes", "delivery_id", "event", "action",
                                                    "status", "error", "work_type", "repo", "pr_number",
                                                    "version")],
-        "delivery_id", "event", "action", status.alias("status"), error.alias("error"),
+        "delivery_id", "event", "action", F.col("_status").alias("status"), F.col("_error").alias("error"),
         F.when(job_ok, F.col("work_type")).alias("work_type"),
-        F.when(job_ok, repo).alias("repo"),
-        F.when(job_ok, F.try_variant_get(num, "$", "bigint")).alias("pr_number"),
+        F.when(job_ok, F.col("_repo")).alias("repo"),
+        F.when(job_ok, F.col("_num")).alias("pr_number"),
         F.when(job_ok, F.lit(1)).alias("version"))
 
 

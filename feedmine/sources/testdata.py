@@ -339,19 +339,24 @@ def _envelopes(e, event, action, repo, num, pr_num, repo_json):
     payload = F.when(F.col("k") == 97, F.expr("substring(raw, 1, length(raw) - 1)")).otherwise(F.col("raw"))
     staged = staged.withColumn("payload", payload)
     bytes_ = F.encode(F.col("payload"), "UTF-8")
-    sig = F.concat(F.lit("sha256="), F.when(F.col("k") % 25 == 7, hmac_sha256_hex(WRONG_SECRET, bytes_))
-                   .otherwise(hmac_sha256_hex(WEBHOOK_SECRET, bytes_)))
-    delivery = F.when(F.col("k") == 96, F.lit("")).otherwise(F.col("event_id").cast("string"))
-    keys = F.array(F.lit("X-GitHub-Delivery"), F.lit("X-GitHub-Event"))
-    vals = F.array(delivery, F.when(F.col("k") % 10 == 3, F.lit("ping")).otherwise(F.col("event")))
-    keys = F.when(F.col("k") % 25 == 8, keys).otherwise(F.concat(keys, F.array(F.lit("X-Hub-Signature-256"))))
-    vals = F.when(F.col("k") % 25 == 8, vals).otherwise(F.concat(vals, F.array(sig)))
-    keys = F.when(F.col("k") % 10 == 3, F.concat(keys, F.array(F.lit("x-github-event")))).otherwise(keys)
-    vals = F.when(F.col("k") % 10 == 3, F.concat(vals, F.array(F.col("event")))).otherwise(vals)
-    is_b64 = F.col("k") % 4 == 1
-    env = staged.select(
+    k = F.col("k")
+    # signature and body computed once per row, in their own projection
+    signed = staged.select(
+        "event_id", "user_id", "event_type", "k", "event", "payload",
+        F.concat(F.lit("sha256="), F.when(k % 25 == 7, hmac_sha256_hex(WRONG_SECRET, bytes_))
+                 .otherwise(hmac_sha256_hex(WEBHOOK_SECRET, bytes_))).alias("sig"))
+    delivery = F.when(k == 96, F.lit("")).otherwise(F.col("event_id").cast("string"))
+    event_hdr = F.when(k % 10 == 3, F.lit("ping")).otherwise(F.col("event"))
+    no_sig, dup = k % 25 == 8, k % 10 == 3
+    keys = F.array_compact(F.array(
+        F.lit("X-GitHub-Delivery"), F.lit("X-GitHub-Event"),
+        F.when(~no_sig, F.lit("X-Hub-Signature-256")), F.when(dup, F.lit("x-github-event"))))
+    vals = F.array_compact(F.array(
+        delivery, event_hdr, F.when(~no_sig, F.col("sig")), F.when(dup, F.col("event"))))
+    is_b64 = k % 4 == 1
+    env = signed.select(
         "event_id", "user_id", "event_type", "k",
-        F.when(is_b64, F.base64(bytes_)).otherwise(F.col("payload")).alias("body"),
+        F.when(is_b64, F.base64(F.encode(F.col("payload"), "UTF-8"))).otherwise(F.col("payload")).alias("body"),
         is_b64.alias("isBase64Encoded"),
         F.map_from_arrays(keys, vals).alias("headers"),
         F.lit(0).alias("copy"),
