@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from feedmine.schemas import FEEDBACK_FIELDS, MAX_FINAL_DIFF_CHARS, REPLY
 from feedmine.functions.text import is_blank, strip
-from feedmine.session import checkpoint_dir
+from feedmine.session import checkpoint_dir, materialize
 
 KIND_ORDER = {"review_comment": 0, "review_summary": 1, "issue_comment": 2}
 
@@ -137,18 +137,21 @@ def attach_replies(comments: DataFrame, roots: DataFrame, max_levels: int | None
              .dropDuplicates(["repo", "pr_number", "id"])
              .select("repo", "pr_number", F.col("in_reply_to_id").alias("_parent"),
                      F.col("id"), "login", "body", "created_at", "html_url", "item_ord"))
-    # Only PRs with a trusted root can contribute replies.
-    edges = edges.join(roots.select("repo", "pr_number").distinct(), ["repo", "pr_number"], "left_semi")
+    # Only PRs with a trusted root can contribute replies. The edge set is written
+    # once, so each level reads it instead of recomputing the scan and the dedup.
+    edges = materialize(edges.join(roots.select("repo", "pr_number").distinct(),
+                                   ["repo", "pr_number"], "left_semi")
+                        .withColumnRenamed("repo", "_erepo").withColumnRenamed("pr_number", "_epr"))
     frontier = roots.select("repo", "pr_number", F.col("id").alias("root_id"), F.col("id").alias("_node"),
                             F.array().cast("array<long>").alias("path"))
     levels = []
     depth = 0
     while max_levels is None or depth < max_levels:
         depth += 1
-        nxt = (frontier.join(edges, (frontier["repo"] == edges["repo"])
-                             & (frontier["pr_number"] == edges["pr_number"])
-                             & (frontier["_node"] == edges["_parent"]))
-               .select(frontier["repo"], frontier["pr_number"], "root_id",
+        nxt = (frontier.join(edges, (F.col("repo") == F.col("_erepo"))
+                             & (F.col("pr_number") == F.col("_epr"))
+                             & (F.col("_node") == F.col("_parent")))
+               .select("repo", "pr_number", "root_id",
                        F.col("id").alias("_node"),
                        F.concat(F.col("path"), F.array(F.col("item_ord").cast("long"))).alias("path"),
                        F.lit(depth).alias("depth"),
@@ -157,11 +160,8 @@ def attach_replies(comments: DataFrame, roots: DataFrame, max_levels: int | None
                                 F.coalesce("body", F.lit("")).alias("body"),
                                 F.coalesce("created_at", F.lit("")).alias("created_at"),
                                 F.coalesce("html_url", F.lit("")).alias("html_url")).alias("reply")))
-        if depth % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.cache()
-        if nxt.limit(1).count() == 0:
+        nxt = materialize(nxt)  # one write per level; the emptiness test reads it back
+        if nxt.isEmpty():
             break
         levels.append(nxt)
         frontier = nxt.select("repo", "pr_number", "root_id", "_node", "path")
@@ -199,10 +199,12 @@ def normalize_feedback(comments: DataFrame, reviews: DataFrame, issue_comments:
         F.coalesce("html_url", F.lit("")).alias("html_url"),
         F.col("login").alias("reviewer"), F.lit(0).alias("kind_ord"), "item_ord")
     if with_replies:
-        rep = attach_replies(comments, roots.select("repo", "pr_number", "id"))
-        line = (line.join(rep, (line["repo"] == rep["repo"]) & (line["pr_number"] == rep["pr_number"])
-                          & (line["github_comment_id"] == rep["root_id"]), "left")
-                .select(line["*"], F.coalesce(rep["replies"], empty_replies).alias("replies")))
+        rep = attach_replies(comments, roots.select("repo", "pr_number", "id")).select(
+            F.col("repo").alias("_rrepo"), F.col("pr_number").alias("_rpr"), "root_id", "replies")
+        line = (line.join(rep, (F.col("repo") == F.col("_rrepo")) & (F.col("pr_number") == F.col("_rpr"))
+                          & (F.col("github_comment_id") == F.col("root_id")), "left")
+                .withColumn("replies", F.coalesce("replies", empty_replies))
+                .drop("_rrepo", "_rpr", "root_id"))
     else:
         line = line.withColumn("replies", empty_replies)
     summ = trusted_only(eligible_reviews(reviews), reviewers).select(
