@@ -11,8 +11,6 @@ from feedmine.sources import testdata as fx
 
 
 def active_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from feedmine.session import get_session
-    get_session()
     active = curate(fx.notes(spark, sf_dir))
     return active.select(
         note_id().alias("id"), "repo", "pr_number", "github_comment_id", "category",
