@@ -811,3 +811,67 @@ def a9_run_stage(spark, d):
     again = snap.run_stage(spark, root, ["notes"], compute, resume=True)
     assert len(calls) == 1, "a committed stage must be reused"
     return again["notes"]
+
+
+# ---- remaining sinks, model calls and the mining stream --------------------------------------
+@query("a6_write_skill")
+def a6_write_skill(spark, d):
+    bands = ru.skill_bands(_active_ordered(spark, d))
+    lines = bands.select(F.concat(F.lit("- ["), F.col("category"), F.lit("] "), F.col("instruction"),
+                                  F.lit(" (support "), F.col("support").cast("string"), F.lit(")"),
+                                  F.when(F.col("blocking"), F.lit(" blocking")).otherwise(F.lit(""))).alias("text"),
+                         "category", "first_ordinal")
+    path = _scratch(spark, "a6")
+    lines.orderBy("category", "first_ordinal").select("text").write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("a7_read_state")
+def a7_read_state(spark, d):
+    root = _scratch(spark, "a7")
+    fb_ = ordered_feedback(spark, d, with_replies=False)
+    snap.publish_snapshot(spark, root, {
+        "raw_comments": fb_.select("repo", "pr_number", "github_comment_id", "comment_type"),
+        "notes": fx.wave_state(spark, d).select("repo", "pr_number", "github_comment_id"),
+        "pending_prs": cu.update_pending(spark.createDataFrame([], "repo string, pr_number long, last_seq long"),
+                                         fx.snapshots(spark, d)).where(F.col("status") == "pending")
+        .select("repo", "pr_number")})
+    st_ = snap.read_state(spark, root)
+    return (st_["raw_comments"].groupBy().count().select(F.lit("raw_comments").alias("table"), "count")
+            .unionByName(st_["notes"].groupBy().count().select(F.lit("notes").alias("table"), "count"))
+            .unionByName(st_["pending_prs"].groupBy().count().select(F.lit("pending_prs").alias("table"), "count")))
+
+
+def valid_fake_model(system: str, prompt: str) -> str:
+    """A stand-in model for J1: answers every analysis prompt with valid items."""
+    import json
+    import re
+    m = re.search(r"There are (\d+) comments above", prompt)
+    n = int(m.group(1)) if m else 0
+    item = {"category": "testing", "original_issue": "issue", "requested_change": "change", "rationale": "why",
+            "severity": "suggestion", "implemented": True, "include_in_vector_store": True,
+            "selection_rationale": "kept", "implementation_example": "example", "architecture_change": False,
+            "supersedes_prior_architecture": False}
+    text = json.dumps({"items": [item] * n})
+    return json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}]})
+
+
+@query("j1_annotate")
+def j1_annotate(spark, d):
+    batched = rf.batched_roots(spark, d)
+    notes = an.analyze_with_caller(batched, fx.pr_diffs(spark, d), valid_fake_model, "system")
+    return notes.select("github_comment_id", "comment_type", "category", "severity")
+
+
+@query("i5_stream_mine")
+def i5_stream_mine(spark, d):
+    root = _scratch(spark, "i5")
+    snap.publish_snapshot(spark, root, {"notes": fx.wave_state(spark, d)}, version=1)
+    keys = fx.wave_keys(spark, d)
+    incoming = fx.wave_incoming(spark, d, 1)
+    for half in (0, 1):  # the mined PRs arrive in two landings, one stream run each
+        keys.where(F.col("pr_number") % 2 == half).write.mode("append").parquet(f"{root}/keys")
+        stream = spark.readStream.schema(keys.schema).parquet(f"{root}/keys")
+        sp.mining_stream(stream, root, 1, lambda k: incoming.join(k, ["repo", "pr_number"], "left_semi"),
+                         f"{root}/ckpt")
+    return snap.read_snapshot(spark, root, "notes").select("repo", "pr_number", "github_comment_id")

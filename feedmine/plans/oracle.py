@@ -493,3 +493,10 @@ ORACLE["a8_publish_snapshot"] = _with(ofx.NOTES, ofx.WAVES) + """
 SELECT repo, pr_number, github_comment_id FROM state_fx"""
 
 ORACLE["a9_run_stage"] = ORACLE["a8_publish_snapshot"]
+
+ORACLE["i5_stream_mine"] = ORACLE["i5_mine"]
+
+ORACLE["a7_read_state"] = _with(*FBX, ofx.NOTES, ofx.WAVES) + """
+SELECT 'raw_comments' AS "table", count(*) AS count FROM feedback_fx
+UNION ALL SELECT 'notes', count(*) FROM state_fx
+UNION ALL SELECT 'pending_prs', count(*) FROM prs_fx WHERE merged_at IS NULL AND state = 'open'"""

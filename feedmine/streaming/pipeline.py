@@ -132,3 +132,29 @@ def pending_until_merged(observations: DataFrame) -> DataFrame:
     forget closed unmerged ones. State lives in the state store, keyed by PR."""
     return observations.groupBy("repo", "pr_number").applyInPandasWithState(
         _pending_fn, PENDING_OUT, PENDING_STATE, "append", "NoTimeout")
+
+
+# ---- I5 -------------------------------------------------------------------------------
+def mine_batch(keys: DataFrame, batch_id: int, state_root: str, base_version: int,
+               incoming_for: Callable[[DataFrame], DataFrame]) -> None:
+    """One micro-batch of mined PR keys: read the state of the previous version,
+    mine, publish version ``base + batch_id + 1`` (state table last). A replayed batch
+    reads the same input version and overwrites the same output version."""
+    from feedmine.plans.mining import mine
+    from feedmine.sources import snapshot as snap
+
+    spark = keys.sparkSession
+    keys = keys.select("repo", "pr_number").distinct()
+    prior = snap.read_snapshot(spark, state_root, "notes", base_version + batch_id)
+    result = mine(prior, incoming_for(keys), keys)
+    snap.publish_snapshot(spark, state_root, {"removed": result.removed, "current": result.current,
+                                              "notes": result.active},
+                          version=base_version + batch_id + 1)
+
+
+def mining_stream(keys_stream: DataFrame, state_root: str, base_version: int,
+                  incoming_for: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    q = (keys_stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, i: mine_batch(b, i, state_root, base_version, incoming_for))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
