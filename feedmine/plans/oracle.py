@@ -96,7 +96,7 @@ WHERE coalesce(merged_at, '') <> '' AND updated_at >= '1995-06-01'"""
 
 ORACLE["b2_normalize_reviewers"] = _with(ofx.THREADS) + """,
 n AS (SELECT regexp_replace(CASE WHEN pr_number % 3 = 0 THEN upper(login)
-                       WHEN pr_number % 3 = 1 THEN '  ' || login || ' ' ELSE login END, '^\s+|\s+$', '', 'g') AS name,
+                       WHEN pr_number % 3 = 1 THEN '  ' || login || ' ' ELSE login END, '^\\s+|\\s+$', '', 'g') AS name,
              id AS ordinal FROM threads_fx)
 SELECT arg_min(name, ordinal) AS name, min(ordinal) AS ordinal FROM n
 WHERE coalesce(name, '') <> '' GROUP BY lower(name)"""
