@@ -136,12 +136,16 @@ def connected_min_label(edges: DataFrame, nodes: DataFrame, max_iter: int = 50)
 def merge_similar(items: DataFrame, threshold: float = 0.7, tables: int = 4, n: int = 3,
                   num_features: int = 1 << 20, seed: int = 11, text: str = "text",
                   ordinal: str = "ordinal", group: str = "category") -> DataFrame:
-    """Exact pass, then MinHash LSH on binary n-word shingles within a group for
-    pairs with Jaccard similarity at least ``threshold``, then connected components;
-    the smallest ordinal represents each group. Returns (ordinal, rep).
-
-    Exact copies are collapsed before LSH, so identical items never form a quadratic
-    bucket. Items without shingles take part only in the exact pass.
+    """Exact pass, then MinHash LSH on binary n-word shingles within a group, then
+    connected components; the smallest ordinal represents each group. Returns
+    (ordinal, rep).
+
+    Candidate edges are star edges: every member of a MinHash bucket (group, table,
+    hash value) links to the bucket's smallest member, and the edge is kept only if
+    the exact Jaccard similarity of the two shingle sets reaches ``threshold``. This is
+    linear in bucket size, so a hot cluster (a third of all items near-identical)
+    never produces all pairs. Exact copies are collapsed first; items without
+    shingles take part only in the exact pass.
     """
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
@@ -154,11 +158,17 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, tables: int = 4, n:
     tf = HashingTF(inputCol="sh", outputCol="features", numFeatures=num_features, binary=True)
     vec = tf.transform(sh)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(vec)
-    pairs = model.approxSimilarityJoin(vec, vec, 1.0 - threshold, distCol="dist").select(
-        F.col("datasetA.node").alias("a"), F.col("datasetB.node").alias("b"),
-        F.col("datasetA.grp").alias("ga"), F.col("datasetB.grp").alias("gb"))
-    edges = pairs.where((F.col("a") < F.col("b")) & (F.col("ga") == F.col("gb"))).select("a", "b").distinct()
-    comp = connected_min_label(edges, reps.select(F.col(ordinal).alias("node")))
+    from pyspark.ml.functions import vector_to_array
+    buckets = model.transform(vec).select(
+        "node", "grp", F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0])).alias("tbl", "hv"))
+    centers = buckets.groupBy("grp", "tbl", "hv").agg(F.min("node").alias("center"))
+    star = (buckets.join(centers, ["grp", "tbl", "hv"]).where(F.col("node") != F.col("center"))
+            .select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+    shs = sh.select("node", "sh")
+    verified = (star.join(shs.withColumnRenamed("node", "a").withColumnRenamed("sh", "sa"), "a")
+                .join(shs.withColumnRenamed("node", "b").withColumnRenamed("sh", "sb"), "b")
+                .where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
+    comp = connected_min_label(verified, reps.select(F.col(ordinal).alias("node")))
     return exact.join(comp.withColumnRenamed("node", "rep"), "rep").select(ordinal, F.col("label").alias("rep"))
 
 

@@ -540,8 +540,7 @@ def _handler(jobs):
 @query("i2_dispatch")
 def i2_dispatch(spark, d):
     root = _scratch(spark, "i2")
-    fx.receipts(spark, d).withColumn("batch_id", F.lit(-1)).write.partitionBy("batch_id") \
-        .parquet(f"{root}/receipts")
+    sp.write_receipts(fx.receipts(spark, d), f"{root}/receipts", -1)
     for copy in (0, 1):  # the repeated deliveries arrive later, in a second run
         _land_deliveries(spark, d, F.col("copy") == copy).write.mode("append").json(f"{root}/landing")
         stream = sp.delivery_stream(spark, f"{root}/landing", fx.WEBHOOK_SECRET)

@@ -31,9 +31,9 @@ def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame
     """Write all tables for a new version, then commit it. ``fail_after`` (a table name)
     simulates a crash after that table is written, for tests."""
     v = version if version is not None else (latest_version(spark, root) or 0) + 1
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name, df in tables.items():
-        df.withColumn("version", F.lit(v)).write.mode("overwrite").partitionBy("version").parquet(f"{root}/{name}")
+        (df.withColumn("version", F.lit(v)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("version").parquet(f"{root}/{name}"))
         if fail_after == name:
             raise RuntimeError(f"simulated failure after writing {name}")
     commit = spark.createDataFrame([(v, sorted(tables))], "version int, tables array<string>")

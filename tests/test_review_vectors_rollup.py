@@ -151,3 +151,14 @@ def test_failed_publish_is_invisible(spark, tmp_path):
     with pytest.raises(RuntimeError):
         snap.publish_snapshot(spark, root, {"t": b, "state": b}, fail_after="t")
     assert [r["x"] for r in snap.read_snapshot(spark, root, "t").collect()] == [1]
+
+
+def test_near_duplicates_grouped_by_star_edges(spark):
+    base = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(0, "en", base), (1, "en", base + " again"), (2, "en", base.upper()),
+            (3, "en", "completely different words that share nothing at all here"),
+            (4, "fr", base), (5, "en", base.replace("today", "tomorrow")), (6, "en", "")]
+    items = spark.createDataFrame(rows, "ordinal long, category string, text string")
+    got = {r["ordinal"]: r["rep"] for r in ru.merge_similar(items, threshold=0.7).collect()}
+    assert got[1] == got[2] == got[5] == 0       # near copies and an exact copy (case folded)
+    assert got[3] == 3 and got[4] == 4 and got[6] == 6   # other text, other group, no shingles
