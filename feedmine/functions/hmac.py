@@ -45,13 +45,22 @@ def verify_signature(key: str | None, body: Column, signature: Column) -> Column
     return F.coalesce(signature.startswith("sha256=") & (signature == expected), F.lit(False))
 
 
-def hmac_sha256_udf(secret_env: str = "FEEDMINE_WEBHOOK_SECRET"):
-    """Executor-side variant: the secret never enters the plan."""
+def hmac_sha256_udf(secret_env: str = "FEEDMINE_WEBHOOK_SECRET", secret_file: str | None = None):
+    """Executor-side variant: the secret never enters the plan.
+
+    The secret is read on the executor, from ``secret_file`` (a mounted secret) when
+    given, else from the environment variable ``secret_env`` (set on executors with
+    ``spark.executorEnv.<name>``).
+    """
     import hmac as _hmac
 
     @F.pandas_udf("boolean")
     def _verify(body: pd.Series, signature: pd.Series) -> pd.Series:
-        secret = os.environ.get(secret_env, "")
+        if secret_file:
+            with open(secret_file, encoding="utf-8") as fh:
+                secret = fh.read().strip()
+        else:
+            secret = os.environ.get(secret_env, "")
         out = []
         for b, s in zip(body, signature):
             if not secret or s is None or b is None or not s.startswith("sha256="):
