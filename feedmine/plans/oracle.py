@@ -62,7 +62,7 @@ FROM s QUALIFY rank <= 5"""
 
 _K5 = _with(*VX) + """,
 q AS (SELECT vec_id AS query_id, 'org/r' || CAST(label AS VARCHAR) AS qrepo,
-             CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
+             CAST(embedding AS DOUBLE[]) AS qv FROM embeddings),
 s AS (SELECT q.query_id, v.id, v.github_comment_id,
              list_cosine_similarity(v.embedding, q.qv) AS score
       FROM vindex_fx v JOIN q ON v.repo = q.qrepo)
@@ -421,10 +421,10 @@ SELECT repo, pr_number, CASE WHEN mx <= 5000 THEN CAST(chars AS BIGINT) END AS c
 FROM budget_fx"""
 
 ORACLE["i6_review_evidence"] = _with(ofx.PRS, *VX) + """,
-heads AS (SELECT repo, min(pr_number) AS pr_number FROM prs_fx WHERE state = 'open' GROUP BY repo),
+heads AS (SELECT repo, pr_number FROM prs_fx WHERE state = 'open' AND repo IN (SELECT DISTINCT 'org/r' || CAST(page_id % 8 AS VARCHAR) FROM pages)),
 q AS (SELECT h.repo || '#' || CAST(h.pr_number AS VARCHAR) AS query_id, h.repo AS qrepo,
              CAST(e.embedding AS DOUBLE[]) AS qv
-      FROM heads h JOIN embeddings e ON e.vec_id = CAST(substr(h.repo, 6) AS BIGINT)),
+      FROM heads h JOIN embeddings e ON e.vec_id = h.pr_number % (SELECT count(*) FROM embeddings)),
 s AS (SELECT q.query_id, v.id, v.github_comment_id, list_cosine_similarity(v.embedding, q.qv) AS score
       FROM vindex_fx v JOIN q ON v.repo = q.qrepo
       WHERE v.reviewer IN ('U0', 'u1', 'u2', '__merged_pr__'))

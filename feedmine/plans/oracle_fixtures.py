@@ -409,7 +409,7 @@ blobdec_fx AS (
 
 CONTEXT = """
 heads_fx AS (
-  SELECT repo, min(pr_number) AS pr_number FROM prs_fx WHERE state = 'open' GROUP BY repo
+  SELECT repo, pr_number FROM prs_fx WHERE state = 'open'
 ),
 parts_fx AS (
   SELECT s.repo, h.pr_number, u.o AS pos,

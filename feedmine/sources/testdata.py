@@ -228,8 +228,8 @@ def vector_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query vectors: the embeddings with vec_id below 20, searched in their own repo."""
-    e = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < 20)
+    """Query vectors: every embedding, searched in its own repo."""
+    e = read(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("org/r"), F.col("label").cast("string")).alias("repo"),
@@ -438,11 +438,10 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One open PR per tree repo (the smallest open number), reviewed at the repo's head."""
+    """Every open PR, reviewed at its repo's head (one tree per repo)."""
     p = prs(spark, sf_dir).where(F.col("state") == "open")
-    first = p.groupBy("repo").agg(F.min("pr_number").alias("pr_number"))
     t = tree(spark, sf_dir).select("repo", "head_sha").distinct()
-    return first.join(p, ["repo", "pr_number"]).drop("head_sha").join(t, "repo")
+    return p.drop("head_sha").join(t, "repo")
 
 
 def posted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,10 +469,13 @@ def review_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding of each review head's query: the embedding whose vec_id is the repo number."""
+    """Embedding of each open PR's query: the embedding with vec_id = pr_number mod the
+    number of embeddings, so every PR has a vector."""
     heads = review_heads(spark, sf_dir).select("repo", "pr_number")
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("query_vector"))
-    return heads.join(e, F.substring("repo", 6, 10).cast("long") == F.col("vec_id")).drop("vec_id")
+    n = e.count()  # one number
+    keyed = heads.select("repo", "pr_number", (F.col("pr_number") % F.lit(n)).alias("vec_id"))
+    return keyed.join(e, "vec_id").drop("vec_id")
 
 
 def open_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
