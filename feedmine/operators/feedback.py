@@ -160,7 +160,9 @@ def attach_replies(comments: DataFrame, roots: DataFrame, max_levels: int | None
                                 F.coalesce("body", F.lit("")).alias("body"),
                                 F.coalesce("created_at", F.lit("")).alias("created_at"),
                                 F.coalesce("html_url", F.lit("")).alias("html_url")).alias("reply")))
-        nxt = materialize(nxt)  # one write per level; the emptiness test reads it back
+        # Levels are cached; every ``checkpoint_every`` levels one is written to the
+        # shared folder, so a deep forest never carries a long lineage.
+        nxt = materialize(nxt) if depth % checkpoint_every == 0 else nxt.persist()
         if nxt.isEmpty():
             break
         levels.append(nxt)
