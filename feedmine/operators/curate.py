@@ -6,8 +6,9 @@ Supersession looks sequential in the reference (a fold in merge order), but it
 has a closed form: an architecture note with a known merge time is dropped iff
 some selected note of the same repo with ``supersedes_prior_architecture`` and a
 known merge time is strictly later. So one per-repo ``max`` replaces the fold;
-the per-repo table has one row per repo, so it is broadcast back (no window, no
-skew even when one repo holds a third of all notes).
+the per-repo table has one row per repo; it is counted and broadcast back under a
+limit, else joined with salting (no window, no skew even when one repo holds a third
+of all notes).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedmine.functions.notes import comment_key
-from feedmine.operators.joins import broadcast_if_small
+from feedmine.operators.joins import broadcast_if_small, join_small
 
 
 def selected_notes(notes: DataFrame) -> DataFrame:
@@ -38,8 +39,11 @@ def supersession_cutoffs(selected: DataFrame) -> DataFrame:
 
 def supersede(selected: DataFrame, repo_count_bound: int | None = None) -> DataFrame:
     """C8 on already selected notes: drop superseded architecture notes."""
-    cutoffs = broadcast_if_small(supersession_cutoffs(selected), repo_count_bound)
-    joined = selected.join(cutoffs, "repo", "left")
+    cutoffs = supersession_cutoffs(selected)
+    if repo_count_bound is not None:
+        joined = selected.join(broadcast_if_small(cutoffs, repo_count_bound), "repo", "left")
+    else:
+        joined = join_small(selected, cutoffs, ["repo"], "left")
     dropped = ((F.col("category") == "architecture") & _known("merged_at")
                & F.col("_cutoff").isNotNull() & (F.col("merged_at") < F.col("_cutoff")))
     return joined.where(~dropped).drop("_cutoff")

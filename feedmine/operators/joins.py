@@ -19,3 +19,24 @@ def broadcast_if_small(df: DataFrame, row_bound: int | None) -> DataFrame:
     if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
         return F.broadcast(df)
     return df
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
+               limit_rows: int = BROADCAST_ROW_LIMIT, salt_buckets: int = 64,
+               salt_col: str | None = None) -> DataFrame:
+    """Join a large table to a per-key aggregate (one row per key).
+
+    The small side is counted first (one number to the driver). Under ``limit_rows``
+    it is broadcast: the large side is never shuffled, so a key holding a third of all
+    rows cannot land in one task. Above the limit, the small side is replicated over
+    ``salt_buckets`` salts and the large side takes one salt per row (a hash of
+    ``salt_col`` or of the row), so each key is split over that many tasks.
+    """
+    small = small.persist()
+    n = small.count()
+    if n <= limit_rows:
+        return big.join(F.broadcast(small), on, how)
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    h = F.xxhash64(F.col(salt_col)) if salt_col else F.xxhash64(*[F.col(c) for c in big.columns])
+    salted_big = big.withColumn("_salt", F.pmod(h, F.lit(salt_buckets)).cast("int"))
+    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
