@@ -83,8 +83,8 @@ def removed_notes(prior: DataFrame, active: DataFrame, scope: DataFrame) -> Data
     ``scope`` holds the mined (repo, pr_number) keys.
     """
     of_pr = prior.join(scope.select("repo", "pr_number").distinct(), ["repo", "pr_number"], "left_semi")
-    arch = prior.where(F.col("category") == "architecture").join(
-        scope.select("repo").distinct(), "repo", "left_semi")
+    arch = join_small(prior.where(F.col("category") == "architecture"), scope.select("repo").distinct(),
+                      ["repo"], "left_semi", salt_col="github_comment_id")
     cand = with_key(of_pr.unionByName(arch))
     act = with_key(active).select("_key").distinct()
     # Keep the first candidate per key (PR notes precede architecture notes).

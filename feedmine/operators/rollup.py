@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedmine.operators.joins import join_small
 from feedmine.operators.ordering import assign_batches
 from feedmine.schemas import REPORT_HEADER, SYNTHESIS_CHUNK_SIZE
 from feedmine.session import checkpoint_dir, materialize
@@ -46,7 +47,7 @@ def report_blocks(notes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
         F.array(F.concat(F.lit("### PR #"), F.col("pr_number").cast("string"), F.lit(": "),
                          F.coalesce("_title", F.lit("")), F.lit("\n"))),
         F.transform("_n", lambda x: x["t"]), F.array(F.lit(""))), "\n")
-    return per_pr.join(repo_ord, "repo").select("repo", "pr_number", "repo_ord", "pr_ord", block.alias("block"))
+    return join_small(per_pr, repo_ord, ["repo"], "inner", salt_col="pr_number").select("repo", "pr_number", "repo_ord", "pr_ord", block.alias("block"))
 
 
 def notes_report(notes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
