@@ -28,21 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from feedmine.llm.common import chunks_of
-from feedmine.llm.encoders import SpaceCuts, WordIds
+from feedmine.llm.encoders import RememberedWords, WordIds, byte_letters, mark_spaces
 
 #: Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 4096
 
 
-def byte_letters() -> list[str]:
-    """The letter that the vocabulary writes for each byte: itself if it can be printed, else
-    the next unused code point from 256 on."""
-    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    unused = iter(range(256, 512))
-    return [chr(b) if b in printed else chr(next(unused)) for b in range(256)]
-
-
 class BytePairs:
     """The tables of one tokenizer file."""
 
@@ -174,7 +166,7 @@ class BytePairs:
 def byte_pairs(path: str) -> tuple[BytePairs, WordIds]:
     """The tables of a file and an encoder that remembers words, per process."""
     tables = BytePairs(path)
-    return tables, WordIds(tables.encode_words, SpaceCuts)
+    return tables, WordIds(RememberedWords(tables.encode_words), mark_spaces)
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +180,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for start, texts in chunks_of(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(encoder.encode(texts), pa.binary())],
+                    [batch.column(0).slice(start, len(texts)), pa.array(encoder.encode_each(texts), pa.binary())],
                     names=["doc_id", "ids"])
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, ids binary")
@@ -212,7 +204,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         tables, encoder = byte_pairs(tokenizer_path)
         for batch in batches:
             for start, texts in chunks_of(batch.column(1)):
-                ids = encoder.encode(texts)
+                ids = encoder.encode_each(texts)
                 back = [tables.decode(np.frombuffer(x, "<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -69,7 +69,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def chunks_of(column: pa.Array, max_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def chunks_of(column: pa.Array, max_chars: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive runs of a batch's texts of about ``max_chars`` (at least one text each),
     with the position of the first."""
     start, held, size = 0, [], 0

@@ -112,8 +112,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order_col
     starts = counts.select(F.col("length").alias("s_length"), F.col("salt").alias("s_salt"), F.coalesce(before, F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("mix", *[f"row.{c}" for c in order_cols]))
     ranked = rows.withColumn("place", place.cast("long"))
-    # At most capacity * SALTS rows, whatever the corpus.
-    ranked = (ranked.join(F.broadcast(starts), (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
+    # At most capacity * SALTS rows, whatever the corpus, dealt like the ranked rows.
+    ranked = (ranked.join(starts, (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
               .select("row", "length", (F.col("before") + F.col("place") - 1).alias("rank")))
     schema = ranked.select("row.*").schema.add("sequence_id", "long").add("offset", "long")
 
@@ -146,7 +146,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, kind: str, end_id: int
         for batch in batches:
             for first, texts in chunks_of(batch.column(1)):
                 at, piece, start, length, crc, kept = [], [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(texts)):
+                for k, ids in enumerate(encoder.encode_each(texts)):
                     ids += last
                     for p in range(0, len(ids), 4 * capacity):
                         part = ids[p:p + 4 * capacity]

@@ -63,6 +63,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 MAX_STRINGS = 64
+#: Texts of about so many characters share an index.
+BLOCK_CHARS = 2_000_000
 MASK = "[REDACTED]"
 
 #: A query: every element must hold; an element is a set of alternatives, each a set of trigrams.
@@ -243,7 +245,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(rules)
         for batch in batches:
-            for first, texts in chunks_of(batch.column(1)):
+            for first, texts in chunks_of(batch.column(1), BLOCK_CHARS):
                 found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in find.scan(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found, pa.list_(span))],
                                                  names=["doc_id", "spans"])
@@ -275,7 +277,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(rules)
         for batch in batches:
-            for first, texts in chunks_of(batch.column(place)):
+            for first, texts in chunks_of(batch.column(place), BLOCK_CHARS):
                 part = batch.slice(first, len(texts))
                 found = find.scan(texts)
                 hit = pa.array([bool(s) for s in found])

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,11 @@ from feedmine.llm.common import shared_folder
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+library = lru_cache(Tokenizer.from_file)
+
+
 def ids_of(path, text):
-    return np.array(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, "<u4")
+    return np.array(library(path).encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
 @pytest.fixture(params=["odd", "documents", "empty"])
