@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedmine.llm.common import chunks_of
+from feedmine.llm.common import chunks_of, materialize
 from feedmine.llm.encoders import library_ids
 
 BLOCK = 1024
@@ -39,7 +39,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, kind: str = "byte", text
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             for start, texts in chunks_of(batch.column(0)):
-                n[start:start + len(texts)] = [len(ids) // 4 for ids in encoder.encode(texts)]
+                n[start:start + len(texts)] = np.diff(encoder.encode(texts)[1], prepend=0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n)],
                                              names=[*batch.schema.names[1:], "length"])
 
@@ -56,7 +56,8 @@ def length_histogram(lengths: DataFrame, group_col: str | None = None) -> DataFr
     counts = lengths.select(
         (F.col(group_col) if group_col else F.lit(None)).cast("string").alias("group"), "length")
     # Grouping column and marker apart, so a null group and the total don't meet.
-    counts = counts.groupBy("group", "length").agg(F.count(F.lit(1)).alias("docs"))
+    # One row per distinct length; kept, as it is read four times below.
+    counts = materialize(counts.groupBy("group", "length").agg(F.count(F.lit(1)).alias("docs")))
     per_group = counts.withColumn("total", F.lit(group_col is None))
     if group_col:
         total = (counts.groupBy("length").agg(F.sum("docs").alias("docs"))
