@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmine.llm.common import chunks_of, id_key, key_ranges, materialize, parallelism, range_of
+from feedmine.llm.common import chunks_of, id_key, key_ranges, materialize, parallelism
 from feedmine.llm.encoders import library_ids
 
 MAGIC, END = b"FMIDPACK", "FMIDPEND"
@@ -151,10 +151,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         encoder = library_ids(tokenizer_path, kind)
         last = np.array([end_id], _transit(bits)).tobytes()
         for batch in batches:
-            for start, texts in chunks_of(batch.column(3)):
-                ids = [np.frombuffer(x, "<u4").astype(_transit(bits)).tobytes() + last for x in encoder.encode(texts)]
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary())],
+            number = np.searchsorted(cuts, batch.column(1).to_numpy(), side="right").astype(np.int32)
+            for start, texts in chunks_of(batch.column(2)):
+                ids = [x + last for x in encoder.encode_each(texts, _transit(bits))]
+                at = slice(start, start + len(texts))
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[:2], pa.array(number[at]), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "key", "part", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key(id_col, text_col).alias("key"),
                        F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "key", range_of(F.col("key"), cuts).alias("part"), "text")
     encoded = rows.mapInArrow(encode, "doc_id long, key long, part int, ids binary")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", "ids")
     (dealt.mapInArrow(write, "part binary").select(F.col("part").cast("string").alias("value"))
