@@ -78,14 +78,17 @@ class WordIds:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         mark = next(m for m in map(chr, range(0x110000)) if not any(m in t for t in texts))
         marked, parts = zip(*(self._cut(t, mark) for t in texts), strict=True)
-        flat = pc.split_pattern(pa.array([mark.join(marked)], pa.large_string()), mark).flatten()
-        coded = flat.dictionary_encode()
+        joined = pa.array([mark.join(marked)], pa.large_string())
+        del marked
+        coded = pc.split_pattern(joined, mark).flatten().dictionary_encode()
+        del joined
         at = coded.indices.to_numpy()
         pool, first, sizes = self._pool_of(coded.dictionary)
         n = sizes[at]
         ends = np.cumsum(n)
-        place = np.repeat(first[at] - ends + n, n)
-        place += np.arange(len(place))
+        small = np.int32 if ends[-1] < 2 ** 31 else np.int64
+        place = np.repeat((first[at] - ends + n).astype(small), n)
+        place += np.arange(len(place), dtype=small)
         return pool[place], ends[np.cumsum(parts) - 1]
 
     def encode_each(self, texts: list[str], dtype: str = "<u4") -> list[bytes]:
