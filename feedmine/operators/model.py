@@ -3,8 +3,7 @@ response text / object extraction (H12).
 
 The model's judgement is an input. ``annotate`` runs a user-supplied
 ``caller(system, prompt) -> raw response JSON`` inside ``mapInPandas``, one call
-per prompt row, with parallelism = number of partitions (``coalesce(n)`` is the
-rate limit). Every pass is checkpointed right away: model output is costly and not
+per distinct prompt, with parallelism = ``partitions`` (the rate limit). Every pass is checkpointed right away: model output is costly and not
 reproducible, so it must never be recomputed after an executor is lost.
 ``replay`` is the same contract from a table of recorded responses.
 """
@@ -62,26 +61,40 @@ def response_object(raw: Column, mode: str = "responses") -> tuple[Column, Colum
 
 
 def replay(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """Attach recorded responses (prompt_id, attempt, raw) to prompts by equi join."""
-    return prompts.join(responses, key)
+    """Attach recorded responses (prompt_id, attempt, raw) to prompts.
+
+    Every prompt stays: one without a recorded response gets attempt 1 with a null ``raw``,
+    which H12 turns into an error. A response recorded more than once for an attempt (equal
+    prompts) counts once.
+    """
+    once = responses.groupBy(key, "attempt").agg(F.min("raw").alias("raw"))
+    return prompts.join(once, key, "left").withColumn("attempt", F.coalesce("attempt", F.lit(1)))
 
 
 def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
              attempt: int = 1, partitions: int | None = None) -> DataFrame:
-    """One model call per prompt row → (prompt_id, attempt, raw).
+    """One model call per distinct prompt → (prompt_id, attempt, raw, call_error).
 
-    ``caller`` must be picklable; it runs on executors. The result is checkpointed.
+    ``caller`` must be picklable; it runs on executors, in ``partitions`` tasks (the shuffle
+    partitions by default). A call that raises is a failed attempt with a null ``raw``: it
+    neither ends the task nor repeats the calls of its neighbours. The result is checkpointed.
     """
     spark = prompts.sparkSession
     checkpoint_dir(spark)
-    src = prompts.select("prompt_id", "prompt")
-    if partitions:
-        src = src.repartition(partitions)
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = prompts.select("prompt_id", "prompt").dropDuplicates(["prompt_id"]).repartition(tasks, "prompt_id")
+
+    def call(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return caller(system, prompt), None
+        except Exception as exc:  # noqa: BLE001 - any failure of the model counts as an attempt
+            return None, f"model call failed: {exc}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raws = [caller(system, p) for p in pdf["prompt"]]
-            yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": attempt, "raw": raws})
+            got = [call(p) for p in pdf["prompt"]]
+            yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": attempt,
+                                "raw": [raw for raw, _ in got], "call_error": [err for _, err in got]})
 
-    out = src.mapInPandas(run, "prompt_id string, attempt int, raw string")
+    out = src.mapInPandas(run, "prompt_id string, attempt int, raw string, call_error string")
     return out.checkpoint(eager=True)

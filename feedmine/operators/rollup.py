@@ -113,19 +113,21 @@ def shingles(col: Column, n: int = 3) -> Column:
     return shingles_from_words(words_of(col), n)
 
 
-def connected_min_label(edges: DataFrame, nodes: DataFrame, max_iter: int = 50) -> DataFrame:
+def connected_min_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable node id per node, by iterative min-label propagation over
     undirected edges (a, b). Each round is a join and a group-by; the labels are
-    checkpointed every round so the lineage stays short. Returns (node, label)."""
+    checkpointed every round so the lineage stays short. Rounds go on until one changes nothing; each
+    also follows the labels' own labels, so a chain takes about log(n) rounds. Returns (node, label)."""
     checkpoint_dir(nodes.sparkSession)
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    for _ in range(max_iter):
+    while True:
         prop = und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "_l"), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("_l").alias("_m"))
         new = labels.join(prop, "node", "left").select(
             "node", F.least("label", F.coalesce("_m", "label")).alias("label"))
-        new = materialize(new)
+        up = new.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+        new = materialize(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "_old"), "node") \
             .where(F.col("label") != F.col("_old")).limit(1).count()
         labels = new

@@ -22,7 +22,7 @@ INDEX_COLUMNS = ["id", "content", "content_vector", "reviewer", "repo", "pr_numb
 
 def unit(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.transform(vec, lambda x: (x / norm).cast("float"))
+    return F.transform(vec, lambda x: F.try_divide(x.cast("double"), norm).cast("float"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,7 +31,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def index_rows(notes: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -47,22 +47,33 @@ def index_rows(notes: DataFrame, vector_col: str = "embedding") -> DataFrame:
     )
 
 
-def _rejects(rows: DataFrame) -> DataFrame:
-    bad = (F.col("content_vector").isNull() | (F.size("content_vector") == 0)
-           | F.col("repo").isNull() | F.col("id").isNull())
-    return rows.where(bad)
+def _bad_row(dimension: int) -> Column:
+    """Whether an index row can't be stored: no key, no vector, null elements (a zero vector has no
+    direction, so its elements are null too), or another length than ``dimension``."""
+    return (F.col("repo").isNull() | F.col("id").isNull() | F.col("content_vector").isNull()
+            | (F.size("content_vector") != dimension) | F.exists("content_vector", lambda x: x.isNull()))
+
+
+def _dimension(index: DataFrame, rows: DataFrame) -> int:
+    """The length of stored vectors, else the greatest length of the new ones."""
+    stored = index.select(F.size("content_vector").alias("n")).limit(1).collect()
+    return stored[0]["n"] if stored else rows.agg(F.max(F.size("content_vector"))).first()[0] or 0
 
 
 def save_vectors(index: DataFrame, notes: DataFrame, vector_col: str = "embedding",
-                 strict: bool = True) -> DataFrame:
+                 strict: bool = True, dimension: int | None = None) -> DataFrame:
     """K1: upsert; the same id replaces, within one call the last (highest ordinal) wins.
 
     Returns the new index. An empty input leaves the index unchanged. A row without a
-    vector is rejected; in strict mode the job fails before anything is written.
+    vector, with a zero vector, null elements or another length than ``dimension`` (that
+    of the stored vectors if not given) is rejected: in strict mode the job fails before
+    anything is written, else the row is left out.
     """
     rows = index_rows(notes, vector_col)
+    bad = _bad_row(dimension or _dimension(index, rows))
     if strict:
-        _fail_if_any(_rejects(rows), "vector rows rejected")
+        _fail_if_any(rows.where(bad), "vector rows rejected")
+    rows = rows.where(~bad)
     latest = (rows.groupBy("id")
               .agg(F.max_by(F.struct(*[c for c in INDEX_COLUMNS if c != "id"]), "ordinal").alias("r"))
               .select("id", "r.*"))
@@ -157,10 +168,10 @@ def search_many(index: DataFrame, queries: DataFrame, k: int,
 
 
 def align_embeddings(inputs: DataFrame, response: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C4: one vector per input, matched by the returned index.
+    """C4: one vector per input, in the order of the returned index.
 
-    ``inputs`` (request_id, pos, text, ...), ``response`` (request_id, index, embedding).
-    Returns (aligned rows, rejects). A request is rejected whole when a text is
+    ``inputs`` (request_id, pos, text, ...), ``response`` (request_id, index, embedding). Only the
+    order of the indices counts, not their values. Returns (aligned rows, rejects). A request is rejected whole when a text is
     blank or the number of vectors differs from the number of inputs.
     """
     n_in = inputs.groupBy("request_id").agg(
@@ -175,8 +186,10 @@ def align_embeddings(inputs: DataFrame, response: DataFrame) -> tuple[DataFrame,
                         F.coalesce("_n_out", F.lit(0)).cast("string")))
          .alias("reason"))
     ok = checks.where(F.col("reason").isNull()).select("request_id")
-    aligned = (inputs.join(ok, "request_id", "left_semi")
-               .join(response.withColumnRenamed("index", "pos"), ["request_id", "pos"], "left"))
+    # A request is one embedding call, so a bounded group.
+    nth = lambda col: F.row_number().over(Window.partitionBy("request_id").orderBy(col))
+    aligned = (inputs.join(ok, "request_id", "left_semi").withColumn("_nth", nth("pos"))
+               .join(response.withColumn("_nth", nth("index")).drop("index"), ["request_id", "_nth"], "left").drop("_nth"))
     rejects = checks.where(F.col("reason").isNotNull())
     return aligned, rejects
 

@@ -26,6 +26,8 @@ def prompts_for(batched: DataFrame, diffs: DataFrame) -> DataFrame:
 def parsed(responses: DataFrame, mode: str = "responses") -> DataFrame:
     """H12 over a response table, materialised once (see ``session.materialize``)."""
     obj, err = md.response_object(F.col("raw"), mode)
+    if "call_error" in responses.columns:
+        err = F.coalesce("call_error", err)
     return materialize(responses.select("batch_id", "attempt", obj.alias("obj"), err.alias("error")))
 
 
@@ -38,7 +40,7 @@ def analyze_recorded(batched: DataFrame, diffs: DataFrame, recorded: DataFrame,
                           recorded.select("prompt_id", "attempt", "raw"))
     items, rejects = va.pair_items(prompts, parsed(responses, mode))
     status = va.attempt_status(items, rejects)
-    accepted, failed = va.accept_attempts(status, max_attempts)
+    accepted, failed = va.accept_attempts(status, max_attempts, prompts)
     if strict:
         va.require_all(failed)
     notes = va.analysis_notes(batched, items, accepted)
@@ -66,6 +68,6 @@ def analyze_with_caller(batched: DataFrame, diffs: DataFrame, caller: Callable[[
         pending = prompts.join(done, "batch_id", "left_anti")
         if pending.limit(1).count() == 0:
             break
-    accepted, failed = va.accept_attempts(all_status, max_attempts)
+    accepted, failed = va.accept_attempts(all_status, max_attempts, prompts)
     va.require_all(failed)
     return va.analysis_notes(batched, all_items, accepted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,8 +57,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir`` when the cluster sets it; only when it is
-    unset (tests, local runs) a fresh local folder is used.
+    Taken from ``spark.checkpoint.dir`` when the cluster sets it. A fresh local folder is used only
+    on a local master (tests, local runs); on a cluster an unset folder is an error, as executors
+    cannot see the driver's own folders.
     """
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
@@ -68,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="feedmine-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -85,7 +89,7 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -97,16 +101,20 @@ def prepare(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001 - a static setting fixed by the cluster
             pass
-    folder = checkpoint_dir(spark)
+    checkpoint_dir(spark)
     sc = spark.sparkContext
-    if id(sc) not in _SHIPPED:
-        import shutil
-        import uuid
+    if sc.applicationId not in _SHIPPED:
+        # Spark serves the archive to the executors from the driver, whatever file system the
+        # checkpoint folder is on.
         pkg = os.path.dirname(os.path.abspath(__file__))
-        if folder.startswith("file:") or "://" not in folder:
-            base = folder.replace("file:", "")
-            archive = shutil.make_archive(os.path.join(base, f"feedmine-{uuid.uuid4().hex}"), "zip",
-                                          os.path.dirname(pkg), os.path.basename(pkg))
-            sc.addPyFile(archive)
-        _SHIPPED.add(id(sc))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="feedmine-"), "feedmine"), "zip",
+                                      os.path.dirname(pkg), os.path.basename(pkg))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on whatever file system it names; a failure to look is raised."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))

@@ -13,24 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmine.schemas import FEEDBACK, NOTE, PENDING
+from feedmine.session import path_exists
 
 COMMITS = "_commits"
 STATE_TABLES = ("raw_comments", "notes", "pending_prs")
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        row = spark.read.parquet(f"{root}/{COMMITS}").agg(F.max("version").alias("v")).first()
-    except Exception:  # noqa: BLE001 - nothing committed yet
+    """The newest committed version; None only if nothing was ever committed. Any other failure to
+    read the commits is raised, so that no version is given out twice."""
+    if not path_exists(spark, f"{root}/{COMMITS}"):
         return None
+    row = spark.read.parquet(f"{root}/{COMMITS}").agg(F.max("version").alias("v")).first()
     return None if row is None or row["v"] is None else int(row["v"])
 
 
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame],
                      version: int | None = None, fail_after: str | None = None) -> int:
-    """Write all tables for a new version, then commit it. ``fail_after`` (a table name)
+    """Write all tables for a new version, then commit it. A version older than the newest is refused. ``fail_after`` (a table name)
     simulates a crash after that table is written, for tests."""
-    v = version if version is not None else (latest_version(spark, root) or 0) + 1
+    newest = latest_version(spark, root) or 0
+    v = version if version is not None else newest + 1
+    if v < newest:  # the newest itself may be written again: a replayed micro-batch
+        raise ValueError(f"version {v} is older than the committed version {newest}")
     for name, df in tables.items():
         (df.withColumn("version", F.lit(v)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("version").parquet(f"{root}/{name}"))

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedmine.operators.feedback import guard_diffs
 from feedmine.schemas import FEEDBACK, NOTE
 
 
 def merged_evidence(prs: DataFrame, diffs: DataFrame) -> DataFrame:
-    """A3: one row per merged PR with its final diff, whether or not it has feedback."""
+    """A3: one row per merged PR with its final diff, whether or not it has feedback. A PR without
+    a diff row stays, with a null diff, which ``checked_evidence`` refuses."""
     merged = prs.where(F.coalesce(F.col("merged_at"), F.lit("")) != "")
-    return merged.join(diffs.select("repo", "pr_number", "final_diff"), ["repo", "pr_number"])
+    return merged.join(diffs.select("repo", "pr_number", "final_diff"), ["repo", "pr_number"], "left")
+
+
+def checked_evidence(prs: DataFrame, diffs: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A3 behind B7: (evidence, rejects(repo, pr_number, reason)). A missing, blank or oversize diff is
+    a reject; in strict mode the first one raises."""
+    checked = guard_diffs(merged_evidence(prs, diffs))
+    rejects = checked.where(F.col("reason").isNotNull()).select("repo", "pr_number", "reason")
+    if strict and (first := rejects.limit(1).collect()):
+        raise ValueError(f"{first[0]['repo']}#{first[0]['pr_number']}: {first[0]['reason']}")
+    return checked.where(F.col("reason").isNull()).drop("reason"), rejects
 
 
 def write_feedback(feedback: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedmine.operators import events as ev
+from feedmine.session import path_exists
 from feedmine.schemas import DEAD_LETTER_RETENTION_DAYS, ENVELOPE, MAX_RECEIVES
 
 LANDED_ENVELOPE = T.StructType(list(ENVELOPE.fields) + [
@@ -56,12 +57,14 @@ def receipt_bucket(col: str = "delivery_id"):
 
 
 def write_receipts(receipts: DataFrame, receipts_dir: str, batch_id: int) -> None:
-    """Receipts are partitioned by (bucket of the delivery id, batch id); a replayed batch
-    overwrites exactly its own partitions."""
-    (receipts.withColumn("bucket", receipt_bucket()).withColumn("batch_id", F.lit(batch_id))
+    """Receipts are partitioned by (number of buckets, bucket of the delivery id, batch id); a replayed
+    batch overwrites exactly its own partitions. Receipts written with another number of
+    buckets stay readable: they are just not pruned."""
+    (receipts.withColumn("buckets", F.lit(RECEIPT_BUCKETS)).withColumn("bucket", receipt_bucket())
+     .withColumn("batch_id", F.lit(batch_id))
      .repartition("bucket")  # one file per bucket and batch
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", "batch_id").parquet(receipts_dir))
+     .partitionBy("buckets", "bucket", "batch_id").parquet(receipts_dir))
 
 
 def dispatch_batch(batch: DataFrame, batch_id: int, handler: Callable[[DataFrame], DataFrame],
@@ -79,16 +82,17 @@ def dispatch_batch(batch: DataFrame, batch_id: int, handler: Callable[[DataFrame
     jobs = ev.jobs_of(batch).dropDuplicates(["delivery_id"]).withColumn("_bucket", receipt_bucket())
     jobs = jobs.persist()
     buckets = [r["_bucket"] for r in jobs.select("_bucket").distinct().collect()]
-    try:
-        receipts = (spark.read.parquet(receipts_dir)
-                    .where(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id)))
-        jobs = ev.pending_jobs(jobs, receipts)
-    except Exception:  # noqa: BLE001 - no receipts yet
-        pass
-    results = handler(jobs.drop("_bucket"))  # (delivery_id, ok, ...)
-    results = results.withColumn("batch_id", F.lit(batch_id))
-    results.write.mode("overwrite").parquet(f"{results_dir}/batch_id={batch_id}")
-    done = results.where(F.col("ok")).select(
+    pending = jobs
+    if path_exists(spark, receipts_dir):
+        ours = (F.col("buckets") != RECEIPT_BUCKETS) | F.col("bucket").isin(buckets)
+        receipts = spark.read.parquet(receipts_dir).where(ours & (F.col("batch_id") != batch_id))
+        pending = ev.pending_jobs(jobs, receipts)
+    results = handler(pending.drop("_bucket")).withColumn("batch_id", F.lit(batch_id))  # (delivery_id, ok, ...)
+    folder = f"{results_dir}/batch_id={batch_id}"
+    results.write.mode("overwrite").parquet(folder)
+    jobs.unpersist()
+    # The handler has run once, for the results; receipts come from what it has left.
+    done = spark.read.parquet(folder).where(F.col("ok")).select(
         "delivery_id", F.lit("COMPLETED").alias("state"), F.current_timestamp().alias("completed_at"))
     write_receipts(done, receipts_dir, batch_id)
 
@@ -130,8 +134,9 @@ def _pending_fn(key, pdfs: Iterator[pd.DataFrame], state):
     pending = state.get[0] if state.exists else False
     last = state.get[1] if state.exists else -1
     out = []
+    # Snapshots that arrive after a newer one of the same PR change nothing.
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    for r in rows.itertuples(index=False):
+    for r in rows[rows["seq"] > last].itertuples(index=False):
         merged = isinstance(r.merged_at, str) and r.merged_at != ""
         if merged:
             out.append((key[0], key[1], int(r.seq), "mine"))
@@ -145,17 +150,15 @@ def _pending_fn(key, pdfs: Iterator[pd.DataFrame], state):
                 out.append((key[0], key[1], int(r.seq), "pending"))
             pending = True
         last = int(r.seq)
-    if pending:
-        state.update((True, last))
-    else:
-        state.remove()
+    state.update((pending, last))
     if out:
         yield pd.DataFrame(out, columns=["repo", "pr_number", "seq", "action"])
 
 
 def pending_until_merged(observations: DataFrame) -> DataFrame:
     """I4: per (repo, PR), remember open PRs, mine merged ones (again on any later event),
-    forget closed unmerged ones. State lives in the state store, keyed by PR."""
+    forget closed unmerged ones. State lives in the state store, keyed by PR: one small row per
+    PR ever seen, as the sequence number of a closed one still decides what is late."""
     return observations.groupBy("repo", "pr_number").applyInPandasWithState(
         _pending_fn, PENDING_OUT, PENDING_STATE, "append", "NoTimeout")
 
