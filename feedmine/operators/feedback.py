@@ -117,8 +117,7 @@ def strict_guard(diffs: DataFrame, max_chars: int = MAX_FINAL_DIFF_CHARS) -> Dat
 
 
 # ---- C2 -------------------------------------------------------------------------
-def attach_replies(comments: DataFrame, roots: DataFrame, max_levels: int | None = None,
-                   checkpoint_every: int = 8) -> DataFrame:
+def attach_replies(comments: DataFrame, roots: DataFrame, checkpoint_every: int = 8) -> DataFrame:
     """All descendants of each root by any author, breadth-first, siblings in input order.
 
     ``comments``: (repo, pr_number, id, in_reply_to_id, login, body, created_at,
@@ -146,7 +145,7 @@ def attach_replies(comments: DataFrame, roots: DataFrame, max_levels: int | None
                             F.array().cast("array<long>").alias("path"))
     levels = []
     depth = 0
-    while max_levels is None or depth < max_levels:
+    while True:
         depth += 1
         nxt = (frontier.join(edges, (F.col("repo") == F.col("_erepo"))
                              & (F.col("pr_number") == F.col("_epr"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedmine.functions.notes import note_content, note_id
 from feedmine.operators import curate as cu
 from feedmine.operators.ordering import with_ordinal
+from feedmine.schemas import CATEGORIES, SEVERITIES
 from feedmine.sources import testdata as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,8 +439,7 @@ def a10_write_jobs(spark, d):
     from feedmine.session import checkpoint_dir
     root = f"{checkpoint_dir(spark).rstrip('/')}/queues-{uuid.uuid4().hex}"
     ev.write_jobs(ev.jobs_of(_routed(spark, d)), root)
-    back = spark.read.parquet(root)
-    return back.groupBy("work_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(root).select("work_type", "delivery_id", "event", "action", "repo", "pr_number")
 
 
 @query("b13_classify_failures")
@@ -503,7 +503,7 @@ def g4_all_notes(spark, d):
     arch, _ = va.architecture_notes(ev_, materialize(resp.select("repo", "pr_number", obj.alias("obj"),
                                                                   err.alias("error"))))
     allx = cu.all_notes(comment_notes.drop("ordinal"), arch)
-    return allx.groupBy("_kind", "comment_type").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_kind", "kind")
+    return allx.select("repo", "pr_number", "github_comment_id", "comment_type", "category", F.col("_kind").alias("kind"))
 
 
 # ---- streaming --------------------------------------------------------------------------
@@ -842,16 +842,22 @@ def a7_read_state(spark, d):
 
 
 def valid_fake_model(system: str, prompt: str) -> str:
-    """A stand-in model for J1: answers every analysis prompt with valid items."""
+    """A stand-in model for J1: answers every analysis prompt with valid items that follow from
+    the text of each comment in it."""
+    import hashlib
     import json
     import re
-    m = re.search(r"There are (\d+) comments above", prompt)
-    n = int(m.group(1)) if m else 0
-    item = {"category": "testing", "original_issue": "issue", "requested_change": "change", "rationale": "why",
-            "severity": "suggestion", "implemented": True, "include_in_vector_store": True,
-            "selection_rationale": "kept", "implementation_example": "example", "architecture_change": False,
-            "supersedes_prior_architecture": False}
-    text = json.dumps({"items": [item] * n})
+    comments, _, _ = prompt.partition("\n\n--- Final merged diff for ")
+    starts = [m.start() for m in re.finditer(r"^--- Comment \d+ ---$", comments, re.MULTILINE)]
+    items = []
+    for start, end in zip(starts, [*(s - 2 for s in starts[1:]), len(comments)], strict=True):
+        thread = comments[start:end]
+        items.append({
+            "category": CATEGORIES[len(thread) % len(CATEGORIES)], "severity": SEVERITIES[len(thread) % len(SEVERITIES)],
+            "original_issue": hashlib.sha256(thread.encode()).hexdigest(), "requested_change": thread, "rationale": "why",
+            "implemented": True, "include_in_vector_store": True, "selection_rationale": "kept",
+            "implementation_example": "example", "architecture_change": False, "supersedes_prior_architecture": False})
+    text = json.dumps({"items": items})
     return json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}]})
 
 
@@ -859,7 +865,7 @@ def valid_fake_model(system: str, prompt: str) -> str:
 def j1_annotate(spark, d):
     batched = rf.batched_roots(spark, d)
     notes = an.analyze_with_caller(batched, fx.pr_diffs(spark, d), valid_fake_model, "system")
-    return notes.select("github_comment_id", "comment_type", "category", "severity")
+    return notes.select("repo", "pr_number", "github_comment_id", "comment_type", "category", "severity", "original_issue")
 
 
 @query("i5_stream_mine")

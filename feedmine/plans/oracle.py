@@ -290,7 +290,7 @@ SELECT delivery_id, work_type, repo,
 FROM jobs_fx"""
 
 ORACLE["a10_write_jobs"] = _with(ofx.DELIVERIES) + """
-SELECT work_type, count(*) AS n FROM jobs_fx GROUP BY work_type"""
+SELECT work_type, delivery_id, event, action, repo, pr_number FROM jobs_fx"""
 
 ORACLE["b13_classify_failures"] = """
 SELECT event_id,
@@ -333,10 +333,16 @@ m AS (SELECT *, pr_number % 3 = 0 AS chg, pr_number % 4 <> 1 AS imp,
       FROM prs_fx WHERE coalesce(merged_at, '') <> ''),
 v AS (SELECT *, pr_number % 13 <> 4 AND NOT (inc AND NOT (chg AND imp)) AS ok FROM m)"""
 
-ORACLE["g4_all_notes"] = ANX.rstrip("\n") + "," + _ARCH_V + """
-SELECT 0 AS kind, 'review_comment' AS comment_type, count(*) AS n FROM rb_fx WHERE batch_id % 8 <> 6
+ORACLE["g4_all_notes"] = ANX.rstrip("\n") + "," + _ARCH_V + f"""
+SELECT repo, pr_number, github_comment_id, comment_type, ({ofx.CATS})[ordinal % 13 + 1] AS category, 0 AS kind
+FROM rb_fx WHERE batch_id % 8 <> 6
 UNION ALL
-SELECT 1, 'pull_request_architecture', count(*) FROM v WHERE ok AND inc"""
+SELECT repo, pr_number, -pr_number, 'pull_request_architecture', 'architecture', 1 FROM v WHERE ok AND inc"""
+
+ORACLE["j1_annotate"] = ANX + f"""
+SELECT repo, pr_number, github_comment_id, comment_type, ({ofx.CATS})[length(text) % 13 + 1] AS category,
+       ({ofx.SEVS})[length(text) % 3 + 1] AS severity, sha256(text) AS original_issue
+FROM rtext_fx"""
 
 # ---- streaming --------------------------------------------------------------------------
 ORACLE["i1_delivery_stream"] = ORACLE["h9_extract_job"]

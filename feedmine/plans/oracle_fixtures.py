@@ -25,15 +25,15 @@ notes_fx AS (
          CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE 'src/f' || CAST(d.doc_id % 17 AS VARCHAR) || '.py' END AS file_path,
          d.text AS original_body,
          ({CATS})[d.doc_id % 13 + 1] AS category,
-         substr(d.text, 1, 60) AS original_issue,
-         substr(d.text, 61, 60) AS requested_change,
+         substr(d.text, 1, length(d.text) // 2) AS original_issue,
+         substr(d.text, length(d.text) // 2 + 1) AS requested_change,
          'lang=' || d.lang AS rationale,
          ({SEVS})[d.doc_id % 3 + 1] AS severity,
          'u' || CAST(d.doc_id % 5 AS VARCHAR) AS reviewer,
          l.quality = 1 AS implemented,
          l.toxic = 0 AS include_in_vector_store,
          'fixture' AS selection_rationale,
-         CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE substr(d.text, 121, 40) END AS implementation_example,
+         CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END AS implementation_example,
          d.doc_id % 13 = 1 AS architecture_change,
          d.doc_id % 37 = 5 AS supersedes_prior_architecture,
          CASE WHEN d.doc_id % 10 = 0 THEN ''
@@ -222,12 +222,12 @@ walkb(repo, pr_number, root_id, node, depth, path, author, body) AS (
   FROM walkb w JOIN threads_fx t ON t.repo = w.repo AND t.pr_number = w.pr_number AND t.in_reply_to_id = w.node
 )"""
 
-# Thread roots only, in E1 order, batched by 8, with their thread text (H3).
+# All feedback in E1 order, batched by 8, with its thread text (H3).
 ROOT_BATCHES = """
 rord_fx AS (
   SELECT *, row_number() OVER (ORDER BY CAST(substr(repo, 6) AS INTEGER), pr_updated_at DESC, pr_number,
                                         kind_ord, item_ord, github_comment_id) - 1 AS ordinal
-  FROM feedback_fx WHERE comment_type = 'review_comment'
+  FROM feedback_fx
 ),
 rb_fx AS (SELECT *, ordinal // 8 AS batch_id, ordinal % 8 AS pos FROM rord_fx),
 rep_fx AS (
@@ -246,7 +246,7 @@ rtext_fx AS (
       'Trusted reviewer: ' || coalesce(b.reviewer, ''),
       'Root comment: ' || b.body,
       r.lines) AS text
-  FROM rb_fx b LEFT JOIN rep_fx r ON r.root_id = b.github_comment_id
+  FROM rb_fx b LEFT JOIN rep_fx r ON r.root_id = b.github_comment_id AND b.comment_type = 'review_comment'
 ),
 d1_fx AS (
   SELECT f.batch_id, f.repo, f.pr_number, f.first_pos, coalesce(d.final_diff, '') AS final_diff

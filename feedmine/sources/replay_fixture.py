@@ -1,6 +1,6 @@
 """Recorded model responses for the analysis path (the `replay` fixture).
 
-Built from the thread roots of the `threads` fixture in E1 order, batched by 8.
+Built from all three kinds of feedback in E1 order, batched by 8.
 Per batch b: attempt 1 is one item short when b mod 5 = 0 and carries severity
 'critical' when b mod 5 = 2, attempt 2 is then valid; when b mod 8 = 6 no attempt
 of three is valid (short, critical, blank). Architecture assessments are built
@@ -25,10 +25,8 @@ def _pick(values, index: Column) -> Column:
 
 def batched_roots(spark: SparkSession, d: str) -> DataFrame:
     reviewers = fb.normalize_reviewers(fx.TRUSTED_REVIEWERS, spark)[0]
-    empty = fx.reviews(spark, d).where(F.lit(False))
-    f = fb.normalize_feedback(fx.threads(spark, d), empty,
-                              fx.issue_comments(spark, d).where(F.lit(False)), fx.prs(spark, d),
-                              reviewers)
+    f = fb.normalize_feedback(fx.threads(spark, d), fx.reviews(spark, d), fx.issue_comments(spark, d),
+                              fx.prs(spark, d), reviewers)
     f = f.withColumn("repo_ord", F.substring("repo", 6, 10).cast("int"))
     return assign_batches(with_ordinal(f, fb.feedback_order()), 8)
 

@@ -172,15 +172,15 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("src/f"), (did % 17).cast("string"), F.lit(".py"))).alias("file_path"),
         F.col("text").alias("original_body"),
         category.alias("category"),
-        F.substring("text", 1, 60).alias("original_issue"),
-        F.substring("text", 61, 60).alias("requested_change"),
+        F.expr("substring(text, 1, length(text) div 2)").alias("original_issue"),
+        F.expr("substring(text, length(text) div 2 + 1)").alias("requested_change"),
         F.concat(F.lit("lang="), F.col("lang")).alias("rationale"),
         _pick(SEVERITIES, did % 3).alias("severity"),
         F.concat(F.lit("u"), (did % 5).cast("string")).alias("reviewer"),
         (F.col("quality") == 1).alias("implemented"),
         (F.col("toxic") == 0).alias("include_in_vector_store"),
         F.lit("fixture").alias("selection_rationale"),
-        F.when(did % 5 == 0, F.lit("")).otherwise(F.substring("text", 121, 40)).alias("implementation_example"),
+        F.when(did % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("implementation_example"),
         (category == "architecture").alias("architecture_change"),
         (did % 37 == 5).alias("supersedes_prior_architecture"),
         merged_at_of(did).alias("merged_at"),
