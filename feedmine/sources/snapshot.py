@@ -1,16 +1,21 @@
 """Versioned snapshots (A8), stage resume (A9) and the state tables.
 
-Each run writes every output table under ``<root>/<table>/version=N`` and then
-appends N to ``<root>/_commits``, the state row last. Readers take the newest
-committed N and read only that partition (partition pruning), so a run that fails
-midway stays invisible and the previous snapshot stays readable. A replayed
-micro-batch writes the same N again (overwrite of that partition only).
+A run writes its rows under ``<root>/<table>/version=N``, tables with a ``repo`` partitioned by
+it, and then appends N with the tables' schemas to ``<root>/_commits``, so a run that fails
+midway stays invisible and the previous snapshot stays readable. For each version of a
+partitioned table, ``<root>/_parts/<table>/version=N`` says which version holds each repo's rows.
+A run that changes few repos writes only those: the others keep the files of earlier
+versions. Readers join that small list, so partition pruning reaches the scan. A replayed
+micro-batch writes the same N again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedmine.schemas import FEEDBACK, NOTE, PENDING
 from feedmine.session import path_exists
@@ -28,29 +33,92 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return None if row is None or row["v"] is None else int(row["v"])
 
 
+def _schema(spark: SparkSession, root: str, version: int, name: str) -> T.StructType:
+    row = spark.read.parquet(f"{root}/{COMMITS}").where(F.col("version") == version).select(
+        F.col("tables")[name].alias("schema")).first()
+    if row is None or row["schema"] is None:
+        raise RuntimeError(f"version {version} of {name} is not committed")
+    return T.StructType.fromJson(json.loads(row["schema"]))
+
+
+def _parts(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
+    """(repo, data_version): where the rows of each repo lie in this version."""
+    return spark.read.schema("repo string, data_version int").parquet(f"{root}/_parts/{name}/version={version}")
+
+
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame],
-                     version: int | None = None, fail_after: str | None = None) -> int:
-    """Write all tables for a new version, then commit it. A version older than the newest is refused. ``fail_after`` (a table name)
-    simulates a crash after that table is written, for tests."""
+                     version: int | None = None, fail_after: str | None = None,
+                     touched: dict[str, DataFrame] | None = None) -> int:
+    """Write all tables for a new version, then commit it. A version older than the newest is refused.
+
+    ``touched`` names tables of which only some repos changed: its frame lists these repos, the
+    table's frame has all their rows, and no other repo's files are written. ``fail_after`` (a
+    table name) simulates a crash after that table is written, for tests.
+    """
     newest = latest_version(spark, root) or 0
     v = version if version is not None else newest + 1
     if v < newest:  # the newest itself may be written again: a replayed micro-batch
         raise ValueError(f"version {v} is older than the committed version {newest}")
     for name, df in tables.items():
-        (df.withColumn("version", F.lit(v)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("version").parquet(f"{root}/{name}"))
+        folder = f"{root}/{name}/version={v}"
+        writer = df.write.mode("overwrite")
+        if "repo" not in df.columns:
+            writer.parquet(folder)
+        else:
+            writer.partitionBy("repo").parquet(folder)
+            schema = T.StructType([*(f for f in df.schema if f.name != "repo"), T.StructField("repo", T.StringType())])
+            parts = (spark.read.schema(schema).parquet(folder).select("repo").distinct()
+                     .withColumn("data_version", F.lit(v)))
+            changed = (touched or {}).get(name)
+            # The newest version before this one, also when this one is being written again.
+            before = max((r["version"] for r in spark.read.parquet(f"{root}/{COMMITS}").select("version").distinct().collect()
+                          if r["version"] < v), default=0) if newest else 0
+            if changed is not None and before and path_exists(spark, f"{root}/_parts/{name}/version={before}"):
+                same = _parts(spark, root, name, before).alias("p").join(
+                    changed.select(F.col("repo").alias("_r")).distinct(), F.col("repo").eqNullSafe(F.col("_r")), "left_anti")
+                parts = parts.unionByName(same)
+            parts.coalesce(1).write.mode("overwrite").parquet(f"{root}/_parts/{name}/version={v}")
         if fail_after == name:
             raise RuntimeError(f"simulated failure after writing {name}")
-    commit = spark.createDataFrame([(v, sorted(tables))], "version int, tables array<string>")
+    commit = spark.createDataFrame([(v, {n: df.schema.json() for n, df in tables.items()})], "version int, tables map<string,string>")
     commit.write.mode("append").parquet(f"{root}/{COMMITS}")
     return v
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None,
+                  repos: DataFrame | None = None) -> DataFrame:
+    """A table of a committed version, the newest by default; of the listed ``repos`` only, if given."""
     v = version if version is not None else latest_version(spark, root)
     if v is None:
         raise RuntimeError("history is not initialised; run the batch job first")
-    return spark.read.parquet(f"{root}/{name}").where(F.col("version") == v).drop("version")
+    schema = _schema(spark, root, v, name)
+    if "repo" not in schema.names:
+        return spark.read.schema(schema).parquet(f"{root}/{name}/version={v}")
+    parts = _parts(spark, root, name, v)
+    if repos is not None:
+        parts = parts.join(repos.select(F.col("repo").alias("_r")).distinct(), F.col("repo").eqNullSafe(F.col("_r")), "left_semi")
+    parts = parts.select(F.col("repo").alias("_repo"), F.col("data_version").alias("_version"))
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("version", T.IntegerType())])).parquet(f"{root}/{name}")
+    return (rows.join(parts, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("version") == F.col("_version")))
+            .select(*schema.names))
+
+
+def drop_old_files(spark: SparkSession, root: str, name: str) -> int:
+    """Remove the files of a repo-partitioned table that its newest version doesn't refer to; how many.
+    Only for times when no reader is on an older version."""
+    v = latest_version(spark, root)
+    if v is None:
+        return 0
+    schema = _schema(spark, root, v, name)
+    parts = _parts(spark, root, name, v).select(F.col("repo").alias("_repo"), F.col("data_version").alias("_version"))
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("version", T.IntegerType())])).parquet(f"{root}/{name}")
+    files = rows.select("repo", "version", F.col("_metadata.file_path").alias("file")).distinct()
+    old = files.join(parts, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("version") == F.col("_version")), "left_anti")
+    paths = [r["file"] for r in old.collect()]
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+    return len(paths)
 
 
 def run_stage(spark: SparkSession, root: str, outputs: list[str], compute, resume: bool) -> dict[str, DataFrame]:

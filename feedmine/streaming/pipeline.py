@@ -166,19 +166,21 @@ def pending_until_merged(observations: DataFrame) -> DataFrame:
 # ---- I5 -------------------------------------------------------------------------------
 def mine_batch(keys: DataFrame, batch_id: int, state_root: str, base_version: int,
                incoming_for: Callable[[DataFrame], DataFrame]) -> None:
-    """One micro-batch of mined PR keys: read the state of the previous version,
-    mine, publish version ``base + batch_id + 1`` (state table last). A replayed batch
-    reads the same input version and overwrites the same output version."""
+    """One micro-batch of mined PR keys: read the state of the previous version, of the keys' repos
+    only, mine, publish version ``base + batch_id + 1`` (commit last). Repos without a key keep
+    their files. A replayed batch reads the same input version and overwrites the same
+    output version."""
     from feedmine.plans.mining import mine
+    from feedmine.session import materialize
     from feedmine.sources import snapshot as snap
 
     spark = keys.sparkSession
-    keys = keys.select("repo", "pr_number").distinct()
-    prior = snap.read_snapshot(spark, state_root, "notes", base_version + batch_id)
-    result = mine(prior, incoming_for(keys), keys)
-    snap.publish_snapshot(spark, state_root, {"removed": result.removed, "current": result.current,
-                                              "notes": result.active},
-                          version=base_version + batch_id + 1)
+    keys = materialize(keys.select("repo", "pr_number").distinct())
+    repos = keys.select("repo").distinct()
+    prior = snap.read_snapshot(spark, state_root, "notes", base_version + batch_id, repos=repos)
+    result = mine(prior, materialize(incoming_for(keys)), keys)
+    snap.publish_snapshot(spark, state_root, {"removed": result.removed, "current": result.current, "notes": result.active},
+                          version=base_version + batch_id + 1, touched={"notes": repos})
 
 
 def mining_stream(keys_stream: DataFrame, state_root: str, base_version: int,

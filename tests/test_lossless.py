@@ -188,3 +188,33 @@ def test_labels_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(90)], "a long, b long")
     labels = ru.connected_min_label(edges, spark.range(91).select(F.col("id").alias("node")))
     assert {r["label"] for r in labels.collect()} == {0}
+
+
+def files_of(root, table):
+    return {str(p.relative_to(root)): p for p in root.glob(f"{table}/version=*/repo=*/part-*.parquet")}
+
+
+def test_mining_writes_only_the_repos_it_touches(spark, tmp_path):
+    state = fx.wave_state(spark, SF_SMALL)
+    root = str(tmp_path)
+    snap.publish_snapshot(spark, root, {"notes": state}, version=1)
+    before = files_of(tmp_path, "notes")
+    assert sorted(map(str, snap.read_snapshot(spark, root, "notes").collect())) == sorted(map(str, state.collect()))
+    repo = state.groupBy("repo").count().orderBy(F.desc("count")).first()["repo"]
+    keys = state.where(F.col("repo") == repo).select("repo", "pr_number").distinct()
+    for batch in (0, 0):  # the second one replays the first
+        sp.mine_batch(keys, batch, root, 1, lambda k: state.limit(0))
+        fresh = {n: p for n, p in files_of(tmp_path, "notes").items() if n not in before}
+        assert all(p.parent.name == f"repo={repo}" for p in fresh.values()) and set(before) <= set(files_of(tmp_path, "notes"))
+        now = snap.read_snapshot(spark, root, "notes").collect()
+        kept = state.where(F.col("repo") != repo).collect()
+        assert sorted(map(str, now)) == sorted(map(str, kept))
+    assert snap.read_snapshot(spark, root, "notes", 1).count() == state.count()
+    old = [p for p in before.values() if p.parent.name == f"repo={repo}"]
+    assert snap.drop_old_files(spark, root, "notes") == len(old) and not any(p.exists() for p in old)
+    assert sorted(map(str, snap.read_snapshot(spark, root, "notes").collect())) == sorted(map(str, kept))
+
+
+def test_snapshot_of_an_empty_table(spark, tmp_path):
+    snap.publish_snapshot(spark, str(tmp_path), {"p": spark.createDataFrame([], "repo string, n long"), "q": spark.createDataFrame([], "n long")})
+    assert snap.read_snapshot(spark, str(tmp_path), "p").collect() == [] and snap.read_snapshot(spark, str(tmp_path), "q").collect() == []
