@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmine.schemas import FEEDBACK_FIELDS, MAX_FINAL_DIFF_CHARS, REPLY
 from feedmine.functions.text import is_blank, strip
+from feedmine.operators.joins import broadcast_if_small
+from feedmine.schemas import FEEDBACK_FIELDS, MAX_FINAL_DIFF_CHARS, REPLY
 from feedmine.session import checkpoint_dir, materialize
 
 KIND_ORDER = {"review_comment": 0, "review_summary": 1, "issue_comment": 2}
@@ -69,16 +70,15 @@ def normalize_reviewers(names: DataFrame | list | str, spark: SparkSession | Non
 
 # ---- B3 -------------------------------------------------------------------------
 def trusted_only(df: DataFrame, reviewers: DataFrame, login_col: str = "login",
-                 reviewer_bound: int | None = 10_000) -> DataFrame:
+                 reviewer_bound: int = 10_000) -> DataFrame:
     """Keep rows whose login is a trusted reviewer, ignoring case.
 
-    The reviewer list is configuration (bounded), so it is broadcast for a
-    left-semi join: the feedback side is never shuffled. A missing author is ''
+    The reviewer list is configuration, so it is broadcast for a left-semi join if it has
+    no more than ``reviewer_bound`` rows: the feedback side is never shuffled then. A missing author is ''
     and never matches (the reference crashes on a null user; here it is untrusted).
     """
     trusted = reviewers.select(F.lower(strip(F.col("name"))).alias("_lc")).distinct()
-    if reviewer_bound is not None:
-        trusted = F.broadcast(trusted)
+    trusted = broadcast_if_small(trusted, reviewer_bound)
     lc = F.lower(F.coalesce(F.col(login_col), F.lit("")))
     return df.join(trusted, lc == F.col("_lc"), "left_semi")
 

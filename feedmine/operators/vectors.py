@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedmine.functions.notes import note_content, note_id
 from feedmine.functions.text import is_blank
-from feedmine.operators.joins import BROADCAST_ROW_LIMIT
+from feedmine.operators.joins import BROADCAST_BYTES, fits_broadcast
 
 INDEX_COLUMNS = ["id", "content", "content_vector", "reviewer", "repo", "pr_number",
                  "github_comment_id", "pr_url", "file_path", "category", "severity", "merged_at"]
@@ -131,15 +131,15 @@ def search(index: DataFrame, query_vector: list[float], repo: str, limit: int =
 
 
 def search_many(index: DataFrame, queries: DataFrame, k: int,
-                query_row_bound: int | None = None, salt_buckets: int = 64,
+                broadcast_bytes: int = BROADCAST_BYTES, salt_buckets: int = 64,
                 reviewers_col: str | None = None) -> DataFrame:
     """K5: K4 for a table of queries (query_id, repo, query_vector[, reviewers]).
 
-    With a proven bound on the number of queries, the queries are broadcast and the
+    Queries that, measured, take no more than ``broadcast_bytes`` are broadcast and the
     index is scanned in place: no shuffle of the index, and a repo holding a third of
     all rows is spread over all of its file splits. The per-query top-k is computed
     as a partial limit inside each task before the shuffle, so at most k rows per
-    query and task move. Without a bound, both sides are salted on a hash of the
+    query and task move. More queries than that are joined, and both sides salted on a hash of the
     note id so that a hot repo is split over ``salt_buckets`` tasks.
     Returns (query_id, id, rank, plus the stored fields).
     """
@@ -150,7 +150,7 @@ def search_many(index: DataFrame, queries: DataFrame, k: int,
     if reviewers_col:
         qcols.append(F.col(reviewers_col).alias("_qrev"))
     q = queries.select(*qcols)
-    if query_row_bound is not None and query_row_bound <= BROADCAST_ROW_LIMIT // 10:
+    if broadcast_bytes and fits_broadcast(q := q.persist(), broadcast_bytes):
         joined = index.join(F.broadcast(q), F.col("repo") == F.col("_qrepo"))
     else:
         salted_index = index.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt_buckets)))

@@ -116,14 +116,14 @@ def k4_search(spark, d):
 @query("k5_search_many")
 def k5_search_many(spark, d):
     index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
-    res = vx.search_many(index, fx.vector_queries(spark, d), k=8, query_row_bound=100_000)
+    res = vx.search_many(index, fx.vector_queries(spark, d), k=8)
     return res.select("query_id", "id", "github_comment_id", "rank")
 
 
 @query("k5_search_many_salted")
 def k5_search_many_salted(spark, d):
     index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
-    res = vx.search_many(index, fx.vector_queries(spark, d), k=8, salt_buckets=16)
+    res = vx.search_many(index, fx.vector_queries(spark, d), k=8, salt_buckets=16, broadcast_bytes=0)
     return res.select("query_id", "id", "github_comment_id", "rank")
 
 
@@ -658,7 +658,7 @@ def _vector_index(spark, d):
 @query("i6_review_evidence")
 def i6_review_evidence(spark, d):
     ev_ = rplan.review_evidence(fx.review_heads(spark, d), fx.review_query_vectors(spark, d),
-                                _vector_index(spark, d), fx.TRUSTED_REVIEWERS, query_row_bound=10_000)
+                                _vector_index(spark, d), fx.TRUSTED_REVIEWERS)
     return ev_.select("query_id", "github_comment_id", "rank")
 
 
@@ -669,7 +669,7 @@ def i6_review_context(spark, d):
         heads, fx.changed_files(spark, d), fx.open_diffs(spark, d), fx.review_query_vectors(spark, d),
         _vector_index(spark, d), fx.tree(spark, d), fx.selections(spark, d), fx.blobs(spark, d),
         fx.TRUSTED_REVIEWERS, file_cap=fx.TREE_FILE_CAP, manifest_cap=fx.TREE_TOTAL_CAP,
-        budget=fx.CONTEXT_BUDGET, query_row_bound=10_000)
+        budget=fx.CONTEXT_BUDGET)
     return out.select("repo", "pr_number", "n_evidence", "context_chars", "prompt_chars", "reason")
 
 

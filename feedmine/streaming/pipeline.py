@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedmine.operators import events as ev
-from feedmine.session import path_exists
 from feedmine.schemas import DEAD_LETTER_RETENTION_DAYS, ENVELOPE, MAX_RECEIVES
+from feedmine.session import materialize, path_exists
 
 LANDED_ENVELOPE = T.StructType(list(ENVELOPE.fields) + [
     T.StructField("event_id", T.LongType()), T.StructField("copy", T.IntegerType()),
@@ -78,9 +78,14 @@ def dispatch_batch(batch: DataFrame, batch_id: int, handler: Callable[[DataFrame
     the delivery ids in this batch are read (at most ``RECEIPT_BUCKETS`` small ints
     reach the driver, never receipts or jobs).
     """
-    spark = batch.sparkSession
-    jobs = ev.jobs_of(batch).dropDuplicates(["delivery_id"]).withColumn("_bucket", receipt_bucket())
-    jobs = jobs.persist()
+    dispatch_jobs(ev.jobs_of(batch).dropDuplicates(["delivery_id"]), batch_id, handler, receipts_dir, results_dir)
+
+
+def dispatch_jobs(jobs: DataFrame, batch_id: int, handler: Callable[[DataFrame], DataFrame],
+                  receipts_dir: str, results_dir: str) -> None:
+    """The jobs without a receipt through the handler, once; results, then receipts."""
+    spark = jobs.sparkSession
+    jobs = jobs.withColumn("_bucket", receipt_bucket()).persist()
     buckets = [r["_bucket"] for r in jobs.select("_bucket").distinct().collect()]
     pending = jobs
     if path_exists(spark, receipts_dir):
@@ -119,6 +124,55 @@ def split_failures(receives: DataFrame, max_receives: int = MAX_RECEIVES) -> Dat
                       status.alias("status"))
 
 
+def _batch_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The rows that the newest batch before ``batch_id`` left in a folder keyed by batch."""
+    if not path_exists(spark, folder):
+        return None
+    rows = spark.read.parquet(folder)
+    before = rows.where(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+    return None if before is None else rows.where(F.col("batch_id") == before)
+
+
+def retry_batch(batch: DataFrame, batch_id: int, handler: Callable[[DataFrame], DataFrame], root: str,
+                max_receives: int = MAX_RECEIVES) -> None:
+    """One micro-batch with retries: the new jobs and those that wait from the batch before go to the
+    handler together. What succeeds gets a receipt; what fails, or gets no answer, waits for the next
+    batch; what has failed ``max_receives`` times goes to the dead letters, partitioned by date.
+
+    ``waiting`` holds for each batch all jobs that still wait, so one batch of it is the whole
+    state and a replayed batch starts from the same jobs and overwrites the same folders. An
+    empty batch only tries the waiting jobs again.
+    """
+    spark = batch.sparkSession
+    jobs = ev.jobs_of(batch).dropDuplicates(["delivery_id"]).withColumn("receives", F.lit(0).cast("long"))
+    waiting = _batch_before(spark, f"{root}/waiting", batch_id)
+    if waiting is not None:
+        waiting = waiting.where(F.col("delivery_id").isNotNull()).select(*jobs.columns)
+        jobs = jobs.join(waiting.select("delivery_id"), "delivery_id", "left_anti").select(*waiting.columns).unionByName(waiting)
+    jobs = materialize(jobs)
+    dispatch_jobs(jobs, batch_id, handler, f"{root}/receipts", f"{root}/results")
+    ok = spark.read.parquet(f"{root}/results/batch_id={batch_id}").where("ok").select("delivery_id")
+    completed = spark.read.parquet(f"{root}/receipts") if path_exists(spark, f"{root}/receipts") else None
+    failed = jobs.join(ok, "delivery_id", "left_anti")
+    if completed is not None:
+        failed = ev.pending_jobs(failed, completed.where(F.col("batch_id") < batch_id))
+    failed = materialize(failed.withColumn("receives", F.col("receives") + 1).select(*jobs.columns))
+    dead = failed.where(F.col("receives") >= max_receives).withColumn("last_at", F.current_timestamp())
+    (dead.withColumn("date", F.to_date("last_at")).write.mode("overwrite").partitionBy("date")
+     .parquet(f"{root}/dead/batch_id={batch_id}"))
+    # A row without a delivery marks the batch, so that a batch after which nothing waits shows too.
+    mark = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in failed.schema))
+    (failed.where(F.col("receives") < max_receives).unionByName(mark)
+     .write.mode("overwrite").parquet(f"{root}/waiting/batch_id={batch_id}"))
+
+
+def dispatch_retrying(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], root: str, checkpoint: str) -> None:
+    q = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, i: retry_batch(b, i, handler, root))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def dead_letters_kept(dead: DataFrame, now_col=None, days: int = DEAD_LETTER_RETENTION_DAYS) -> DataFrame:
     """Retention: dead letters older than ``days`` are dropped (a filter on the date)."""
     now = now_col if now_col is not None else F.current_timestamp()
@@ -171,7 +225,6 @@ def mine_batch(keys: DataFrame, batch_id: int, state_root: str, base_version: in
     their files. A replayed batch reads the same input version and overwrites the same
     output version."""
     from feedmine.plans.mining import mine
-    from feedmine.session import materialize
     from feedmine.sources import snapshot as snap
 
     spark = keys.sparkSession

@@ -218,3 +218,35 @@ def test_mining_writes_only_the_repos_it_touches(spark, tmp_path):
 def test_snapshot_of_an_empty_table(spark, tmp_path):
     snap.publish_snapshot(spark, str(tmp_path), {"p": spark.createDataFrame([], "repo string, n long"), "q": spark.createDataFrame([], "n long")})
     assert snap.read_snapshot(spark, str(tmp_path), "p").collect() == [] and snap.read_snapshot(spark, str(tmp_path), "q").collect() == []
+
+
+def test_failed_jobs_wait_and_the_fifth_failure_is_dead(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sp.ev, "jobs_of", lambda b: b)
+    schema = "version int, delivery_id string, work_type string, event string, action string, repo string, pr_number long"
+    jobs = lambda *ids: spark.createDataFrame([(1, i, "mining", "e", "a", "r", 1) for i in ids], schema)
+    folder, root = str(tmp_path / "calls"), str(tmp_path)
+    (tmp_path / "calls").mkdir()
+
+    def handler(df):
+        def run(batches):
+            import os
+            import uuid
+            for pdf in batches:
+                tries = []
+                for i in pdf["delivery_id"]:
+                    tries.append(sum(n.startswith(f"{i}-") for n in os.listdir(folder)))
+                    open(f"{folder}/{i}-{uuid.uuid4().hex}", "w").close()
+                ok = [i == "good" or i == "third" and n == 2 for i, n in zip(pdf["delivery_id"], tries, strict=True)]
+                yield pd.DataFrame({"delivery_id": pdf["delivery_id"], "ok": ok})[pdf["delivery_id"] != "mute"]
+        return df.select("delivery_id").mapInPandas(run, "delivery_id string, ok boolean")
+
+    sp.retry_batch(jobs("good", "third", "never", "mute"), 0, handler, root)
+    sp.retry_batch(jobs("good", "never"), 1, handler, root)  # sent again: one is done, the other waits already
+    for batch in range(2, 7):
+        sp.retry_batch(jobs(), batch, handler, root)
+    calls = [p.name.split("-")[0] for p in (tmp_path / "calls").iterdir()]
+    assert {i: calls.count(i) for i in set(calls)} == {"good": 1, "third": 3, "never": 5, "mute": 5}
+    assert sorted(r["delivery_id"] for r in spark.read.parquet(f"{root}/receipts").collect()) == ["good", "third"]
+    dead = spark.read.option("basePath", f"{root}/dead").parquet(f"{root}/dead/batch_id=*/date=*")
+    assert sorted((r["delivery_id"], r["receives"]) for r in dead.collect()) == [("mute", 5), ("never", 5)]
+    assert spark.read.parquet(f"{root}/waiting/batch_id=6").where("delivery_id IS NOT NULL").count() == 0
