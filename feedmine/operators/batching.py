@@ -83,7 +83,7 @@ def architecture_prompts(evidence: DataFrame, repo: Column | None = None) -> Dat
         F.lit("\n\nFinal merged diff:\n"), F.coalesce("final_diff", F.lit("")))
     return evidence.select(
         "*", F.when(r.isNull() | (r == ""), F.lit(None)).otherwise(prompt).alias("prompt"),
-        F.when(r.isNull() | (r == ""), F.lit("architecture assessment requires a repository"))
+        F.when(r.isNull() | (r == ""), F.lit("no repository for the assessment"))
         .alias("reason"))
 
 

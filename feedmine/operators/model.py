@@ -53,10 +53,10 @@ def response_object(raw: Column, mode: str = "responses") -> tuple[Column, Colum
     """(variant object, error). Blank text, invalid JSON and a non-object are errors."""
     text = response_text(raw, mode)
     v = F.try_parse_json(text)
-    err = (F.when(is_blank(text), F.lit("model returned no output text"))
-           .when(v.isNull(), F.lit("model returned invalid JSON"))
+    err = (F.when(is_blank(text), F.lit("empty model answer"))
+           .when(v.isNull(), F.lit("model answer is not JSON"))
            .when(~F.schema_of_variant(v).startswith("OBJECT"),
-                 F.lit("model JSON response must be an object")))
+                 F.lit("model answer is no JSON object")))
     return F.when(err.isNull(), v), err
 
 

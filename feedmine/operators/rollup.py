@@ -212,47 +212,54 @@ def synthesis_prompts(notes: DataFrame, reviewers: list[str], chunk: int = SYNTH
 
 
 # ---- J3 --------------------------------------------------------------------------------
-CHUNK_SUFFIX = ("\n\nThis is a partial chunk of a larger note set — produce condensed bullet "
-                "patterns per category rather than a full skill file; a later pass will merge chunks.")
+CHUNK_NOTE = ("\n\nThese notes are one part of a larger set. Answer with short patterns for each "
+              "category; the answers to all parts are put together later.")
+MERGE_NOTE = ("The texts below each sum up one part of the notes. Put them together into one document, "
+              "name every pattern once, and keep to the structure asked for.")
+MERGE_FAN_IN = 50
 
 
 def _call_all(prompts: DataFrame, caller: Callable[[str, str], str], system: str) -> DataFrame:
+    """One call per row, spread over the shuffle partitions; kept, as answers can't be made again."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"],
                                 "text": [caller(system, p) for p in pdf["prompt"]]})
-    return materialize(prompts.select("chunk_id", "prompt").mapInPandas(run, "chunk_id long, text string"))
+    tasks = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(prompts.select("chunk_id", "prompt").repartition(tasks, "chunk_id")
+                       .mapInPandas(run, "chunk_id long, text string"))
 
 
 def synthesize(notes: DataFrame, caller: Callable[[str, str], str], system: str, reviewers: list[str],
-               chunk: int = SYNTHESIS_CHUNK_SIZE, ordinal: str = "ordinal") -> tuple[DataFrame, int]:
+               chunk: int = SYNTHESIS_CHUNK_SIZE, ordinal: str = "ordinal", chunk_note: str = CHUNK_NOTE,
+               merge_note: str = MERGE_NOTE, fan_in: int = MERGE_FAN_IN) -> tuple[DataFrame, int]:
     """≤ ``chunk`` notes: one call; more: one call per chunk (in parallel, order kept by
-    chunk id), then one merge call over the chunk texts joined with ``---``.
+    chunk id), then merge calls over at most ``fan_in`` texts each, joined with ``---``, in
+    levels until one text is left. So no row holds more than ``fan_in`` texts.
 
-    Returns (one-row DataFrame ``text``, number of calls). The merge call runs on an
-    executor; its input is the chunk summaries (one per ``chunk`` notes), not the notes.
+    Returns (one-row DataFrame ``text``, number of calls).
     """
-    if chunk < 1:
-        raise ValueError("max_notes_per_call must be at least 1")
+    if chunk < 1 or fan_in < 2:
+        raise ValueError("chunks hold at least one note and merges at least two texts")
     prompts = synthesis_prompts(notes, reviewers, chunk, ordinal)
-    n_chunks = prompts.count()
-    if n_chunks == 0:
+    n = prompts.count()
+    if n == 0:
         spark = notes.sparkSession
         prompts = spark.createDataFrame([(0, 0, synthesis_prompts_empty(reviewers))],
                                         "chunk_id long, n_notes long, prompt string")
-        n_chunks = 1
-    if n_chunks == 1:
-        return _call_all(prompts, caller, system).select("text"), 1
-    texts = _call_all(prompts, caller, system + CHUNK_SUFFIX)
-    names = ", ".join(reviewers)
-    head = (f"Trusted reviewer GitHub usernames: {names}\n\nBelow are condensed pattern summaries "
-            "from multiple chunks of this engineer's review history. Merge them into one final "
-            "skill file, deduplicating overlapping items and following the structure described "
-            "in your instructions.\n\n")
-    merge = texts.agg(F.concat(F.lit(head), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n\n---\n\n"))
-        .alias("prompt")).select(F.lit(0).cast("long").alias("chunk_id"), "prompt")
-    return _call_all(merge, caller, system).select("text"), n_chunks + 1
+        n = 1
+    calls = n
+    texts = _call_all(prompts, caller, system + chunk_note if n > 1 else system)
+    head = f"Trusted reviewer GitHub usernames: {', '.join(reviewers)}\n\n{merge_note}\n\n"
+    while n > 1:
+        group = F.floor(F.col("chunk_id") / fan_in).cast("long")
+        merge = texts.groupBy(group.alias("chunk_id")).agg(F.concat(F.lit(head), F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col("chunk_id").alias("k"), "text"))), lambda x: x["text"]), "\n\n---\n\n"))
+            .alias("prompt"))
+        n = -(-n // fan_in)
+        calls += n
+        texts = _call_all(merge, caller, system)
+    return texts.select("text"), calls
 
 
 def synthesis_prompts_empty(reviewers: list[str]) -> str:

@@ -732,7 +732,7 @@ def h16_synthesis_prompts(spark, d):
     act = with_ordinal(_active_ordered(spark, d).drop("ordinal").withColumn("_o", F.col("github_comment_id")),
                        [F.coalesce("merged_at", F.lit("")), F.col("_o")])
     p = ru.synthesis_prompts(act, fx.TRUSTED_REVIEWERS, chunk=400)
-    return p.select("chunk_id", "n_notes", F.length("prompt").cast("long").alias("prompt_chars"))
+    return p.select("chunk_id", "n_notes", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
 def fake_model(system: str, prompt: str) -> str:
@@ -746,7 +746,7 @@ def j3_synthesize(spark, d):
     act = with_ordinal(_active_ordered(spark, d).drop("ordinal").withColumn("_o", F.col("github_comment_id")),
                        [F.coalesce("merged_at", F.lit("")), F.col("_o")])
     text, calls = ru.synthesize(act, fake_model, "system", fx.TRUSTED_REVIEWERS, chunk=400)
-    return text.select(F.lit(calls).cast("long").alias("calls"), F.length("text").cast("long").alias("text_chars"))
+    return text.select(F.lit(calls).cast("long").alias("calls"), "text")
 
 
 @query("a1_read_pages")
@@ -816,12 +816,13 @@ def a9_run_stage(spark, d):
 @query("a6_write_skill")
 def a6_write_skill(spark, d):
     bands = ru.skill_bands(_active_ordered(spark, d))
-    lines = bands.select(F.concat(F.lit("- ["), F.col("category"), F.lit("] "), F.col("instruction"),
+    one_line = F.trim(F.regexp_replace("instruction", r"(?U)\s+", " "))  # an item is one line of the document
+    lines = bands.select(F.concat(F.lit("- ["), F.col("category"), F.lit("] "), one_line,
                                   F.lit(" (support "), F.col("support").cast("string"), F.lit(")"),
                                   F.when(F.col("blocking"), F.lit(" blocking")).otherwise(F.lit(""))).alias("text"),
                          "category", "first_ordinal")
     path = _scratch(spark, "a6")
-    lines.orderBy("category", "first_ordinal").select("text").write.text(path)
+    snap.write_skill(lines.orderBy("category", "first_ordinal"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 

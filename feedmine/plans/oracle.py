@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from feedmine.operators.rollup import CHUNK_NOTE, MERGE_NOTE
 from feedmine.plans import oracle_fixtures as ofx
+from feedmine.sources.testdata import TRUSTED_REVIEWERS
 
 ORACLE: dict[str, str] = {}
 
@@ -180,7 +182,7 @@ WHERE coalesce(p.merged_at, '') <> ''"""
 
 ORACLE["h12_response_object"] = ANX + """
 SELECT batch_id, attempt, kind <> 'blank' AS is_object,
-       CASE WHEN kind = 'blank' THEN 'model returned no output text' END AS error
+       CASE WHEN kind = 'blank' THEN 'empty model answer' END AS error
 FROM attempts_fx"""
 
 ORACLE["j2_replay"] = ANX + """
@@ -189,14 +191,14 @@ SELECT batch_id, attempt FROM attempts_fx"""
 ORACLE["c3_pair_items"] = ANX + """
 SELECT batch_id, attempt,
        CASE WHEN kind IN ('ok', 'critical') THEN n_items ELSE 0 END AS n_paired,
-       CASE WHEN kind = 'short' THEN 'analysis response returned ' || CAST(n_items - 1 AS VARCHAR) || ' items for '
-                                     || CAST(n_items AS VARCHAR) || ' comments'
-            WHEN kind = 'blank' THEN 'model returned no output text' END AS reason
+       CASE WHEN kind = 'short' THEN 'got ' || CAST(n_items - 1 AS VARCHAR) || ' items, expected '
+                                     || CAST(n_items AS VARCHAR)
+            WHEN kind = 'blank' THEN 'empty model answer' END AS reason
 FROM attempts_fx"""
 
 ORACLE["h10_validate_items"] = ANX + """
 SELECT a.batch_id, a.attempt, b.pos,
-       CASE WHEN a.kind = 'critical' AND b.pos = 0 THEN 'invalid severity: ''critical''' ELSE '' END AS errors
+       CASE WHEN a.kind = 'critical' AND b.pos = 0 THEN 'unknown severity ''critical''' ELSE '' END AS errors
 FROM attempts_fx a JOIN rb_fx b ON b.batch_id = a.batch_id
 WHERE a.kind IN ('ok', 'critical')"""
 
@@ -229,9 +231,9 @@ m AS (SELECT *, pr_number % 3 = 0 AS chg, pr_number % 4 <> 1 AS imp,
                   ELSE pr_number % 3 = 0 AND pr_number % 4 <> 1 AND pr_number % 5 <> 0 END AS inc
       FROM prs_fx WHERE coalesce(merged_at, '') <> ''),
 v AS (SELECT *, concat_ws('; ',
-          CASE WHEN pr_number % 13 = 4 THEN 'architecture assessment field ''rationale'' must be non-empty' END,
+          CASE WHEN pr_number % 13 = 4 THEN 'assessment rationale: text expected' END,
           CASE WHEN inc AND NOT (chg AND imp)
-               THEN 'architecture assessment cannot include an unimplemented decision' END) AS reason
+               THEN 'assessment keeps a decision that is not implemented' END) AS reason
       FROM m)
 SELECT pr_number, -pr_number AS github_comment_id,
        coalesce(nullif(body, ''), 'summary ' || CAST(pr_number AS VARCHAR)) AS original_body,
@@ -423,7 +425,7 @@ SELECT sha, status, CASE WHEN status = 'ok' THEN CAST(length(html) AS BIGINT) EN
 
 ORACLE["e3_within_budget"] = _with(ofx.PRS, ofx.TREE, ofx.BLOBS, ofx.CONTEXT) + """
 SELECT repo, pr_number, CASE WHEN mx <= 5000 THEN CAST(chars AS BIGINT) END AS context_chars,
-       CASE WHEN mx > 5000 THEN 'selected repository context exceeds the total limit' END AS reason
+       CASE WHEN mx > 5000 THEN 'selected files exceed the context budget' END AS reason
 FROM budget_fx"""
 
 ORACLE["i6_review_evidence"] = _with(ofx.PRS, *VX) + """,
@@ -465,6 +467,40 @@ SELECT category, sha256(trim(regexp_replace(lower(requested_change), '\\s+', ' '
        bool_or(severity = 'blocking') AS blocking
 FROM active_fx GROUP BY category, trim(regexp_replace(lower(requested_change), '\\s+', ' ', 'g'))"""
 
+ORACLE["a6_write_skill"] = _with(*CURATED) + """,
+bands AS (
+  SELECT category, arg_min(requested_change, ordinal) AS instruction, count(*) AS support, bool_or(severity = 'blocking') AS blocking
+  FROM active_fx GROUP BY category, trim(regexp_replace(lower(requested_change), '\\s+', ' ', 'g')))
+SELECT '- [' || category || '] ' || trim(regexp_replace(instruction, '\\s+', ' ', 'g')) || ' (support ' || support || ')'
+       || CASE WHEN blocking THEN ' blocking' ELSE '' END AS line
+FROM bands"""
+
+_SYNTHESIS = _with(*CURATED) + """,
+o AS (SELECT *, row_number() OVER (ORDER BY coalesce(merged_at, ''), github_comment_id) - 1 AS n FROM active_fx),
+c AS (
+  SELECT n // 400 AS chunk_id, count(*) AS n_notes,
+         string_agg(to_json({'category': category, 'severity': severity, 'original_issue': original_issue,
+                             'requested_change': requested_change, 'rationale': rationale,
+                             'implementation_example': coalesce(implementation_example, '')}), ',' ORDER BY n) AS notes
+  FROM o GROUP BY n // 400),
+p AS (
+  SELECT chunk_id, n_notes, 'Trusted reviewer GitHub usernames: REVIEWERS' || chr(10) || 'Total review notes: ' || n_notes
+         || chr(10) || chr(10) || 'Notes (JSON array):' || chr(10) || '[' || notes || ']' AS prompt
+  FROM c)""".replace("REVIEWERS", ", ".join(TRUSTED_REVIEWERS))
+
+ORACLE["h16_synthesis_prompts"] = _SYNTHESIS + """
+SELECT chunk_id, n_notes, sha256(prompt) AS prompt_sha FROM p"""
+
+# The stand-in model answers with a hash of what it is given. Up to 50 chunks meet in one merge call.
+ORACLE["j3_synthesize"] = _SYNTHESIS + f""",
+t AS (SELECT chunk_id, 'summary ' || substr(sha256('system' || CASE WHEN (SELECT count(*) FROM p) > 1 THEN '{CHUNK_NOTE}' ELSE '' END
+                                                   || prompt), 1, 16) AS text FROM p),
+m AS (SELECT count(*) AS n, min(text) AS one, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_id) AS texts FROM t)
+SELECT CASE WHEN n > 1 THEN n + 1 ELSE n END AS calls,
+       CASE WHEN n = 1 THEN one ELSE 'summary ' || substr(sha256('system' || 'Trusted reviewer GitHub usernames: {", ".join(TRUSTED_REVIEWERS)}'
+            || chr(10) || chr(10) || '{MERGE_NOTE}' || chr(10) || chr(10) || texts), 1, 16) END AS text
+FROM m"""
+
 ORACLE["d4_exact_duplicates"] = """
 WITH n AS (SELECT doc_id, lang, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, h) AS rep FROM n"""

@@ -384,14 +384,14 @@ sel2_fx AS (
 ),
 checks_fx AS (
   SELECT s.repo,
-    CASE WHEN len(s.paths) > 8 THEN 'context selection requested more than 8 files'
-         WHEN len(list_distinct(s.paths)) <> len(s.paths) THEN 'context selection paths must be unique'
+    CASE WHEN len(s.paths) > 8 THEN 'selection has over 8 files'
+         WHEN len(list_distinct(s.paths)) <> len(s.paths) THEN 'selection repeats a path'
          WHEN (SELECT count(*) FROM unnest(s.paths) u(p) WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo)) > 0
-           THEN 'context selection requested unknown path: ' ||
+           THEN 'selection has an unknown path: ' ||
                 (SELECT p FROM unnest(s.paths) WITH ORDINALITY u(p, o)
                  WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo) ORDER BY o LIMIT 1)
          WHEN (SELECT coalesce(sum(m.size), 0) FROM unnest(s.paths) u(p) JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p) > 120000
-           THEN 'selected repository context exceeds the total limit'
+           THEN 'selected files exceed the context budget'
     END AS reason
   FROM sel2_fx s
 )"""
@@ -399,8 +399,8 @@ checks_fx AS (
 BLOBS = """
 blobdec_fx AS (
   SELECT sha256(html) AS sha,
-         CASE WHEN page_id % 29 = 3 THEN 'error: unsupported repository blob'
-              WHEN page_id % 31 = 4 THEN 'error: invalid base64 blob content'
+         CASE WHEN page_id % 29 = 3 THEN 'error: unsupported blob encoding'
+              WHEN page_id % 31 = 4 THEN 'error: invalid base64 in blob'
               WHEN octet_length(encode(html)) > 5000 THEN 'skipped: too large'
               ELSE 'ok' END AS status,
          html

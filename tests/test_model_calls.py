@@ -24,5 +24,5 @@ def test_caller_notes_and_failure_after_three_attempts(spark):
     batched = rf.batched_roots(spark, SF_SMALL)
     notes = an.analyze_with_caller(batched, fx.pr_diffs(spark, SF_SMALL), valid_fake_model, "system")
     assert notes.count() == batched.count()
-    with pytest.raises(RuntimeError, match="failed after 3 attempts"):
+    with pytest.raises(RuntimeError, match="no valid answer after 3 attempts"):
         an.analyze_with_caller(batched, fx.pr_diffs(spark, SF_SMALL), short_for_some, "system")

@@ -46,11 +46,11 @@ def test_selection_checks(spark):
     got = sorted((r["repo"], r["reason"]) for r in checks.collect())
     reasons = [r for _, r in got]
     assert reasons.count(None) == 1
-    assert "context selection must contain only a paths array" in reasons
-    assert "context selection paths must be unique" in reasons
-    assert "context selection requested unknown path: zz" in reasons
-    assert "context selection paths must be non-empty strings" in reasons
-    assert "context selection requested more than 8 files" in reasons
+    assert "selection is not just a list of paths" in reasons
+    assert "selection repeats a path" in reasons
+    assert "selection has an unknown path: zz" in reasons
+    assert "selection has a path that is no text" in reasons
+    assert "selection has over 8 files" in reasons
 
 
 def test_blob_decoding(spark):
