@@ -89,10 +89,11 @@ def skill_bands(notes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def exact_groups(items: DataFrame, text: str = "text", ordinal: str = "ordinal",
                  group: str = "category") -> DataFrame:
     """Exact pass: items with the same normalised text (within a group) share the
-    smallest ordinal as representative. Returns (ordinal, rep)."""
-    key = F.sha2(normalized(F.col(text)), 256)
-    reps = items.groupBy(group, key.alias("_h")).agg(F.min(ordinal).alias("rep"))
-    return items.select(ordinal, group, key.alias("_h")).join(reps, [group, "_h"]).select(ordinal, "rep")
+    smallest ordinal as representative; null texts are equal to each other, null groups are one
+    group. Returns (ordinal, rep)."""
+    keyed = items.select(ordinal, F.col(group).alias("_g"), F.sha2(normalized(F.col(text)), 256).alias("_h"))
+    reps = keyed.groupBy(F.col("_g").alias("_g2"), F.col("_h").alias("_h2")).agg(F.min(ordinal).alias("rep"))
+    return keyed.join(reps, F.col("_g").eqNullSafe(F.col("_g2")) & F.col("_h").eqNullSafe(F.col("_h2"))).select(ordinal, "rep")
 
 
 def words_of(col: Column) -> Column:
@@ -115,64 +116,113 @@ def shingles(col: Column, n: int = 3) -> Column:
 
 def connected_min_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable node id per node, by iterative min-label propagation over
-    undirected edges (a, b). Each round is a join and a group-by; the labels are
-    checkpointed every round so the lineage stays short. Rounds go on until one changes nothing; each
-    also follows the labels' own labels, so a chain takes about log(n) rounds. Returns (node, label)."""
-    checkpoint_dir(nodes.sparkSession)
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    while True:
-        prop = und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "_l"), "b") \
+    undirected edges (a, b). Only nodes with an edge take part. Each round is a join and a
+    group-by; the labels are checkpointed every round so the lineage stays short. Rounds go on until one
+    changes nothing; each also follows the labels' own labels, so a chain takes about log(n) rounds.
+    Returns (node, label)."""
+    und = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = und.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
+    labels = materialize(labels.withColumn("moved", F.col("label") != F.col("node")))
+    while labels.where("moved").limit(1).count():
+        prop = und.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_l")), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("_l").alias("_m"))
-        new = labels.join(prop, "node", "left").select(
-            "node", F.least("label", F.coalesce("_m", "label")).alias("label"))
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        new = materialize(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "node") \
-            .where(F.col("label") != F.col("_old")).limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
-
-
-def merge_similar(items: DataFrame, threshold: float = 0.7, tables: int = 4, n: int = 3,
-                  num_features: int = 1 << 20, seed: int = 11, text: str = "text",
-                  ordinal: str = "ordinal", group: str = "category") -> DataFrame:
-    """Exact pass, then MinHash LSH on binary n-word shingles within a group, then
-    connected components; the smallest ordinal represents each group. Returns
-    (ordinal, rep).
-
-    Candidate edges are star edges: every member of a MinHash bucket (group, table,
-    hash value) links to the bucket's smallest member, and the edge is kept only if
-    the exact Jaccard similarity of the two shingle sets reaches ``threshold``. This is
-    linear in bucket size, so a hot cluster (a third of all items near-identical)
-    never produces all pairs. Exact copies are collapsed first; items without
-    shingles take part only in the exact pass.
+        near = labels.join(prop, "node").select("node", F.col("label").alias("_old"), F.least("label", "_m").alias("label"))
+        up = near.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+        labels = materialize(near.join(up, "label").select("node", F.col("_up").alias("label"),
+                                                           (F.col("_up") != F.col("_old")).alias("moved")))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: str = "text",
+                  ordinal: str = "ordinal", group: str = "category", salt_buckets: int = 16) -> DataFrame:
+    """Exact pass, then all pairs of a group whose n-word shingle sets have a Jaccard similarity of at
+    least ``threshold``, then connected components; the smallest ordinal represents each
+    component. Returns (ordinal, rep).
+
+    The similarity join is exact, by prefix filtering. Items with equal sets are one. The shingles of a set
+    are put in order of rarity within the group; two similar sets share one of their first
+    ``size - ceil(threshold * size) + 1`` shingles, so only these make buckets, and a shingle that only one
+    set has makes none. Hot buckets are cut down in two steps before any pair is formed:
+
+    * each member is compared with its bucket's smallest member, and the components of
+      the links found are joined: a crowd of near copies becomes one component here;
+    * a bucket within one component is done. In any other, only the members outside of the bucket's
+      largest component are paired with the rest, and only across components. Buckets
+      are split over ``salt_buckets`` tasks.
+
+    Items of fewer than ``n`` words, null and empty texts take part only in the exact pass.
     """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    exact = exact_groups(items, text, ordinal, group)
+    exact = materialize(exact_groups(items, text, ordinal, group))
     reps = items.join(exact.where(F.col(ordinal) == F.col("rep")).select(ordinal), ordinal, "left_semi")
     words = reps.select(F.col(ordinal).alias("node"), F.col(group).alias("grp"), words_of(F.col(text)).alias("_w"))
-    sh = words.select("node", "grp", shingles_from_words(F.col("_w"), n).alias("sh")).where(F.size("sh") > 0)
-    # MinHash rejects empty vectors; materialise so no plan reordering can feed it one.
-    sh = materialize(sh)
-    tf = HashingTF(inputCol="sh", outputCol="features", numFeatures=num_features, binary=True)
-    vec = tf.transform(sh)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(vec)
-    from pyspark.ml.functions import vector_to_array
-    buckets = model.transform(vec).select(
-        "node", "grp", F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0])).alias("tbl", "hv"))
-    centers = buckets.groupBy("grp", "tbl", "hv").agg(F.min("node").alias("center"))
-    star = (buckets.join(centers, ["grp", "tbl", "hv"]).where(F.col("node") != F.col("center"))
-            .select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    shs = sh.select("node", "sh")
-    verified = (star.join(shs.withColumnRenamed("node", "a").withColumnRenamed("sh", "sa"), "a")
-                .join(shs.withColumnRenamed("node", "b").withColumnRenamed("sh", "sb"), "b")
-                .where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
-    comp = connected_min_label(verified, reps.select(F.col(ordinal).alias("node")))
-    return exact.join(comp.withColumnRenamed("node", "rep"), "rep").select(ordinal, F.col("label").alias("rep"))
+    hashed = F.array_sort(F.transform(shingles_from_words(F.col("_w"), n), lambda x: F.xxhash64(x)))
+    sets = materialize(words.select("node", "grp", hashed.alias("sh")).where(F.size("sh") > 0))
+    same = sets.groupBy("grp", "sh").agg(F.min("node").alias("a"))
+    equal = sets.alias("x").join(same.alias("y"), F.col("x.grp").eqNullSafe(F.col("y.grp")) & (F.col("x.sh") == F.col("y.sh"))) \
+        .select("y.a", F.col("x.node").alias("b"))
+    buckets = materialize(_prefix_buckets(same.select(F.col("a").alias("node"), "grp", "sh"), threshold))
+
+    centers = buckets.groupBy("grp", "token").agg(F.min("node").alias("a"))
+    star = _bucket_join(buckets, centers, salt_buckets).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    links = materialize(_verified(star, sets, threshold).unionByName(equal.where("a <> b")))
+    nodes = reps.select(F.col(ordinal).alias("node"))
+    labels = connected_min_label(links, nodes)
+
+    rest = _verified(_mixed_pairs(buckets, labels, threshold, salt_buckets), sets, threshold)
+    # What is left links components, so it is small: each end is its component's label.
+    between = rest.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b") \
+        .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    merged = connected_min_label(materialize(between), labels.select(F.col("label").alias("node")).distinct())
+    comp = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", "least")
+    return exact.join(comp, F.col("rep") == F.col("node")).select(ordinal, F.col("least").alias("rep"))
+
+
+def _prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(grp, token, node, size): the rarest shingles of each set, as many as a similar set can't miss all of."""
+    flat = sets.select("node", "grp", F.size("sh").alias("size"), F.explode("sh").alias("token"))
+    seen = flat.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # Shingles of one set only come first; one array per set, no longer than its text.
+    known = flat.alias("f").join(seen.alias("s"), F.col("f.grp").eqNullSafe(F.col("s.grp")) & (F.col("f.token") == F.col("s.token"))) \
+        .select("f.node", "f.grp", "f.size", "s.freq", "f.token")
+    per = known.groupBy("node", "grp", "size").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
+    single = F.col("size") - F.size("_t")
+    first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - single
+    return per.where(first > 0).select("node", "grp", "size", F.explode(F.slice("_t", F.lit(1), first.cast("int"))).alias("_e")) \
+        .select("grp", "_e.token", "node", "size")
+
+
+def _bucket_join(members: DataFrame, other: DataFrame, salt_buckets: int) -> DataFrame:
+    """``members`` with the columns of ``other`` of the same (grp, token); a bucket's members lie in many tasks."""
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salt_buckets)))
+    copies = other.withColumnsRenamed({"grp": "_grp", "token": "_token"}) \
+        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    return salted.join(copies, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("token") == F.col("_token"))
+                       & (F.col("_salt") == F.col("_s"))).drop("_grp", "_token", "_s", "_salt")
+
+
+def _mixed_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, salt_buckets: int) -> DataFrame:
+    """(a, b): pairs of one bucket but of different components whose sizes allow the similarity."""
+    labelled = buckets.join(labels, "node")
+    counts = labelled.groupBy("grp", "token", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("grp", "token").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
+                                               F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    open_ = materialize(_bucket_join(labelled, mixed, salt_buckets))
+    few = open_.where(F.col("label") != F.col("main")).select(
+        "grp", "token", F.col("node").alias("o"), F.col("size").alias("osize"), F.col("label").alias("olabel"))
+    pairs = _bucket_join(open_, few, salt_buckets)
+    # Two members outside of the largest component would meet twice.
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("o"))
+    near = F.least("size", "osize") >= threshold * F.greatest("size", "osize") - 1e-9
+    return pairs.where((F.col("label") != F.col("olabel")) & once & near).select(F.col("node").alias("a"), F.col("o").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    sets = sets.select("node", "sh")
+    return (pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+            .where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -716,7 +716,7 @@ def d4_exact_duplicates(spark, d):
 
 @query("d4_merge_similar")
 def d4_merge_similar(spark, d):
-    return ru.merge_similar(_doc_items(spark, d), threshold=0.7, tables=4).withColumnRenamed("ordinal", "doc_id")
+    return ru.merge_similar(_doc_items(spark, d), threshold=0.7).withColumnRenamed("ordinal", "doc_id")
 
 
 @query("d5_run_summary")

@@ -505,6 +505,22 @@ ORACLE["d4_exact_duplicates"] = """
 WITH n AS (SELECT doc_id, lang, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, h) AS rep FROM n"""
 
+ORACLE["d4_merge_similar"] = """
+WITH RECURSIVE n AS (
+  SELECT doc_id, lang, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+e AS (SELECT doc_id, lang, t, min(doc_id) OVER (PARTITION BY lang, sha256(t)) AS rep FROM n),
+w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+      FROM e WHERE doc_id = rep),
+g AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, len(w) - 1),
+             lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+x AS (SELECT doc_id, lang, len(s) AS size, unnest(s) AS tok FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.size) AS sa, any_value(b.size) AS sb
+      FROM x a JOIN x b ON a.lang = b.lang AND a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE shared / (sa + sb - shared) >= CAST(0.7 AS DOUBLE)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM w UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS least FROM r GROUP BY 1)
+SELECT e.doc_id, c.least AS rep FROM e JOIN c ON c.node = e.rep"""
+
 ORACLE["d5_run_summary"] = _with(*FBX, *CURATED) + """
 SELECT 'feedback' AS name, count(*) AS value FROM feedback_fx
 UNION ALL SELECT 'notes_all', count(*) FROM notes_fx

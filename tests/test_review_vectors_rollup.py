@@ -3,6 +3,8 @@
 import base64
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,40 @@ def test_near_duplicates_grouped_by_star_edges(spark):
     got = {r["ordinal"]: r["rep"] for r in ru.merge_similar(items, threshold=0.7).collect()}
     assert got[1] == got[2] == got[5] == 0       # near copies and an exact copy (case folded)
     assert got[3] == 3 and got[4] == 4 and got[6] == 6   # other text, other group, no shingles
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(25):  # families: edits of a text at several distances, so that some links skip the least id
+        base = [rng.choice(words) for _ in range(rng.randint(3, 40))]
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts += ["w1  w2!", None, None, "", "", "W1 w2 w3", "w1 w2, w3", "w1 w2 w3 " * 50]
+    rng.shuffle(texts)
+    rows = [(i, rng.choice(["en", None]), t) for i, t in enumerate(texts)]
+
+    def shingles(t):
+        w = [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
+        return {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    sets = [shingles(t) for _, _, t in rows]
+    for i, (_, g, t) in enumerate(rows):
+        for j in range(i):
+            same = (t and t.lower()) == (rows[j][2] and rows[j][2].lower())
+            if g == rows[j][1] and (same or sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    items = spark.createDataFrame(rows, "ordinal long, category string, text string")
+    got = {r["ordinal"]: r["rep"] for r in ru.merge_similar(items).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert ru.merge_similar(items.where("false")).count() == 0
