@@ -881,3 +881,63 @@ def i5_stream_mine(spark, d):
         sp.mining_stream(stream, root, 1, lambda k: incoming.join(k, ["repo", "pr_number"], "left_semi"),
                          f"{root}/ckpt")
     return snap.read_snapshot(spark, root, "notes").select("repo", "pr_number", "github_comment_id")
+
+
+# ---- the whole jobs --------------------------------------------------------------------------
+from feedmine.plans import history as hi  # noqa: E402
+
+
+def fake_assessor(system: str, prompt: str) -> str:
+    """A stand-in model for assessments: what it decides follows from the prompt's length."""
+    import hashlib
+    import json
+    change = len(prompt) % 2 == 0
+    text = json.dumps({"architecture_change": change, "implemented": True, "include_in_vector_store": change,
+                       "supersedes_prior_architecture": change and len(prompt) % 7 == 0,
+                       "summary": hashlib.sha256(prompt.encode()).hexdigest(), "rationale": "why"})
+    return json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}]})
+
+
+def fake_embedder(texts: list[str]) -> list[list[float]]:
+    return [[1.0, float(len(t) % 97), float(len(t) % 89)] for t in texts]
+
+
+def _history_inputs(spark, d):
+    from feedmine.sources.tables import merged_evidence
+    feedback = ordered_feedback(spark, d).where(F.col("merged_at") != "")
+    return feedback, merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d)), hi.Model(valid_fake_model, fake_assessor, fake_embedder)
+
+
+def _history_rows(spark, root):
+    """All state tables of the newest version as (tbl, repo, pr_number, item) rows."""
+    note = F.concat_ws(":", "comment_type", "github_comment_id", "category")
+    items = {"raw_comments": F.concat_ws(":", "comment_type", "github_comment_id"), "notes": note,
+             "vectors": F.col("id"), "pending_prs": F.lit("pending")}
+    out = None
+    for name, item in items.items():
+        rows = snap.read_snapshot(spark, root, name).select(F.lit(name).alias("tbl"), "repo", "pr_number", item.alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("batch_job")
+def batch_job(spark, d):
+    root = _scratch(spark, "batch")
+    feedback, evidence, model = _history_inputs(spark, d)
+    hi.batch_job(spark, root, feedback, evidence, model, [f"org/r{i}" for i in range(8)])
+    return _history_rows(spark, root)
+
+
+@query("i5_mine_full")
+def i5_mine_full(spark, d):
+    root = _scratch(spark, "i5full")
+    feedback, evidence, model = _history_inputs(spark, d)
+    odd = F.col("pr_number") % 2 == 1  # these PRs are merged after the batch job
+    hi.batch_job(spark, root, feedback.where(~odd), evidence.where(~odd), model, [f"org/r{i}" for i in range(8)])
+    waiting = fx.prs(spark, d).where(odd & (F.col("merged_at").isNotNull() | (F.col("state") == "open")))
+    names = ("raw_comments", "notes", "vectors")
+    snap.publish_snapshot(spark, root, {**{n: snap.read_snapshot(spark, root, n) for n in names},
+                                        "pending_prs": waiting.select("repo", "pr_number")})
+    hi.mine_step(spark, root, evidence.where(odd), 3, feedback.where(odd), evidence.where(odd), model,
+                 feedback_cap=fx.REVIEW_FEEDBACK_CAP)
+    return _history_rows(spark, root)

@@ -558,3 +558,43 @@ ORACLE["a7_read_state"] = _with(*FBX, ofx.NOTES, ofx.WAVES) + """
 SELECT 'raw_comments' AS "table", count(*) AS count FROM feedback_fx
 UNION ALL SELECT 'notes', count(*) FROM state_fx
 UNION ALL SELECT 'pending_prs', count(*) FROM prs_fx WHERE merged_at IS NULL AND state = 'open'"""
+
+# ---- the whole jobs -----------------------------------------------------------------------------
+def _history(kept: str, pending: str) -> str:
+    """All state tables after PRs with ``kept`` were analysed."""
+    return ANX.rstrip("\n") + f""",
+over_fx AS (SELECT repo, pr_number FROM feedback_fx GROUP BY ALL HAVING count(*) > 8),
+ev_fx AS (
+  SELECT p.repo, p.pr_number, p.merged_at, o.pr_number IS NOT NULL AS over,
+         length('Repository: ' || p.repo || chr(10) || 'PR #' || CAST(p.pr_number AS VARCHAR) || ': ' || p.title
+                || chr(10) || 'Description:' || chr(10) || coalesce(p.body, '') || chr(10) || chr(10)
+                || 'Final merged diff:' || chr(10) || d.final_diff) AS n
+  FROM prs_fx p JOIN pr_diffs_fx d ON d.repo = p.repo AND d.pr_number = p.pr_number
+  LEFT JOIN over_fx o ON o.repo = p.repo AND o.pr_number = p.pr_number
+  WHERE coalesce(p.merged_at, '') <> ''),
+in_fx AS (SELECT * FROM ev_fx WHERE {kept}),
+raw_fx AS (SELECT r.repo, r.pr_number, r.github_comment_id, r.comment_type, i.merged_at, r.text,
+                  r.file_path, r.body AS original_body
+           FROM rtext_fx r JOIN in_fx i ON i.repo = r.repo AND i.pr_number = r.pr_number),
+every_fx AS (
+  SELECT repo, pr_number, github_comment_id, comment_type, ({ofx.CATS})[length(text) % 13 + 1] AS category,
+         merged_at, false AS sup, file_path, original_body FROM raw_fx
+  UNION ALL
+  SELECT repo, pr_number, -pr_number, 'pull_request_architecture', 'architecture', merged_at, n % 7 = 0, NULL, ''
+  FROM in_fx WHERE n % 2 = 0),
+cut_fx AS (SELECT repo, max(merged_at) AS cutoff FROM every_fx WHERE sup GROUP BY repo),
+left_fx AS (SELECT e.* FROM every_fx e LEFT JOIN cut_fx c ON c.repo = e.repo
+            WHERE NOT coalesce(e.category = 'architecture' AND e.merged_at < c.cutoff, false))
+SELECT 'raw_comments' AS tbl, repo, pr_number, comment_type || ':' || CAST(github_comment_id AS VARCHAR) AS item FROM raw_fx
+UNION ALL
+SELECT 'notes', repo, pr_number, comment_type || ':' || CAST(github_comment_id AS VARCHAR) || ':' || category FROM left_fx
+UNION ALL
+SELECT 'vectors', repo, pr_number, {ofx.NOTE_ID} FROM left_fx
+UNION ALL
+SELECT 'pending_prs', p.repo, p.pr_number, 'pending' FROM prs_fx p
+WHERE {pending}"""
+
+
+ORACLE["batch_job"] = _history("true", "false")
+ORACLE["i5_mine_full"] = _history("pr_number % 2 = 0 OR NOT over", """pr_number % 2 = 1 AND (merged_at IS NOT NULL OR state = 'open')
+  AND (repo, pr_number) NOT IN (SELECT (repo, pr_number) FROM in_fx)""")

@@ -99,6 +99,8 @@ def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None
         parts = parts.join(repos.select(F.col("repo").alias("_r")).distinct(), F.col("repo").eqNullSafe(F.col("_r")), "left_semi")
     parts = parts.select(F.col("repo").alias("_repo"), F.col("data_version").alias("_version"))
     rows = spark.read.schema(T.StructType([*schema, T.StructField("version", T.IntegerType())])).parquet(f"{root}/{name}")
+    # Later files are not even opened: a replay may be rewriting them.
+    rows = rows.where(F.col("version") <= v)
     return (rows.join(parts, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("version") == F.col("_version")))
             .select(*schema.names))
 
