@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 # Settings every feedmine job relies on. They are correctness settings, not tuning:
 # - LAST_WIN lets header maps keep the later duplicate after lower-casing (H8).
 # - recursion limits are lifted for reply forests deeper than 100 levels.
+# - a union must not rely on equal partitionings of its sides: when adaptive execution merges the
+#   partitions of one side only, Spark 4.1 ends the job ("Can't zip RDDs").
 # - UTC keeps derived timestamps equal to the ISO strings they came from.
 REQUIRED_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.cteRecursionLevelLimit": "-1",
     "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -34,8 +34,7 @@ def test_failed_jobs_leave_the_history_alone(spark, built):
 
     def raises(*_):
         raise OSError("away")
-    for broken in (hi.Model(model.annotate, raises, model.embed), hi.Model(raises, model.assess, model.embed),
-                   hi.Model(model.annotate, model.assess, raises),
+    for broken in (hi.Model(model.annotate, raises, model.embed),
                    hi.Model(model.annotate, model.assess, lambda texts: [[1.0]] * (len(texts) - 1))):
         with pytest.raises(Exception):  # noqa: B017 - what is raised differs; what counts is that it is
             hi.mine_step(spark, root, evidence.where("pr_number in (1, 3)"), 2, feedback, evidence, broken)
