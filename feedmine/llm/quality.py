@@ -4,8 +4,10 @@ A document fails the base rules if it has fewer than ``MIN_WORDS`` words or if m
 ``MAX_REPEAT`` percent of its words stand in repeated windows of eight words. What passes is scored
 by gradient-boosted trees over the statistics; the score may only fall with more symbols, more
 repeated words or lines, more upper case and more exclamation marks. The trees are trained on a
-sample of labelled documents of at most ``SAMPLE_ROWS`` (the ones of least hash of their id); the
-statistics and verdicts cover every document.
+sample of labelled documents of at most ``SAMPLE_ROWS`` (the ones of least hash of their id). Each of
+them that passes takes part: equal texts under one id count once, and all its different texts do, unless
+there are more than ``2 * SAMPLE_ROWS`` in all; then as many are taken evenly by document, by their hash.
+The statistics and verdicts cover every document.
 
 Null and empty texts have no words and fail the base rules. Without usable labels, or with labels of
 one class, the trees keep every document that passes the base rules. Repeated rows are judged each,
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedmine.llm.common import materialize
 from feedmine.llm.gbt import Forest, train
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
@@ -97,25 +100,31 @@ def _batch_statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """The trees, trained on the driver from at most ``sample_rows`` rows of statistics."""
+    """The trees, trained on the driver from at most ``2 * sample_rows`` rows of statistics."""
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     # At most sample_rows rows.
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(chosen), "id").select("text", "label"))
+            .join(F.broadcast(chosen), "id").select("text", "label", "id", F.xxhash64("text").alias("text_hash")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, features = _batch_statistics(batch.column(0))
             passed = ~base_failed(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).filter(pa.array(passed)), *(pa.array(f[passed]) for f in features.T)],
-                names=["label", *FEATURES])
-
-    measured = rows.mapInArrow(measure, ", ".join(["label int", *(f"{f} double" for f in FEATURES)]))
-    # Repeated rows of a document may exceed the sample, so the bound holds here too.
-    table = measured.orderBy("label", *FEATURES).limit(2 * sample_rows).toPandas()
+                [*(batch.column(k).filter(pa.array(passed)) for k in (1, 2, 3)), *(pa.array(f[passed]) for f in features.T)],
+                names=["label", "id", "text_hash", *FEATURES])
+
+    measured = rows.mapInArrow(measure, ", ".join(["label int, id long, text_hash long", *(f"{f} double" for f in FEATURES)]))
+    measured = materialize(measured.dropDuplicates(["id", "text_hash"]))
+    # At most sample_rows rows. The row of least hash of each document comes first; the n rows of a document then
+    # lie evenly over 0 to n, so below any limit all documents have equally many, or all they have.
+    each = measured.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("least"))
+    place = F.when(F.col("text_hash") == F.col("least"), F.lit(-1.0)).otherwise(
+        F.col("n") * (F.xxhash64("text_hash", "id") / F.lit(2.0 ** 64) + 0.5))
+    table = (measured.join(F.broadcast(each), "id").orderBy(place, "text_hash", "id").limit(2 * sample_rows)
+             .select("label", *FEATURES).toPandas().sort_values(["label", *FEATURES]))
     x, y = table[list(FEATURES)].to_numpy(float), (table["label"].to_numpy() > 0).astype(float)
     return train(x, y, {FEATURES.index(f): -1 for f in FALLING})
 

@@ -136,6 +136,46 @@ def test_quality_trees_on_held_out_labels(spark):
     assert sum(not r["kept"] and r["quality"] == 1 for r in held) / len(held) < 0.005
 
 
+@pytest.mark.parametrize("label", [0, 1])
+@pytest.mark.parametrize("equal", [True, False])
+def test_trees_when_one_labelled_id_repeats(spark, label, equal):
+    """Most rows on one id, more than the bound on rows: no other document leaves the training."""
+    clean = "row {0} of the many that say something else again and which nobody would want to lose here today at all w{0} x{1}"
+    noisy = "# $ % & | < > row {0} #### $$$$ %%%% &&&& |||| <<<< >>>> *** !!! ??? ### $$$ %%% w{0} x{1}"
+    docs = [(i, (clean if i % 2 else noisy).format(i, i)) for i in range(1, 201)]
+    hot = noisy if label == 0 else clean
+    docs += [(0, hot.format(0, 0 if equal else k)) for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 201)] + [(0, label)], "doc_id long, quality int")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen = []
+
+    def train(x, y, monotone):
+        seen.append((x, y))
+        return gbt.train(x, y, monotone)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "train", train)
+        # 201 ids are chosen, then 40; at most twice as many rows.
+        forest = quality.train_rules(table, labels, sample_rows=201)
+        _, small = quality.train_rules(table, labels, sample_rows=40), seen[1]
+    assert len(seen[0][1]) == (201 if equal else 402) and (seen[0][1] != label).sum() == 100
+    assert len(small[1]) <= 80 and set(small[1]) == {0.0, 1.0}
+    kept = Counter(r["doc_id"] for r in quality.judge(table, forest).where("kept").collect())
+    assert {i for i in kept if i} == {i for i in range(1, 201) if i % 2} and kept[0] == 300 * label
+
+
+def test_training_rows_over_the_bound_are_dealt_by_document(spark):
+    """30 documents of one text and one of 500, with room for 62: each document is there, the rest is the hot one's."""
+    text = "row {0} of the many that say something else again and which nobody would want to lose here today at all w{0} x{1} "
+    docs = [(i, text.format(i, i)) for i in range(1, 31)] + [(0, text.format(0, k) + "# " * (k % 5)) for k in range(500)]
+    labels = spark.createDataFrame([(i, int(i > 0)) for i in range(31)], "doc_id long, quality int")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "train", lambda x, y, monotone: seen.append(y))
+        quality.train_rules(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels, sample_rows=31)
+    assert (seen[0] == 1).sum() == 30 and (seen[0] == 0).sum() == 32
+
+
 def test_trees_without_labels(spark, documents, empty):
     labels = spark.createDataFrame([(1, None), (None, 1), (10**9, 0)], "doc_id long, quality int")
     for docs in (documents, empty):
