@@ -42,12 +42,12 @@ class Forest:
 def train(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, trees: int = 60, depth: int = 3,
           rate: float = 0.2, l2: float = 1.0, least_hessian: float = 1.0, bins: int = 64) -> Forest:
     """A forest for classes 0 and 1. ``monotone``: feature number to +1 (a greater value never lowers the
-    score) or -1. With one class only, or no rows, the forest has no tree."""
+    score) or -1. With one class only, or no rows, nothing can be told apart: the forest has no tree and base 0."""
     n, width = x.shape
+    if n == 0 or y.min() == y.max():
+        return Forest(0.0, depth)
     share = (y.sum() + 0.5) / (n + 1)
     forest = Forest(float(np.log(share / (1 - share))), depth)
-    if n == 0 or y.min() == y.max():
-        return forest
     sign = np.zeros(width, int)
     for k, way in (monotone or {}).items():
         sign[k] = way

@@ -92,6 +92,11 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT * n_words)
 
 
+def passes_trees(forest: Forest, score: np.ndarray, least_score: float) -> np.ndarray:
+    """A forest without trees, from labels of one class or none, rejects nothing whatever the bound."""
+    return (score >= least_score) | (len(forest.roots) == 0)
+
+
 def _batch_statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = [statistics(t.as_py()) for t in column]
     return (np.array([r[0] for r in rows], np.int64).reshape(-1, len(COUNTS)),
@@ -140,7 +145,7 @@ def judge(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             failed, score = base_failed(counts), forest.score(features)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(score),
-                 pa.array(~failed & (score >= least_score))],
+                 pa.array(~failed & passes_trees(forest, score, least_score))],
                 names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema[0].dataType.simpleString()}", *(f"{c} long" for c in COUNTS),
@@ -154,6 +159,6 @@ def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text", least_sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, features = _batch_statistics(batch.column(place))
-            yield batch.filter(pa.array(~base_failed(counts) & (forest.score(features) >= least_score)))
+            yield batch.filter(pa.array(~base_failed(counts) & passes_trees(forest, forest.score(features), least_score)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -183,6 +183,17 @@ def test_trees_without_labels(spark, documents, empty):
         assert not len(forest.roots) and forest.score(np.zeros((2, len(quality.FEATURES)))).min() >= 0.5
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_class_keep_all_that_pass_the_base_rules(spark, documents, label):
+    forest = quality.train_rules(documents, documents.selectExpr("doc_id", f"{label} AS quality"))
+    judged = quality.judge(documents, forest).collect()
+    clean = Counter(r["doc_id"] for r in judged if not r["base_failed"])
+    assert clean and Counter(r["doc_id"] for r in judged if r["kept"]) == clean
+    assert all(r["score"] == 0.5 for r in judged)
+    for least in (quality.LEAST_SCORE, 0.9):
+        assert Counter(r["doc_id"] for r in quality.keep_good(documents, forest, least_score=least).collect()) == clean
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 3))
