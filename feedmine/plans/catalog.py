@@ -312,8 +312,8 @@ def h4_batch_prompts(spark, d):
 
 @query("h5_architecture_prompts")
 def h5_architecture_prompts(spark, d):
-    from feedmine.sources.tables import merged_evidence
-    ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    from feedmine.sources.tables import checked_evidence
+    ev, _ = checked_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
     p = bt.architecture_prompts(ev)
     return p.select("repo", "pr_number", bt.prompt_id(F.col("prompt")).alias("prompt_sha"))
 
@@ -367,8 +367,8 @@ def j2_replay_notes(spark, d):
 
 @query("h11_architecture_notes")
 def h11_architecture_notes(spark, d):
-    from feedmine.sources.tables import merged_evidence
-    ev = merged_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
+    from feedmine.sources.tables import checked_evidence
+    ev, _ = checked_evidence(fx.prs(spark, d), fx.pr_diffs(spark, d))
     resp = rf.architecture_responses(spark, d)
     obj, err = md.response_object(F.col("raw"))
     from feedmine.session import materialize

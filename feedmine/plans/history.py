@@ -30,6 +30,7 @@ from feedmine.plans.mining import mine
 from feedmine.schemas import MAX_FEEDBACK_PER_PR, PENDING, VECTOR
 from feedmine.session import materialize
 from feedmine.sources import snapshot as snap
+from feedmine.sources.tables import check_evidence
 
 BATCH_SIZE = 8
 
@@ -78,7 +79,9 @@ def embedded(notes: DataFrame, embed: Callable[[list[str]], list[list[float]]])
 
 
 def analysed(feedback: DataFrame, evidence: DataFrame, model: Model, first_ordinal: int = 0) -> DataFrame:
-    """The notes on all feedback (with ``ordinal``), then those on the merged PRs; ordinals go on from the first."""
+    """The notes on all feedback (with ``ordinal``), then those on the merged PRs; ordinals go on from the first.
+    A merged PR with a missing, blank or oversize diff (B7) raises before any call of the model."""
+    evidence, _ = check_evidence(evidence)
     diffs = evidence.select("repo", "pr_number", "final_diff")
     # Batches need ordinals without gaps; only numbers are sorted for that.
     dense = with_ordinal(feedback.select(F.col("ordinal").alias("_given")), ["_given"])

@@ -20,7 +20,12 @@ def merged_evidence(prs: DataFrame, diffs: DataFrame) -> DataFrame:
 def checked_evidence(prs: DataFrame, diffs: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """A3 behind B7: (evidence, rejects(repo, pr_number, reason)). A missing, blank or oversize diff is
     a reject; in strict mode the first one raises."""
-    checked = guard_diffs(merged_evidence(prs, diffs))
+    return check_evidence(merged_evidence(prs, diffs), strict)
+
+
+def check_evidence(evidence: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """B7 on evidence that is at hand: the pair of ``checked_evidence``."""
+    checked = guard_diffs(evidence)
     rejects = checked.where(F.col("reason").isNotNull()).select("repo", "pr_number", "reason")
     if strict and (first := rejects.limit(1).collect()):
         raise ValueError(f"{first[0]['repo']}#{first[0]['pr_number']}: {first[0]['reason']}")

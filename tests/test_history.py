@@ -41,6 +41,27 @@ def test_failed_jobs_leave_the_history_alone(spark, built):
     assert snap.latest_version(spark, root) == 1 and rows(spark, root) == before
 
 
+@pytest.mark.parametrize("diff, reason", [("cast(null as string)", "empty final diff"), ("' \n '", "empty final diff"),
+                                          ("repeat('x', 3000000)", "characters; maximum supported")])
+def test_merged_pr_without_a_usable_diff_is_refused_before_any_call(spark, built, tmp_path, diff, reason):
+    root, feedback, evidence, model = built
+    before = rows(spark, root)
+    good, lost = (r["pr_number"] for r in evidence.select("pr_number").distinct().orderBy("pr_number").limit(2).collect())
+    bad = evidence.where(f"pr_number in ({good}, {lost})").selectExpr(
+        *[c for c in evidence.columns if c != "final_diff"], f"if(pr_number = {lost}, {diff}, final_diff) AS final_diff")
+
+    def raises(*_):
+        raise OSError("called")
+    never = hi.Model(raises, raises, raises)
+    some = feedback.where(f"pr_number in ({good}, {lost})")
+    with pytest.raises(ValueError, match=reason):
+        hi.batch_job(spark, str(tmp_path), some, bad, never, [f"org/r{i}" for i in range(8)])
+    with pytest.raises(ValueError, match=f"#{lost}: .*{reason}"):
+        hi.mine_step(spark, root, bad, 2, feedback, bad, never)
+    assert snap.latest_version(spark, str(tmp_path)) is None
+    assert snap.latest_version(spark, root) == 1 and rows(spark, root) == before
+
+
 def test_mining_adds_whole_prs_refuses_large_ones_and_can_be_replayed(spark, built):
     root, feedback, evidence, model = built
     before = rows(spark, root)
