@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from feedmine.plans import catalog as cat
 from feedmine.plans import history as hi
 from feedmine.sources import snapshot as snap

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from feedmine.operators import review as rv
 from feedmine.operators import rollup as ru
 from feedmine.operators import validate as va

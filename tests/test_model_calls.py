@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from feedmine.plans import analysis as an
 from feedmine.plans.catalog import valid_fake_model
 from feedmine.sources import replay_fixture as rf

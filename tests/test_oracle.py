@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from feedmine.sources.testdata import TABLES
 
 QUERIES = entry.queries()

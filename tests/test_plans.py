@@ -4,7 +4,7 @@ single-partition windows, no row-at-a-time Python UDFs."""
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def _plan(spark, name):
