@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from feedmine.session import checkpoint_dir, materialize
 NULL_KEY_BASE = -(2 ** 63)
 NULL_KEY_SPAN = 2 ** 40
 
-__all__ = ["NULL_KEY_BASE", "chunks_of", "id_key", "key_ranges", "materialize", "parallelism",
-           "range_of", "shared_folder", "texts_of"]
+__all__ = ["NULL_KEY_BASE", "byte_slices", "chunks_of", "id_key", "key_ranges", "materialize", "parallelism",
+           "range_of", "shared_folder", "texts_of", "words_of"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -81,3 +82,22 @@ def chunks_of(column: pa.Array, max_chars: int = 8_000_000) -> Iterator[tuple[in
         size += len(text)
     if held:
         yield start, held
+
+
+def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Start and count of consecutive runs of texts of about ``most`` bytes, at least one text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield start, end - start
+        start = end
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (stretches without ASCII white space) of all texts in one array, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), np.bincount(rows.filter(some).to_numpy(), minlength=len(texts))
