@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feedmine.llm import bpe, digest, fill_middle, packing, quality, secret_scan, sharding, simhash, token_counts, token_file, warc
+from feedmine.llm import bpe, digest, fill_middle, packing, quality, secret_scan, sharding, simhash, token_counts, token_file, warc, word_runs
 from feedmine.llm.common import shared_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -67,6 +67,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _tails_repeated(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in the tenth of the documents that the CRC-32 of the id chooses, the words from a place on
+    repeat with a period, both from the same number."""
+    h = "crc32(cast(coalesce(cast(doc_id AS string), '') AS binary))"
+    first, period = "(g % size(words))", "(1 + (size(words) - a) div (3 + g % 8))"
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text", f"{h} % 10 = 0 AS chosen", f"{h} div 10 AS g")
+    # Only the chosen texts are split; the others pass as they are.
+    rows = rows.selectExpr("doc_id", "text", "g", r"CASE WHEN chosen THEN filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') END AS words")
+    rows = rows.selectExpr("doc_id", "text", "g", "words", f"CASE WHEN size(words) > 0 THEN {first} END AS a")
+    rows = rows.selectExpr("doc_id", "text", "words", "a", f"{period} AS p")
+    return rows.selectExpr("doc_id", """CASE WHEN a IS NULL THEN text ELSE array_join(transform(sequence(0L, size(words) - 1L),
+        i -> words[cast(if(i < a, i, a + (i - a) % p) AS int)]), ' ') END AS text""")
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_runs.word_runs(_tails_repeated(_table(spark, sf_dir, "documents")))
+    rows = rows.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS s, -r.period AS q)))"))
+    listing = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return rows.selectExpr("doc_id", "cast(size(runs) AS long) AS n_runs", "-best.s AS start", "best.length AS length", "-best.q AS period",
+                           "1000 * best.length div -best.q AS exponent_milli", f"sha2({listing}, 256) AS runs_sha256",
+                           "sha2(collapsed, 256) AS collapsed_sha256")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     text = fill_middle.restored(F.col("output"), F.col("form"))
@@ -75,7 +98,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_bpe, op5_token_file,
-                                   op6_quality_rules, op7_secret_scan, op8_simhash, op9_packing, op10_warc, op12_fill_in_middle)}
+                                   op6_quality_rules, op7_secret_scan, op8_simhash, op9_packing, op10_warc, op11_word_runs, op12_fill_in_middle)}
 
 ORACLE = {
     "op10_warc": """

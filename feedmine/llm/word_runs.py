@@ -36,111 +36,146 @@ from pyspark.sql import functions as F
 
 from feedmine.llm.common import byte_slices, words_of
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 10 << 20
 #: A prime under 2**31 and a multiplier of the prefix hashes.
 PRIME, BASE = 2_147_483_647, 1_103_515_245
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, one after the other."""
-    total = int(sizes.sum())
-    before = np.cumsum(sizes) - sizes
-    return np.arange(total) + np.repeat(starts - before, sizes)
+    upto = sizes.cumsum()
+    return np.arange(upto[-1]) + (starts - upto + sizes).repeat(sizes)
 
 
-def lyndon_arrays(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Length of the longest Lyndon word at each place, in the order of the codes and in the reverse
-    one. ``bounds`` has the start of each text (none empty) and at last the number of all words."""
-    n, top_code = len(codes), int(codes.max(initial=0)) + 1
-    both = np.concatenate([codes, top_code - 1 - codes]).astype(np.int64)
-    base = np.concatenate([bounds[:-1], bounds[:-1] + n])
-    ends = np.concatenate([bounds[1:], bounds[1:] + n])
-    text_of = np.repeat(np.arange(len(base)), ends - base)
-    # Places sorted by block within each text; a group is known by its first slot.
-    key = text_of * top_code + both
-    at_slot = np.argsort(key, kind="stable").astype(np.int32)
-    key = key[at_slot]
-    opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
-    sizes = np.diff(np.concatenate([opens, [2 * n]]))
-    del key, both
-    slot = np.empty(2 * n, np.int32)
-    slot[at_slot] = np.arange(2 * n, dtype=np.int32)
-    group = np.empty(2 * n, np.int32)
-    group[at_slot] = np.repeat(opens, sizes)
-    group_end = np.zeros(2 * n, np.int32)
-    group_end[opens] = opens + sizes
-    left = np.arange(-1, 2 * n - 1, dtype=np.int32)  # start of the block before, -1 for none
-    left[base] = -1
-    length = np.ones(2 * n, np.int32)
-    text_end = np.repeat(ends, ends - base).astype(np.int32)
-    marked = np.zeros(2 * n, bool)
-    base, top = base.astype(np.int64), ends.astype(np.int64)
-    while len(top):
-        start = group[at_slot[top - 1]].astype(np.int64)
-        size = top - start
-        if int(size.max()) == 1:
-            place = at_slot[start]
-        else:
-            place = np.sort(at_slot[ranges(start, size)])
-        before = left[place]
-        # Equal blocks in a row join the one before the first of them together.
+def stretches(opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch opens, and its size."""
+    at = opening.nonzero()[0]
+    sizes = np.empty_like(at)
+    sizes[:-1] = at[1:] - at[:-1]
+    sizes[-1] = len(opening) - at[-1]
+    return at, sizes
+
+
+class Blocks:
+    """The blocks of many texts, their groups and the order of the groups, as flat arrays over all places.
+
+    A group holds consecutive slots and is known by its first one; ``place_at`` and ``slot`` lead from slots to
+    places and back. ``left`` has the start of the block before (-1 for none), ``length`` that of the block.
+    """
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        n = len(codes)
+        self.text_end = np.repeat(ends, ends - starts)
+        key = np.repeat(np.arange(len(starts)), ends - starts) * (int(codes.max(initial=0)) + 1) + codes
+        self.place_at = np.argsort(key, kind="stable")
+        key = key[self.place_at]
+        opens = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(opens, n))
+        self.slot = np.empty(n, np.int64)
+        self.slot[self.place_at] = np.arange(n)
+        self.group = np.empty(n, np.int64)
+        self.group[self.place_at] = np.repeat(opens, sizes)
+        self.group_end = np.zeros(n, np.int64)
+        self.group_end[opens] = opens + sizes
+        self.left = np.arange(-1, n - 1)
+        self.left[starts] = -1
+        self.length = np.ones(n, np.int64)
+        self.marked = np.zeros(n, bool)
+
+    def first_slots(self, top: np.ndarray) -> np.ndarray:
+        """First slot of the group that ends before each slot of ``top``."""
+        return self.group[self.place_at[top - 1]]
+
+    def finish_single(self, start: np.ndarray) -> None:
+        """Groups of one block each, no two of one text: its block joins the one before."""
+        place = self.place_at[start]
+        head, own = self.left[place], self.length[place]
+        following = place + own
+        inside = following < self.text_end[place]
+        self.left[following[inside]] = head[inside]
+        taken = head >= 0
+        head = head[taken]
+        if not len(head):
+            return
+        self.length[head] += own[taken]
+        group, current = self.group[head], self.slot[head]
+        end = self.group_end[group]
+        target = end - 1
+        other = self.place_at[target]
+        self.place_at[current], self.slot[other] = other, current
+        self.place_at[target], self.slot[head] = head, target
+        self.group_end[group] = target
+        self.group[head] = target
+        self.group_end[target] = end
+
+    def finish(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Groups of any size: equal blocks in a row join the block before the first of them together."""
+        place = self.place_at[ranges(start, size)]
+        place.sort()
+        before = self.left[place]
         opening = np.ones(len(place), bool)
         opening[1:] = before[1:] != place[:-1]
-        at = np.flatnonzero(opening)
-        times = np.diff(np.append(at, len(place)))
+        at, times = stretches(opening)
         last = place[at + times - 1]
-        head = before[at]
-        own = length[last]
+        head, own = before[at], self.length[last]
         following = last + own
-        inside = following < text_end[last]
-        left[following[inside]] = head[inside]
+        inside = following < self.text_end[last]
+        self.left[following[inside]] = head[inside]
         taken = head >= 0
         head, times = head[taken], times[taken]
-        length[head] += (times * own[taken]).astype(np.int32)
         if len(head):
-            _raise(head, times, at_slot, slot, group, group_end, marked)
+            self.length[head] += times * own[taken]
+            self._raise(head, times)
+
+    def _raise(self, head: np.ndarray, times: np.ndarray) -> None:
+        """Grown blocks go to the end of their group, those that took more equal blocks last, and form groups there."""
+        group = self.group[head]
+        if len(head) > 1:
+            order = np.lexsort((times, group))
+            head, times, group = head[order], times[order], group[order]
+        parts = np.ones(len(head), bool)
+        parts[1:] = group[1:] != group[:-1]
+        at, count = stretches(parts)
+        old = group[at]
+        end = self.group_end[old]
+        target, current = ranges(end - count, count), self.slot[head]
+        # Blocks in the way change places with those that come from further down in the same group.
+        self.marked[head] = True
+        there = self.place_at[target]
+        pushed, free = there[~self.marked[there]], current[current < (end - count).repeat(count)]
+        self.marked[head] = False
+        self.place_at[free], self.slot[pushed] = pushed, free
+        self.place_at[target], self.slot[head] = head, target
+        # A group that moves as a whole keeps its first slot, so the old end goes first.
+        self.group_end[old] = end - count
+        parts[1:] |= times[1:] != times[:-1]
+        at, sizes = stretches(parts)
+        first = target[at]
+        self.group[head] = first.repeat(sizes)
+        self.group_end[first] = first + sizes
+
+
+def lyndon_arrays(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of the longest Lyndon word at each place, in the order of the codes and in the reverse
+    one. ``bounds`` has the start of each text (none empty) and at last the number of all words."""
+    n = len(codes)
+    base, top = (np.concatenate([b, b + n]) for b in (bounds[:-1], bounds[1:]))
+    blocks = Blocks(np.concatenate([codes, codes.max(initial=0) - codes]).astype(np.int64), base, top)
+    while len(top):
+        start = blocks.first_slots(top)
+        size = top - start
+        single = size == 1
+        if single.all():
+            blocks.finish_single(start)
+        else:
+            several = ~single
+            blocks.finish(start[several], size[several])
+            blocks.finish_single(start[single])
         top = start
         going = top > base
         if not going.all():
             top, base = top[going], base[going]
-    return length[:n], length[n:]
-
-
-def _raise(head: np.ndarray, times: np.ndarray, at_slot: np.ndarray, slot: np.ndarray, group: np.ndarray,
-           group_end: np.ndarray, marked: np.ndarray) -> None:
-    """The grown blocks go to the end of their group, those that took more equal blocks last, and form groups there."""
-    of = group[head]
-    if len(head) > 1:
-        order = np.lexsort((times, of))
-        head, times, of = head[order], times[order], of[order]
-        first = np.ones(len(head), bool)
-        first[1:] = of[1:] != of[:-1]
-    else:
-        first = np.ones(1, bool)
-    at = np.flatnonzero(first)
-    count = np.diff(np.append(at, len(head)))
-    old = of[at]
-    end = group_end[old]
-    lowest = np.repeat(end - count, count)
-    target = ranges(end - count, count)
-    current = slot[head]
-    marked[head] = True
-    there = at_slot[target]
-    pushed = there[~marked[there]]
-    free = current[current < lowest]
-    at_slot[free] = pushed
-    slot[pushed] = free
-    at_slot[target] = head
-    slot[head] = target
-    marked[head] = False
-    # A group that moves as a whole keeps its first slot, so the old end goes first.
-    group_end[old] = end - count
-    parts = first
-    parts[1:] |= times[1:] != times[:-1]
-    at = np.flatnonzero(parts)
-    sizes = np.diff(np.append(at, len(head)))
-    group[head] = np.repeat(target[at], sizes)
-    group_end[target[at]] = target[at] + sizes
+    return blocks.length[:n], blocks.length[n:]
 
 
 def prefix_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,20 +219,22 @@ def runs_of(codes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarr
         return none, none, none, none
     bounds = np.append(bounds[full], bounds[-1])
     codes = codes.astype(np.int64)
-    text_of = np.repeat(np.arange(len(full), dtype=np.int32), np.diff(bounds))
+    n = len(codes)
     found = []
+    text_start, text_end = (b.repeat(np.diff(bounds)) for b in (bounds[:-1], bounds[1:]))
     for period in lyndon_arrays(codes, bounds):
-        place = np.arange(len(codes))
-        follows = place + period
         # One equal word at either side is the least that any run needs.
-        right = np.flatnonzero(follows < bounds[1:][text_of])
-        right = right[codes[follows[right]] == codes[right]]
-        leftwards = np.flatnonzero(place > bounds[:-1][text_of])
-        leftwards = leftwards[codes[leftwards - 1] == codes[follows[leftwards] - 1]]
-        chosen = np.union1d(right, leftwards)
-        found.append(np.stack([chosen, period[chosen]]))
-    place, period = np.unique(np.concatenate(found, axis=1), axis=1).astype(np.int64)
-    text = text_of[place]
+        place = np.arange(n)
+        near = np.zeros(n, bool)
+        right = (place + period < text_end).nonzero()[0]
+        near[right] = codes[right + period[right]] == codes[right]
+        before = (place > text_start).nonzero()[0]
+        near[before] |= codes[before - 1] == codes[before + period[before] - 1]
+        chosen = near.nonzero()[0]
+        found.append(chosen * (n + 1) + period[chosen])
+    place, period = np.divmod(np.unique(np.concatenate(found)), n + 1)
+    del text_start, text_end
+    text = np.searchsorted(bounds, place, side="right") - 1
     start, end = bounds[:-1][text], bounds[1:][text]
     sums, power = prefix_hashes(codes)
     right, before = extended(codes, place, period, start, end, sums, power)
