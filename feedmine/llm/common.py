@@ -18,7 +18,7 @@ from feedmine.session import checkpoint_dir, materialize
 NULL_KEY_BASE = -(2 ** 63)
 NULL_KEY_SPAN = 2 ** 40
 
-__all__ = ["NULL_KEY_BASE", "byte_slices", "chunks_of", "id_key", "key_ranges", "materialize", "parallelism",
+__all__ = ["NULL_KEY_BASE", "byte_slices", "chunks_of", "id_key", "joined", "key_ranges", "materialize", "parallelism",
            "range_of", "shared_folder", "texts_of", "words_of"]
 
 
@@ -101,3 +101,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
     some = pc.greater(pc.binary_length(words), 0)
     return words.filter(some), np.bincount(rows.filter(some).to_numpy(), minlength=len(texts))
+
+
+def joined(words: pa.Array, sizes: np.ndarray, stays: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words that stay, joined by one space for each text, and their numbers."""
+    upto = np.concatenate([[0], np.cumsum(stays)])
+    ends = np.cumsum(sizes)
+    offsets = upto[np.concatenate([[0], ends])]
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.filter(pa.array(stays)))
+    return pc.cast(pc.binary_join(lists, " "), pa.string()), np.diff(offsets)

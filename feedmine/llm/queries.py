@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feedmine.llm import bpe, digest, fill_middle, packing, quality, secret_scan, sharding, simhash, token_counts, token_file, warc, word_runs
+from feedmine.llm import bpe, digest, fill_middle, packing, quality, secret_scan, sharding, simhash, substring_dedup, token_counts, token_file, warc, word_runs
 from feedmine.llm.common import shared_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -97,8 +97,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_fingerprints, op4_bpe, op5_token_file,
-                                   op6_quality_rules, op7_secret_scan, op8_simhash, op9_packing, op10_warc, op11_word_runs, op12_fill_in_middle)}
+                                   op6_quality_rules, op7_secret_scan, op8_simhash, op9_packing, op10_warc, op11_word_runs, op12_fill_in_middle, op13_substring_dedup)}
 
 ORACLE = {
     "op10_warc": """
@@ -131,4 +136,17 @@ ORACLE = {
                                 ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(text) AS restored_sha256
         FROM p""",
+    "op13_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, words FROM d),
+        w AS (SELECT doc_id, i, words[i] AS word,
+                     CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win FROM s),
+        e AS (SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM w),
+        c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+              FROM e),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                     coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+              FROM c GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }

@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmine.llm.common import byte_slices, words_of
+from feedmine.llm.common import byte_slices, joined, words_of
 
 SLICE_BYTES = 10 << 20
 #: A prime under 2**31 and a multiplier of the prefix hashes.
@@ -286,15 +285,13 @@ def word_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 np.add.at(change, bounds[text] + first + period, 1)
                 np.add.at(change, bounds[text] + first + length, -1)
                 stays = np.cumsum(change[:-1]) == 0
-                left = np.add.reduceat(np.append(stays, False), bounds[:-1], dtype=np.int64) * (sizes > 0)
-                kept = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)])),
-                                                     words.filter(pa.array(stays)))
+                kept, _ = joined(words, sizes, stays)
                 found = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (first, length, period)], fields=list(entry))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=count))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, count), pa.array(sizes, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets), found),
-                     pc.cast(pc.binary_join(kept, " "), pa.string())],
+                     kept],
                     names=[id_col, "n_words", "runs", "collapsed"])
 
     kind = rows.schema[0].dataType.simpleString()
