@@ -15,6 +15,8 @@ whole range counts double), between length codes and between ratio codes, each b
 likeness is 1 - difference / greatest difference.
 
 Equal texts have equal fingerprints. Null is the empty text.
+
+An empty table gives an empty table; a text of any length is counted in slices.
 """
 
 from __future__ import annotations

@@ -25,8 +25,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printed else chr(next(unused)) for b in range(256)]
 
 
+def marks() -> Iterator[str]:
+    """Characters that may stand for a cut: private ones first, then all others that are neither white space,
+    at which texts are cut, nor surrogates, which can't be written."""
+    private, last = range(0xE000, 0xF900), 0x110000
+    rest = (c for c in chain(range(last - 2, 0xF900, -1), range(0xD7FF, -1, -1)) if not chr(c).isspace())
+    return map(chr, chain(private, rest))
+
+
 #: Ids of distinct words: all of them one after the other, and where each word's begin and how many they are.
 Pool = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -76,7 +85,7 @@ class WordIds:
         """The ids of all texts, one after the other, and where each text's ids end."""
         if not texts:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        mark = next(m for m in map(chr, range(0x110000)) if not any(m in t for t in texts))
+        mark = next(m for m in marks() if not any(m in t for t in texts))
         marked, parts = zip(*(self._cut(t, mark) for t in texts), strict=True)
         joined = pa.array([mark.join(marked)], pa.large_string())
         del marked

@@ -10,6 +10,8 @@ The outcome is that of placing the pieces one by one.
 The resulting steps say which ranks of a length go to which sequences. Every piece then finds its
 sequence and offset from its rank among the pieces of its length; ranks are made of counts per
 (length, salt) and places within them, so a length that a third of the corpus has is split too.
+
+An empty table gives no pieces; only texts longer than a sequence are cut, into as many pieces as they need.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ Null and empty texts have no words and fail the base rules. Without usable label
 one class, the trees keep every document that passes the base rules. Repeated rows are judged each,
 alike. Labels without a document, documents without label, null labels and null ids take no
 part in training; a document labelled more than once counts with its least label.
+
+An empty table gives an empty table; a long text is measured whole, one text at a time.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ document of the block.
 
 Positions are code points, the end is exclusive. Matches of a rule don't overlap; those of
 different rules may. Null and empty texts have no spans. Repeated rows are scanned each.
+
+An empty table gives an empty table; a long text is searched whole, one text at a time.
 """
 
 from __future__ import annotations

@@ -6,10 +6,10 @@ fewer words is one shingle, a text without words has fingerprint zero. A bit is
 in over half of the hashes. Two documents are linked if their fingerprints differ in at most two
 bits; groups are the connected components.
 
-Search: only different fingerprints are searched. The 64 bits are cut into six blocks. Two
-fingerprints that differ in two bits agree in at least four of the blocks, so each fingerprint goes to
-15 buckets, one per choice of four blocks with their 42 or more bits as key. No bucket can hold
-more than 2**22 fingerprints, whatever the corpus. Within a task, each bucket's members are sorted
+Search: only different fingerprints are searched. The 64 bits are cut into three blocks. Two
+fingerprints that differ in two bits agree in at least one of them, so each fingerprint goes to three
+buckets, one per block with its 21 or 22 bits as key. A bucket is only a first cut that deals the
+work out; what it holds, some 5,000 of 10**10 fingerprints, is searched by the index. Within a task, each bucket's members are sorted
 by the rank that the fingerprint has in Gray code, where neighbours share most bits. Over them
 stands a hierarchy: a node has the mask of bits in which all its members agree, and their
 pattern. A query goes down from the bucket's root with the differences met so far; a node adds only
@@ -19,6 +19,8 @@ sum exceeds the limit.
 A fingerprint has at most 2,080 others within two bits, so links never grow as the square of a
 group. Each task sends on a spanning forest of the links it found; the components of
 those are found by ``components.connected``.
+
+An empty table gives no rows; a text of any length is hashed whole, its bits counted in slices.
 """
 
 from __future__ import annotations
@@ -37,10 +39,11 @@ from feedmine.llm.components import connected
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 #: First bit and number of bits of each block.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+BLOCKS = ((0, 22), (22, 21), (43, 21))
 FANOUT = 16
-#: Rows searched at once, queries at once; a bucket is never cut.
-SEARCH_ROWS, QUERIES = 1 << 18, 1 << 12
+#: Rows searched at once (a bucket is never cut), and pairs of queries and members of their buckets, which bound
+#: what a step of the search can hold before anything is pruned.
+SEARCH_ROWS, PAIRS = 1 << 18, 1 << 22
 BIT_SLICE = 1 << 16
 
 
@@ -109,11 +112,16 @@ class GrayIndex:
             self.levels.append((mask, pattern, start, np.append(start[1:], len(owner))))
             owner = owner[start]
         self.root = np.searchsorted(owner, bucket[order])
+        self.pairs = np.cumsum(np.bincount(self.root)[self.root])
+        self.compared = 0  # members that were not pruned with a group above them
 
     def links(self, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places (in ``members``) of pairs within ``max_bits`` in a bucket, each pair once."""
-        for lo in range(0, len(self.members), QUERIES):
-            query = np.arange(lo, min(lo + QUERIES, len(self.members)))
+        lo = 0
+        while lo < len(self.members):
+            done = self.pairs[lo - 1] if lo else 0
+            query = np.arange(lo, max(lo + 1, int(np.searchsorted(self.pairs, done + PAIRS, side="right"))))
+            lo += len(query)
             node, met = self.root[query], np.zeros(len(query), np.int64)
             for depth in range(len(self.levels) - 1, 0, -1):
                 mask, _, start, end = self.levels[depth]
@@ -125,6 +133,7 @@ class GrayIndex:
                 met = met + np.bitwise_count((self.members[query] ^ below_pattern[child]) & new_bits)
                 keep = met <= max_bits
                 query, node, met = query[keep], child[keep], met[keep]
+                self.compared += len(child) if depth == 1 else 0
             later = node > query
             yield query[later], node[later]
 
@@ -150,7 +159,7 @@ def spanning_links(fps: np.ndarray, bucket: np.ndarray, max_bits: int = MAX_BITS
 def candidate_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``a, b``: a spanning forest, per task, of the links between the fingerprints ``fp`` of ``distinct``."""
     if max_bits > MAX_BITS:
-        raise ValueError("six blocks find pairs of up to two differing bits")
+        raise ValueError("three blocks find pairs of up to two differing bits")
     tables = []
     for t, kept in enumerate(combinations(BLOCKS, len(BLOCKS) - MAX_BITS)):
         mask = sum(((1 << n) - 1) << at for at, n in kept)

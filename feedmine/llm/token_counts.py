@@ -14,6 +14,8 @@ holds a group's whole histogram.
 
 Null and empty texts have length 0. A null group column is a group of its own. Repeated rows
 count each time. An empty table gives no rows. Other columns are ignored.
+
+An empty table has no lengths; a long text is encoded whole and is one document of its length.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ as its line separator. So the files go through Spark's own commit of output, on
 system that Spark writes to, and a lost executor leaves no half-written file behind.
 
 Documents lie in ascending id, those without an id first; file ``n`` holds the n-th range of ids.
+
+An empty table gives one file without documents at most; a long text is encoded whole and spans blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MAGIC, END = b"FMIDPACK", "FMIDPEND"
 HEADER = struct.Struct("<8sIIIq")
 VERSION = 1
 BLOCK_IDS = 1 << 16
+#: Bytes of text a file, about as many of ids; Spark reads a binary file whole, of 2 GB at most.
+FILE_TEXT = 512 << 20
 
 
 def width_of(vocabulary: int) -> int:
@@ -145,7 +149,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     in the narrowest whole-byte type; texts are not.
     """
     bits = width_of(vocabulary)
-    cuts, _ = key_ranges(docs, id_col, text_col, parallelism(docs.sparkSession))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    files = max(parallelism(docs.sparkSession), -(-total // FILE_TEXT))
+    cuts, _ = key_ranges(docs, id_col, text_col, files)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_ids(tokenizer_path, kind)

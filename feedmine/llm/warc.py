@@ -4,9 +4,10 @@ Every page gives one WARC/1.1 record. Of pages with equal payloads of at least `
 bytes the one with the least id is archived whole (``response``), the others as ``revisit`` of
 it with the HTTP header alone; smaller payloads are archived whole each.
 
-An archive is one Zstandard file: a skippable frame (magic 0x184D2A5D) with a dictionary built
-from the records at the front of this archive, then one frame per record, compressed with that
-dictionary. Spark's text writer writes the files, with an empty skippable frame as its line
+An archive is one Zstandard file: a skippable frame (magic 0x184D2A5D) with a dictionary, then one
+frame per record, compressed with that dictionary. The dictionary is built from records of the
+whole table, evenly chosen by a hash (at most ``SAMPLE_RECORDS``, of each its first ``SAMPLE_BYTES`` bytes, so that long
+ones don't fill the sample), and stands in front of every archive. Spark's text writer writes the files, with an empty skippable frame as its line
 separator: readers of Zstandard pass over it. So the archives go through Spark's own commit of
 output on any file system that Spark writes to, and a lost executor leaves no torn file.
 
@@ -23,7 +24,6 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from feedmine.llm.common import parallelism
 
 MIN_REVISIT = 100
+SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 8 << 10
+#: Payload bytes of an archive; Spark reads a binary file whole, of 2 GB at most.
+LEAST_ARCHIVE, MOST_ARCHIVE = 4 << 20, 256 << 20
 DICTIONARY_MAGIC, SKIP_MAGIC = 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame; all its bytes are ASCII.
 SEPARATOR = struct.pack("<II", SKIP_MAGIC, 0).decode("ascii")
@@ -67,34 +70,24 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return head.encode() + block + b"\r\n\r\n"
 
 
-def build_dictionary(samples: list[bytes], size: int) -> bytes | None:
-    """A dictionary from sample records, or None if they are too few or too small for one."""
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
-        return None
+def build_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary from sample records. Too few or too short ones to train on serve as they are: Zstandard
+    takes any bytes as a dictionary of raw content."""
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 4), samples).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, total // 4)), samples).as_bytes()
     except zstandard.ZstdError:
-        return None
+        return b"".join(samples)[-size:]
 
 
-def archive_frames(records: Iterator[bytes], level: int, dictionary_bytes: int, sample_bytes: int) -> Iterator[bytes]:
-    """The frames of one archive: the dictionary's, then one per record. The dictionary is built from
-    the first records, up to ``sample_bytes``; no more is held."""
-    samples, size = [], 0
+def archive_frames(records: Iterator[bytes], level: int, dictionary: bytes) -> Iterator[bytes]:
+    """The frames of one archive: the dictionary's, then one per record. An archive without records has none."""
+    compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    first = True
     for r in records:
-        samples.append(r)
-        size += len(r)
-        if size >= sample_bytes:
-            break
-    if not samples:
-        return
-    raw = build_dictionary(samples, dictionary_bytes)
-    if raw is not None:
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-        compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw))
-    else:
-        compressor = zstandard.ZstdCompressor(level=level)
-    for r in chain(samples, records):
+        if first:
+            yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+            first = False
         yield compressor.compress(r)
 
 
@@ -120,18 +113,40 @@ def archive_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def table_dictionary(rows: DataFrame, size: int, date: str) -> bytes | None:
+    """The dictionary of a table (page_id, url, payload): its sample goes to one task, its bytes come back."""
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = [record(*(c[k].as_py() for c in batch.columns), None, date)[:SAMPLE_BYTES]
+                   for batch in batches for k in range(batch.num_rows)]
+        if samples:
+            yield pa.RecordBatch.from_arrays([pa.array([build_dictionary(samples, size)], pa.binary())], names=["dictionary"])
+    digest = F.sha2("payload", 256).alias("digest")
+    picked = rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"), digest)
+    picked = picked.orderBy(F.xxhash64("page_id", "digest"), "page_id", "digest", "url").limit(SAMPLE_RECORDS)
+    found = picked.mapInArrow(train, "dictionary binary").first()
+    return None if found is None else bytes(found["dictionary"])
+
+
+def archive_count(total_bytes: int, parts: int) -> int:
+    """As many archives as shuffle partitions; fewer if they would be smaller than ``LEAST_ARCHIVE`` (a dictionary
+    stands in each), more if they would be larger than ``MOST_ARCHIVE``."""
+    return max(1, min(parts, -(-total_bytes // LEAST_ARCHIVE)), -(-total_bytes // MOST_ARCHIVE))
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                date: str = "1970-01-01T00:00:00Z", level: int = 3, dictionary_bytes: int = 64 * 1024,
-               sample_bytes: int = 4 << 20, archives: int | None = None) -> None:
-    """Write every page's record into ``archives`` files (the shuffle partitions if not given).
+               archives: int | None = None) -> None:
+    """Write every page's record into ``archives`` files (by the payloads' bytes if not given).
 
     The least id of each repeated payload is found on digests alone: a payload that very many pages
     share is counted down before the shuffle, and the pages are then dealt by page id, which no
     payload can make uneven. Payloads move once.
     """
-    parts = archives or parallelism(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload"))
+    total = rows.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
+    parts = archives or archive_count(total, parallelism(pages.sparkSession))
+    dictionary = table_dictionary(rows, dictionary_bytes, date) or b""
     digests = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
     digests = digests.where(F.col("page_id").isNotNull() & (F.col("size") >= MIN_REVISIT))
     pairs = digests.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +168,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     same, before = (page, digest) == before, (page, digest)
                     revisits = first is not None and (page != first or same)
                     yield record(page, url, payload, digest, first if revisits else None, date)
-        for frame in archive_frames(records(), level, dictionary_bytes, sample_bytes):
+        for frame in archive_frames(records(), level, dictionary):
             yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], names=["frame"])
 
     (joined.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value"))

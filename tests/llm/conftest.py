@@ -38,3 +38,13 @@ def empty(spark):
     fields = [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()),
                                                ("source", T.StringType()), ("n_chars", T.LongType()))]
     return spark.createDataFrame([], T.StructType(fields))
+
+
+@pytest.fixture(scope="session")
+def characters(spark):
+    """Texts of all control, blank and private characters beside plain ones in the same chunk: none is free to mark a cut."""
+    plain = ["a b c", "Some words, and more.\nA line\r\nand  two blanks", "x"]
+    every = ["".join(map(chr, r)) for r in (range(10), range(33), range(0x7F, 0xA1), range(0xE000, 0xE100), range(0xE000, 0xF900))]
+    spaced = [" ".join(map(chr, range(10))), "\u2028 \u2029 \x85 \xa0 \u3000 b", chr(0x10FFFE) + " c", "\ufffe\uffff d"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([*every, *plain, *spaced, *plain])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)

@@ -98,6 +98,52 @@ def test_likeness_separates():
     assert digest.likeness(digest.fingerprint("ab"), digest.fingerprint("ab")) == 1
 
 
+def brute_counts(data):
+    """Triplet by triplet with Python's integers; a triplet is its window's first byte and two others of the window."""
+    counts = [0] * 128
+    for at in range(len(data) - 4):
+        for k, (i, j) in enumerate(((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))):
+            h = (data[at] * 0x9E3779B1 + data[at + i] * 0x85EBCA77) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = (h + data[at + j] * 0xC2B2AE3D + k * 0x165667B1) & 0xFFFFFFFF
+            counts[(h * 0x2C1B3C6D & 0xFFFFFFFF) >> 25] += 1
+    return counts
+
+
+def brute_digest(text):
+    data = (text or "").encode()
+    if len(data) < 5:
+        return "0000" + hashlib.sha256(data).hexdigest()
+    counts = brute_counts(data)
+    ranked = sorted(counts)
+    q = ranked[31], ranked[63], ranked[95]
+    codes = [sum(c > x for x in q) for c in counts]
+    length = min(255, int(np.log2(len(data)) * 8))
+    ratios = [min(15, 16 * x // max(1, q[2])) if x < q[2] else 15 for x in q[:2]]
+    digits = "".join(f"{codes[k] << 2 | codes[k + 1]:x}" for k in range(0, 128, 2))
+    return f"{length:02x}{ratios[0]:x}{ratios[1]:x}{digits}"
+
+
+def brute_difference(a, b):
+    total = 0
+    for x, y in zip(a[4:], b[4:], strict=True):
+        x, y = int(x, 16), int(y, 16)
+        for s in (abs((x >> 2) - (y >> 2)), abs((x & 3) - (y & 3))):
+            total += 6 if s == 3 else s
+    total += min(16, abs(int(a[:2], 16) - int(b[:2], 16)))
+    total += sum(min(4, abs(int(a[k], 16) - int(b[k], 16))) for k in (2, 3))
+    return min(256, total)
+
+
+def test_digest_against_plain_python(documents, monkeypatch):
+    texts = ["", "a", "abcd", "abcde", "é漢字 text", "x" * 300, *[r["text"] for r in documents.limit(25).collect()]]
+    monkeypatch.setattr(digest, "SLICE", 64)
+    prints = [digest.fingerprint(t) for t in texts]
+    assert prints == [brute_digest(t) for t in texts]
+    for a, b in zip(prints, prints[1:], strict=False):
+        assert digest.difference(a, b) == brute_difference(a, b)
+
+
 def brute_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -319,6 +365,20 @@ def test_gray_index_equals_all_pairs():
     assert simhash.gray_rank(np.array([0, 1, 3, 2, 6, 7, 5, 4], np.uint64)).tolist() == list(range(8))
 
 
+def test_gray_index_prunes_large_buckets(monkeypatch):
+    """A bucket as large as those of 10**10 fingerprints, and a group of near copies with all their variants in it."""
+    rng = np.random.default_rng(7)
+    free = np.uint64((1 << 42) - 1)
+    base = rng.integers(0, 2**42, dtype=np.uint64)
+    near = [base ^ np.uint64(1 << i | 1 << j) for i in range(42) for j in range(i)]
+    members = np.unique(np.concatenate([rng.integers(0, 2**42, 5000, dtype=np.uint64) & free, np.array(near, np.uint64)]))
+    monkeypatch.setattr(simhash, "PAIRS", 1 << 19)
+    index = simhash.GrayIndex(members, np.zeros(len(members), np.int64))
+    found = sum(len(a) for a, _ in index.links(2))
+    want = sum(int((np.bitwise_count(members[k + 1:] ^ m) <= 2).sum()) for k, m in enumerate(members))
+    assert found == want and index.compared < 0.4 * len(members) ** 2
+
+
 def test_simhash_search_over_task_blocks(spark, monkeypatch):
     """Buckets at the borders of search blocks, and pairs that differ in any two bits."""
     rng = np.random.default_rng(6)

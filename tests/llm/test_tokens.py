@@ -24,7 +24,7 @@ def ids_of(path, text):
     return np.array(library(path).encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
-@pytest.fixture(params=["odd", "documents", "empty"])
+@pytest.fixture(params=["odd", "documents", "empty", "characters"])
 def docs(request):
     return request.getfixturevalue(request.param)
 

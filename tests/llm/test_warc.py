@@ -72,13 +72,34 @@ def test_empty(spark):
     assert warc.read_warc(spark, folder).collect() == []
 
 
-def test_few_records_have_no_dictionary():
-    frames = list(warc.archive_frames(iter([b"one", b"two"]), 3, 65536, 1 << 20))
-    assert len(frames) == 2 and list(warc.archive_frames(iter([]), 3, 65536, 1 << 20)) == []
+def test_every_archive_has_a_dictionary(spark):
+    """Also 200 archives of one or two pages, and pages in front that are longer than any sample."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    long = spark.createDataFrame([(-9, "u", "long page " * 600_000)], "page_id long, url string, html string")
+    for table, archives in ((pages, 200), (pages.select("page_id", "url", "html").union(long), 2), (long, 1), (pages.limit(1), 3)):
+        folder = shared_folder(spark, "test")
+        warc.write_warc(table, folder, archives=archives)
+        files = [bytes(f["content"]) for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect()]
+        filled = [f for f in files if f]
+        assert filled and all(struct.unpack_from("<I", f)[0] == warc.DICTIONARY_MAGIC for f in filled)
+        assert len({f[8:8 + struct.unpack_from("<I", f, 4)[0]] for f in filled}) == 1
+        assert warc.read_warc(spark, folder).count() == table.count()
+
+
+def test_number_of_archives_follows_the_bytes():
+    assert warc.archive_count(0, 200) == 1 and warc.archive_count(10 << 20, 200) == 3
+    assert warc.archive_count(10 << 30, 200) == 200 and warc.archive_count(1 << 40, 200) == 4096
+
+
+def test_few_records_serve_as_raw_dictionary():
+    assert warc.build_dictionary([b"one record", b"two"], 8) == b"ecordtwo"
+    raw = warc.build_dictionary([b"WARC/1.1 short"], 64)
+    frames = list(warc.archive_frames(iter([b"one", b"two"]), 3, raw))
+    assert len(frames) == 3 and frames[0][8:] == raw and list(warc.archive_frames(iter([]), 3, raw)) == []
 
 
 def test_torn_archives_raise():
     record = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, "2020-01-01T00:00:00Z")
-    content = b"".join(warc.archive_frames(iter([record, record[:-5]]), 3, 65536, 1 << 20))
+    content = b"".join(warc.archive_frames(iter([record, record[:-5]]), 3, warc.build_dictionary([record], 1 << 16)))
     with pytest.raises(ValueError):
         list(warc.archive_records(content))
