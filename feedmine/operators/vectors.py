@@ -4,7 +4,8 @@ exact search (K4, K5), approximate search (K6) and embedding alignment (C4).
 The index is a table (id, content, content_vector, reviewer, repo, pr_number,
 github_comment_id, pr_url, file_path, category, severity, merged_at), written
 partitioned by repo. Vectors are stored unit-normalised, so cosine similarity is
-one dot product, computed with higher-order functions inside codegen.
+one dot product: of whole blocks for many queries (``blocked``), of one row at a time for a
+single query (K4).
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from feedmine.functions.notes import note_content, note_id
 from feedmine.functions.text import is_blank
-from feedmine.operators.joins import BROADCAST_BYTES, fits_broadcast
+from feedmine.operators import blocked as bl
+from feedmine.operators.joins import BROADCAST_BYTES
 
 INDEX_COLUMNS = ["id", "content", "content_vector", "reviewer", "repo", "pr_number",
                  "github_comment_id", "pr_url", "file_path", "category", "severity", "merged_at"]
@@ -135,36 +137,21 @@ def search_many(index: DataFrame, queries: DataFrame, k: int,
                 reviewers_col: str | None = None) -> DataFrame:
     """K5: K4 for a table of queries (query_id, repo, query_vector[, reviewers]).
 
-    Queries that, measured, take no more than ``broadcast_bytes`` are broadcast and the
-    index is scanned in place: no shuffle of the index, and a repo holding a third of
-    all rows is spread over all of its file splits. The per-query top-k is computed
-    as a partial limit inside each task before the shuffle, so at most k rows per
-    query and task move. More queries than that are joined, and both sides salted on a hash of the
-    note id so that a hot repo is split over ``salt_buckets`` tasks.
-    Returns (query_id, id, rank, plus the stored fields).
+    The index is read in place and its rows are scored in blocks, as matrix products with blocks of queries of the same
+    repo (``blocked``). Queries that, measured, take no more than ``broadcast_bytes`` are broadcast: no shuffle of the
+    index, and a repo holding a third of all rows is spread over all of its file splits. For more queries, blocks of
+    both sides are joined with a salt, so that a hot repo is split over ``salt_buckets`` tasks. Only the best k of each
+    block and query move. Returns (query_id, id, rank, plus the stored fields).
     """
     if k < 1:
         raise ValueError("search limit must be at least 1")
-    qcols = [F.col("query_id"), F.col("repo").alias("_qrepo"),
-             unit(F.col("query_vector")).alias("_qvec")]
-    if reviewers_col:
-        qcols.append(F.col(reviewers_col).alias("_qrev"))
-    q = queries.select(*qcols)
-    if broadcast_bytes and fits_broadcast(q := q.persist(), broadcast_bytes):
-        joined = index.join(F.broadcast(q), F.col("repo") == F.col("_qrepo"))
-    else:
-        salted_index = index.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt_buckets)))
-        salted_q = q.withColumn("_qsalt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        joined = salted_index.join(
-            salted_q, (F.col("repo") == F.col("_qrepo")) & (F.col("_salt") == F.col("_qsalt"))
-        ).drop("_salt", "_qsalt")
-    if reviewers_col:
-        joined = joined.where((F.size("_qrev") == 0) | F.array_contains("_qrev", F.col("reviewer")))
-    scored = joined.withColumn("_score", dot(F.col("content_vector"), F.col("_qvec")))
-    w = Window.partitionBy("query_id").orderBy(F.col("_score").desc(), F.col("id"))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "id", "rank", "repo", "pr_number", "github_comment_id",
-                    "reviewer", "content", "pr_url", "file_path", "category", "severity"))
+    q = queries.select("query_id", "repo", unit(F.col("query_vector")).alias("_qvec"),
+                       *([F.col(reviewers_col).alias("reviewers")] if reviewers_col else []))
+    fields = ["id", "repo", "pr_number", "github_comment_id", "reviewer", "content", "pr_url", "file_path", "category", "severity"]
+    blocks = bl.packed(index, ["repo"], fields, "content_vector", bl.BLOCK_ROWS)
+    asked = ["query_id", *(["reviewers"] if reviewers_col else [])]
+    found = bl.hits(bl.joined_blocks(blocks, q, ["repo"], asked, broadcast_bytes, salt_buckets), k, fields)
+    return bl.ranked(found, k).select("query_id", "id", "rank", *fields[1:])
 
 
 def align_embeddings(inputs: DataFrame, response: DataFrame) -> tuple[DataFrame, DataFrame]:

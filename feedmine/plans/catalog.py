@@ -133,6 +133,28 @@ def k6_search_approx(spark, d):
     return vx.search_approx(index, fx.vector_queries(spark, d), k=8, cells=10, probe=8)
 
 
+@query("k5_search_stored_cells")
+def k5_search_stored_cells(spark, d):
+    """K5 over the stored cell index: exact, cells skipped by bounds. A third of the notes is appended, and some are
+    written twice, after the build."""
+    from feedmine.operators import cells
+    index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+    root = _scratch(spark, "k5")
+    cells.build(index.where("pr_number % 3 <> 0"), root, cells=10)
+    cells.upsert(index.where("pr_number % 3 = 0 OR pr_number % 7 = 0"), root, seq=1)
+    return cells.search_exact(spark, root, fx.vector_queries(spark, d), k=8).select("query_id", "id", "github_comment_id", "rank")
+
+
+@query("k6_search_cells")
+def k6_search_cells(spark, d):
+    """K6 over the stored cell index; approximate. tests/test_cells.py measures its recall at these parameters."""
+    from feedmine.operators import cells
+    index = vx.save_vectors(_empty_index(spark), fx.vector_notes(spark, d))
+    root = _scratch(spark, "k6")
+    cells.build(index, root, cells=10)
+    return cells.search_cells(spark, root, fx.vector_queries(spark, d), k=8, probe=8).select("query_id", "id", "rank", "repo", "github_comment_id")
+
+
 @query("c4_align_embeddings")
 def c4_align_embeddings(spark, d):
     notes = fx.vector_notes(spark, d)

@@ -73,6 +73,7 @@ SELECT query_id, id, github_comment_id,
 FROM s QUALIFY rank <= 8"""
 ORACLE["k5_search_many"] = _K5
 ORACLE["k5_search_many_salted"] = _K5
+ORACLE["k5_search_stored_cells"] = _K5
 
 ORACLE["c4_align_embeddings"] = _with(*VX) + """,
 inp AS (SELECT vec_id // 16 AS request_id, vec_id % 16 AS pos, vec_id AS github_comment_id FROM embeddings),
