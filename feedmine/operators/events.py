@@ -119,7 +119,6 @@ def extract_job(decoded: DataFrame, secret: str | None, rules: DataFrame | None
                  F.coalesce(num_t == "BIGINT", F.lit(False)).alias("_is_int"),
                  F.try_variant_get(num, "$", "bigint").alias("_num"))
     error = (F.when(~F.col("_sig"), F.lit("invalid webhook signature"))
-             .when(F.col("body_bytes").isNull(), F.lit("invalid base64 body"))
              .when(F.col("delivery_id") == "", F.lit("GitHub delivery ID is required"))
              .when(p.isNull() | ~F.col("_is_obj"), F.lit("invalid JSON payload"))
              .when(~F.col("_routed"), F.lit(None))
@@ -179,16 +178,18 @@ def valid_jobs(jobs: DataFrame, repo: str, work_types: list[str] | None, receipt
 
 
 # ---- A10 -----------------------------------------------------------------------------
-def write_jobs(jobs: DataFrame, root: str, strict: bool = True) -> DataFrame:
+def write_jobs(jobs: DataFrame, root: str, batch_id: int = 0, strict: bool = True) -> DataFrame:
     """One queue (directory) per work type; an unknown type is an error, not dropped.
 
-    Returns the rejected rows (empty when all types are known).
+    A queue holds one folder per batch, which a replay of the batch overwrites. Returns the rejected rows (empty when
+    all types are known).
     """
     known = F.col("work_type").isin(WORK_TYPES)
     rejects = jobs.where(~F.coalesce(known, F.lit(False)))
     if strict and rejects.limit(1).count():
         raise ValueError("unsupported webhook work type")
-    jobs.where(known).write.mode("append").partitionBy("work_type").parquet(root)
+    (jobs.where(known).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("work_type", "batch_id").parquet(root))
     return rejects
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from feedmine.functions.text import is_blank, strip
 from feedmine.operators.joins import broadcast_if_small
 from feedmine.schemas import FEEDBACK_FIELDS, MAX_FINAL_DIFF_CHARS, REPLY
-from feedmine.session import checkpoint_dir, materialize
+from feedmine.session import materialize
 
 KIND_ORDER = {"review_comment": 0, "review_summary": 1, "issue_comment": 2}
 
@@ -117,64 +117,68 @@ def strict_guard(diffs: DataFrame, max_chars: int = MAX_FINAL_DIFF_CHARS) -> Dat
 
 
 # ---- C2 -------------------------------------------------------------------------
-def attach_replies(comments: DataFrame, roots: DataFrame, checkpoint_every: int = 8) -> DataFrame:
+def attach_replies(comments: DataFrame, roots: DataFrame) -> DataFrame:
     """All descendants of each root by any author, breadth-first, siblings in input order.
 
     ``comments``: (repo, pr_number, id, in_reply_to_id, login, body, created_at,
-    html_url, item_ord). ``roots``: (repo, pr_number, id). Returns (repo, pr_number,
+    html_url, item_ord). ``roots``: (repo, pr_number, id), comments that answer none. Returns (repo, pr_number,
     root_id, replies ARRAY<REPLY>) for roots with at least one reply.
 
-    A level-by-level join: the frontier of depth d joins the edges on (repo, PR,
-    parent id). Breadth-first order equals the order of (depth, path of sibling
-    ordinals). Replies under untrusted roots, orphans and cycles are never reached.
-    The loop stops when a level is empty; the accumulated levels are checkpointed
-    every few levels so the lineage stays short.
+    Breadth-first order is the order of (depth, path of sibling ordinals), so each reply needs its root and its
+    path (``reply_paths``). Texts are joined to the paths at the end. Replies under untrusted roots, orphans and
+    cycles reach no root and are left out.
     """
-    spark = comments.sparkSession
-    checkpoint_dir(spark)
-    edges = (comments.where(F.col("in_reply_to_id").isNotNull())
-             .dropDuplicates(["repo", "pr_number", "id"])
-             .select("repo", "pr_number", F.col("in_reply_to_id").alias("_parent"),
-                     F.col("id"), "login", "body", "created_at", "html_url", "item_ord"))
-    # Only PRs with a trusted root can contribute replies. The edge set is written
-    # once, so each level reads it instead of recomputing the scan and the dedup.
-    edges = materialize(edges.join(roots.select("repo", "pr_number").distinct(),
-                                   ["repo", "pr_number"], "left_semi")
-                        .withColumnRenamed("repo", "_erepo").withColumnRenamed("pr_number", "_epr"))
-    frontier = roots.select("repo", "pr_number", F.col("id").alias("root_id"), F.col("id").alias("_node"),
-                            F.array().cast("array<long>").alias("path"))
-    levels = []
-    depth = 0
+    replies = (comments.where(F.col("in_reply_to_id").isNotNull())
+               .dropDuplicates(["repo", "pr_number", "id"])
+               .join(roots.select("repo", "pr_number").distinct(), ["repo", "pr_number"], "left_semi"))
+    paths = reply_paths(replies.select("repo", "pr_number", "id", F.col("in_reply_to_id").alias("parent"), F.col("item_ord").cast("long")))
+    reply = F.struct(F.col("id").alias("github_comment_id"),
+                     F.coalesce("login", F.lit("")).alias("author"),
+                     F.coalesce("body", F.lit("")).alias("body"),
+                     F.coalesce("created_at", F.lit("")).alias("created_at"),
+                     F.coalesce("html_url", F.lit("")).alias("html_url")).alias("reply")
+    reached = paths.join(roots.select("repo", "pr_number", F.col("id").alias("top")).distinct(), ["repo", "pr_number", "top"], "left_semi")
+    grouped = (reached.join(replies.select("repo", "pr_number", "id", reply), ["repo", "pr_number", "id"])
+               .groupBy("repo", "pr_number", F.col("top").alias("root_id"))
+               .agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("depth"), "path", "reply"))).alias("_r")))
+    return grouped.select("repo", "pr_number", "root_id", F.transform("_r", lambda x: x["reply"]).alias("replies"))
+
+
+def reply_paths(replies: DataFrame) -> DataFrame:
+    """(repo, pr_number, id, top, path) of every reply: the comment at the top of its thread and the sibling ordinals from
+    below it down to the reply. ``replies``: (repo, pr_number, id, parent, item_ord), ids unique in their PR.
+
+    Pointer doubling: each reply knows an ancestor and the path from it. A round joins that ancestor's own
+    ancestor and puts the paths together, so the distance doubles: a thread of n levels takes about log2(n) rounds. A
+    reply whose ancestor is no reply is done. One whose path has grown longer than its PR has replies is on a
+    cycle, or below one, and is dropped. Each round is written to the shared folder.
+    """
+    sizes = replies.groupBy("repo", "pr_number").agg(F.count(F.lit(1)).alias("most"))
+    known = replies.select("repo", "pr_number", "id", F.col("parent").alias("top"), F.array("item_ord").alias("path"))
+    answers = replies.select("repo", "pr_number", F.col("id").alias("top"), F.lit(True).alias("open"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.join(answers, ["repo", "pr_number", "top"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    # The first mark also settles the common case, a thread of one level, without a further round.
+    known = materialize(marked(known))
+    done = [known.where(~F.col("open"))]
     while True:
-        depth += 1
-        nxt = (frontier.join(edges, (F.col("repo") == F.col("_erepo"))
-                             & (F.col("pr_number") == F.col("_epr"))
-                             & (F.col("_node") == F.col("_parent")))
-               .select("repo", "pr_number", "root_id",
-                       F.col("id").alias("_node"),
-                       F.concat(F.col("path"), F.array(F.col("item_ord").cast("long"))).alias("path"),
-                       F.lit(depth).alias("depth"),
-                       F.struct(F.col("id").alias("github_comment_id"),
-                                F.coalesce("login", F.lit("")).alias("author"),
-                                F.coalesce("body", F.lit("")).alias("body"),
-                                F.coalesce("created_at", F.lit("")).alias("created_at"),
-                                F.coalesce("html_url", F.lit("")).alias("html_url")).alias("reply")))
-        # Levels are cached; every ``checkpoint_every`` levels one is written to the
-        # shared folder, so a deep forest never carries a long lineage.
-        nxt = materialize(nxt) if depth % checkpoint_every == 0 else nxt.persist()
-        if nxt.isEmpty():
+        waiting = known.where("open")
+        if waiting.isEmpty():
             break
-        levels.append(nxt)
-        frontier = nxt.select("repo", "pr_number", "root_id", "_node", "path")
-    if not levels:
-        return spark.createDataFrame([], f"repo string, pr_number long, root_id long, replies array<{REPLY.simpleString()}>")
-    allrep = levels[0]
-    for lv in levels[1:]:
-        allrep = allrep.unionByName(lv)
-    grouped = allrep.groupBy("repo", "pr_number", "root_id").agg(
-        F.array_sort(F.collect_list(F.struct("depth", "path", "reply"))).alias("_r"))
-    return grouped.select("repo", "pr_number", "root_id",
-                          F.transform("_r", lambda x: x["reply"]).alias("replies"))
+        above = known.select("repo", "pr_number", F.col("id").alias("top"), F.col("top").alias("_top"), F.col("path").alias("_path"), F.col("open").alias("_open"))
+        for rows in done[:-1]:  # done in earlier rounds, still ancestors of others
+            above = above.unionByName(rows.select("repo", "pr_number", F.col("id").alias("top"), F.col("top").alias("_top"),
+                                                  F.col("path").alias("_path"), F.col("open").alias("_open")))
+        doubled = (waiting.drop("open").join(above, ["repo", "pr_number", "top"])
+                   .select("repo", "pr_number", "id", F.col("_top").alias("top"), F.concat("_path", "path").alias("path"), F.col("_open").alias("open"))
+                   .join(sizes, ["repo", "pr_number"]).where(F.size("path") <= F.col("most")).drop("most"))
+        known = materialize(doubled)
+        done.append(known.where(~F.col("open")))
+    found = done[0]
+    for rows in done[1:]:
+        found = found.unionByName(rows)
+    return found.select("repo", "pr_number", "id", "top", "path")
 
 
 # ---- B5 (+ G1, C1) ------------------------------------------------------------------

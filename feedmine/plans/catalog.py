@@ -460,7 +460,9 @@ def a10_write_jobs(spark, d):
     import uuid
     from feedmine.session import checkpoint_dir
     root = f"{checkpoint_dir(spark).rstrip('/')}/queues-{uuid.uuid4().hex}"
-    ev.write_jobs(ev.jobs_of(_routed(spark, d)), root)
+    jobs = ev.jobs_of(_routed(spark, d))
+    for _ in range(2):  # a replay of the same batch adds nothing
+        ev.write_jobs(jobs, root, batch_id=3)
     return spark.read.parquet(root).select("work_type", "delivery_id", "event", "action", "repo", "pr_number")
 
 
@@ -582,6 +584,26 @@ def i3_split_failures(spark, d):
     return sp.split_failures(log).select("delivery_id", "receives", "status")
 
 
+def _flaky_worker(job):
+    """A stand-in worker: jobs of k mod 9 = 4 always fail, those of k mod 9 = 5 twice."""
+    k = int(job["delivery_id"]) % 9
+    if k == 4 or (k == 5 and job["receive"] < 3):
+        raise RuntimeError(f"receive {job['receive']} failed")
+
+
+@query("i3_retry_stream")
+def i3_retry_stream(spark, d):
+    """Landed deliveries (every one twice) through the keyed retry stream until none waits: receives, status, dead letters."""
+    from feedmine.streaming import retry as rt
+    root = _scratch(spark, "i3")
+    _land_deliveries(spark, d).write.json(f"{root}/landing")
+    jobs = ev.jobs_of(sp.delivery_stream(spark, f"{root}/landing", fx.WEBHOOK_SECRET))
+    stream = rt.start(rt.receives(jobs, _flaky_worker, visibility_ms=100), root, f"{root}/ckpt", "200 milliseconds")
+    rt.run_until_settled(stream, spark, root)
+    dead = rt.read_dead(spark, root).select("delivery_id", "error")
+    return rt.last_status(spark, root).join(dead, "delivery_id", "left")
+
+
 @query("i4_pending_until_merged")
 def i4_pending_until_merged(spark, d):
     root = _scratch(spark, "i4")

@@ -362,6 +362,13 @@ SELECT delivery_id,
        CASE WHEN CAST(delivery_id AS BIGINT) % 9 = 4 THEN 'dead' ELSE 'done' END AS status
 FROM (SELECT DISTINCT delivery_id FROM jobs_fx)"""
 
+ORACLE["i3_retry_stream"] = _with(ofx.DELIVERIES) + """
+SELECT delivery_id,
+       CAST(CASE CAST(delivery_id AS BIGINT) % 9 WHEN 4 THEN 5 WHEN 5 THEN 3 ELSE 1 END AS BIGINT) AS receives,
+       CASE WHEN CAST(delivery_id AS BIGINT) % 9 = 4 THEN 'dead' ELSE 'done' END AS status,
+       CASE WHEN CAST(delivery_id AS BIGINT) % 9 = 4 THEN 'RuntimeError: receive 5 failed' END AS error
+FROM (SELECT DISTINCT delivery_id FROM jobs_fx)"""
+
 ORACLE["i4_pending_until_merged"] = _with(ofx.PRS) + """
 SELECT repo, pr_number, CAST(0 AS BIGINT) AS seq, 'pending' AS action FROM prs_fx
 UNION ALL

@@ -52,6 +52,7 @@ MAX_FEEDBACK_PER_PR = 100
 EVIDENCE_PER_REVIEW = 8
 SEARCH_LIMIT = 5
 MAX_RECEIVES = 5
+VISIBILITY_MS = 5400 * 1000  # a failed job is tried again after this
 DEAD_LETTER_RETENTION_DAYS = 14
 
 S, L, B, I = T.StringType(), T.LongType(), T.BooleanType(), T.IntegerType()

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from feedmine.session import materialize
 from feedmine.operators import feedback as fb
 from feedmine.operators.ordering import with_ordinal
 
@@ -93,3 +94,54 @@ def test_diff_guard_blank_and_cap(spark):
     d = spark.createDataFrame([(1, " \n\t"), (2, "x" * 10), (3, "x" * 11)], "pr_number long, final_diff string")
     got = {r["pr_number"]: r["reason"] for r in fb.guard_diffs(d, 10).collect()}
     assert got[1] == "empty final diff" and got[2] is None and got[3].startswith("final diff is 11")
+
+
+def _forest(rng, n):
+    """Replies of three PRs: trees, orphans, cycles and replies below cycles; ids repeat between PRs."""
+    rows = []
+    for pr in range(3):
+        ids = list(range(1, n + 1))
+        for k in ids:
+            kind = rng.random()
+            parent = None if kind < 0.1 else rng.randint(1, k - 1) if kind < 0.9 and k > 1 else rng.randint(1, n) if kind < 0.97 else 10_000 + k
+            rows.append(("r", pr, k, parent, f"u{k}", "b", "", "", rng.randint(0, 50) * 1000 + k))
+    return rows
+
+
+def _breadth_first(rows, roots):
+    below = {}
+    for r in sorted(rows, key=lambda r: r[8]):
+        if r[3] is not None:
+            below.setdefault((r[1], r[3]), []).append(r)
+    out = {}
+    for pr, root in roots:
+        queue, found = list(below.get((pr, root), ())), []
+        while queue:
+            r = queue.pop(0)
+            found.append(r[2])
+            queue += below.get((pr, r[2]), ())
+        if found:
+            out[pr, root] = found
+    return out
+
+
+COMMENTS = "repo string, pr_number long, id long, in_reply_to_id long, login string, body string, created_at string, html_url string, item_ord long"
+
+
+def test_replies_equal_breadth_first_search(spark):
+    import random
+    rng = random.Random(5)
+    for n in (12, 60):
+        rows = _forest(rng, n)
+        roots = [(r[1], r[2]) for r in rows if r[3] is None and rng.random() < 0.8]
+        frame = spark.createDataFrame(rows, COMMENTS)
+        got = fb.attach_replies(frame, spark.createDataFrame([("r", *x) for x in roots], "repo string, pr_number long, id long"))
+        assert {(r["pr_number"], r["root_id"]): [x["github_comment_id"] for x in r["replies"]] for r in got.collect()} == _breadth_first(rows, roots)
+
+
+def test_a_thousand_levels_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(fb, "materialize", lambda df: rounds.append(1) or materialize(df))
+    rows = [("r", 1, k, k - 1 if k else None, "u", "b", "", "", k) for k in range(1001)]
+    got = fb.attach_replies(spark.createDataFrame(rows, COMMENTS), spark.createDataFrame([("r", 1, 0)], "repo string, pr_number long, id long")).collect()
+    assert [x["github_comment_id"] for x in got[0]["replies"]] == list(range(1, 1001)) and len(rounds) <= 12
