@@ -47,11 +47,15 @@ def analyze_recorded(batched: DataFrame, diffs: DataFrame, recorded: DataFrame,
     return notes, status, failed
 
 
-def analyze_with_caller(batched: DataFrame, diffs: DataFrame, caller: Callable[[str, str], str],
-                        system: str, max_attempts: int = ANALYSIS_MAX_ATTEMPTS,
-                        mode: str = "responses", partitions: int | None = None):
+def analyze_batches(batched: DataFrame, diffs: DataFrame, caller: Callable[[str, str], str],
+                    system: str, max_attempts: int = ANALYSIS_MAX_ATTEMPTS,
+                    mode: str = "responses", partitions: int | None = None,
+                    strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """J1 with retries: attempt k calls the model only for batches still without a valid
-    attempt. Each pass is checkpointed (model output is not recomputable)."""
+    attempt. Each pass is checkpointed (model output is not recomputable).
+
+    Returns (notes, failed (batch_id, attempts, reason)). In strict mode a failed batch raises. Else only calls that
+    raised in the last attempt do: they may succeed another time, an invalid answer is the batch's own fault."""
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
     prompts = prompts_for(batched, diffs).checkpoint(eager=True)
@@ -69,5 +73,15 @@ def analyze_with_caller(batched: DataFrame, diffs: DataFrame, caller: Callable[[
         if pending.limit(1).count() == 0:
             break
     accepted, failed = va.accept_attempts(all_status, max_attempts, prompts)
-    va.require_all(failed)
-    return va.analysis_notes(batched, all_items, accepted)
+    if strict:
+        va.require_all(failed)
+    elif lost := raw.where("call_error is not null").join(pending, "prompt_id", "left_semi").limit(1).collect():
+        raise RuntimeError(f"the model could not be called: {lost[0]['call_error']}")
+    return va.analysis_notes(batched, all_items, accepted), failed
+
+
+def analyze_with_caller(batched: DataFrame, diffs: DataFrame, caller: Callable[[str, str], str],
+                        system: str, max_attempts: int = ANALYSIS_MAX_ATTEMPTS,
+                        mode: str = "responses", partitions: int | None = None) -> DataFrame:
+    """The notes of ``analyze_batches`` in strict mode."""
+    return analyze_batches(batched, diffs, caller, system, max_attempts, mode, partitions)[0]

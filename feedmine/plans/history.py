@@ -25,7 +25,7 @@ from feedmine.operators import rollup as ru
 from feedmine.operators import validate as va
 from feedmine.operators import vectors as vx
 from feedmine.operators.ordering import assign_batches, with_ordinal
-from feedmine.plans.analysis import analyze_with_caller, parsed
+from feedmine.plans.analysis import analyze_batches, parsed
 from feedmine.plans.mining import mine
 from feedmine.schemas import MAX_FEEDBACK_PER_PR, PENDING, VECTOR
 from feedmine.session import materialize
@@ -45,19 +45,27 @@ class Model:
     assess_system: str = "system"
 
 
-def assess_with_caller(evidence: DataFrame, caller: Callable[[str, str], str], system: str) -> DataFrame:
-    """One call per merged PR, not tried again; any PR without a valid assessment fails the job."""
+def assess_with_caller(evidence: DataFrame, caller: Callable[[str, str], str], system: str,
+                       strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One call per merged PR, not tried again. Returns (notes, rejects (repo, pr_number, reason)).
+
+    In strict mode any PR without a valid assessment fails the job. Else only a call that raised does."""
     prompts = materialize(bt.architecture_prompts(evidence).withColumn("prompt_id", bt.prompt_id(F.col("prompt"))))
-    if bad := prompts.where("reason is not null").limit(1).collect():
+    unasked = prompts.where("reason is not null").select("repo", "pr_number", "reason")
+    if strict and (bad := unasked.limit(1).collect()):
         raise ValueError(f"pull request {bad[0]['pr_number']}: {bad[0]['reason']}")
-    raw = md.annotate(prompts, caller, system)
+    asked = prompts.where("reason is null")
+    raw = md.annotate(asked, caller, system)
+    if not strict and (lost := raw.where("call_error is not null").limit(1).collect()):
+        raise RuntimeError(f"the model could not be called: {lost[0]['call_error']}")
     obj, err = md.response_object(F.col("raw"))
-    responses = materialize(raw.join(prompts.select("prompt_id", "repo", "pr_number"), "prompt_id")
+    responses = materialize(raw.join(asked.select("prompt_id", "repo", "pr_number"), "prompt_id")
                             .select("repo", "pr_number", obj.alias("obj"), F.coalesce("call_error", err).alias("error")))
     notes, rejects = va.architecture_notes(evidence, responses)
-    if bad := rejects.limit(1).collect():
+    rejects = rejects.select("repo", "pr_number", "reason")
+    if strict and (bad := rejects.limit(1).collect()):
         raise RuntimeError(f"{bad[0]['repo']}#{bad[0]['pr_number']}: {bad[0]['reason']}")
-    return notes
+    return notes, rejects.unionByName(unasked)
 
 
 def embedded(notes: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -78,23 +86,38 @@ def embedded(notes: DataFrame, embed: Callable[[list[str]], list[list[float]]])
     return keyed.join(vectors, "_text_id").drop("_text", "_text_id")
 
 
-def analysed(feedback: DataFrame, evidence: DataFrame, model: Model, first_ordinal: int = 0) -> DataFrame:
-    """The notes on all feedback (with ``ordinal``), then those on the merged PRs; ordinals go on from the first.
-    A merged PR with a missing, blank or oversize diff (B7) raises before any call of the model."""
-    evidence, _ = check_evidence(evidence)
+def analysed(feedback: DataFrame, evidence: DataFrame, model: Model, first_ordinal: int = 0,
+             strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(notes, rejects (repo, pr_number, reason)): the notes on all feedback (with ``ordinal``), then those on the merged
+    PRs; ordinals go on from the first.
+
+    A merged PR with a missing, blank or oversize diff (B7) raises before any call of the model, and any answer that isn't
+    valid raises too. Unless ``strict``: then such PRs are rejects, and so is every PR with a comment in a prompt without a
+    valid answer; ``notes`` may still hold notes of rejected PRs."""
+    evidence, rejects = check_evidence(evidence, strict)
+    rejects = rejects.select("repo", "pr_number", "reason")
     diffs = evidence.select("repo", "pr_number", "final_diff")
     # Batches need ordinals without gaps; only numbers are sorted for that.
     dense = with_ordinal(feedback.select(F.col("ordinal").alias("_given")), ["_given"])
     feedback = feedback.withColumnRenamed("ordinal", "_given").join(dense, "_given").drop("_given")
     batched = materialize(assign_batches(feedback, BATCH_SIZE))
     if n := batched.count():
-        comments = va.note_columns(analyze_with_caller(batched, diffs, model.annotate, model.annotate_system))
+        comments, failed = analyze_batches(batched, diffs, model.annotate, model.annotate_system, strict=strict)
+        comments = va.note_columns(comments)
+        rejects = rejects.unionByName(batched.join(failed, "batch_id").select("repo", "pr_number", "reason"))
     order = with_ordinal(evidence.select("merged_at", "repo", "pr_number"), ["merged_at", "repo", "pr_number"])
     evidence = evidence.drop("ordinal").join(order.drop("merged_at"), ["repo", "pr_number"])
-    arch = va.note_columns(assess_with_caller(evidence, model.assess, model.assess_system))
-    arch = arch.withColumn("ordinal", F.col("ordinal") + n)
+    arch, unfit = assess_with_caller(evidence, model.assess, model.assess_system, strict)
+    arch = va.note_columns(arch).withColumn("ordinal", F.col("ordinal") + n)
     both = cu.all_notes(comments, arch).drop("_kind") if n else arch
-    return materialize(both.withColumn("ordinal", (F.col("ordinal") + first_ordinal).cast("long")))
+    notes = materialize(both.withColumn("ordinal", (F.col("ordinal") + first_ordinal).cast("long")))
+    return notes, rejects.unionByName(unfit).groupBy("repo", "pr_number").agg(F.min("reason").alias("reason"))
+
+
+def following_ordinal(notes: DataFrame, first: int = 0) -> int:
+    """The ordinal after all of ``notes``."""
+    last = notes.agg(F.max("ordinal")).first()[0]
+    return first if last is None else max(first, int(last) + 1)
 
 
 def checklist(active: DataFrame) -> DataFrame:
@@ -114,7 +137,7 @@ def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: Dat
     analysing again (A9). Returns the committed version.
     """
     snap.require_evidence(feedback, evidence)
-    notes = snap.run_stage(spark, root, ["notes_all"], lambda: {"notes_all": analysed(feedback, evidence, model)}, resume)["notes_all"]
+    notes = snap.run_stage(spark, root, ["notes_all"], lambda: {"notes_all": analysed(feedback, evidence, model)[0]}, resume)["notes_all"]
     active = materialize(cu.curate(notes))
     stored = (snap.read_snapshot(spark, root, "vectors") if snap.latest_version(spark, root) is not None
               else spark.createDataFrame([], VECTOR))
@@ -124,7 +147,7 @@ def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: Dat
     snap.write_skill(checklist(active), f"{root}/skill/version={version}")
     return snap.publish_snapshot(spark, root, {
         "raw_comments": feedback, "notes_all": notes, "notes": active, "vectors": index,
-        "pending_prs": spark.createDataFrame([], PENDING)}, version=version)
+        "pending_prs": spark.createDataFrame([], PENDING)}, version=version, next_ordinal=following_ordinal(notes))
 
 
 def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, feedback: DataFrame, evidence: DataFrame,
@@ -132,30 +155,41 @@ def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, fee
     """One step of I5: the merged PRs of ``keys`` (repo, pr_number) are analysed and enter the history as ``version``.
 
     ``feedback`` (with ``ordinal``) and ``evidence`` are those of the keys' PRs. The state is read and written for the
-    keys' repos only. A PR with more than ``feedback_cap`` items is refused and changes nothing, the others go on.
+    keys' repos only. PRs are refused one by one and change nothing, while the others go on: those with more than
+    ``feedback_cap`` items, with a missing, blank or oversize diff, or with an answer of the model that stays invalid. A call of the
+    model that raises fails the step, which can be run again.
+    New notes take ordinals after all that the history ever gave out, whatever its repos; the commit holds the next one.
     A replay with the same ``version`` reads the same input and writes the same output. Several PRs are curated
-    together, and their comments may share a prompt. Returns the refused (repo, pr_number, n).
+    together, and their comments may share a prompt. Returns the refused (repo, pr_number, reason).
     """
     on = ["repo", "pr_number"]
     wanted = keys.select(*on).distinct()
-    feedback = feedback.join(wanted, on, "left_semi")
-    refused = materialize(fb.check_feedback_cap(feedback, feedback_cap))
+    feedback, evidence = (x.join(wanted, on, "left_semi") for x in (feedback, evidence))
+    many = fb.check_feedback_cap(feedback, feedback_cap).select(
+        *on, F.concat(F.col("n").cast("string"), F.lit(f" feedback items; at most {feedback_cap} are taken")).alias("reason"))
+    _, unusable = check_evidence(evidence, strict=False)
+    refused = materialize(many.unionByName(unusable.select(*on, "reason")))
+    asked = wanted.join(refused, on, "left_anti")
+    before = version - 1
+    first = snap.committed_ordinal(spark, root, before)
+    if first is None:  # committed before commits held it
+        first = following_ordinal(snap.read_snapshot(spark, root, "notes", before))
+    found, unfit = analysed(feedback.join(asked, on, "left_semi"), evidence.join(asked, on, "left_semi"), model, first, strict=False)
+    refused = materialize(refused.unionByName(unfit).groupBy(*on).agg(F.min("reason").alias("reason")))
     keys = materialize(wanted.join(refused, on, "left_anti"))
     repos = materialize(keys.select("repo").distinct())
-    before = version - 1
 
     def state(name: str) -> DataFrame:
         return snap.read_snapshot(spark, root, name, before, repos=repos)
     current = feedback.join(keys, on, "left_semi")
-    prior = state("notes")
-    last = prior.agg(F.max("ordinal")).first()[0]
-    notes = analysed(current, evidence.join(keys, on, "left_semi"), model, 0 if last is None else last + 1)
-    result = mine(prior, notes, keys)
+    notes = found.join(keys, on, "left_semi")
+    result = mine(state("notes"), notes, keys)
     index = vx.delete_vectors(state("vectors"), result.removed)
     index = vx.save_vectors(index, embedded(result.current, model.embed))
     tables = {"raw_comments": cu.replace_slice(state("raw_comments"), current, keys), "notes": result.active, "vectors": index,
               "pending_prs": state("pending_prs").join(keys, on, "left_anti")}
-    snap.publish_snapshot(spark, root, tables, version=version, touched=dict.fromkeys(tables, repos))
+    snap.publish_snapshot(spark, root, tables, version=version, touched=dict.fromkeys(tables, repos),
+                          next_ordinal=following_ordinal(found, first))
     # Like the model's summary, the checklist is made from all active notes.
     snap.write_skill(checklist(snap.read_snapshot(spark, root, "notes", version)), f"{root}/skill/version={version}")
     return refused

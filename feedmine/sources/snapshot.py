@@ -21,6 +21,7 @@ from feedmine.schemas import FEEDBACK, NOTE, PENDING
 from feedmine.session import path_exists
 
 COMMITS = "_commits"
+COMMIT = "version int, tables map<string,string>, next_ordinal long"
 STATE_TABLES = ("raw_comments", "notes", "pending_prs")
 
 
@@ -33,6 +34,12 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return None if row is None or row["v"] is None else int(row["v"])
 
 
+def committed_ordinal(spark: SparkSession, root: str, version: int) -> int | None:
+    """The first free ordinal as of a committed version; None if its commit doesn't say."""
+    row = spark.read.schema(COMMIT).parquet(f"{root}/{COMMITS}").where(F.col("version") == version).agg(F.max("next_ordinal")).first()
+    return row[0]
+
+
 def _schema(spark: SparkSession, root: str, version: int, name: str) -> T.StructType:
     row = spark.read.parquet(f"{root}/{COMMITS}").where(F.col("version") == version).select(
         F.col("tables")[name].alias("schema")).first()
@@ -48,12 +55,12 @@ def _parts(spark: SparkSession, root: str, name: str, version: int) -> DataFrame
 
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame],
                      version: int | None = None, fail_after: str | None = None,
-                     touched: dict[str, DataFrame] | None = None) -> int:
+                     touched: dict[str, DataFrame] | None = None, next_ordinal: int | None = None) -> int:
     """Write all tables for a new version, then commit it. A version older than the newest is refused.
 
     ``touched`` names tables of which only some repos changed: its frame lists these repos, the
-    table's frame has all their rows, and no other repo's files are written. ``fail_after`` (a
-    table name) simulates a crash after that table is written, for tests.
+    table's frame has all their rows, and no other repo's files are written. ``next_ordinal`` is the
+    first ordinal that no note of any version has. ``fail_after`` (a table name) simulates a crash after that table is written, for tests.
     """
     newest = latest_version(spark, root) or 0
     v = version if version is not None else newest + 1
@@ -80,7 +87,9 @@ def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame
             parts.coalesce(1).write.mode("overwrite").parquet(f"{root}/_parts/{name}/version={v}")
         if fail_after == name:
             raise RuntimeError(f"simulated failure after writing {name}")
-    commit = spark.createDataFrame([(v, {n: df.schema.json() for n, df in tables.items()})], "version int, tables map<string,string>")
+    if next_ordinal is None and newest:
+        next_ordinal = committed_ordinal(spark, root, newest)
+    commit = spark.createDataFrame([(v, {n: df.schema.json() for n, df in tables.items()}, next_ordinal)], COMMIT)
     commit.write.mode("append").parquet(f"{root}/{COMMITS}")
     return v
 

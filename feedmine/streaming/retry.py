@@ -31,6 +31,7 @@ JOB = "version int, work_type string, event string, action string, repo string,
 JOB_FIELDS = [f.split()[0] for f in JOB.split(", ")]
 STATE = f"receives int, settled boolean, {JOB}"
 RECEIVES = f"delivery_id string, receive int, status string, error string, at timestamp, {JOB}"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,7 +74,6 @@ class Receives(StatefulProcessor):
 
 def receives(jobs: DataFrame, handle: Callable[[dict], None], max_receives: int = MAX_RECEIVES, visibility_ms: int = VISIBILITY_MS) -> DataFrame:
     """The stream of receives of a stream of jobs (``ev.jobs_of``). Jobs without a delivery id never get this far (H9)."""
-    jobs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return jobs.select("delivery_id", *JOB_FIELDS).groupBy("delivery_id").transformWithState(
         statefulProcessor=Receives(handle, max_receives, visibility_ms), outputStructType=RECEIVES, outputMode="Update", timeMode="ProcessingTime")
 
@@ -88,8 +88,13 @@ def write_receives(batch: DataFrame, batch_id: int, root: str) -> None:
 
 def start(stream: DataFrame, root: str, checkpoint: str, trigger: str = "10 seconds") -> StreamingQuery:
     """Run until stopped. Every trigger is a batch, with or without new jobs, so timers fire."""
-    return (stream.writeStream.option("checkpointLocation", checkpoint).outputMode("update")
-            .foreachBatch(lambda b, i: write_receives(b, i, root)).trigger(processingTime=trigger).start())
+    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
+    try:
+        return (stream.writeStream.option("checkpointLocation", checkpoint).outputMode("update")
+                .foreachBatch(lambda b, i: write_receives(b, i, root)).trigger(processingTime=trigger).start())
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
 
 
 def read_receives(spark: SparkSession, root: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The batch job and the mining step as wholes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from small_data import SF_SMALL
 from feedmine.plans import catalog as cat
@@ -56,10 +57,14 @@ def test_merged_pr_without_a_usable_diff_is_refused_before_any_call(spark, built
     some = feedback.where(f"pr_number in ({good}, {lost})")
     with pytest.raises(ValueError, match=reason):
         hi.batch_job(spark, str(tmp_path), some, bad, never, [f"org/r{i}" for i in range(8)])
-    with pytest.raises(ValueError, match=f"#{lost}: .*{reason}"):
-        hi.mine_step(spark, root, bad, 2, feedback, bad, never)
     assert snap.latest_version(spark, str(tmp_path)) is None
-    assert snap.latest_version(spark, root) == 1 and rows(spark, root) == before
+    # The mining step takes each PR by itself: without the good one, nothing is left to call the model for.
+    only = hi.mine_step(spark, root, bad.where(f"pr_number = {lost}"), 2, feedback, bad, never).collect()
+    assert [r["pr_number"] for r in only] == [lost] and reason in only[0]["reason"]
+    assert rows(spark, root) == before
+    with pytest.raises(Exception, match="called"):
+        hi.mine_step(spark, root, bad, 2, feedback, bad, never)
+    assert rows(spark, root) == before
 
 
 def test_mining_adds_whole_prs_refuses_large_ones_and_can_be_replayed(spark, built):
@@ -103,3 +108,34 @@ def test_resumed_job_does_not_call_the_model(spark, built, tmp_path):
     hi.batch_job(spark, only, few.where("false"), ev, model, repos)
     assert {r["comment_type"] for r in snap.read_snapshot(spark, only, "notes").collect()} == {"pull_request_architecture"}
     assert snap.read_snapshot(spark, only, "raw_comments").count() == 0
+
+
+def test_ordinals_stay_unique_over_steps_on_different_repos(spark, built, tmp_path):
+    """Steps on two repos in turn, one bad diff and one bad answer among good PRs."""
+    _, feedback, evidence, model = built
+    root = str(tmp_path)
+    feedback, evidence = feedback.where("pr_number < 200"), evidence.where("pr_number < 200")
+    hi.batch_job(spark, root, feedback.where("pr_number % 2 = 0"), evidence.where("pr_number % 2 = 0"), model, [f"org/r{i}" for i in range(8)])
+    odd = [(r["repo"], r["pr_number"]) for r in evidence.where("pr_number % 2 = 1").orderBy("repo", "pr_number").collect()]
+    repos = sorted({r for r, _ in odd})[:2]
+    blank, unfit = odd[0], odd[1]
+    broken = evidence.withColumn("final_diff", F.expr(f"if(pr_number = {blank[1]}, ' ', final_diff)"))
+    assess = model.assess
+    number = unfit[1]
+
+    def sometimes(system, prompt):
+        return "{}" if f"PR #{number}:" in prompt else assess(system, prompt)
+    refused = {}
+    for version, repo in enumerate(repos, 2):
+        keys = evidence.where(f"pr_number % 2 = 1 and repo = '{repo}'")
+        got = hi.mine_step(spark, root, keys, version, feedback, broken, hi.Model(model.annotate, sometimes, model.embed))
+        refused |= {(r["repo"], r["pr_number"]): r["reason"] for r in got.collect()}
+    assert set(refused) == {blank, unfit} and refused[blank] == "empty final diff"
+    notes = snap.read_snapshot(spark, root, "notes")
+    ordinals = [r["ordinal"] for r in notes.select("ordinal").collect()]
+    assert len(set(ordinals)) == len(ordinals) and max(ordinals) < snap.committed_ordinal(spark, root, len(repos) + 1)
+    # Curation drops some notes of the good PRs; the feedback of each is there, and nothing of the refused ones.
+    kept = {(r["repo"], r["pr_number"]) for r in snap.read_snapshot(spark, root, "raw_comments").where("pr_number % 2 = 1").collect()}
+    asked = {(r["repo"], r["pr_number"]) for r in feedback.select("repo", "pr_number").collect()}
+    assert kept == {x for x in odd if x[0] in repos and x in asked} - set(refused)
+    assert not {(r["repo"], r["pr_number"]) for r in notes.collect()} & set(refused)
