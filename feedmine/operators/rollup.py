@@ -9,15 +9,15 @@ order) and a text sink give the document without any task holding a whole repo.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedmine.operators import model as md
 from feedmine.operators.joins import join_small
 from feedmine.operators.ordering import assign_batches
-from feedmine.schemas import REPORT_HEADER, SYNTHESIS_CHUNK_SIZE
+from feedmine.schemas import ANALYSIS_MAX_ATTEMPTS, REPORT_HEADER, SYNTHESIS_CHUNK_SIZE
 from feedmine.session import checkpoint_dir, materialize
 
 
@@ -256,7 +256,7 @@ def synthesis_prompts(notes: DataFrame, reviewers: list[str], chunk: int = SYNTH
     names = ", ".join(reviewers)
     arr = F.transform("_c", lambda x: x["n"])
     prompt = F.concat(F.lit(f"Trusted reviewer GitHub usernames: {names}\nTotal review notes: "),
-                      F.size(arr).cast("string"), F.lit("\n\nNotes (JSON array):\n"), F.to_json(arr))
+                      F.size(arr).cast("string"), F.lit("\n\nNotes (JSON array):\n"), F.to_json(arr, {"ignoreNullFields": "false"}))
     return per.select(F.col("batch_id").alias("chunk_id"), F.size(arr).cast("long").alias("n_notes"),
                       prompt.alias("prompt"))
 
@@ -269,15 +269,21 @@ MERGE_NOTE = ("The texts below each sum up one part of the notes. Put them toget
 MERGE_FAN_IN = 50
 
 
-def _call_all(prompts: DataFrame, caller: Callable[[str, str], str], system: str) -> DataFrame:
-    """One call per row, spread over the shuffle partitions; kept, as answers can't be made again."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"],
-                                "text": [caller(system, p) for p in pdf["prompt"]]})
-    tasks = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(prompts.select("chunk_id", "prompt").repartition(tasks, "chunk_id")
-                       .mapInPandas(run, "chunk_id long, text string"))
+def _call_all(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
+              max_attempts: int = ANALYSIS_MAX_ATTEMPTS) -> DataFrame:
+    """One call per different prompt (J1), spread over the shuffle partitions; kept, as answers can't be made again. A call that
+    raises is tried again, alone, up to ``max_attempts`` times in all; then the job ends."""
+    keyed = materialize(prompts.select("chunk_id", "prompt", F.sha2("prompt", 256).alias("prompt_id")))
+    pending, answers = keyed, None
+    for attempt in range(1, max_attempts + 1):
+        raw = md.annotate(pending, caller, system, attempt=attempt)
+        good = raw.where("call_error is null")
+        answers = good if answers is None else answers.unionByName(good)
+        pending = pending.join(good, "prompt_id", "left_anti")
+        lost = raw.where("call_error is not null").limit(1).collect()
+        if not lost:
+            return materialize(keyed.join(answers.select("prompt_id", F.col("raw").alias("text")), "prompt_id").select("chunk_id", "text"))
+    raise RuntimeError(f"after {max_attempts} attempts: {lost[0]['call_error']}")
 
 
 def synthesize(notes: DataFrame, caller: Callable[[str, str], str], system: str, reviewers: list[str],

@@ -93,8 +93,7 @@ def replace_vectors(index: DataFrame, notes: DataFrame, repos: list[str],
                     vector_col: str = "embedding") -> DataFrame:
     """K3: save, then delete everything in ``repos`` that is not among the new ids.
 
-    Other repos are untouched; with the index partitioned by repo only the named
-    partitions are rewritten.
+    Rows of other repos stay as they are. The result is a whole new index table; ``cells`` appends instead.
     """
     if not repos:
         raise ValueError("at least one repository is required for vector replacement")

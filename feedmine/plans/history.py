@@ -129,12 +129,12 @@ def checklist(active: DataFrame) -> DataFrame:
 
 
 def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: DataFrame, model: Model,
-              repos: list[str], resume: bool = False) -> int:
+              repos: list[str], resume: bool = False, writer: str | None = None) -> int:
     """Feedback of merged PRs (with a unique ``ordinal``) and merged-PR evidence -> the history, indexed and summed up.
 
     Analyse, curate, replace the index rows of ``repos`` (K3), write the report of all notes and the
     checklist of the active ones, commit. ``resume`` takes the notes of the committed snapshot instead of
-    analysing again (A9). Returns the committed version.
+    analysing again (A9). A named ``writer`` claims the version (A8). Returns the committed version.
     """
     snap.require_evidence(feedback, evidence)
     notes = snap.run_stage(spark, root, ["notes_all"], lambda: {"notes_all": analysed(feedback, evidence, model)[0]}, resume)["notes_all"]
@@ -147,11 +147,11 @@ def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: Dat
     snap.write_skill(checklist(active), f"{root}/skill/version={version}")
     return snap.publish_snapshot(spark, root, {
         "raw_comments": feedback, "notes_all": notes, "notes": active, "vectors": index,
-        "pending_prs": spark.createDataFrame([], PENDING)}, version=version, next_ordinal=following_ordinal(notes))
+        "pending_prs": spark.createDataFrame([], PENDING)}, version=version, next_ordinal=following_ordinal(notes), writer=writer)
 
 
 def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, feedback: DataFrame, evidence: DataFrame,
-              model: Model, feedback_cap: int = MAX_FEEDBACK_PER_PR) -> DataFrame:
+              model: Model, feedback_cap: int = MAX_FEEDBACK_PER_PR, writer: str | None = None) -> DataFrame:
     """One step of I5: the merged PRs of ``keys`` (repo, pr_number) are analysed and enter the history as ``version``.
 
     ``feedback`` (with ``ordinal``) and ``evidence`` are those of the keys' PRs. The state is read and written for the
@@ -189,7 +189,7 @@ def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, fee
     tables = {"raw_comments": cu.replace_slice(state("raw_comments"), current, keys), "notes": result.active, "vectors": index,
               "pending_prs": state("pending_prs").join(keys, on, "left_anti")}
     snap.publish_snapshot(spark, root, tables, version=version, touched=dict.fromkeys(tables, repos),
-                          next_ordinal=following_ordinal(found, first))
+                          next_ordinal=following_ordinal(found, first), writer=writer)
     # Like the model's summary, the checklist is made from all active notes.
     snap.write_skill(checklist(snap.read_snapshot(spark, root, "notes", version)), f"{root}/skill/version={version}")
     return refused

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from feedmine.schemas import FEEDBACK, NOTE, PENDING
 from feedmine.session import path_exists
+from feedmine.sources.claims import claim
 
 COMMITS = "_commits"
 COMMIT = "version int, tables map<string,string>, next_ordinal long"
@@ -55,17 +56,24 @@ def _parts(spark: SparkSession, root: str, name: str, version: int) -> DataFrame
 
 def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame],
                      version: int | None = None, fail_after: str | None = None,
-                     touched: dict[str, DataFrame] | None = None, next_ordinal: int | None = None) -> int:
+                     touched: dict[str, DataFrame] | None = None, next_ordinal: int | None = None,
+                     writer: str | None = None) -> int:
     """Write all tables for a new version, then commit it. A version older than the newest is refused.
 
     ``touched`` names tables of which only some repos changed: its frame lists these repos, the
     table's frame has all their rows, and no other repo's files are written. ``next_ordinal`` is the
-    first ordinal that no note of any version has. ``fail_after`` (a table name) simulates a crash after that table is written, for tests.
+    first ordinal that no note of any version has. A named ``writer`` claims the version before it writes anything
+    (``claims``): of two that take the same one, the second fails; a replay of the same writer goes on. ``fail_after`` (a table name) simulates a crash after that table is written, for tests.
     """
     newest = latest_version(spark, root) or 0
     v = version if version is not None else newest + 1
     if v < newest:  # the newest itself may be written again: a replayed micro-batch
         raise ValueError(f"version {v} is older than the committed version {newest}")
+    # The newest version before this one, also when this one is being written again.
+    before = max((r["version"] for r in spark.read.parquet(f"{root}/{COMMITS}").select("version").distinct().collect()
+                  if r["version"] < v), default=0) if newest else 0
+    if writer is not None:
+        claim(spark, root, v, before, writer)
     for name, df in tables.items():
         folder = f"{root}/{name}/version={v}"
         writer = df.write.mode("overwrite")
@@ -77,9 +85,6 @@ def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame
             parts = (spark.read.schema(schema).parquet(folder).select("repo").distinct()
                      .withColumn("data_version", F.lit(v)))
             changed = (touched or {}).get(name)
-            # The newest version before this one, also when this one is being written again.
-            before = max((r["version"] for r in spark.read.parquet(f"{root}/{COMMITS}").select("version").distinct().collect()
-                          if r["version"] < v), default=0) if newest else 0
             if changed is not None and before and path_exists(spark, f"{root}/_parts/{name}/version={before}"):
                 same = _parts(spark, root, name, before).alias("p").join(
                     changed.select(F.col("repo").alias("_r")).distinct(), F.col("repo").eqNullSafe(F.col("_r")), "left_anti")
