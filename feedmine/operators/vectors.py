@@ -49,19 +49,13 @@ def index_rows(notes: DataFrame, vector_col: str = "embedding") -> DataFrame:
     )
 
 
-def _bad_row(dimension: int) -> Column:
+def _bad_row(dimension: Column) -> Column:
     """Whether an index row can't be stored: no key, no vector, null elements (a zero vector has no
     direction, so its elements are null too), or another length than ``dimension``."""
     return (F.col("repo").isNull() | F.col("id").isNull() | F.col("content_vector").isNull()
             | (F.size("content_vector") != dimension) | F.exists("content_vector", lambda x: x.isNull()))
 
 
-def _dimension(index: DataFrame, rows: DataFrame) -> int:
-    """The length of stored vectors, else the greatest length of the new ones."""
-    stored = index.select(F.size("content_vector").alias("n")).limit(1).collect()
-    return stored[0]["n"] if stored else rows.agg(F.max(F.size("content_vector"))).first()[0] or 0
-
-
 def save_vectors(index: DataFrame, notes: DataFrame, vector_col: str = "embedding",
                  strict: bool = True, dimension: int | None = None) -> DataFrame:
     """K1: upsert; the same id replaces, within one call the last (highest ordinal) wins.
@@ -72,10 +66,16 @@ def save_vectors(index: DataFrame, notes: DataFrame, vector_col: str = "embeddin
     anything is written, else the row is left out.
     """
     rows = index_rows(notes, vector_col)
-    bad = _bad_row(dimension or _dimension(index, rows))
-    if strict:
-        _fail_if_any(rows.where(bad), "vector rows rejected")
-    rows = rows.where(~bad)
+    if dimension is None and (stored := index.select(F.size("content_vector").alias("n")).limit(1).collect()):
+        dimension = stored[0]["n"]
+    if strict or dimension is None:
+        # One narrow pass says whether any row is bad, and the greatest length if none is known.
+        size = F.size("content_vector")
+        facts = rows.agg(F.max(size).alias("most"), F.min(size).alias("least"), F.count_if(_bad_row(size)).alias("bad")).first()
+        dimension = facts["most"] or 0 if dimension is None else dimension
+        if strict and (facts["bad"] or {facts["least"], facts["most"]} - {dimension, None}):
+            _fail_if_any(rows.where(_bad_row(F.lit(dimension))), "vector rows rejected")
+    rows = rows.where(~_bad_row(F.lit(dimension)))
     latest = (rows.groupBy("id")
               .agg(F.max_by(F.struct(*[c for c in INDEX_COLUMNS if c != "id"]), "ordinal").alias("r"))
               .select("id", "r.*"))
