@@ -4,20 +4,25 @@ response text / object extraction (H12).
 The model's judgement is an input. ``annotate`` runs a user-supplied
 ``caller(system, prompt) -> raw response JSON`` inside ``mapInPandas``, one call
 per distinct prompt, with parallelism = ``partitions`` (the rate limit). Every pass is checkpointed right away: model output is costly and not
-reproducible, so it must never be recomputed after an executor is lost.
+reproducible, so it must never be recomputed after an executor is lost; a journal of answers also spares the calls of
+a task that is lost midway.
 ``replay`` is the same contract from a table of recorded responses.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedmine.functions.text import is_blank
+from feedmine.operators import journal as jn
 from feedmine.session import checkpoint_dir
 
 RESPONSES_ENVELOPE = T.StructType([
@@ -72,17 +77,33 @@ def replay(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id") ->
 
 
 def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
-             attempt: int = 1, partitions: int | None = None) -> DataFrame:
+             attempt: int = 1, partitions: int | None = None, journal: str | None = None,
+             in_flight: int = 1, group: int = 8) -> DataFrame:
     """One model call per distinct prompt → (prompt_id, attempt, raw, call_error).
 
     ``caller`` must be picklable; it runs on executors, in ``partitions`` tasks (the shuffle
-    partitions by default). A call that raises is a failed attempt with a null ``raw``: it
-    neither ends the task nor repeats the calls of its neighbours. The result is checkpointed.
+    partitions by default) with ``in_flight`` calls at once in each, so at most their product runs at any time. A call
+    that raises is a failed attempt with a null ``raw``: it neither ends the task nor repeats the calls of its
+    neighbours. The result is checkpointed.
+
+    With ``journal``, a shared folder, a task notes its answers after every ``group`` calls: restarted, it repeats at most
+    one group, and a job started again on that folder asks only what no task has noted. Calls that
+    raised aren't noted. An invalid answer is: to have it asked anew under the same attempt, take another folder.
     """
+    if in_flight < 1 or group < 1:
+        raise ValueError("in_flight and group must be at least 1")
     spark = prompts.sparkSession
     checkpoint_dir(spark)
     tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = prompts.select("prompt_id", "prompt").dropDuplicates(["prompt_id"]).repartition(tasks, "prompt_id")
+    src = prompts.select("prompt_id", "prompt").dropDuplicates(["prompt_id"])
+    known = None
+    if journal:
+        journal = jn.qualified(spark, journal)
+        # Kept as it is now: the tasks below add to the folder.
+        known = jn.answers(spark, journal, system, attempt).join(src.select("prompt_id"), "prompt_id", "left_semi").checkpoint(eager=True)
+        src = src.join(known, "prompt_id", "left_anti")
+    src = src.repartition(tasks, "prompt_id")
+    run_id = uuid.uuid4().hex
 
     def call(prompt: str) -> tuple[str | None, str | None]:
         try:
@@ -91,10 +112,25 @@ def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
             return None, f"model call failed: {exc}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [call(p) for p in pdf["prompt"]]
-            yield pd.DataFrame({"prompt_id": pdf["prompt_id"], "attempt": attempt,
-                                "raw": [raw for raw, _ in got], "call_error": [err for _, err in got]})
+        notes = jn.TaskJournal(journal, run_id, TaskContext.get().partitionId(), system, attempt) if journal else None
+        noted = notes.read() if notes else {}
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                old = pdf["prompt_id"].isin(list(noted))
+                if old.any():
+                    ids = pdf.loc[old, "prompt_id"]
+                    yield pd.DataFrame({"prompt_id": ids, "attempt": attempt, "raw": ids.map(noted), "call_error": None})
+                new = pdf[~old]
+                for start in range(0, len(new), group):
+                    part = new.iloc[start:start + group]
+                    got = list(pool.map(call, part["prompt"]))
+                    out = pd.DataFrame({"prompt_id": part["prompt_id"].to_numpy(), "attempt": attempt,
+                                        "raw": [raw for raw, _ in got], "call_error": [err for _, err in got]})
+                    if notes:
+                        notes.append(out[out["call_error"].isna()])
+                    yield out
 
     out = src.mapInPandas(run, "prompt_id string, attempt int, raw string, call_error string")
+    if known is not None:
+        out = out.unionByName(known.withColumn("call_error", F.lit(None).cast("string")))
     return out.checkpoint(eager=True)

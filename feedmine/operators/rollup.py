@@ -270,13 +270,13 @@ MERGE_FAN_IN = 50
 
 
 def _call_all(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
-              max_attempts: int = ANALYSIS_MAX_ATTEMPTS) -> DataFrame:
+              max_attempts: int = ANALYSIS_MAX_ATTEMPTS, journal: str | None = None) -> DataFrame:
     """One call per different prompt (J1), spread over the shuffle partitions; kept, as answers can't be made again. A call that
     raises is tried again, alone, up to ``max_attempts`` times in all; then the job ends."""
     keyed = materialize(prompts.select("chunk_id", "prompt", F.sha2("prompt", 256).alias("prompt_id")))
     pending, answers = keyed, None
     for attempt in range(1, max_attempts + 1):
-        raw = md.annotate(pending, caller, system, attempt=attempt)
+        raw = md.annotate(pending, caller, system, attempt=attempt, journal=journal)
         good = raw.where("call_error is null")
         answers = good if answers is None else answers.unionByName(good)
         pending = pending.join(good, "prompt_id", "left_anti")
@@ -288,10 +288,12 @@ def _call_all(prompts: DataFrame, caller: Callable[[str, str], str], system: str
 
 def synthesize(notes: DataFrame, caller: Callable[[str, str], str], system: str, reviewers: list[str],
                chunk: int = SYNTHESIS_CHUNK_SIZE, ordinal: str = "ordinal", chunk_note: str = CHUNK_NOTE,
-               merge_note: str = MERGE_NOTE, fan_in: int = MERGE_FAN_IN) -> tuple[DataFrame, int]:
+               merge_note: str = MERGE_NOTE, fan_in: int = MERGE_FAN_IN,
+               journal: str | None = None) -> tuple[DataFrame, int]:
     """≤ ``chunk`` notes: one call; more: one call per chunk (in parallel, order kept by
     chunk id), then merge calls over at most ``fan_in`` texts each, joined with ``---``, in
-    levels until one text is left. So no row holds more than ``fan_in`` texts.
+    levels until one text is left. So no row holds more than ``fan_in`` texts. With ``journal`` (see J1), a job started
+    again asks only what was not answered.
 
     Returns (one-row DataFrame ``text``, number of calls).
     """
@@ -305,7 +307,7 @@ def synthesize(notes: DataFrame, caller: Callable[[str, str], str], system: str,
                                         "chunk_id long, n_notes long, prompt string")
         n = 1
     calls = n
-    texts = _call_all(prompts, caller, system + chunk_note if n > 1 else system)
+    texts = _call_all(prompts, caller, system + chunk_note if n > 1 else system, journal=journal)
     head = f"Trusted reviewer GitHub usernames: {', '.join(reviewers)}\n\n{merge_note}\n\n"
     while n > 1:
         group = F.floor(F.col("chunk_id") / fan_in).cast("long")
@@ -314,7 +316,7 @@ def synthesize(notes: DataFrame, caller: Callable[[str, str], str], system: str,
             .alias("prompt"))
         n = -(-n // fan_in)
         calls += n
-        texts = _call_all(merge, caller, system)
+        texts = _call_all(merge, caller, system, journal=journal)
     return texts.select("text"), calls
 
 

@@ -50,7 +50,7 @@ def analyze_recorded(batched: DataFrame, diffs: DataFrame, recorded: DataFrame,
 def analyze_batches(batched: DataFrame, diffs: DataFrame, caller: Callable[[str, str], str],
                     system: str, max_attempts: int = ANALYSIS_MAX_ATTEMPTS,
                     mode: str = "responses", partitions: int | None = None,
-                    strict: bool = True) -> tuple[DataFrame, DataFrame]:
+                    strict: bool = True, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """J1 with retries: attempt k calls the model only for batches still without a valid
     attempt. Each pass is checkpointed (model output is not recomputable).
 
@@ -62,7 +62,7 @@ def analyze_batches(batched: DataFrame, diffs: DataFrame, caller: Callable[[str,
     pending = prompts
     all_items, all_status = None, None
     for attempt in range(1, max_attempts + 1):
-        raw = md.annotate(pending, caller, system, attempt=attempt, partitions=partitions)
+        raw = md.annotate(pending, caller, system, attempt=attempt, partitions=partitions, journal=journal)
         responses = raw.join(prompts.select("prompt_id", "batch_id"), "prompt_id")
         items, rejects = va.pair_items(prompts, parsed(responses, mode))
         status = va.attempt_status(items, rejects).checkpoint(eager=True)

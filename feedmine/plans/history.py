@@ -37,16 +37,18 @@ BATCH_SIZE = 8
 
 @dataclass
 class Model:
-    """What a user injects: ``annotate`` and ``assess`` (system, prompt) -> response, ``embed`` texts -> vectors."""
+    """What a user injects: ``annotate`` and ``assess`` (system, prompt) -> response, ``embed`` texts -> vectors; ``journal``: a
+    shared folder for the answers of the first two, so that a job started again doesn't ask twice."""
     annotate: Callable[[str, str], str]
     assess: Callable[[str, str], str]
     embed: Callable[[list[str]], list[list[float]]]
     annotate_system: str = "system"
     assess_system: str = "system"
+    journal: str | None = None
 
 
 def assess_with_caller(evidence: DataFrame, caller: Callable[[str, str], str], system: str,
-                       strict: bool = True) -> tuple[DataFrame, DataFrame]:
+                       strict: bool = True, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One call per merged PR, not tried again. Returns (notes, rejects (repo, pr_number, reason)).
 
     In strict mode any PR without a valid assessment fails the job. Else only a call that raised does."""
@@ -55,7 +57,7 @@ def assess_with_caller(evidence: DataFrame, caller: Callable[[str, str], str], s
     if strict and (bad := unasked.limit(1).collect()):
         raise ValueError(f"pull request {bad[0]['pr_number']}: {bad[0]['reason']}")
     asked = prompts.where("reason is null")
-    raw = md.annotate(asked, caller, system)
+    raw = md.annotate(asked, caller, system, journal=journal)
     if not strict and (lost := raw.where("call_error is not null").limit(1).collect()):
         raise RuntimeError(f"the model could not be called: {lost[0]['call_error']}")
     obj, err = md.response_object(F.col("raw"))
@@ -102,12 +104,13 @@ def analysed(feedback: DataFrame, evidence: DataFrame, model: Model, first_ordin
     feedback = feedback.withColumnRenamed("ordinal", "_given").join(dense, "_given").drop("_given")
     batched = materialize(assign_batches(feedback, BATCH_SIZE))
     if n := batched.count():
-        comments, failed = analyze_batches(batched, diffs, model.annotate, model.annotate_system, strict=strict)
+        comments, failed = analyze_batches(batched, diffs, model.annotate, model.annotate_system, strict=strict,
+                                           journal=model.journal)
         comments = va.note_columns(comments)
         rejects = rejects.unionByName(batched.join(failed, "batch_id").select("repo", "pr_number", "reason"))
     order = with_ordinal(evidence.select("merged_at", "repo", "pr_number"), ["merged_at", "repo", "pr_number"])
     evidence = evidence.drop("ordinal").join(order.drop("merged_at"), ["repo", "pr_number"])
-    arch, unfit = assess_with_caller(evidence, model.assess, model.assess_system, strict)
+    arch, unfit = assess_with_caller(evidence, model.assess, model.assess_system, strict, model.journal)
     arch = va.note_columns(arch).withColumn("ordinal", F.col("ordinal") + n)
     both = cu.all_notes(comments, arch).drop("_kind") if n else arch
     notes = materialize(both.withColumn("ordinal", (F.col("ordinal") + first_ordinal).cast("long")))
