@@ -6,6 +6,7 @@ Each query reads the driver's tables through the adapters of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -645,7 +646,7 @@ def b11_selectable(spark, d):
 def h13_validate_selection(spark, d):
     manifest, _ = _manifest(spark, d)
     _, checks = rv.validate_selection(fx.selections(spark, d), manifest)
-    return checks.select("repo", "reason")
+    return checks.select("repo", "pr_number", "reason")
 
 
 @query("h14_decode_blobs")
@@ -657,11 +658,7 @@ def h14_decode_blobs(spark, d):
 def _context(spark, d):
     manifest, _ = _manifest(spark, d)
     selected, _ = rv.validate_selection(fx.selections(spark, d), manifest)
-    decoded = rv.decode_blobs(fx.blobs(spark, d), max_bytes=fx.TREE_FILE_CAP).where(F.col("status") == "ok")
-    heads = fx.review_heads(spark, d).select("repo", "head_sha", "pr_number")
-    parts = (selected.join(heads, ["repo", "head_sha"])
-             .join(decoded.select("sha", "text").dropDuplicates(["sha"]), "sha"))
-    return rv.within_budget(parts.select("repo", "pr_number", "pos", "path", "text"), fx.CONTEXT_BUDGET)
+    return rv.selected_context(selected, rv.decode_blobs(fx.blobs(spark, d), max_bytes=fx.TREE_FILE_CAP), fx.CONTEXT_BUDGET)
 
 
 @query("e3_within_budget")
@@ -717,6 +714,50 @@ def i6_review_context(spark, d):
     return out.select("repo", "pr_number", "n_evidence", "context_chars", "prompt_chars", "reason")
 
 
+def _response(text: str) -> str:
+    return json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}]})
+
+
+def fake_selector(system: str, prompt: str) -> str:
+    """A stand-in model: the two smallest files offered (ties by path), none if nothing is known of the repo's past."""
+    asked = json.loads(prompt)
+    files = sorted(asked["repository_paths"], key=lambda f: (f["size"], f["path"]))
+    return _response(json.dumps({"paths": [f["path"] for f in files[:2]] if asked["historical_evidence"] else []}))
+
+
+def fake_reviewer(system: str, prompt: str) -> str:
+    """A stand-in model: a draft that follows from the prompt."""
+    import hashlib
+    return _response("review " + hashlib.sha256(prompt.encode()).hexdigest())
+
+
+@query("i6_selection_prompts")
+def i6_selection_prompts(spark, d):
+    """The file-selection prompt of every open PR whose tree passed its checks."""
+    heads = fx.review_heads(spark, d)
+    manifest, rejects = rplan.manifests(fx.tree(spark, d), fx.TREE_FILE_CAP, fx.TREE_TOTAL_CAP)
+    evidence = rplan.evidence_lists(heads, fx.review_query_vectors(spark, d), _vector_index(spark, d), fx.TRUSTED_REVIEWERS)
+    asked = heads.join(rejects.select("repo", "head_sha"), ["repo", "head_sha"], "left_anti")
+    out = rplan.selection_prompts(asked, fx.changed_files(spark, d), fx.open_diffs(spark, d), evidence, manifest)
+    return out.select("repo", "pr_number", F.sha2("prompt", 256).alias("prompt_sha"),
+                      F.length("prompt").cast("long").alias("prompt_chars"), "reason")
+
+
+@query("i6_review_job")
+def i6_review_job(spark, d):
+    """Reviews of all open PRs, from evidence to the publish plan."""
+    posted, now = fx.open_reviews(spark, d)
+    reviews, plan = rplan.review_job(
+        fx.review_heads(spark, d), fx.changed_files(spark, d), fx.open_diffs(spark, d), fx.review_query_vectors(spark, d),
+        _vector_index(spark, d), fx.tree(spark, d), fx.blobs(spark, d), now, posted,
+        rplan.ReviewModel(fake_selector, fake_reviewer), fx.TRUSTED_REVIEWERS, file_cap=fx.TREE_FILE_CAP,
+        manifest_cap=fx.TREE_TOTAL_CAP, budget=fx.CONTEXT_BUDGET)
+    steps = plan.groupBy("repo", "pr_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("step", "action"))), lambda x: x["action"]), ",").alias("steps"))
+    return reviews.join(steps, ["repo", "pr_number"], "left").select(
+        "repo", "pr_number", F.sha2("review", 256).alias("review_sha"), "reason", "steps")
+
+
 @query("h6_json_prompts")
 def h6_json_prompts(spark, d):
     p = fx.prs(spark, d)
@@ -890,7 +931,6 @@ def valid_fake_model(system: str, prompt: str) -> str:
     """A stand-in model for J1: answers every analysis prompt with valid items that follow from
     the text of each comment in it."""
     import hashlib
-    import json
     import re
     comments, _, _ = prompt.partition("\n\n--- Final merged diff for ")
     starts = [m.start() for m in re.finditer(r"^--- Comment \d+ ---$", comments, re.MULTILINE)]
@@ -902,8 +942,7 @@ def valid_fake_model(system: str, prompt: str) -> str:
             "original_issue": hashlib.sha256(thread.encode()).hexdigest(), "requested_change": thread, "rationale": "why",
             "implemented": True, "include_in_vector_store": True, "selection_rationale": "kept",
             "implementation_example": "example", "architecture_change": False, "supersedes_prior_architecture": False})
-    text = json.dumps({"items": items})
-    return json.dumps({"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}]})
+    return _response(json.dumps({"items": items}))
 
 
 @query("j1_annotate")

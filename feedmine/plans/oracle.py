@@ -390,7 +390,8 @@ SELECT repo, NULL, NULL,
             ELSE 'repository tree is ' || CAST(chars AS VARCHAR) || ' characters; maximum supported is 7000' END
 FROM head_stats WHERE n > 20000 OR chars > 7000"""
 
-ORACLE["h13_validate_selection"] = _with(ofx.TREE) + "SELECT repo, reason FROM checks_fx"
+ORACLE["h13_validate_selection"] = _with(ofx.PRS, ofx.TREE, ofx.OPEN, ofx.SELECTIONS, ofx.BLOBS, ofx.CONTEXT) + \
+    "SELECT repo, pr_number, reason FROM checks_fx"
 
 ORACLE["h15_review_query"] = _with(ofx.PRS) + """,
 names AS (SELECT 'org/r' || CAST(l_orderkey % 8 AS VARCHAR) AS repo, l_orderkey AS pr_number,
@@ -431,10 +432,32 @@ FROM drafts d WHERE (d.repo, d.pr_number) NOT IN (SELECT (repo, pr_number) FROM
 ORACLE["h14_decode_blobs"] = _with(ofx.BLOBS) + """
 SELECT sha, status, CASE WHEN status = 'ok' THEN CAST(length(html) AS BIGINT) END AS text_chars FROM blobdec_fx"""
 
-ORACLE["e3_within_budget"] = _with(ofx.PRS, ofx.TREE, ofx.BLOBS, ofx.CONTEXT) + """
-SELECT repo, pr_number, CASE WHEN mx <= 5000 THEN CAST(chars AS BIGINT) END AS context_chars,
-       CASE WHEN mx > 5000 THEN 'selected files exceed the context budget' END AS reason
-FROM budget_fx"""
+ORACLE["e3_within_budget"] = _with(ofx.PRS, ofx.TREE, ofx.OPEN, ofx.SELECTIONS, ofx.BLOBS, ofx.CONTEXT) + """
+SELECT repo, pr_number, CAST(length(context) AS BIGINT) AS context_chars, reason FROM context_fx"""
+
+ORACLE["i6_review_context"] = _with(ofx.PRS, *VX, ofx.TREE, ofx.OPEN, ofx.SELECTIONS, ofx.BLOBS, ofx.CONTEXT, ofx.EVIDENCE,
+                                    ofx.REVIEW_INPUT) + """
+SELECT repo, pr_number, n_evidence, CAST(context_chars AS BIGINT) AS context_chars,
+       CAST(length(prompt) AS BIGINT) AS prompt_chars, reason FROM input_fx"""
+
+ORACLE["i6_selection_prompts"] = _with(ofx.PRS, *VX, ofx.TREE, ofx.OPEN, ofx.EVIDENCE, ofx.SELECTION_PROMPT) + """
+SELECT repo, pr_number, sha256(prompt) AS prompt_sha, CAST(length(prompt) AS BIGINT) AS prompt_chars,
+       CAST(NULL AS VARCHAR) AS reason FROM ask_fx"""
+
+ORACLE["i6_review_job"] = _with(ofx.PRS, *VX, ofx.TREE, ofx.OPEN, ofx.EVIDENCE, ofx.MODEL_SELECTIONS, ofx.BLOBS, ofx.CONTEXT,
+                                ofx.REVIEW_INPUT) + """,
+drafts AS (
+  SELECT repo, pr_number, head_sha, sha256(prompt) AS draft,
+         coalesce(reason, CASE WHEN pr_number % 7 = 3 THEN 'the head moved during the review' END) AS reason
+  FROM input_fx
+)
+SELECT repo, pr_number,
+       CASE WHEN reason IS NULL
+            THEN sha256('review ' || draft || chr(10) || chr(10) || '<!-- feedmine:' || head_sha || ' -->') END AS review_sha,
+       reason,
+       CASE WHEN reason IS NOT NULL THEN NULL WHEN pr_number % 22 = 0 THEN 'delete,create,submit'
+            WHEN pr_number % 11 = 0 THEN 'skip' ELSE 'create,submit' END AS steps
+FROM drafts"""
 
 ORACLE["i6_review_evidence"] = _with(ofx.PRS, *VX) + """,
 heads AS (SELECT repo, pr_number FROM prs_fx WHERE state = 'open' AND repo IN (SELECT DISTINCT 'org/r' || CAST(page_id % 8 AS VARCHAR) FROM pages)),

@@ -371,29 +371,29 @@ head_stats AS (
 manifest_fx AS (
   SELECT b.* FROM blobs_fx b JOIN head_stats h ON h.repo = b.repo
   WHERE b.size <= 5000 AND h.n <= 20000 AND h.chars <= 7000
+)"""
+
+OPEN = """
+open_fx AS (
+  SELECT repo, pr_number, title, body, sha256(repo) AS head_sha FROM prs_fx
+  WHERE state = 'open' AND repo IN (SELECT repo FROM tree_fx)
+)"""
+
+SELECTIONS = """
+ranked_fx AS (
+  SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY item_ord) - 1 AS rk, count(*) OVER (PARTITION BY repo) AS n
+  FROM tree_fx WHERE type = 'blob' AND size <= 5000
 ),
-sel_fx AS (
-  SELECT repo, list(path ORDER BY item_ord) AS paths FROM (
-    SELECT repo, path, item_ord, row_number() OVER (PARTITION BY repo ORDER BY item_ord) AS rk
-    FROM tree_fx WHERE type = 'blob' AND size <= 5000) WHERE rk <= 3 GROUP BY repo
-),
-sel2_fx AS (
-  SELECT repo, CASE WHEN repo = 'org/r1' THEN list_append(paths, 'missing/file.py')
-                    WHEN repo = 'org/r2' THEN list_append(paths, paths[1]) ELSE paths END AS paths
-  FROM sel_fx
+picked_fx AS (
+  SELECT o.repo, o.pr_number, list(r.path ORDER BY u.j) AS paths
+  FROM open_fx o CROSS JOIN (VALUES (0), (1), (2)) u(j)
+  JOIN ranked_fx r ON r.repo = o.repo AND u.j < r.n AND r.rk = (o.pr_number // 8 + u.j) % r.n
+  GROUP BY ALL
 ),
-checks_fx AS (
-  SELECT s.repo,
-    CASE WHEN len(s.paths) > 8 THEN 'selection has over 8 files'
-         WHEN len(list_distinct(s.paths)) <> len(s.paths) THEN 'selection repeats a path'
-         WHEN (SELECT count(*) FROM unnest(s.paths) u(p) WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo)) > 0
-           THEN 'selection has an unknown path: ' ||
-                (SELECT p FROM unnest(s.paths) WITH ORDINALITY u(p, o)
-                 WHERE p NOT IN (SELECT path FROM manifest_fx m WHERE m.repo = s.repo) ORDER BY o LIMIT 1)
-         WHEN (SELECT coalesce(sum(m.size), 0) FROM unnest(s.paths) u(p) JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p) > 120000
-           THEN 'selected files exceed the context budget'
-    END AS reason
-  FROM sel2_fx s
+sel_fx AS (
+  SELECT repo, pr_number, CASE WHEN repo = 'org/r1' THEN list_append(paths, 'missing/file.py')
+                               WHEN repo = 'org/r2' THEN list_append(paths, paths[1]) ELSE paths END AS paths
+  FROM picked_fx
 )"""
 
 BLOBS = """
@@ -408,20 +408,131 @@ blobdec_fx AS (
 )"""
 
 CONTEXT = """
-heads_fx AS (
-  SELECT repo, pr_number FROM prs_fx WHERE state = 'open'
+asked_fx AS (
+  SELECT s.repo, s.pr_number, u.o AS pos, u.p AS path, m.sha, m.size
+  FROM sel_fx s CROSS JOIN unnest(s.paths) WITH ORDINALITY u(p, o)
+  LEFT JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p
+),
+asks_fx AS (
+  SELECT repo, pr_number, arg_min(path, pos) FILTER (WHERE sha IS NULL) AS unknown, sum(size) AS bytes FROM asked_fx GROUP BY ALL
+),
+checks_fx AS (
+  SELECT s.repo, s.pr_number,
+         CASE WHEN len(s.paths) > 8 THEN 'selection has over 8 files'
+              WHEN len(list_distinct(s.paths)) <> len(s.paths) THEN 'selection repeats a path'
+              WHEN a.unknown IS NOT NULL THEN 'selection has an unknown path: ' || a.unknown
+              WHEN a.bytes > 120000 THEN 'selected files exceed the context budget' END AS reason
+  FROM sel_fx s LEFT JOIN asks_fx a ON a.repo = s.repo AND a.pr_number = s.pr_number
+),
+blob_fx AS (
+  SELECT sha, min({'fine': NOT starts_with(status, 'error'), 'status': status, 'html': html}) AS b FROM blobdec_fx GROUP BY sha
+),
+read_fx AS (
+  SELECT a.repo, a.pr_number, a.pos, a.path, coalesce(b.b.status, 'error: no blob') AS status, b.b.html AS html
+  FROM asked_fx a JOIN checks_fx c ON c.repo = a.repo AND c.pr_number = a.pr_number AND c.reason IS NULL
+  LEFT JOIN blob_fx b ON b.sha = a.sha
+),
+broken_fx AS (
+  SELECT repo, pr_number, min(pos) AS pos, arg_min(path || ': ' || status, pos) AS reason
+  FROM read_fx WHERE starts_with(status, 'error') GROUP BY ALL
 ),
 parts_fx AS (
-  SELECT s.repo, h.pr_number, u.o AS pos,
-         'File: ' || u.p || chr(10) || b.html AS part
-  FROM sel2_fx s JOIN checks_fx c ON c.repo = s.repo AND c.reason IS NULL
-  JOIN heads_fx h ON h.repo = s.repo
-  CROSS JOIN unnest(s.paths) WITH ORDINALITY u(p, o)
-  JOIN manifest_fx m ON m.repo = s.repo AND m.path = u.p
-  JOIN (SELECT DISTINCT sha, html FROM blobdec_fx WHERE status = 'ok') b ON b.sha = m.sha
-),
-budget_fx AS (
-  SELECT repo, pr_number, max(run) AS mx, sum(length(part)) + 2 * (count(*) - 1) AS chars FROM (
-    SELECT *, sum(length(part)) OVER (PARTITION BY repo, pr_number ORDER BY pos) AS run FROM parts_fx)
-  GROUP BY ALL
+  SELECT r.repo, r.pr_number, r.pos, 'File: ' || r.path || chr(10) || r.html AS part
+  FROM read_fx r LEFT JOIN broken_fx b ON b.repo = r.repo AND b.pr_number = r.pr_number
+  WHERE r.status = 'ok' AND (b.pos IS NULL OR r.pos < b.pos)
+),
+text_fx AS (
+  SELECT repo, pr_number, sum(length(part)) AS total, string_agg(part, chr(10) || chr(10) ORDER BY pos) AS context
+  FROM parts_fx GROUP BY ALL
+),
+context_fx AS (
+  SELECT repo, pr_number, CASE WHEN b.reason IS NULL AND t.total <= 5000 THEN t.context END AS context,
+         CASE WHEN t.total > 5000 THEN 'selected files exceed the context budget' ELSE b.reason END AS reason
+  FROM text_fx t FULL JOIN broken_fx b USING (repo, pr_number)
+)"""
+
+EVIDENCE = """
+qvec_fx AS (
+  SELECT o.repo, o.pr_number, CAST(e.embedding AS DOUBLE[]) AS qv
+  FROM open_fx o JOIN embeddings e ON e.vec_id = o.pr_number % (SELECT count(*) FROM embeddings)
+),
+scored_fx AS (
+  SELECT q.repo, q.pr_number, v.id, list_cosine_similarity(v.embedding, q.qv) AS score
+  FROM vindex_fx v JOIN qvec_fx q ON v.repo = q.repo WHERE v.reviewer IN ('U0', 'u1', 'u2', '__merged_pr__')
+),
+nearest_fx AS (
+  SELECT repo, pr_number, id, row_number() OVER (PARTITION BY repo, pr_number ORDER BY score DESC, id) AS rank
+  FROM scored_fx QUALIFY rank <= 8
+),
+evidence_fx AS (
+  SELECT n.repo, n.pr_number, count(*) AS n, CAST(to_json(list({'content': v.content, 'repo': v.repo, 'pr_number': v.pr_number,
+         'pr_url': v.pr_url, 'file_path': v.file_path, 'category': v.category, 'severity': v.severity} ORDER BY n.rank)) AS VARCHAR) AS js
+  FROM nearest_fx n JOIN vindex_fx v ON v.id = n.id GROUP BY ALL
+),
+changed_fx AS (
+  SELECT 'org/r' || CAST(l_orderkey % 8 AS VARCHAR) AS repo, l_orderkey AS pr_number,
+         string_agg('+++ b/src/p' || CAST(l_partkey AS VARCHAR) || '.py', chr(10) ORDER BY l_linenumber * 1000000 + l_partkey) AS diff,
+         CAST(to_json(list('src/p' || CAST(l_partkey AS VARCHAR) || '.py' ORDER BY l_linenumber * 1000000 + l_partkey)) AS VARCHAR) AS names
+  FROM lineitem GROUP BY ALL
+),
+rejected_fx AS (
+  SELECT repo, 'repository tree was truncated' AS reason FROM bad_heads
+  UNION ALL
+  SELECT repo, CASE WHEN n > 20000 THEN 'repository tree has ' || CAST(n AS VARCHAR) || ' files; maximum supported is 20000'
+                    ELSE 'repository tree is ' || CAST(chars AS VARCHAR) || ' characters; maximum supported is 7000' END
+  FROM head_stats WHERE n > 20000 OR chars > 7000
+)"""
+
+
+def ascii_json(text: str) -> str:
+    """SQL: JSON text with every character that isn't printable ASCII written as an escape (the tables have none beyond U+FFFF)."""
+    return (f"CASE WHEN regexp_matches({text}, '[^ -~]') THEN array_to_string(list_transform(string_split({text}, ''), "
+            f"lambda c: CASE WHEN unicode(c) > 126 THEN '\\u' || format('{{:04x}}', unicode(c)) ELSE c END), '') ELSE {text} END")
+
+
+def json_text(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+REVIEW_INPUT = f"""
+raw_fx AS (
+  SELECT o.repo, o.pr_number, o.head_sha, coalesce(e.n, 0) AS n_evidence, coalesce(length(c.context), 0) AS context_chars,
+         coalesce(r.reason, k.reason, CASE WHEN s.repo IS NULL THEN 'no context selection' END, c.reason) AS reason,
+         '{{"repository":' || {json_text("o.repo")} || ',"pull_request":' || CAST(o.pr_number AS VARCHAR)
+         || ',"title":' || {json_text("coalesce(o.title, '')")} || ',"description":' || {json_text("coalesce(o.body, '')")}
+         || ',"historical_evidence":' || coalesce(e.js, '[]') || ',"changed_code":' || {json_text("coalesce(h.diff, '')")}
+         || ',"repository_context":' || {json_text("coalesce(c.context, '')")} || '}}' AS js
+  FROM open_fx o LEFT JOIN evidence_fx e ON e.repo = o.repo AND e.pr_number = o.pr_number
+  LEFT JOIN rejected_fx r ON r.repo = o.repo
+  LEFT JOIN sel_fx s ON s.repo = o.repo AND s.pr_number = o.pr_number
+  LEFT JOIN checks_fx k ON k.repo = o.repo AND k.pr_number = o.pr_number
+  LEFT JOIN context_fx c ON c.repo = o.repo AND c.pr_number = o.pr_number
+  LEFT JOIN changed_fx h ON h.repo = o.repo AND h.pr_number = o.pr_number
+),
+input_fx AS (SELECT * EXCLUDE (js), {ascii_json("js")} AS prompt FROM raw_fx)"""
+
+SELECTION_PROMPT = f"""
+listed_fx AS (
+  SELECT repo, CAST(to_json(list({{'path': path, 'size': size}} ORDER BY item_ord)) AS VARCHAR) AS js FROM manifest_fx GROUP BY repo
+),
+rawask_fx AS (
+  SELECT o.repo, o.pr_number, '{{"title":' || {json_text("coalesce(o.title, '')")} || ',"description":' || {json_text("coalesce(o.body, '')")}
+         || ',"historical_evidence":' || coalesce(e.js, '[]') || ',"changed_paths":' || coalesce(h.names, '[]')
+         || ',"changed_code":' || {json_text("coalesce(h.diff, '')")} || ',"repository_paths":' || coalesce(l.js, '[]') || '}}' AS js
+  FROM open_fx o LEFT JOIN evidence_fx e ON e.repo = o.repo AND e.pr_number = o.pr_number
+  LEFT JOIN changed_fx h ON h.repo = o.repo AND h.pr_number = o.pr_number
+  LEFT JOIN listed_fx l ON l.repo = o.repo
+  WHERE o.repo NOT IN (SELECT repo FROM rejected_fx)
+),
+ask_fx AS (SELECT repo, pr_number, {ascii_json("js")} AS prompt FROM rawask_fx)"""
+
+MODEL_SELECTIONS = """
+smallest_fx AS (
+  SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY size, path) AS rk FROM manifest_fx
+),
+two_fx AS (SELECT repo, list(path ORDER BY rk) AS paths FROM smallest_fx WHERE rk <= 2 GROUP BY repo),
+sel_fx AS (
+  SELECT o.repo, o.pr_number, CASE WHEN e.n > 0 THEN coalesce(t.paths, []) ELSE [] END AS paths
+  FROM open_fx o LEFT JOIN evidence_fx e ON e.repo = o.repo AND e.pr_number = o.pr_number LEFT JOIN two_fx t ON t.repo = o.repo
+  WHERE o.repo NOT IN (SELECT repo FROM rejected_fx)
 )"""

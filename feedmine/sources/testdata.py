@@ -278,19 +278,24 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per repo: the first 3 blob paths by page_id; r1 adds an unknown path, r2 repeats one."""
-    t = tree(spark, sf_dir).where((F.col("type") == "blob") & (F.col("size") <= TREE_FILE_CAP))
-    # Ranks within one repo: bounded by the repo's tree, which B11 caps at 20,000.
+    """Per open PR: three blob paths of its repo, starting at place (pr_number div 8) of the tree and going round; r1
+    adds an unknown path, r2 repeats one. (repo, pr_number, head_sha, selection)."""
     from pyspark.sql import Window as W
-    w = W.partitionBy("repo", "head_sha").orderBy("item_ord")
-    first3 = t.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= 3)
-    sel = first3.groupBy("repo", "head_sha").agg(
-        F.array_sort(F.collect_list(F.struct("rk", "path"))).alias("s"))
+    # Ranks within one repo: bounded by the repo's tree, which B11 caps at 20,000.
+    t = tree(spark, sf_dir).where((F.col("type") == "blob") & (F.col("size") <= TREE_FILE_CAP))
+    w = W.partitionBy("repo", "head_sha")
+    ranked = t.select("repo", "path", (F.row_number().over(w.orderBy("item_ord")) - 1).alias("rk"), F.count(F.lit(1)).over(w).alias("n"))
+    sizes = ranked.select("repo", "n").distinct()
+    picks = review_heads(spark, sf_dir).select("repo", "pr_number", "head_sha").join(sizes, "repo") \
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.col("n")).cast("int") - 1))) \
+        .withColumn("rk", F.expr("(pr_number div 8 + j) % n"))
+    sel = picks.join(ranked.select("repo", "rk", "path"), ["repo", "rk"]).groupBy("repo", "pr_number", "head_sha").agg(
+        F.array_sort(F.collect_list(F.struct("j", "path"))).alias("s"))
     paths = F.transform("s", lambda x: x["path"])
     paths = (F.when(F.col("repo") == "org/r1", F.concat(paths, F.array(F.lit("missing/file.py"))))
              .when(F.col("repo") == "org/r2", F.concat(paths, F.slice(paths, 1, 1)))
              .otherwise(paths))
-    return sel.select("repo", "head_sha", F.to_json(F.struct(paths.alias("paths"))).alias("selection"))
+    return sel.select("repo", "pr_number", "head_sha", F.to_json(F.struct(paths.alias("paths"))).alias("selection"))
 
 
 # ---- deliveries: events ---------------------------------------------------------------
@@ -486,6 +491,19 @@ def open_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda x: F.concat(F.lit("+++ b/"), x["filename"])), "\n").alias("final_diff"))
 
 
+def open_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(reviews on open PRs, their heads now): every 11th PR has a review with the head's marker, PENDING on every
+    22nd; the head has moved when pr mod 7 = 3."""
+    h = review_heads(spark, sf_dir).select("repo", "pr_number", "head_sha")
+    n = F.col("pr_number")
+    state = F.when(n % 22 == 0, F.lit("PENDING")).otherwise(F.lit("COMMENTED"))
+    posted = h.where(n % 11 == 0).select(
+        "repo", "pr_number", n.alias("id"), F.concat(F.lit("seen\n\n<!-- feedmine:"), "head_sha", F.lit(" -->")).alias("body"),
+        state.alias("state"), F.concat(pr_url(F.col("repo"), n), F.lit("#r")).alias("html_url"), n.alias("item_ord"))
+    now = h.select("repo", "pr_number", F.when(n % 7 == 3, F.sha2("head_sha", 256)).otherwise(F.col("head_sha")).alias("head_sha"))
+    return posted, now
+
+
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree listings landed as pages of 25 items: (request_id, page_no, page JSON text)."""
     p = read(spark, sf_dir, "pages")
