@@ -104,6 +104,23 @@ def k3_replace_vectors(spark, d):
     return _index_out(vx.replace_vectors(index, new, ["org/r1", "org/r2"]))
 
 
+@query("k3_delta_index")
+def k3_delta_index(spark, d):
+    """The index as a merge-on-read table: a base, then rows saved, ids deleted, two repos replaced, and a new base."""
+    from feedmine.sources import deltas as dl
+    notes = fx.vector_notes(spark, d)
+    rows = vx.save_vectors(_empty_index(spark), notes)
+    third = rows.where(F.col("pr_number") % 3 == 0)
+    root = _scratch(spark, "k3")
+    dl.create(spark, root, rows.where(F.col("pr_number") % 2 == 0), ["id"])
+    dl.apply(spark, root, "save", third)
+    dl.apply(spark, root, "delete", gone=[rows.where(F.col("pr_number") % 5 == 0).select("id")])
+    repos = spark.createDataFrame([("org/r1",), ("org/r2",)], "repo string")
+    dl.apply(spark, root, "replace", third, [repos])
+    dl.compact(spark, root, "compact", ["repo"])
+    return _index_out(dl.read(spark, root))
+
+
 @query("k4_search")
 def k4_search(spark, d):
     notes = fx.vector_notes(spark, d)
@@ -487,6 +504,16 @@ def g2_replace_slice(spark, d):
     return out.select("repo", "pr_number", "github_comment_id")
 
 
+@query("g2_delta_slices")
+def g2_delta_slices(spark, d):
+    """G2 on a merge-on-read table: the mined slices leave by (repo, pr_number), the new notes enter."""
+    from feedmine.sources import deltas as dl
+    root = _scratch(spark, "g2")
+    dl.create(spark, root, fx.wave_state(spark, d), ["repo", "pr_number", "comment_type", "github_comment_id"])
+    dl.apply(spark, root, "wave 1", fx.wave_incoming(spark, d, 1), [fx.wave_keys(spark, d)])
+    return dl.read(spark, root).select("repo", "pr_number", "github_comment_id")
+
+
 @query("c7_removed_notes")
 def c7_removed_notes(spark, d):
     return _wave1(spark, d).removed.select("repo", "pr_number", "github_comment_id", "category")

@@ -53,6 +53,10 @@ SELECT {_IDX_OUT} FROM vindex_fx
 WHERE (pr_number % 2 = 0 AND pr_number % 3 <> 0 AND repo NOT IN ('org/r1', 'org/r2'))
    OR pr_number % 3 = 0"""
 
+ORACLE["k3_delta_index"] = _with(*VX) + f"""
+SELECT {_IDX_OUT} FROM vindex_fx
+WHERE (pr_number % 2 = 0 AND pr_number % 5 <> 0 AND repo NOT IN ('org/r1', 'org/r2')) OR pr_number % 3 = 0"""
+
 ORACLE["k4_search"] = _with(*VX) + """,
 q AS (SELECT 'org/r' || CAST(label AS VARCHAR) AS qrepo, CAST(embedding AS DOUBLE[]) AS qv
       FROM embeddings WHERE vec_id = 0),
@@ -311,6 +315,8 @@ SELECT repo, pr_number, github_comment_id FROM state_fx
 WHERE (repo, pr_number) NOT IN (SELECT (repo, pr_number) FROM keys_fx)
 UNION ALL SELECT repo, pr_number, github_comment_id FROM inc1_fx"""
 
+ORACLE["g2_delta_slices"] = ORACLE["g2_replace_slice"]
+
 ORACLE["c7_removed_notes"] = WV + """
 SELECT DISTINCT repo, pr_number, github_comment_id, category FROM state_fx s
 WHERE ((repo, pr_number) IN (SELECT (repo, pr_number) FROM keys_fx)
