@@ -20,10 +20,14 @@ from feedmine.functions.notes import comment_key
 from feedmine.operators.joins import broadcast_if_small, join_small
 
 
-def selected_notes(notes: DataFrame) -> DataFrame:
+def is_selected() -> Column:
     """Implemented and include_in_vector_store, both defaulting to true when absent."""
-    return notes.where(F.coalesce(F.col("implemented"), F.lit(True))
-                       & F.coalesce(F.col("include_in_vector_store"), F.lit(True)))
+    return F.coalesce(F.col("implemented"), F.lit(True)) & F.coalesce(F.col("include_in_vector_store"), F.lit(True))
+
+
+def selected_notes(notes: DataFrame) -> DataFrame:
+    """The notes that ``is_selected`` holds for."""
+    return notes.where(is_selected())
 
 
 def _known(col: str) -> Column:

@@ -839,6 +839,18 @@ def d5_run_summary(spark, d):
                           indexed=fx.vector_notes(spark, d))
 
 
+@query("d5_committed_counters")
+def d5_committed_counters(spark, d):
+    """The counters of a run, taken while it writes its tables and committed with them."""
+    root = _scratch(spark, "d5")
+    notes = fx.notes(spark, d)
+    snap.publish_snapshot(spark, root, {
+        "raw_comments": feedback_table(spark, d, with_replies=False), "notes_all": notes, "notes": cu.curate(notes),
+        "vectors": fx.vector_notes(spark, d)},
+        counters={"notes_all": {"selected": F.count_if(cu.is_selected())}})
+    return snap.read_counters(spark, root)
+
+
 @query("h16_synthesis_prompts")
 def h16_synthesis_prompts(spark, d):
     act = with_ordinal(_active_ordered(spark, d).drop("ordinal").withColumn("_o", F.col("github_comment_id")),

@@ -137,7 +137,8 @@ def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: Dat
 
     Analyse, curate, replace the index rows of ``repos`` (K3), write the report of all notes and the
     checklist of the active ones, commit. ``resume`` takes the notes of the committed snapshot instead of
-    analysing again (A9). A named ``writer`` claims the version (A8). Returns the committed version.
+    analysing again (A9). A named ``writer`` claims the version (A8). The run's counters (D5: comments, notes, selected, active, indexed) are
+    committed with it (``snapshot.read_counters``). Returns the committed version.
     """
     snap.require_evidence(feedback, evidence)
     notes = snap.run_stage(spark, root, ["notes_all"], lambda: {"notes_all": analysed(feedback, evidence, model)[0]}, resume)["notes_all"]
@@ -150,7 +151,8 @@ def batch_job(spark: SparkSession, root: str, feedback: DataFrame, evidence: Dat
     snap.write_skill(checklist(active), f"{root}/skill/version={version}")
     return snap.publish_snapshot(spark, root, {
         "raw_comments": feedback, "notes_all": notes, "notes": active, "vectors": index,
-        "pending_prs": spark.createDataFrame([], PENDING)}, version=version, next_ordinal=following_ordinal(notes), writer=writer)
+        "pending_prs": spark.createDataFrame([], PENDING)}, version=version, next_ordinal=following_ordinal(notes), writer=writer,
+        counters={"notes_all": {"selected": F.count_if(cu.is_selected())}})
 
 
 def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, feedback: DataFrame, evidence: DataFrame,

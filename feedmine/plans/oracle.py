@@ -565,6 +565,13 @@ UNION ALL SELECT 'selected', count(*) FROM selected_fx
 UNION ALL SELECT 'active', count(*) FROM active_fx
 UNION ALL SELECT 'indexed', count(*) FROM embeddings"""
 
+ORACLE["d5_committed_counters"] = _with(*FBX, *CURATED) + """
+SELECT 'raw_comments.rows' AS name, count(*) AS value FROM feedback_fx
+UNION ALL SELECT 'notes_all.rows', count(*) FROM notes_fx
+UNION ALL SELECT 'notes_all.selected', count(*) FROM selected_fx
+UNION ALL SELECT 'notes.rows', count(*) FROM active_fx
+UNION ALL SELECT 'vectors.rows', count(*) FROM embeddings"""
+
 ORACLE["a1_read_pages"] = """
 SELECT 'org/r' || CAST(page_id % 8 AS VARCHAR) AS request_id, (page_id // 8) // 25 + 1 AS page_no,
        row_number() OVER (PARTITION BY page_id % 8, (page_id // 8) // 25 ORDER BY page_id) - 1 AS item_pos,
