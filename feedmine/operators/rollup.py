@@ -9,6 +9,7 @@ order) and a text sink give the document without any task holding a whole repo.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -142,7 +143,9 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: st
     The similarity join is exact, by prefix filtering. Items with equal sets are one. The shingles of a set
     are put in order of rarity within the group; two similar sets share one of their first
     ``size - ceil(threshold * size) + 1`` shingles, so only these make buckets, and a shingle that only one
-    set has makes none. Hot buckets are cut down in two steps before any pair is formed:
+    set has makes none. A bucket's members carry their size, the shingle's place and 256 parity bits of the whole
+    set, which bound what two sets can share (``_may_reach``), so most unlike pairs are gone before any set is
+    shuffled. Hot buckets are cut down in two steps before any pair is formed:
 
     * each member is compared with its bucket's smallest member, and the components of
       the links found are joined: a crowd of near copies becomes one component here;
@@ -162,8 +165,10 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: st
         .select("y.a", F.col("x.node").alias("b"))
     buckets = materialize(_prefix_buckets(same.select(F.col("a").alias("node"), "grp", "sh"), threshold))
 
-    centers = buckets.groupBy("grp", "token").agg(F.min("node").alias("a"))
-    star = _bucket_join(buckets, centers, salt_buckets).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    centers = buckets.groupBy("grp", "token").agg(F.min(F.struct("node", *MEASURES)).alias("c"))
+    star = _bucket_join(buckets, centers, salt_buckets).where(F.col("node") != F.col("c.node"))
+    star = star.select("node", *MEASURES, F.col("c.node").alias("o_node"), *(F.col(f"c.{m}").alias(f"o_{m}") for m in MEASURES)) \
+        .where(_may_reach(threshold, first=False)).select(F.col("o_node").alias("a"), F.col("node").alias("b"))
     links = materialize(_verified(star, sets, threshold).unionByName(equal.where("a <> b")))
     nodes = reps.select(F.col(ordinal).alias("node"))
     labels = connected_min_label(links, nodes)
@@ -178,22 +183,54 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: st
     return exact.join(comp, F.col("rep") == F.col("node")).select(ordinal, F.col("least").alias("rep"))
 
 
+PARITY_WORDS = 4
+MEASURES = ["size", "pos", *(f"bits{k}" for k in range(PARITY_WORDS))]
+
+
+def _parity(k: int) -> Column:
+    """64 of the parity bits of a set ``sh``: each shingle flips the bit that its hash names."""
+    return F.expr(f"aggregate(sh, 0L, (bits, x) -> bits ^ if((shiftrightunsigned(x, 6) & {PARITY_WORDS - 1}) = {k}, "
+                  "shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"bits{k}")
+
+
 def _prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(grp, token, node, size): the rarest shingles of each set, as many as a similar set can't miss all of."""
+    """(grp, token, node, size, pos, bits): the rarest shingles of each set, as many as a similar set can't miss all of, with
+    their place in the set's order from 0 and the set's parity bits."""
     flat = sets.select("node", "grp", F.size("sh").alias("size"), F.explode("sh").alias("token"))
     seen = flat.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     # Shingles of one set only come first; one array per set, no longer than its text.
     known = flat.alias("f").join(seen.alias("s"), F.col("f.grp").eqNullSafe(F.col("s.grp")) & (F.col("f.token") == F.col("s.token"))) \
         .select("f.node", "f.grp", "f.size", "s.freq", "f.token")
-    per = known.groupBy("node", "grp", "size").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
+    per = known.groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"),
+                                    F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
     single = F.col("size") - F.size("_t")
     first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - single
-    return per.where(first > 0).select("node", "grp", "size", F.explode(F.slice("_t", F.lit(1), first.cast("int"))).alias("_e")) \
-        .select("grp", "_e.token", "node", "size")
+    bits = sets.select("node", *(_parity(k) for k in range(PARITY_WORDS)))
+    return per.where(first > 0).join(bits, "node") \
+        .select("*", F.posexplode(F.slice("_t", F.lit(1), first.cast("int"))).alias("_at", "_e")) \
+        .select("grp", "_e.token", "node", "size", (F.col("_at") + single).cast("int").alias("pos"), *MEASURES[2:])
+
+
+def _may_reach(threshold: float, first: bool) -> Column:
+    """Whether two members of a bucket, the second's columns named ``o_``, can be similar enough, by what they carry:
+
+    * sizes: the smaller set is at least ``threshold`` times the larger;
+    * places: after the bucket's shingle they share no more than the shorter remainder has. ``first`` takes it for the
+      first one they share, so that nothing is shared before it: similar sets pass there, and may fail in later buckets;
+    * parity: sets differ in at least as many shingles as their parity bits differ.
+    """
+    size, other = F.col("size"), F.col("o_size")
+    needed = F.ceil(threshold / (1 + threshold) * (size + other) - 1e-9)
+    shared = 1 + F.least(size - F.col("pos") - 1, other - F.col("o_pos") - 1)
+    if not first:
+        shared = shared + F.least("pos", "o_pos")
+    differing = sum((F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"o_bits{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    return ((F.least(size, other) >= threshold * F.greatest(size, other) - 1e-9) & (shared >= needed)
+            & (size + other - differing >= 2 * needed))
 
 
 def _bucket_join(members: DataFrame, other: DataFrame, salt_buckets: int) -> DataFrame:
-    """``members`` with the columns of ``other`` of the same (grp, token); a bucket's members lie in many tasks."""
+    """``members`` with the columns of ``other``, one row per (grp, token); a bucket's members lie in many tasks."""
     salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salt_buckets)))
     copies = other.withColumnsRenamed({"grp": "_grp", "token": "_token"}) \
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
@@ -202,19 +239,28 @@ def _bucket_join(members: DataFrame, other: DataFrame, salt_buckets: int) -> Dat
 
 
 def _mixed_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, salt_buckets: int) -> DataFrame:
-    """(a, b): pairs of one bucket but of different components whose sizes allow the similarity."""
+    """(a, b): pairs of one bucket but of different components that ``_may_reach`` the similarity. Members meet those of their
+    own and the next bands of sizes only; a bucket of some thousand members is split over up to ``salt_buckets`` tasks."""
     labelled = buckets.join(labels, "node")
     counts = labelled.groupBy("grp", "token", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("grp", "token").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
+    mixed = counts.groupBy("grp", "token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"),
                                                F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_ = materialize(_bucket_join(labelled, mixed, salt_buckets))
+    # Similar sets are less than one band apart: a band is a little wider than the ratio of their sizes.
+    width = max(-math.log(threshold), 1e-9) * (1 + 1e-6)
+    open_ = materialize(_bucket_join(labelled, mixed, salt_buckets)
+                        .withColumn("band", F.floor(F.log(F.col("size")) / width))
+                        .withColumn("salts", F.least(F.lit(salt_buckets), 1 + F.floor(F.col("members") / 1000)).cast("int")))
     few = open_.where(F.col("label") != F.col("main")).select(
-        "grp", "token", F.col("node").alias("o"), F.col("size").alias("osize"), F.col("label").alias("olabel"))
-    pairs = _bucket_join(open_, few, salt_buckets)
+        F.col("grp").alias("o_grp"), F.col("token").alias("o_token"), F.col("node").alias("o_node"), F.col("label").alias("o_label"),
+        *(F.col(m).alias(f"o_{m}") for m in MEASURES), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("o_band"), "salts") \
+        .withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = open_.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    pairs = salted.join(few, F.col("grp").eqNullSafe(F.col("o_grp")) & (F.col("token") == F.col("o_token"))
+                        & (F.col("band") == F.col("o_band")) & (F.col("salt") == F.col("o_salt")))
     # Two members outside of the largest component would meet twice.
-    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("o"))
-    near = F.least("size", "osize") >= threshold * F.greatest("size", "osize") - 1e-9
-    return pairs.where((F.col("label") != F.col("olabel")) & once & near).select(F.col("node").alias("a"), F.col("o").alias("b"))
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("o_node"))
+    return pairs.where((F.col("label") != F.col("o_label")) & once & _may_reach(threshold, first=True)) \
+        .select(F.col("node").alias("a"), F.col("o_node").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
