@@ -159,7 +159,8 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: st
     reps = items.join(exact.where(F.col(ordinal) == F.col("rep")).select(ordinal), ordinal, "left_semi")
     words = reps.select(F.col(ordinal).alias("node"), F.col(group).alias("grp"), words_of(F.col(text)).alias("_w"))
     hashed = F.array_sort(F.transform(shingles_from_words(F.col("_w"), n), lambda x: F.xxhash64(x)))
-    sets = materialize(words.select("node", "grp", hashed.alias("sh")).where(F.size("sh") > 0))
+    # Filtered only when made: below the join, where the filter would go, all shingles would be made once more.
+    sets = materialize(words.select("node", "grp", hashed.alias("sh"))).where(F.size("sh") > 0)
     same = sets.groupBy("grp", "sh").agg(F.min("node").alias("a"))
     equal = sets.alias("x").join(same.alias("y"), F.col("x.grp").eqNullSafe(F.col("y.grp")) & (F.col("x.sh") == F.col("y.sh"))) \
         .select("y.a", F.col("x.node").alias("b"))
