@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedmine.operators import model as md
-from feedmine.operators.joins import join_small
+from feedmine.operators.joins import fits_broadcast, join_small
 from feedmine.operators.ordering import assign_batches
 from feedmine.schemas import ANALYSIS_MAX_ATTEMPTS, REPORT_HEADER, SYNTHESIS_CHUNK_SIZE
 from feedmine.session import checkpoint_dir, materialize
@@ -156,22 +156,25 @@ def merge_similar(items: DataFrame, threshold: float = 0.7, n: int = 3, text: st
     Items of fewer than ``n`` words, null and empty texts take part only in the exact pass.
     """
     exact = materialize(exact_groups(items, text, ordinal, group))
-    reps = items.join(exact.where(F.col(ordinal) == F.col("rep")).select(ordinal), ordinal, "left_semi")
-    words = reps.select(F.col(ordinal).alias("node"), F.col(group).alias("grp"), words_of(F.col(text)).alias("_w"))
+    # Shingles are made where the texts lie, also those of exact copies: no text is shuffled.
+    words = items.select(F.col(ordinal).alias("node"), F.col(group).alias("grp"), words_of(F.col(text)).alias("_w"))
     hashed = F.array_sort(F.transform(shingles_from_words(F.col("_w"), n), lambda x: F.xxhash64(x)))
-    # Filtered only when made: below the join, where the filter would go, all shingles would be made once more.
+    # Filtered only when made: the filter would make all shingles once more.
     sets = materialize(words.select("node", "grp", hashed.alias("sh"))).where(F.size("sh") > 0)
-    same = sets.groupBy("grp", "sh").agg(F.min("node").alias("a"))
-    equal = sets.alias("x").join(same.alias("y"), F.col("x.grp").eqNullSafe(F.col("y.grp")) & (F.col("x.sh") == F.col("y.sh"))) \
-        .select("y.a", F.col("x.node").alias("b"))
-    buckets = materialize(_prefix_buckets(same.select(F.col("a").alias("node"), "grp", "sh"), threshold))
+    # 128 bits stand for a set, so that finding equal ones moves no set.
+    keyed = sets.select("node", F.struct("grp", F.xxhash64("sh"), F.xxhash64(F.lit(1), "sh"), F.size("sh")).alias("key"))
+    firsts = materialize(keyed.groupBy("key").agg(F.min("node").alias("a")))
+    equal = keyed.join(firsts, "key").select("a", F.col("node").alias("b"))
+    different = firsts.select(F.col("a").alias("node"))
+    different = F.broadcast(different) if fits_broadcast(different) else different
+    buckets = materialize(_prefix_buckets(sets.join(different, "node", "left_semi"), threshold))
 
     centers = buckets.groupBy("grp", "token").agg(F.min(F.struct("node", *MEASURES)).alias("c"))
     star = _bucket_join(buckets, centers, salt_buckets).where(F.col("node") != F.col("c.node"))
     star = star.select("node", *MEASURES, F.col("c.node").alias("o_node"), *(F.col(f"c.{m}").alias(f"o_{m}") for m in MEASURES)) \
         .where(_may_reach(threshold, first=False)).select(F.col("o_node").alias("a"), F.col("node").alias("b"))
     links = materialize(_verified(star, sets, threshold).unionByName(equal.where("a <> b")))
-    nodes = reps.select(F.col(ordinal).alias("node"))
+    nodes = items.select(F.col(ordinal).alias("node"))
     labels = connected_min_label(links, nodes)
 
     rest = _verified(_mixed_pairs(buckets, labels, threshold, salt_buckets), sets, threshold)
@@ -197,17 +200,15 @@ def _parity(k: int) -> Column:
 def _prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
     """(grp, token, node, size, pos, bits): the rarest shingles of each set, as many as a similar set can't miss all of, with
     their place in the set's order from 0 and the set's parity bits."""
-    flat = sets.select("node", "grp", F.size("sh").alias("size"), F.explode("sh").alias("token"))
-    seen = flat.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # A token stands for a shingle of its group, so that two numbers a shingle are shuffled.
+    flat = sets.select("node", F.explode(F.transform("sh", lambda x: F.xxhash64("grp", x))).alias("token"))
+    seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     # Shingles of one set only come first; one array per set, no longer than its text.
-    known = flat.alias("f").join(seen.alias("s"), F.col("f.grp").eqNullSafe(F.col("s.grp")) & (F.col("f.token") == F.col("s.token"))) \
-        .select("f.node", "f.grp", "f.size", "s.freq", "f.token")
-    per = known.groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"),
-                                    F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
+    per = flat.join(seen, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
+    measured = sets.select("node", "grp", F.size("sh").alias("size"), *(_parity(k) for k in range(PARITY_WORDS)))
     single = F.col("size") - F.size("_t")
     first = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - single
-    bits = sets.select("node", *(_parity(k) for k in range(PARITY_WORDS)))
-    return per.where(first > 0).join(bits, "node") \
+    return per.join(measured, "node").where(first > 0) \
         .select("*", F.posexplode(F.slice("_t", F.lit(1), first.cast("int"))).alias("_at", "_e")) \
         .select("grp", "_e.token", "node", "size", (F.col("_at") + single).cast("int").alias("pos"), *MEASURES[2:])
 
