@@ -202,7 +202,9 @@ def _prefix_buckets(sets: DataFrame, threshold: float) -> DataFrame:
     their place in the set's order from 0 and the set's parity bits."""
     # A token stands for a shingle of its group, so that two numbers a shingle are shuffled.
     flat = sets.select("node", F.explode(F.transform("sh", lambda x: F.xxhash64("grp", x))).alias("token"))
-    seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    # Kept, and measured: if few shingles are shared, the others never leave their task.
+    seen = materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"))
+    seen = F.broadcast(seen) if fits_broadcast(seen) else seen
     # Shingles of one set only come first; one array per set, no longer than its text.
     per = flat.join(seen, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_t"))
     measured = sets.select("node", "grp", F.size("sh").alias("size"), *(_parity(k) for k in range(PARITY_WORDS)))
