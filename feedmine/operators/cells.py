@@ -228,6 +228,28 @@ def _cosines(queries: DataFrame, centers: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _plan(stored: DataFrame, asked: DataFrame, dim: int, k: int, tried: int) -> DataFrame | None:
+    sizes = stored.groupBy("repo").agg(F.sum("n").alias("n"), F.lit(dim).alias("dim"))
+    return bl.grid(sizes, asked, ["repo"], k, tried=tried)
+
+
+def _with_cells(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The queries with the ``cells`` that ``pairs`` (query_id, cell) names; pairs that come n times count n times."""
+    times = pairs.groupBy("query_id", "cell").count()
+    lists = times.groupBy("query_id", "count").agg(F.collect_list("cell").alias("cells"))
+    lists = lists.select("query_id", "cells", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_time"))
+    return asked.join(lists.drop("_time"), "query_id")
+
+
+def _found(stored: DataFrame, asked: DataFrame, fields: list[str], pairs: DataFrame, plan: DataFrame | None, k: int, oversample: int = 0) -> DataFrame:
+    """What the queries find in the cells named by ``pairs``. Many queries are dealt by repo, so that a query moves once
+    with the list of its cells."""
+    if plan is None:
+        return bl.hits(bl.broadcast_blocks(stored, asked.join(pairs, "query_id"), ["repo", "cell"], fields), k, FIELDS, oversample)
+    blocks = bl.in_parts(stored, plan, ["repo"], F.col("rows")[0]["id"])
+    return bl.best_in_parts(blocks, _with_cells(asked, pairs), plan, ["repo"], [*fields, "cells"], k, FIELDS, oversample)
+
+
 def search_cells(spark: SparkSession, root: str, queries: DataFrame, k: int, probe: int = 4, reviewers_col: str | None = None) -> DataFrame:
     """K6: ``query_id, id, rank, repo, github_comment_id, reviewer`` of about the ``k`` nearest live rows of each query's repo.
 
@@ -238,8 +260,11 @@ def search_cells(spark: SparkSession, root: str, queries: DataFrame, k: int, pro
     model, centers = centers_of(spark, root)
     asked, fields = _asked(queries, reviewers_col)
     probes = _cosines(asked, centers).where(F.col("place") < probe).select("query_id", "cell")
-    found = bl.hits(bl.joined_blocks(stored_blocks(spark, root, model), asked.join(probes, "query_id"), ["repo", "cell"], fields), k, FIELDS, OVERSAMPLE)
-    return bl.ranked(found, k).select("query_id", "id", "rank", *FIELDS[1:])
+    stored = stored_blocks(spark, root, model)
+    plan = _plan(spark.read.parquet(f"{root}/blocks/model={model}"), asked, centers.shape[1], k, probe)
+    found = _found(stored, asked, fields, probes, plan, k, OVERSAMPLE)
+    best = bl.ranked(found, k) if plan is None else bl.ranked_parts(found, asked, plan, k)
+    return best.select("query_id", "id", "rank", *FIELDS[1:])
 
 
 def search_exact(spark: SparkSession, root: str, queries: DataFrame, k: int, first: int = 2, reviewers_col: str | None = None) -> DataFrame:
@@ -260,10 +285,10 @@ def exact_passes(spark: SparkSession, root: str, queries: DataFrame, k: int, fir
     stored = stored_blocks(spark, root, model)
     asked, fields = _asked(queries, reviewers_col)
     cosines = materialize(_cosines(asked, centers))
+    plan = _plan(spark.read.parquet(f"{root}/blocks/model={model}"), asked, centers.shape[1], k, len(centers))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        rows = asked.join(pairs.select("query_id", "cell"), "query_id")
-        return bl.hits(bl.joined_blocks(stored, rows, ["repo", "cell"], fields), k, FIELDS)
+        return _found(stored, asked, fields, pairs.select("query_id", "cell"), plan, k)
 
     sure = materialize(scored(cosines.where(F.col("place") < first)))
     floors = bl.ranked(sure, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
