@@ -188,22 +188,24 @@ def _pending_fn(key, pdfs: Iterator[pd.DataFrame], state):
     pending = state.get[0] if state.exists else False
     last = state.get[1] if state.exists else -1
     out = []
+    rows = []  # plain values: a call gets the few snapshots of one PR, for which frames cost more than the work
+    for pdf in pdfs:
+        rows += zip(pdf["seq"].tolist(), pdf["state"].tolist(), pdf["merged_at"].tolist(), strict=True)
     # Snapshots that arrive after a newer one of the same PR change nothing.
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    for r in rows[rows["seq"] > last].itertuples(index=False):
-        merged = isinstance(r.merged_at, str) and r.merged_at != ""
+    for seq, now, merged_at in sorted((r for r in rows if r[0] is not None and r[0] > last), key=lambda r: r[0]):
+        merged = isinstance(merged_at, str) and merged_at != ""
         if merged:
-            out.append((key[0], key[1], int(r.seq), "mine"))
+            out.append((key[0], key[1], int(seq), "mine"))
             pending = False
-        elif r.state == "closed":
+        elif now == "closed":
             if pending:
-                out.append((key[0], key[1], int(r.seq), "forget"))
+                out.append((key[0], key[1], int(seq), "forget"))
             pending = False
         else:
             if not pending:
-                out.append((key[0], key[1], int(r.seq), "pending"))
+                out.append((key[0], key[1], int(seq), "pending"))
             pending = True
-        last = int(r.seq)
+        last = int(seq)
     state.update((pending, last))
     if out:
         yield pd.DataFrame(out, columns=["repo", "pr_number", "seq", "action"])

@@ -72,3 +72,21 @@ def test_wait_for_merge_state(spark, tmp_path):
         sp.run_available(sp.pending_until_merged(stream), f"{root}/out", f"{root}/ck")
     got = sorted((r["pr_number"], r["seq"], r["action"]) for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [(1, 0, "pending"), (1, 1, "mine"), (1, 2, "mine"), (2, 0, "pending"), (2, 1, "forget")]
+
+
+def test_a_pr_is_followed_without_frames(monkeypatch):
+    """One call per PR: late, equal and unnumbered snapshots as before, and no frame is built to sort a few rows."""
+    import pandas as pd
+
+    class State:
+        exists, get = True, (False, 3)
+
+        def update(self, value):
+            self.now = value
+
+    state = State()
+    pdfs = [pd.DataFrame({"seq": [5, 2], "state": ["closed", "open"], "merged_at": [None, None]}),
+            pd.DataFrame({"seq": [4, None, 6], "state": ["open", "open", "closed"], "merged_at": [None, None, "2026-01-01"]})]
+    monkeypatch.setattr(sp.pd, "concat", None)
+    out = [tuple(r) for f in sp._pending_fn(("r", 1), iter(pdfs), state) for r in f.itertuples(index=False)]
+    assert out == [("r", 1, 4, "pending"), ("r", 1, 5, "forget"), ("r", 1, 6, "mine")] and state.now == (False, 6)
