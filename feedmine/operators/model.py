@@ -25,6 +25,9 @@ from feedmine.functions.text import is_blank
 from feedmine.operators import journal as jn
 from feedmine.session import checkpoint_dir
 
+#: Prompts are long, so a task holds fewer bytes of them at once than Spark's default of 64 MB, each several times.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 RESPONSES_ENVELOPE = T.StructType([
     T.StructField("output", T.ArrayType(T.StructType([
         T.StructField("type", T.StringType()),
@@ -133,4 +136,10 @@ def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
     out = src.mapInPandas(run, "prompt_id string, attempt int, raw string, call_error string")
     if known is not None:
         out = out.unionByName(known.withColumn("call_error", F.lit(None).cast("string")))
-    return out.checkpoint(eager=True)
+    conf = spark.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        return out.checkpoint(eager=True)
+    finally:
+        conf.set(BATCH_CONF, before)

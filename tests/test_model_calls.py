@@ -26,3 +26,13 @@ def test_caller_notes_and_failure_after_three_attempts(spark):
     assert notes.count() == batched.count()
     with pytest.raises(RuntimeError, match="no valid answer after 3 attempts"):
         an.analyze_with_caller(batched, fx.pr_diffs(spark, SF_SMALL), short_for_some, "system")
+
+
+def test_prompts_reach_a_task_in_small_batches(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    prompts = spark.createDataFrame([("a", "x"), ("b", "y")], "prompt_id string, prompt string")
+    seen, checkpoint, before = [], DataFrame.checkpoint, spark.conf.get(md.BATCH_CONF)
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, eager=True: seen.append(spark.conf.get(md.BATCH_CONF)) or checkpoint(df, eager))
+    assert md.annotate(prompts, lambda system, prompt: prompt, "s").count() == 2
+    assert seen == [md.BATCH_BYTES] and spark.conf.get(md.BATCH_CONF) == before
