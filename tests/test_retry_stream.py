@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedmine.streaming import pipeline as sp
@@ -74,3 +75,34 @@ def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
     for _ in range(2):
         rt.write_receives(rows, 7, str(tmp_path))
     assert rt.read_receives(spark, str(tmp_path)).count() == 1 and rt.read_dead(spark, str(tmp_path)).count() == 1
+
+
+def test_only_waiting_jobs_hold_a_state(spark, tmp_path):
+    """Settled deliveries keep the mark that stops their copies, and no more."""
+    land(tmp_path / "in", "1.json", *(f"ok{k}" for k in range(40)), "f1", "f9", "dead", "ok1", "dead")
+    jobs = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    query = rt.start(rt.receives(jobs, worker(), visibility_ms=50), str(tmp_path / "out"), str(tmp_path / "ckpt"), "100 milliseconds")
+    rt.run_until_settled(query, spark, str(tmp_path / "out"), 120)
+    marks = {o["operatorName"]: [] for p in query.recentProgress for o in p["stateOperators"]}
+    for p in query.recentProgress:
+        for o in p["stateOperators"]:
+            marks[o["operatorName"]].append(o["numRowsTotal"])
+    assert max(marks["dedupe"]) == 43 and max(v for k, m in marks.items() if k != "dedupe" for v in m) == 3
+    assert all(m[-1] == 0 for k, m in marks.items() if k != "dedupe")
+    assert rt.waiting(spark, str(tmp_path / "out")) == (42 - 2 + 2 + 5 + 5, 0)
+
+
+def test_a_long_batch_is_not_cut_off(spark, tmp_path):
+    """The time limit counts while nothing is received, not while a batch is at work."""
+    def slow(job):
+        time.sleep(3)
+    import time
+    land(tmp_path / "in", "1.json", "a")
+    jobs = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    rt.run_until_settled(rt.start(rt.receives(jobs, slow), root, str(tmp_path / "ckpt"), "100 milliseconds"), spark, root, 1)
+    assert [(r["receives"], r["status"]) for r in rt.last_status(spark, root).collect()] == [(1, "done")]
+
+    land(tmp_path / "in", "2.json", "f1")
+    with pytest.raises(TimeoutError, match="1 deliveries still wait"):
+        rt.run_until_settled(rt.start(rt.receives(jobs, worker(), visibility_ms=10 ** 6), root, str(tmp_path / "ckpt"), "100 milliseconds"), spark, root, 1)
