@@ -45,3 +45,41 @@ def test_similar_sizes_lie_in_neighbouring_bands():
         for large in range(1, 2000):
             small = math.ceil(threshold * large - 1e-9)
             assert math.floor(math.log(large) / width) - math.floor(math.log(small) / width) <= 1
+
+
+def test_each_text_is_normalised_once_and_shingles_are_shuffled_once(spark):
+    items = spark.createDataFrame([(i, "c", f"one two three four w{i % 3}") for i in range(9)], "ordinal long, category string, text string")
+    plan = ru.exact_groups(items)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan  # kept before its join reads it from both sides
+    sets = ru.materialize(items.select(ru.F.col("ordinal").alias("node"), ru.F.col("category").alias("grp"), ru.F.array_sort(
+        ru.F.transform(ru.shingles(ru.F.col("text")), lambda x: ru.F.xxhash64(x))).alias("sh")))
+    plan = ru._prefix_buckets(sets, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
+def test_only_large_buckets_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(ru, "SALT_ROWS", 5)
+    rows = [("a", 1, i) for i in range(40)] + [(None, 2, i) for i in range(3)]
+    members = spark.createDataFrame(rows, "grp string, token long, node long")
+    other = spark.createDataFrame([("a", 1, "x"), (None, 2, "y")], "grp string, token long, c string")
+    copied = []
+    join = ru.join_small
+    monkeypatch.setattr(ru, "join_small", lambda *a, **k: copied.append(join(*a, **k)) or copied[-1])
+    got = sorted((r["token"], r["node"], r["c"]) for r in ru._bucket_join(members, other, 4).collect())
+    assert got == sorted((t, n, {1: "x", 2: "y"}[t]) for _, t, n in rows)
+    assert {r["token"]: r["_salts"] for r in copied[1].collect()} == {1: 4, 2: None}
+
+
+def test_shingle_sets_are_those_of_the_words(spark):
+    texts = ["a b c d", "A  b, c-d!", "a b", None, "", "   a b c a b c a b c", "x y z", "é \u0085ü ß ٣ a b"]
+    items = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    words = items.select("node", ru.words_of(ru.F.col("text")).alias("w"),
+                         ru.F.coalesce(ru.F.transform(ru.words_of(ru.F.col("text")), lambda w: ru.F.xxhash64(w)), ru.F.array()).alias("words"))
+    rows = {r["node"]: r for r in ru._shingle_sets(words, 3).collect()}
+    named = {k: {tuple(r["w"][i:i + 3]) for i in range(len(r["w"]) - 2)} if r["w"] else set() for k, r in rows.items()}
+    assert [len(named[k]) for k in range(8)] == [2, 2, 0, 0, 0, 3, 1, 4]
+    for k, r in rows.items():
+        assert r["sh"] == sorted(set(r["sh"])) and len(r["sh"]) == len(named[k])
+    for i in rows:
+        for j in rows:
+            assert len(set(rows[i]["sh"]) & set(rows[j]["sh"])) == len(named[i] & named[j])
