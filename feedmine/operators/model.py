@@ -27,6 +27,8 @@ from feedmine.session import checkpoint_dir
 
 #: Prompts are long, so a task holds fewer bytes of them at once than Spark's default of 64 MB, each several times.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Answers go back to Spark when they have as many characters, or when their batch of prompts is done: a frame for every group is slow.
+ANSWER_CHARS = 4 << 20
 
 RESPONSES_ENVELOPE = T.StructType([
     T.StructField("output", T.ArrayType(T.StructType([
@@ -114,6 +116,9 @@ def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
         except Exception as exc:  # noqa: BLE001 - any failure of the model counts as an attempt
             return None, f"model call failed: {exc}"
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["prompt_id", "attempt", "raw", "call_error"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         notes = jn.TaskJournal(journal, run_id, TaskContext.get().partitionId(), system, attempt) if journal else None
         noted = notes.read() if notes else {}
@@ -123,15 +128,18 @@ def annotate(prompts: DataFrame, caller: Callable[[str, str], str], system: str,
                 if old.any():
                     ids = pdf.loc[old, "prompt_id"]
                     yield pd.DataFrame({"prompt_id": ids, "attempt": attempt, "raw": ids.map(noted), "call_error": None})
-                new = pdf[~old]
-                for start in range(0, len(new), group):
-                    part = new.iloc[start:start + group]
-                    got = list(pool.map(call, part["prompt"]))
-                    out = pd.DataFrame({"prompt_id": part["prompt_id"].to_numpy(), "attempt": attempt,
-                                        "raw": [raw for raw, _ in got], "call_error": [err for _, err in got]})
+                ids, texts = (pdf.loc[~old, c].tolist() for c in ("prompt_id", "prompt"))
+                held, chars = [], 0
+                for start in range(0, len(ids), group):
+                    got = [(key, attempt, *answer) for key, answer in
+                           zip(ids[start:start + group], pool.map(call, texts[start:start + group]))]
                     if notes:
-                        notes.append(out[out["call_error"].isna()])
-                    yield out
+                        notes.append(frame([row for row in got if row[3] is None]))
+                    held += got
+                    chars += sum(len(raw or error or "") for _, _, raw, error in got)
+                    if chars >= ANSWER_CHARS or start + group >= len(ids):
+                        yield frame(held)
+                        held, chars = [], 0
 
     out = src.mapInPandas(run, "prompt_id string, attempt int, raw string, call_error string")
     if known is not None:

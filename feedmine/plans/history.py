@@ -63,7 +63,8 @@ def assess_with_caller(evidence: DataFrame, caller: Callable[[str, str], str], s
     obj, err = md.response_object(F.col("raw"))
     responses = materialize(raw.join(asked.select("prompt_id", "repo", "pr_number"), "prompt_id")
                             .select("repo", "pr_number", obj.alias("obj"), F.coalesce("call_error", err).alias("error")))
-    notes, rejects = va.architecture_notes(evidence, responses)
+    # The kept prompts have all of the evidence, which would else be joined again for the notes and for the rejects.
+    notes, rejects = va.architecture_notes(prompts.select(*(c for c in evidence.columns if c != "final_diff")), responses)
     rejects = rejects.select("repo", "pr_number", "reason")
     if strict and (bad := rejects.limit(1).collect()):
         raise RuntimeError(f"{bad[0]['repo']}#{bad[0]['pr_number']}: {bad[0]['reason']}")
@@ -168,13 +169,13 @@ def mine_step(spark: SparkSession, root: str, keys: DataFrame, version: int, fee
     together, and their comments may share a prompt. Returns the refused (repo, pr_number, reason).
     """
     on = ["repo", "pr_number"]
-    wanted = keys.select(*on).distinct()
+    wanted = materialize(keys.select(*on).distinct())  # read by every step below
     feedback, evidence = (x.join(wanted, on, "left_semi") for x in (feedback, evidence))
     many = fb.check_feedback_cap(feedback, feedback_cap).select(
         *on, F.concat(F.col("n").cast("string"), F.lit(f" feedback items; at most {feedback_cap} are taken")).alias("reason"))
     _, unusable = check_evidence(evidence, strict=False)
     refused = materialize(many.unionByName(unusable.select(*on, "reason")))
-    asked = wanted.join(refused, on, "left_anti")
+    asked = materialize(wanted.join(refused, on, "left_anti"))
     before = version - 1
     first = snap.committed_ordinal(spark, root, before)
     if first is None:  # committed before commits held it

@@ -37,3 +37,26 @@ def test_prompts_reach_a_task_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", lambda df, eager=True: seen.append(spark.conf.get(md.BATCH_CONF)) or checkpoint(df, eager))
     assert md.annotate(prompts, lambda system, prompt: prompt, "s").count() == 2
     assert seen == [md.BATCH_BYTES] and spark.conf.get(md.BATCH_CONF) == before
+
+
+def test_answers_go_back_in_few_frames(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    prompts = spark.range(1000).selectExpr("cast(id as string) as prompt_id", "concat('p', id) as prompt")
+    seen = []
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, run, schema: seen.append(run) or df.selectExpr(
+        "prompt_id", "1 as attempt", "prompt as raw", "cast(null as string) as call_error"))
+
+    def odd(system, prompt):
+        if prompt.endswith("7"):
+            raise ValueError(prompt)
+        return system + prompt
+    md.annotate(prompts, odd, "s")
+    frames = list(seen[0](iter([prompts.toPandas(), prompts.limit(3).toPandas(), prompts.limit(0).toPandas()])))
+    assert [len(f) for f in frames if len(f)] == [1000, 3]
+    first = frames[0].set_index("prompt_id")
+    assert first.loc["12", "raw"] == "sp12" and first.loc["12", "call_error"] is None
+    assert first.loc["17", "raw"] is None and first.loc["17", "call_error"] == "model call failed: p17"
+    monkeypatch.setattr(md, "ANSWER_CHARS", 100)  # long answers don't wait for the end of the batch
+    frames = list(seen[0](iter([prompts.toPandas()])))
+    assert max(map(len, frames)) < 40 and sum(map(len, frames)) == 1000
