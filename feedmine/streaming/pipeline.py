@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,41 +183,94 @@ def dead_letters_kept(dead: DataFrame, now_col=None, days: int = DEAD_LETTER_RET
 # ---- I4 -------------------------------------------------------------------------------
 PENDING_STATE = "pending boolean, last_seq long"
 PENDING_OUT = "repo string, pr_number long, seq long, action string"
+# PRs share a state by a hash of their key: for each PR, a call into Python and a row of the state store cost some
+# milliseconds, far more than following it. A batch rewrites the states of its PRs' buckets, so raise the number with that of
+# the PRs ever seen (some 20 bytes each); a stream keeps the number it was started with.
+PENDING_BUCKETS = 2048
+PENDING_BUCKET_STATE = "prs binary"
+PENDING_BUCKET_OUT = "repo string, pr_number string, seq long, action string"
 
 
-def _pending_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    pending = state.get[0] if state.exists else False
-    last = state.get[1] if state.exists else -1
+def _follow(rows: list[tuple], pending: bool, last: int) -> tuple[list[tuple[int, str]], bool, int]:
+    """The actions (seq, action) that the snapshots (seq, state, merged_at) of one PR ask for, and its state after them."""
     out = []
-    rows = []  # plain values: a call gets the few snapshots of one PR, for which frames cost more than the work
-    for pdf in pdfs:
-        rows += zip(pdf["seq"].tolist(), pdf["state"].tolist(), pdf["merged_at"].tolist(), strict=True)
     # Snapshots that arrive after a newer one of the same PR change nothing.
     for seq, now, merged_at in sorted((r for r in rows if r[0] is not None and r[0] > last), key=lambda r: r[0]):
         merged = isinstance(merged_at, str) and merged_at != ""
         if merged:
-            out.append((key[0], key[1], int(seq), "mine"))
+            out.append((int(seq), "mine"))
             pending = False
         elif now == "closed":
             if pending:
-                out.append((key[0], key[1], int(seq), "forget"))
+                out.append((int(seq), "forget"))
             pending = False
         else:
             if not pending:
-                out.append((key[0], key[1], int(seq), "pending"))
+                out.append((int(seq), "pending"))
             pending = True
         last = int(seq)
+    return out, pending, last
+
+
+def _pending_fn(key, pdfs: Iterator[pd.DataFrame], state):
+    pending, last = state.get if state.exists else (False, -1)
+    rows = []  # plain values: a call gets the few snapshots of one PR, for which frames cost more than the work
+    for pdf in pdfs:
+        rows += zip(pdf["seq"].tolist(), pdf["state"].tolist(), pdf["merged_at"].tolist(), strict=True)
+    actions, pending, last = _follow(rows, pending, last)
     state.update((pending, last))
+    if actions:
+        yield pd.DataFrame([(*key, *a) for a in actions], columns=["repo", "pr_number", "seq", "action"])
+
+
+def _pack_prs(prs: dict[tuple, tuple[bool, int]]) -> bytes:
+    """The states of a bucket's PRs as one Arrow stream."""
+    (repos, numbers), (pending, last) = zip(*prs, strict=True), zip(*prs.values(), strict=True)
+    batch = pa.record_batch({"repo": pa.array(repos, pa.string()).dictionary_encode(), "pr_number": pa.array(numbers, pa.string()),
+                             "pending": pa.array(pending, pa.bool_()), "last_seq": pa.array(last, pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack_prs(packed: bytes) -> dict[tuple, tuple[bool, int]]:
+    repos, numbers, pending, last = (c.to_pylist() for c in pa.ipc.open_stream(pa.py_buffer(packed)).read_all().columns)
+    return dict(zip(zip(repos, numbers, strict=True), zip(pending, last, strict=True), strict=True))
+
+
+def _pending_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state):
+    """All PRs of a bucket that have snapshots in the batch, each by itself."""
+    prs = _unpack_prs(state.get[0]) if state.exists else {}
+    rows: dict[tuple, list[tuple]] = {}
+    for pdf in pdfs:
+        for repo, number, *row in zip(*(pdf[c].tolist() for c in ("repo", "pr_number", "seq", "state", "merged_at")), strict=True):
+            rows.setdefault((repo, number), []).append(row)
+    out = []
+    for pr, snapshots in rows.items():
+        actions, *prs[pr] = _follow(snapshots, *prs.get(pr, (False, -1)))
+        out += ((*pr, *a) for a in actions)
+    state.update((_pack_prs(prs),))
     if out:
         yield pd.DataFrame(out, columns=["repo", "pr_number", "seq", "action"])
 
 
-def pending_until_merged(observations: DataFrame) -> DataFrame:
+def pending_until_merged(observations: DataFrame, buckets: int | None = PENDING_BUCKETS) -> DataFrame:
     """I4: per (repo, PR), remember open PRs, mine merged ones (again on any later event),
-    forget closed unmerged ones. State lives in the state store, keyed by PR: one small row per
-    PR ever seen, as the sequence number of a closed one still decides what is late."""
-    return observations.groupBy("repo", "pr_number").applyInPandasWithState(
-        _pending_fn, PENDING_OUT, PENDING_STATE, "append", "NoTimeout")
+    forget closed unmerged ones. State lives in the state store: one small entry per
+    PR ever seen, as the sequence number of a closed one still decides what is late. The entries of a bucket of PRs are one
+    state, followed by one call for each batch; without ``buckets`` each PR is a state of its own, with which streams started so go on.
+    """
+    if buckets is None:
+        return observations.groupBy("repo", "pr_number").applyInPandasWithState(
+            _pending_fn, PENDING_OUT, PENDING_STATE, "append", "NoTimeout")
+    # Numbers go as text, since a null among them would make frames hold them as floats. Snapshots without a number change nothing.
+    numbered = observations.where(F.col("seq").isNotNull()).select(
+        "repo", F.col("pr_number").cast("string").alias("pr_number"), "seq", "state", "merged_at",
+        F.pmod(F.xxhash64("repo", "pr_number"), F.lit(buckets)).cast("int").alias("bucket"))
+    out = numbered.groupBy("bucket").applyInPandasWithState(
+        _pending_bucket_fn, PENDING_BUCKET_OUT, PENDING_BUCKET_STATE, "append", "NoTimeout")
+    return out.withColumn("pr_number", F.col("pr_number").cast("long"))
 
 
 # ---- I5 -------------------------------------------------------------------------------

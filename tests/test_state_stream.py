@@ -90,3 +90,29 @@ def test_a_pr_is_followed_without_frames(monkeypatch):
     monkeypatch.setattr(sp.pd, "concat", None)
     out = [tuple(r) for f in sp._pending_fn(("r", 1), iter(pdfs), state) for r in f.itertuples(index=False)]
     assert out == [("r", 1, 4, "pending"), ("r", 1, 5, "forget"), ("r", 1, 6, "mine")] and state.now == (False, 6)
+
+
+def test_prs_of_a_bucket_share_a_state(spark, tmp_path):
+    """There was a call and a state for each PR. The same rows come of it, also for repeated, late and unnumbered snapshots and null keys."""
+    import random
+    rng = random.Random(4)
+    big = 2 ** 53 + 1
+    prs = [(f"r{n % 3}", n) for n in range(60)] + [("r0", None), (None, 7), (None, None), ("r0", big), ("r0", big - 1)]
+    batches = [[(*rng.choice(prs), rng.choice([None, *range(-2, 9)]), *rng.choice([("open", None), ("open", ""), (None, None), ("closed", None),
+                                                                               ("closed", ""), ("closed", "2026-01-01")])) for _ in range(300)] for _ in range(3)]
+    # Equal numbers of one PR and batch have no order, so only equal snapshots share one.
+    batches = [[*{r[:3]: r for r in b}.values()] for b in batches]
+    batches = [b + b[:20] for b in batches]
+    found, states = [], []
+    for buckets in (None, 4):
+        root = str(tmp_path / f"i4-{buckets}")
+        for n, batch in enumerate(batches):
+            df = spark.createDataFrame(batch, "repo string, pr_number long, seq long, state string, merged_at string")
+            df.write.mode("append").parquet(f"{root}/in")
+            stream = sp.pending_until_merged(spark.readStream.schema(df.schema).parquet(f"{root}/in"), buckets)
+            q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+            q.awaitTermination()
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        found.append(sorted(map(repr, spark.read.parquet(f"{root}/out").collect())))
+    assert found[0] == found[1] and len(found[0]) > 100 and f"pr_number={big}," in "".join(found[1])
+    assert states[0] > 60 and states[1] == 4
